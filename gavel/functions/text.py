@@ -55,9 +55,9 @@ def score_before_slash(c) -> Column:
 
 
 def score_last_token_before_slash(c) -> Column:
-    """X11: ``Score: 4/5`` -> 4 (last space-separated token before the first ``/``)."""
-    head = py_strip(F.split_part(col_(c), F.lit("/"), F.lit(1)))
-    return F.element_at(F.split(head, " "), -1).try_cast("int")
+    """X11: ``Score: 4/5`` -> 4 (last single-space-separated token, then the text before its ``/``)."""
+    last = F.element_at(F.split(col_(c), " "), -1)
+    return py_strip(F.split_part(last, F.lit("/"), F.lit(1))).try_cast("int")
 
 
 def rank_list(c) -> Column:

@@ -126,3 +126,447 @@ def q_pair_counters(spark, sf_dir):
 
 
 __all__ = ["QUERIES", "ORACLE", "sql_literal"]
+
+
+# ---------------------------------------------------------------------------------
+# Chat records (F3, X23, A1, L8) and the pair -> chat rewrite
+# ---------------------------------------------------------------------------------
+from ..functions import votes as V  # noqa: E402
+from ..functions.templates import apply_instruction_sql  # noqa: E402
+from ..functions.text import norm_answer  # noqa: E402
+from ..operators import chat as C  # noqa: E402
+from ..operators import metrics as M  # noqa: E402
+from ..operators.ordering import positional_split  # noqa: E402
+
+CHAT_INSTRUCTION = "Rate the quality of the following text with 0 or 1.\n\nText: %s\n\nAnswer:"
+
+
+def _doc_label_join(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", F.lit(True).alias("_has"))
+    return docs.join(lab, "doc_id", "left").withColumn("_has", F.coalesce("_has", F.lit(False)))
+
+
+def chat_tables(spark, sf_dir):
+    j = _doc_label_join(spark, sf_dir)
+    return C.chat_records(j, "text", "quality", CHAT_INSTRUCTION, output_present="_has", keep=["doc_id"])
+
+
+CHAT_SQL = f"""WITH j AS (
+  SELECT d.doc_id, d.text, l.quality, l.doc_id IS NOT NULL AS has_label
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+t AS (
+  SELECT *, CASE WHEN NOT has_label THEN 'missing_output'
+                 WHEN text IS NULL OR {strip_sql('text')} = '' THEN 'empty_input'
+                 WHEN quality IS NULL THEN 'null_output' END AS reject_reason
+  FROM j),
+rec AS (
+  SELECT doc_id, {apply_instruction_sql(CHAT_INSTRUCTION, strip_sql('text'))} AS user_content,
+         {strip_sql('CAST(quality AS VARCHAR)')} AS assistant_content
+  FROM t WHERE reject_reason IS NULL)
+"""
+
+
+@query("chat_records", CHAT_SQL + "SELECT doc_id, user_content, assistant_content FROM rec")
+def q_chat_records(spark, sf_dir):
+    return chat_tables(spark, sf_dir)[0]
+
+
+@query("reject_reasons", CHAT_SQL + """SELECT reject_reason, count(*) AS n FROM t
+WHERE reject_reason IS NOT NULL GROUP BY reject_reason""")
+def q_reject_reasons(spark, sf_dir):
+    return chat_tables(spark, sf_dir)[1].groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("value_distribution", CHAT_SQL + """SELECT value, n, round(CAST(n AS DOUBLE) * 100.0 / total, 9) AS percent
+FROM (SELECT assistant_content AS value, count(*) AS n FROM rec GROUP BY 1) v,
+     (SELECT count(*) AS total FROM rec) t""")
+def q_value_distribution(spark, sf_dir):
+    return C.value_distribution(chat_tables(spark, sf_dir)[0])
+
+
+@query("positional_split", CHAT_SQL + """SELECT doc_id,
+  CASE WHEN row_number() OVER (ORDER BY doc_id) <= floor(0.8 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS split
+FROM rec""")
+def q_positional_split(spark, sf_dir):
+    return positional_split(chat_tables(spark, sf_dir)[0].select("doc_id"), ["doc_id"])
+
+
+def _re2_rule(pattern: str, repl: str) -> tuple[str, str]:
+    """The same rule in RE2 (DuckDB): drop Java-only flags, emulate the look-ahead by
+    capturing the context and writing it back."""
+    import re as _re
+    flags = ""
+    m = _re.match(r"\(\?([a-zA-Z]+)\)", pattern)
+    if m:
+        flags = "".join(ch for ch in m.group(1) if ch in "mi")
+        pattern = pattern[m.end():]
+    if "(?=" in pattern:
+        head, look = pattern.split("(?=", 1)
+        pattern = head + "(" + look
+        repl = repl + "$1"
+    repl = _re.sub(r"\$(\d)", r"\\\1", repl)
+    return (f"(?{flags})" if flags else "") + pattern, repl
+
+
+def ab_rewrite_sql(expr: str) -> str:
+    out = expr
+    for pat, rep in C.AB_REWRITE_RULES:
+        p, r = _re2_rule(pat, rep)
+        out = f"regexp_replace({out}, {sql_literal(p)}, {sql_literal(r)}, 'g')"
+    return out
+
+
+AB_SQL = _pairs_sql() + f""",
+ok AS (SELECT * FROM s WHERE length(prompt) >= 50),
+rw AS (
+  SELECT better_id, worse_id, prompt, chosen, {ab_rewrite_sql('prompt')} AS user_content,
+         CASE WHEN {strip_sql('chosen')} = '1' THEN 'A' WHEN {strip_sql('chosen')} = '2' THEN 'B'
+              WHEN {strip_sql('chosen')} IN ('A', 'B') THEN {strip_sql('chosen')} ELSE chosen END AS assistant_content
+  FROM ok)
+"""
+
+
+@query("ab_rewrite", AB_SQL + "SELECT better_id, worse_id, user_content, assistant_content FROM rw")
+def q_ab_rewrite(spark, sf_dir):
+    return C.pairs_to_chat(doc_pairs(spark, sf_dir)).select("better_id", "worse_id", "user_content", "assistant_content")
+
+
+@query("conversion_counters", AB_SQL + """SELECT count(*) AS n_records,
+  count(*) FILTER (WHERE user_content <> prompt) AS user_conversions,
+  count(*) FILTER (WHERE assistant_content <> chosen) AS assistant_conversions FROM rw""")
+def q_conversion_counters(spark, sf_dir):
+    return C.conversion_counters(C.pairs_to_chat(doc_pairs(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------------
+# evaluation: logprob / probability / arg-max votes (X15-X19, X21, F8) + metrics
+# ---------------------------------------------------------------------------------
+LOGPROB_KEYS = ["A", " B", "\nA", "_B", "x", " A ", "B"]
+
+
+def logprob_votes(spark, sf_dir) -> DataFrame:
+    emb = table(spark, sf_dir, "embeddings")
+    e = lambda i: F.col("embedding")[i].cast("double")
+    top = F.map_filter(F.map_from_arrays(F.array(*[F.lit(k) for k in LOGPROB_KEYS]),
+                                         F.array(*[e(i) for i in range(len(LOGPROB_KEYS))])),
+                       lambda k, v: v > -0.1)
+    stored = e(7) > 0.15
+    stored_choice = F.when(stored, F.when(e(8) > 0, "B").otherwise("A"))
+    stored_tie = F.when(stored, e(9) > 0.2)
+    raw_answer = F.when(F.col("label") % 2 == 0, " a").otherwise("B\n")
+    df = emb.select("vec_id", top.alias("top"), stored_choice.alias("stored_choice"),
+                    stored_tie.alias("stored_tie"), raw_answer.alias("correct_answer"))
+    # F8: nothing to decide from, or no answer -> skipped
+    df = df.filter(((F.size("top") > 0) | F.col("stored_choice").isNotNull()) & F.col("correct_answer").isNotNull())
+    vote = V.stored_or_computed("stored_choice", "stored_tie", V.logprob_vote("top"))
+    return df.select("vec_id", vote["predicted"].alias("predicted"), vote["is_tie"].alias("is_tie"),
+                     norm_answer("correct_answer").alias("correct"))
+
+
+_E = lambda i: f"CAST(embedding[{i + 1}] AS DOUBLE)"
+VOTE_SQL = f"""WITH v AS (
+  SELECT vec_id, label, {', '.join(f'{_E(i)} AS e{i}' for i in range(20))} FROM embeddings),
+w AS (
+  SELECT *, greatest(CASE WHEN e0 > -0.1 THEN e0 END, CASE WHEN e2 > -0.1 THEN e2 END,
+                     CASE WHEN e5 > -0.1 THEN e5 END) AS best_a,
+            greatest(CASE WHEN e1 > -0.1 THEN e1 END, CASE WHEN e3 > -0.1 THEN e3 END,
+                     CASE WHEN e6 > -0.1 THEN e6 END) AS best_b,
+            (e0 > -0.1 OR e1 > -0.1 OR e2 > -0.1 OR e3 > -0.1 OR e4 > -0.1 OR e5 > -0.1 OR e6 > -0.1) AS has_top,
+            e7 > 0.15 AS has_stored
+  FROM v),
+vote AS (
+  SELECT vec_id,
+         CASE WHEN has_stored THEN (CASE WHEN e8 > 0 THEN 'B' ELSE 'A' END)
+              WHEN best_a IS NULL AND best_b IS NULL THEN 'A' WHEN best_a IS NULL THEN 'B'
+              WHEN best_b IS NULL THEN 'A' WHEN best_a > best_b THEN 'A' ELSE 'B' END AS predicted,
+         CASE WHEN has_stored THEN e9 > 0.2
+              WHEN best_a IS NULL AND best_b IS NULL THEN true
+              WHEN best_a IS NULL OR best_b IS NULL THEN false
+              ELSE abs(best_a - best_b) < 0.1 END AS is_tie,
+         CASE WHEN label % 2 = 0 THEN 'A' ELSE 'B' END AS correct
+  FROM w WHERE has_top OR has_stored)
+"""
+
+
+@query("logprob_vote", VOTE_SQL + "SELECT vec_id, predicted, is_tie, correct FROM vote")
+def q_logprob_vote(spark, sf_dir):
+    return logprob_votes(spark, sf_dir)
+
+
+@query("logprob_metrics", VOTE_SQL + """SELECT total, correct, ties, pred_a, pred_b,
+  round(correct / total, 9) AS accuracy, round(ties / total, 9) AS tie_rate,
+  round(pred_a / total, 9) AS a_rate, round(pred_b / total, 9) AS b_rate
+FROM (SELECT count(*) AS total, count(*) FILTER (WHERE predicted = correct) AS correct,
+             count(*) FILTER (WHERE is_tie) AS ties, count(*) FILTER (WHERE predicted = 'A') AS pred_a,
+             count(*) FILTER (WHERE predicted = 'B') AS pred_b FROM vote)""")
+def q_logprob_metrics(spark, sf_dir):
+    m = M.ab_metrics_with_ties(logprob_votes(spark, sf_dir))
+    return m.select("total", "correct", "ties", "pred_a", "pred_b",
+                    *[R9(F.col(c)).alias(c) for c in ("accuracy", "tie_rate", "a_rate", "b_rate")])
+
+
+CONF_AB_SQL = VOTE_SQL + """,
+grid AS (SELECT a.l AS actual, p.l AS predicted FROM (VALUES ('A'), ('B')) a(l), (VALUES ('A'), ('B')) p(l)),
+cnt AS (SELECT correct AS actual, predicted, count(*) AS n FROM vote
+        WHERE correct IN ('A', 'B') AND predicted IN ('A', 'B') GROUP BY 1, 2),
+conf AS (SELECT grid.actual, grid.predicted, coalesce(cnt.n, 0) AS n FROM grid LEFT JOIN cnt USING (actual, predicted))
+"""
+
+
+@query("logprob_confusion", CONF_AB_SQL + "SELECT actual, predicted, n FROM conf")
+def q_logprob_confusion(spark, sf_dir):
+    return M.confusion(logprob_votes(spark, sf_dir), "correct", "predicted", ["A", "B"])
+
+
+def classification_report_sql(conf: str) -> str:
+    return f""",
+per AS (
+  SELECT s.label, CASE WHEN pr.n_pred > 0 THEN t.tp / pr.n_pred ELSE 0.0 END AS precision,
+         CASE WHEN s.support > 0 THEN t.tp / s.support ELSE 0.0 END AS recall, s.support, t.tp
+  FROM (SELECT actual AS label, n AS tp FROM {conf} WHERE actual = predicted) t
+  JOIN (SELECT actual AS label, sum(n) AS support FROM {conf} GROUP BY 1) s USING (label)
+  JOIN (SELECT predicted AS label, sum(n) AS n_pred FROM {conf} GROUP BY 1) pr USING (label)),
+per2 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM per),
+tot AS (SELECT sum(support) AS total, sum(tp) AS tp_all, avg(precision) AS mp, avg(recall) AS mr, avg(f1) AS mf,
+               sum(precision * support) AS wp, sum(recall * support) AS wr, sum(f1 * support) AS wf FROM per2),
+rep AS (
+  SELECT CAST(label AS VARCHAR) AS label, precision, recall, f1, support FROM per2
+  UNION ALL SELECT 'accuracy', NULL, NULL, CASE WHEN total > 0 THEN tp_all / total ELSE 0.0 END, total FROM tot
+  UNION ALL SELECT 'macro avg', mp, mr, mf, total FROM tot
+  UNION ALL SELECT 'weighted avg', CASE WHEN total > 0 THEN wp / total ELSE 0.0 END,
+                   CASE WHEN total > 0 THEN wr / total ELSE 0.0 END, CASE WHEN total > 0 THEN wf / total ELSE 0.0 END, total FROM tot)
+SELECT label, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1,
+       CAST(support AS BIGINT) AS support FROM rep"""
+
+
+@query("logprob_report", CONF_AB_SQL + classification_report_sql("conf"))
+def q_logprob_report(spark, sf_dir):
+    return M.classification_report(q_logprob_confusion(spark, sf_dir))
+
+
+@query("prob_vote_metrics", VOTE_SQL + """,
+pv AS (SELECT abs(e10) AS pa, CASE WHEN label = 3 THEN abs(e10) ELSE abs(e11) END AS pb,
+              CASE WHEN label % 2 = 0 THEN 'A' ELSE 'B' END AS correct FROM v),
+pv2 AS (SELECT correct, abs(pa - pb) < 1e-8 AS is_tie,
+               CASE WHEN abs(pa - pb) < 1e-8 THEN 'A' WHEN pa > pb THEN 'A' ELSE 'B' END AS predicted FROM pv),
+m AS (SELECT count(*) AS total, count(*) FILTER (WHERE is_tie) AS tie_count,
+             count(*) FILTER (WHERE NOT is_tie) AS non_tie,
+             count(*) FILTER (WHERE NOT is_tie AND predicted = correct) AS correct_non_tie,
+             count(*) FILTER (WHERE NOT is_tie AND predicted = 'A') AS pred_a,
+             count(*) FILTER (WHERE NOT is_tie AND predicted = 'B') AS pred_b,
+             count(*) FILTER (WHERE NOT is_tie AND correct = 'A') AS true_a,
+             count(*) FILTER (WHERE NOT is_tie AND correct = 'B') AS true_b FROM pv2)
+SELECT *, round(CASE WHEN non_tie > 0 THEN correct_non_tie / non_tie ELSE 0.0 END, 9) AS accuracy,
+       round(CASE WHEN total > 0 THEN tie_count / total END, 9) AS tie_share FROM m""")
+def q_prob_vote_metrics(spark, sf_dir):
+    emb = table(spark, sf_dir, "embeddings")
+    e = lambda i: F.abs(F.col("embedding")[i].cast("double"))
+    pb = F.when(F.col("label") == 3, e(10)).otherwise(e(11))
+    vote = V.prob_vote(e(10), pb)
+    df = emb.select(vote["predicted"].alias("predicted"), vote["is_tie"].alias("is_tie"),
+                    F.when(F.col("label") % 2 == 0, "A").otherwise("B").alias("correct"))
+    m = M.ab_metrics_without_ties(df)
+    return m.select(*[c for c in m.columns if c not in ("accuracy", "tie_share")],
+                    R9(F.col("accuracy")).alias("accuracy"), R9(F.col("tie_share")).alias("tie_share"))
+
+
+def _avg_rank_sql(col: str) -> str:
+    return f"(rank() OVER (ORDER BY {col}) + (count(*) OVER (PARTITION BY {col}) - 1) / 2.0)"
+
+
+def regression_sql(src: str, true: str, pred: str) -> str:
+    return f""",
+ok AS (SELECT CAST({true} AS DOUBLE) AS t, CAST({pred} AS DOUBLE) AS p FROM {src}
+       WHERE {true} IS NOT NULL AND {pred} IS NOT NULL),
+rk AS (SELECT t, p, {_avg_rank_sql('t')} AS rt, {_avg_rank_sql('p')} AS rp FROM ok)
+SELECT count(*) AS n, round(avg(abs(p - t)), 9) AS mae, round(avg((p - t) * (p - t)), 9) AS mse,
+       round(sqrt(avg((p - t) * (p - t))), 9) AS rmse, round(avg(CASE WHEN p = t THEN 1.0 ELSE 0.0 END), 9) AS exact,
+       round(avg(CASE WHEN abs(p - t) <= 1 THEN 1.0 ELSE 0.0 END), 9) AS within_1,
+       round(avg(CASE WHEN abs(p - t) <= 2 THEN 1.0 ELSE 0.0 END), 9) AS within_2,
+       round(corr(t, p), 9) AS pearson, round(corr(rt, rp), 9) AS spearman FROM rk"""
+
+
+def regression_frame(df: DataFrame, true: str, pred: str) -> DataFrame:
+    reg = M.regression_metrics(df, true, pred)
+    sp = M.spearman(df, true, pred).select("spearman")
+    out = reg.crossJoin(sp)
+    return out.select("n", *[R9(F.col(c)).alias(c) for c in
+                             ("mae", "mse", "rmse", "exact", "within_1", "within_2", "pearson", "spearman")])
+
+
+@query("argmax_metrics", VOTE_SQL + """,
+am AS (SELECT vec_id, 1 + (vec_id * 3 + label) % 5 AS true_score,
+              CASE WHEN label = 9 THEN 3
+                   ELSE coalesce(nullif(list_position(embedding[13:17], list_max(embedding[13:17])), 0), 3) END AS predicted
+       FROM embeddings)""" + regression_sql("am", "true_score", "predicted"))
+def q_argmax_metrics(spark, sf_dir):
+    emb = table(spark, sf_dir, "embeddings")
+    probs = F.when(F.col("label") != 9, F.slice("embedding", 13, 5))
+    df = emb.select((F.lit(1) + (F.col("vec_id") * 3 + F.col("label")) % 5).alias("true_score"),
+                    V.argmax_score(probs).alias("predicted"))
+    return regression_frame(df, "true_score", "predicted")
+
+
+# ---------------------------------------------------------------------------------
+# human vs judge scores on documents x labels
+# ---------------------------------------------------------------------------------
+JUDGE_SQL = "CAST(1 + ((doc_id * 7 + n_chars + (1 - quality) * (1 + toxic)) % 5) AS INTEGER)"
+SCORED_SQL = f"""WITH sc AS (
+  SELECT d.doc_id, d.n_chars, {HUMAN_SCORE_SQL.replace('doc_id', 'd.doc_id').replace('n_chars', 'd.n_chars')} AS human,
+         CAST(1 + ((d.doc_id * 7 + d.n_chars + (1 - l.quality) * (1 + l.toxic)) % 5) AS INTEGER) AS judge,
+         l.quality, l.toxic
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
+"""
+
+
+def scored_pairs(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lab = table(spark, sf_dir, "labels")
+    j = docs.join(lab, "doc_id")
+    judge = (F.lit(1) + F.pmod(F.col("doc_id") * 7 + F.col("n_chars") + (1 - F.col("quality")) * (1 + F.col("toxic")),
+                               F.lit(5))).cast("int")
+    return j.select("doc_id", "n_chars", human_score().alias("human"), judge.alias("judge"), "quality", "toxic")
+
+
+@query("score_metrics", SCORED_SQL + regression_sql("sc", "human", "judge"))
+def q_score_metrics(spark, sf_dir):
+    return regression_frame(scored_pairs(spark, sf_dir), "human", "judge")
+
+
+@query("binary_metrics", SCORED_SQL + """,
+b AS (SELECT t.threshold,
+             count(*) FILTER (WHERE human <= t.threshold AND judge <= t.threshold) AS tn,
+             count(*) FILTER (WHERE human <= t.threshold AND judge > t.threshold) AS fp,
+             count(*) FILTER (WHERE human > t.threshold AND judge <= t.threshold) AS fn,
+             count(*) FILTER (WHERE human > t.threshold AND judge > t.threshold) AS tp
+      FROM sc, (VALUES (3.0), (4.0)) t(threshold) GROUP BY t.threshold),
+b2 AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
+              CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM b)
+SELECT CAST(threshold AS DOUBLE) AS threshold, tn, fp, fn, tp, round(precision, 9) AS precision, round(recall, 9) AS recall,
+       round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END, 9) AS f1
+FROM b2""")
+def q_binary_metrics(spark, sf_dir):
+    m = M.threshold_metrics(scored_pairs(spark, sf_dir), "human", "judge", [3, 4])
+    return m.select("threshold", "tn", "fp", "fn", "tp", *[R9(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("threshold_distribution", SCORED_SQL + """,
+grid AS (SELECT s.side, v.human_score FROM (VALUES ('high'), ('low')) s(side), (VALUES (1), (2), (3), (4), (5)) v(human_score)),
+c AS (SELECT CASE WHEN judge > 3 THEN 'high' ELSE 'low' END AS side, human AS human_score, count(*) AS n
+      FROM sc WHERE judge IS NOT NULL GROUP BY 1, 2)
+SELECT grid.side, grid.human_score, coalesce(c.n, 0) AS n FROM grid LEFT JOIN c USING (side, human_score)""")
+def q_threshold_distribution(spark, sf_dir):
+    return M.threshold_distribution(scored_pairs(spark, sf_dir), "human", "judge", 3)
+
+
+@query("score_confusion", SCORED_SQL + """,
+grid AS (SELECT a.v AS actual, p.v AS predicted FROM range(1, 6) a(v), range(1, 6) p(v)),
+c AS (SELECT human AS actual, judge AS predicted, count(*) AS n FROM sc
+      WHERE human BETWEEN 1 AND 5 AND judge BETWEEN 1 AND 5 GROUP BY 1, 2)
+SELECT CAST(grid.actual AS INTEGER) AS actual, CAST(grid.predicted AS INTEGER) AS predicted, coalesce(c.n, 0) AS n
+FROM grid LEFT JOIN c ON grid.actual = c.actual AND grid.predicted = c.predicted""")
+def q_score_confusion(spark, sf_dir):
+    return M.confusion(scored_pairs(spark, sf_dir), "human", "judge", [1, 2, 3, 4, 5])
+
+
+@query("score_report", SCORED_SQL + """,
+grid AS (SELECT a.v AS actual, p.v AS predicted FROM range(1, 6) a(v), range(1, 6) p(v)),
+c AS (SELECT human AS actual, judge AS predicted, count(*) AS n FROM sc
+      WHERE human BETWEEN 1 AND 5 AND judge BETWEEN 1 AND 5 GROUP BY 1, 2),
+conf AS (SELECT grid.actual, grid.predicted, CAST(coalesce(c.n, 0) AS DOUBLE) AS n
+         FROM grid LEFT JOIN c ON grid.actual = c.actual AND grid.predicted = c.predicted)""" +
+       classification_report_sql("conf"))
+def q_score_report(spark, sf_dir):
+    return M.classification_report(q_score_confusion(spark, sf_dir))
+
+
+@query("score_histogram", SCORED_SQL + """,
+grid AS (SELECT CAST(v AS INTEGER) AS value FROM range(1, 6) g(v)),
+c AS (SELECT judge AS value, count(*) AS n FROM sc WHERE judge BETWEEN 0.5 AND 5.5 GROUP BY 1)
+SELECT grid.value, coalesce(c.n, 0) AS n FROM grid LEFT JOIN c USING (value)""")
+def q_score_histogram(spark, sf_dir):
+    return M.integer_histogram(scored_pairs(spark, sf_dir), "judge", 1, 5)
+
+
+@query("value_histogram", """WITH ok AS (SELECT CAST(value AS DOUBLE) AS v FROM events WHERE value IS NOT NULL),
+mm AS (SELECT min(v) AS mn, max(v) AS mx, count(*) AS n FROM ok),
+c AS (SELECT CAST(CASE WHEN mx = mn THEN 0 ELSE least(floor((v - mn) * 20 / (mx - mn)), 19) END AS INTEGER) AS bin,
+             count(*) AS cnt FROM ok, mm GROUP BY 1)
+SELECT CAST(g.bin AS INTEGER) AS bin, round(mn + g.bin * ((mx - mn) / 20), 9) AS lo,
+       round(mn + (g.bin + 1) * ((mx - mn) / 20), 9) AS hi, coalesce(c.cnt, 0) AS n,
+       round(coalesce(c.cnt, 0) / (n * ((mx - mn) / 20)), 9) AS density
+FROM range(0, 20) g(bin) CROSS JOIN mm LEFT JOIN c ON c.bin = g.bin""")
+def q_value_histogram(spark, sf_dir):
+    h = M.equal_width_histogram(table(spark, sf_dir, "events"), "value", 20, density=True)
+    return h.select("bin", R9(F.col("lo")).alias("lo"), R9(F.col("hi")).alias("hi"), "n",
+                    R9(F.col("density")).alias("density"))
+
+
+@query("describe_lengths", """SELECT count(v) AS count, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS std,
+  min(v) AS min, quantile_cont(v, 0.25) AS p25, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.75) AS p75,
+  max(v) AS max FROM (SELECT CAST(n_chars AS DOUBLE) AS v FROM documents)""")
+def q_describe_lengths(spark, sf_dir):
+    d = M.describe(table(spark, sf_dir, "documents"), "n_chars")
+    return d.select("count", R9(F.col("mean")).alias("mean"), R9(F.col("std")).alias("std"), "min",
+                    "p25", "p50", "p75", "max")
+
+
+MELT_COLS = ["m1_cot", "m1_da", "m2_cot", "m2_da", "m9_da"]
+
+
+def wide_scores(spark, sf_dir) -> DataFrame:
+    s = scored_pairs(spark, sf_dir)
+    return s.select("doc_id", F.col("human").cast("double").alias("m1_cot"), F.col("judge").cast("double").alias("m1_da"),
+                    (F.col("quality") * 4 + 1).cast("double").alias("m2_cot"),
+                    F.when(F.col("toxic") == 0, F.col("judge")).cast("double").alias("m2_da"),
+                    (F.col("toxic") * 4 + 1).cast("double").alias("m9_da"))
+
+
+WIDE_SQL = SCORED_SQL + """,
+wide AS (SELECT doc_id, CAST(human AS DOUBLE) AS m1_cot, CAST(judge AS DOUBLE) AS m1_da,
+                CAST(quality * 4 + 1 AS DOUBLE) AS m2_cot, CAST(CASE WHEN toxic = 0 THEN judge END AS DOUBLE) AS m2_da,
+                CAST(toxic * 4 + 1 AS DOUBLE) AS m9_da FROM sc),
+long AS (UNPIVOT wide ON m1_cot, m1_da, m2_cot, m2_da, m9_da INTO NAME col VALUE value),
+means AS (SELECT split_part(col, '_', 1) AS model, split_part(col, '_', 2) AS method,
+                 avg(value) AS mean, stddev_samp(value) AS std, count(value) AS n FROM long GROUP BY 1, 2)
+"""
+
+
+def melt_means_frame(spark, sf_dir) -> DataFrame:
+    long = M.melt(wide_scores(spark, sf_dir), ["doc_id"], MELT_COLS, "col", "value")
+    long = long.select(F.split_part("col", F.lit("_"), F.lit(1)).alias("model"),
+                       F.split_part("col", F.lit("_"), F.lit(2)).alias("method"), "value")
+    return M.melt_means(long, ["model", "method"])
+
+
+@query("melt_means", WIDE_SQL + "SELECT model, method, round(mean, 9) AS mean, round(std, 9) AS std, n FROM means")
+def q_melt_means(spark, sf_dir):
+    m = melt_means_frame(spark, sf_dir)
+    return m.select("model", "method", R9(F.col("mean")).alias("mean"), R9(F.col("std")).alias("std"), "n")
+
+
+@query("name_map", WIDE_SQL + """,
+dim AS (SELECT 'm' || CAST(r_regionkey AS VARCHAR) AS model, r_name AS display FROM region)
+SELECT coalesce(dim.display, means.model) AS display_name, method, round(mean, 9) AS mean
+FROM means LEFT JOIN dim USING (model)""")
+def q_name_map(spark, sf_dir):
+    from ..operators.lookup import display_names
+    dim = table(spark, sf_dir, "region").select(F.concat(F.lit("m"), F.col("r_regionkey").cast("string")).alias("key"),
+                                                F.col("r_name").alias("display"))
+    m = display_names(melt_means_frame(spark, sf_dir), "model", dim, "key", "display", "display_name")
+    return m.select("display_name", "method", R9(F.col("mean")).alias("mean"))
+
+
+@query("row_mean", WIDE_SQL + """SELECT doc_id, round(
+  (coalesce(m1_cot, 0) + coalesce(m1_da, 0) + coalesce(m2_da, 0)) /
+  nullif((m1_cot IS NOT NULL)::INT + (m1_da IS NOT NULL)::INT + (m2_da IS NOT NULL)::INT, 0), 9) AS judge_mean
+FROM wide""")
+def q_row_mean(spark, sf_dir):
+    w = wide_scores(spark, sf_dir)
+    return w.select("doc_id", R9(M.row_mean(["m1_cot", "m1_da", "m2_da"])).alias("judge_mean"))
+
+
+@query("match_pct", SCORED_SQL + "SELECT round(avg(CASE WHEN human = judge THEN 1.0 ELSE 0.0 END) * 100, 9) AS match_pct FROM sc")
+def q_match_pct(spark, sf_dir):
+    return M.match_percentage(scored_pairs(spark, sf_dir), "human", "judge").select(R9(F.col("match_pct")).alias("match_pct"))
