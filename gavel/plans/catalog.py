@@ -570,3 +570,240 @@ def q_row_mean(spark, sf_dir):
 @query("match_pct", SCORED_SQL + "SELECT round(avg(CASE WHEN human = judge THEN 1.0 ELSE 0.0 END) * 100, 9) AS match_pct FROM sc")
 def q_match_pct(spark, sf_dir):
     return M.match_percentage(scored_pairs(spark, sf_dir), "human", "judge").select(R9(F.col("match_pct")).alias("match_pct"))
+
+
+# ---------------------------------------------------------------------------------
+# Items -> batches -> prompts -> replies -> results, resume
+# ---------------------------------------------------------------------------------
+from ..operators import pack as K  # noqa: E402
+from ..operators import replies as RP  # noqa: E402
+from ..operators import resume as RS  # noqa: E402
+
+TASK_INSTRUCTION = "Score each text for fluency from 1 to 5 and give a one-sentence reason."
+ITEMS_PER_BATCH = 5
+MAX_TOKENS = 1500
+MODEL_NAME = "judge-x"
+
+
+def task_items(spark, sf_dir) -> DataFrame:
+    return K.extract_items(table(spark, sf_dir, "documents"), "doc_id", "text", "doc_id")
+
+
+def packed_items(spark, sf_dir) -> DataFrame:
+    return K.pack_batches(task_items(spark, sf_dir), ITEMS_PER_BATCH, MAX_TOKENS, TASK_INSTRUCTION,
+                          order_cols=["ord", "id"])
+
+
+def task_batches(spark, sf_dir) -> DataFrame:
+    return K.batch_prompts(packed_items(spark, sf_dir), TASK_INSTRUCTION, "task", MODEL_NAME)
+
+
+def _reply_piece(safe: F.Column, text: F.Column, key: F.Column) -> F.Column:
+    d = F.substring(F.md5(key), 1, 1)
+    score = (F.lit(1) + F.length(text) % 5).cast("string")
+    full = F.concat(F.lit("<id"), safe, F.lit("><o>"), score, F.lit("</o><reason>"), text, F.lit("</reason></id"), safe,
+                    F.lit(">\n"))
+    no_reason = F.concat(F.lit("<id"), safe, F.lit("><o>"), score, F.lit("</o></id"), safe, F.lit(">\n"))
+    upper = F.concat(F.lit("<ID"), safe, F.lit("><O>"), score, F.lit("</O><REASON>"), text, F.lit("</REASON></ID"), safe,
+                     F.lit(">\n"))
+    return (F.when(d.isin(*"0123456789"), full).when(d.isin("a", "b"), no_reason)
+             .when(d.isin("c", "d"), F.lit("")).otherwise(upper))
+
+
+def task_replies(spark, sf_dir) -> DataFrame:
+    """Judge replies derived from the batches themselves (varied forms; a batch whose
+    md5 starts with 0 has no reply, i.e. it failed)."""
+    b = task_batches(spark, sf_dir)
+    members = F.arrays_zip(F.col("item_ids").alias("s"), F.col("original_ids").alias("o"), F.col("item_texts").alias("t"))
+    reply = F.array_join(F.transform(members, lambda m: _reply_piece(m["s"], m["t"], m["o"])), "")
+    return b.filter(F.substring(F.md5("batch_id"), 1, 1) != "0").select("batch_id", reply.alias("response"))
+
+
+def task_results(spark, sf_dir) -> DataFrame:
+    return RP.parse_task_results(task_batches(spark, sf_dir), task_replies(spark, sf_dir))
+
+
+PACK_SQL = f"""WITH RECURSIVE it0 AS (
+  SELECT CAST(doc_id AS VARCHAR) AS id, {strip_sql('text')} AS text, min(doc_id) AS ord
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL AND {strip_sql('text')} <> ''
+  GROUP BY 1, 2),
+it AS (
+  SELECT *, (length(text) + 16) // 4 + 50 AS tokens, row_number() OVER (ORDER BY ord, id) AS rk FROM it0),
+it2 AS (SELECT *, (rk - 1) // {ITEMS_PER_BATCH} + 1 AS batch_no, (rk - 1) % {ITEMS_PER_BATCH} + 1 AS slot FROM it),
+bt AS (SELECT batch_no, {len(TASK_INSTRUCTION) // 4} + sum(tokens) > {MAX_TOKENS} AS need FROM it2 GROUP BY 1),
+walk(batch_no, slot, id, chunk, cur, position) AS (
+  SELECT batch_no, slot, id, 1, tokens, 1 FROM it2 WHERE slot = 1
+  UNION ALL
+  SELECT i.batch_no, i.slot, i.id,
+         CASE WHEN b.need AND w.cur + i.tokens > {MAX_TOKENS - len(TASK_INSTRUCTION) // 4 - 300} THEN w.chunk + 1 ELSE w.chunk END,
+         CASE WHEN b.need AND w.cur + i.tokens > {MAX_TOKENS - len(TASK_INSTRUCTION) // 4 - 300} THEN i.tokens ELSE w.cur + i.tokens END,
+         CASE WHEN b.need AND w.cur + i.tokens > {MAX_TOKENS - len(TASK_INSTRUCTION) // 4 - 300} THEN 1 ELSE w.position + 1 END
+  FROM walk w JOIN it2 i ON i.batch_no = w.batch_no AND i.slot = w.slot + 1 JOIN bt b ON b.batch_no = i.batch_no),
+nc AS (SELECT batch_no, max(chunk) AS n_chunks FROM walk GROUP BY 1),
+packed AS (
+  SELECT it2.id, it2.text, it2.tokens, it2.rk, w.batch_no, w.chunk, w.position, nc.n_chunks,
+         CASE WHEN nc.n_chunks = 1 THEN CAST(w.batch_no AS VARCHAR) ELSE CAST(w.batch_no AS VARCHAR) || '-' || CAST(w.chunk AS VARCHAR) END AS batch_id,
+         nc.n_chunks > 1 AS was_split, translate(it2.id, '-.', '__') AS safe
+  FROM walk w JOIN it2 ON it2.batch_no = w.batch_no AND it2.slot = w.slot JOIN nc ON nc.batch_no = w.batch_no)
+"""
+
+
+@query("batch_pack", PACK_SQL + """SELECT id, CAST(batch_no AS BIGINT) AS batch_no, batch_id, CAST(position AS INTEGER) AS position,
+  was_split, CAST(tokens AS BIGINT) AS tokens FROM packed""")
+def q_batch_pack(spark, sf_dir):
+    return packed_items(spark, sf_dir).select("id", "batch_no", "batch_id", "position", "was_split", "tokens")
+
+
+PROMPT_SQL = PACK_SQL + f""",
+prompts AS (
+  SELECT batch_id, any_value(was_split) AS was_split, count(*) AS n_items,
+         {sql_literal(TASK_INSTRUCTION + chr(10) + chr(10))}
+         || string_agg('<id' || safe || '>' || text || '</id' || safe || '>' || chr(10), '' ORDER BY position)
+         || {sql_literal(K.TASK_FORMAT_HEADER)}
+         || string_agg('<id' || safe || '><o>[score]</o><reason>[rationale]</reason></id' || safe || '>' || chr(10), '' ORDER BY position)
+         AS prompt
+  FROM packed GROUP BY batch_id)
+"""
+
+
+@query("batch_prompts", PROMPT_SQL + """SELECT batch_id, prompt, n_items, CAST(length(prompt) // 4 AS BIGINT) AS estimated_tokens,
+  was_split FROM prompts""")
+def q_batch_prompts(spark, sf_dir):
+    b = task_batches(spark, sf_dir)
+    return b.select("batch_id", "prompt", F.size("item_ids").alias("n_items"), "estimated_tokens", "was_split")
+
+
+REPLY_SQL = PROMPT_SQL + """,
+pieces AS (
+  SELECT batch_id, position, safe, id, text, substr(md5(id), 1, 1) AS d,
+         CAST(1 + length(text) % 5 AS VARCHAR) AS score FROM packed),
+replies AS (
+  SELECT batch_id, string_agg(CASE
+      WHEN d IN ('0','1','2','3','4','5','6','7','8','9') THEN '<id' || safe || '><o>' || score || '</o><reason>' || text || '</reason></id' || safe || '>' || chr(10)
+      WHEN d IN ('a', 'b') THEN '<id' || safe || '><o>' || score || '</o></id' || safe || '>' || chr(10)
+      WHEN d IN ('c', 'd') THEN ''
+      ELSE '<ID' || safe || '><O>' || score || '</O><REASON>' || text || '</REASON></ID' || safe || '>' || chr(10) END,
+      '' ORDER BY position) AS response
+  FROM pieces WHERE substr(md5(batch_id), 1, 1) <> '0' GROUP BY batch_id),
+m AS (
+  SELECT p.batch_id, p.id, p.text, p.safe, r.response, r.batch_id IS NOT NULL AS has_reply,
+         '(?s)<id\\Q' || p.safe || '\\E>(.*?)</id\\Q' || p.safe || '\\E>' AS block_pat,
+         '(?is)<id\\Q' || p.safe || '\\E><o>([^<]+)</o><reason>(.*?)</reason></id\\Q' || p.safe || '\\E>' AS strict_pat
+  FROM packed p LEFT JOIN replies r USING (batch_id)),
+m2 AS (
+  SELECT *, regexp_matches(response, block_pat) AS has_block, regexp_extract(response, block_pat, 1) AS block,
+         regexp_matches(response, strict_pat) AS has_strict FROM m),
+m3 AS (
+  SELECT *, has_block AND regexp_matches(block, '(?s)<o>.*?</o>') AS has_o,
+         has_block AND regexp_matches(block, '(?s)<reason>.*?</reason>') AS has_r FROM m2),
+m4 AS (
+  SELECT *,
+    CASE WHEN has_o THEN TRIMWS(regexp_replace(regexp_extract(block, '(?s)<o>(.*?)</o>', 1), '<[^>]*>', '', 'g')) END AS l1_out,
+    CASE WHEN has_r THEN CUT500(TRIMWS(regexp_replace(regexp_extract(block, '(?s)<reason>(.*?)</reason>', 1), '<[^>]*>', '', 'g')))
+         WHEN has_o THEN 'No reason provided' END AS l1_reason,
+    CASE WHEN has_strict THEN TRIMWS(regexp_extract(response, strict_pat, 1)) END AS l2_out,
+    CASE WHEN has_strict THEN CUT500(TRIMWS(regexp_extract(response, strict_pat, 2))) END AS l2_reason
+  FROM m3),
+lv AS (SELECT batch_id, bool_and(l1_out IS NOT NULL) AS level1 FROM m4 GROUP BY batch_id),
+results AS (
+  SELECT m4.id, m4.text AS input,
+         CASE WHEN NOT has_reply THEN NULL WHEN lv.level1 THEN l1_out ELSE l2_out END AS output,
+         CASE WHEN NOT has_reply THEN 'Error during processing'
+              WHEN lv.level1 THEN coalesce(l1_reason, '') ELSE coalesce(l2_reason, '') END AS reason,
+         'judge-x' AS model_name
+  FROM m4 JOIN lv USING (batch_id))
+"""
+REPLY_SQL = REPLY_SQL.replace("TRIMWS(", "trim(" + "").replace("CUT500(", "cut500(")
+
+
+def _fix_reply_sql(sql: str) -> str:
+    # expand the two helper "macros" used above into plain SQL
+    import re as _re
+
+    def expand(name, fn, s):
+        out, i = [], 0
+        while True:
+            j = s.find(name + "(", i)
+            if j < 0:
+                out.append(s[i:])
+                return "".join(out)
+            out.append(s[i:j])
+            k, depth = j + len(name) + 1, 1
+            while depth:
+                depth += {"(": 1, ")": -1}.get(s[k], 0)
+                k += 1
+            inner = expand(name, fn, s[j + len(name) + 1:k - 1])
+            out.append(fn(inner))
+            i = k
+    sql = expand("trim", lambda x: f"trim({x}, {WS_SQL})" if ", " + WS_SQL not in x else f"trim({x})", sql)
+    sql = expand("cut500", lambda x: f"(CASE WHEN length({x}) > 500 THEN substr({x}, 1, 500) || '...' ELSE {x} END)", sql)
+    del _re
+    return sql
+
+
+REPLY_SQL = _fix_reply_sql(REPLY_SQL)
+
+
+@query("parse_output_tags", REPLY_SQL + "SELECT id, input, output, reason, model_name FROM results")
+def q_parse_output_tags(spark, sf_dir):
+    return task_results(spark, sf_dir)
+
+
+@query("run_summary", REPLY_SQL + """SELECT expected, extracted, batches, split_batches,
+  CASE WHEN expected > 0 THEN extracted / expected END AS success_share
+FROM (SELECT count(*) AS expected, count(output) AS extracted FROM results) r,
+     (SELECT count(*) AS batches, count(*) FILTER (WHERE was_split) AS split_batches FROM prompts) b""")
+def q_run_summary(spark, sf_dir):
+    s = K.run_summary(task_results(spark, sf_dir), task_batches(spark, sf_dir))
+    return s.select("expected", "extracted", "batches", "split_batches", "success_share")
+
+
+@query("resume_anti", f"""SELECT CAST(doc_id AS VARCHAR) AS id FROM documents d
+WHERE doc_id IS NOT NULL AND text IS NOT NULL AND {strip_sql('text')} <> ''
+  AND NOT EXISTS (SELECT 1 FROM labels l WHERE CAST(l.doc_id AS VARCHAR) = CAST(d.doc_id AS VARCHAR))""")
+def q_resume_anti(spark, sf_dir):
+    done = RS.done_ids(table(spark, sf_dir, "labels"), "doc_id", None)
+    return RS.pending_items(task_items(spark, sf_dir), done).select("id")
+
+
+@query("batch_semi", PROMPT_SQL + """SELECT DISTINCT p.batch_id FROM packed p
+WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE CAST(l.doc_id AS VARCHAR) = p.id)""")
+def q_batch_semi(spark, sf_dir):
+    done = RS.done_ids(table(spark, sf_dir, "labels"), "doc_id", None)
+    return RS.pending_batches(task_batches(spark, sf_dir), done).select("batch_id")
+
+
+@query("retry_nulls", REPLY_SQL + """SELECT DISTINCT p.id FROM packed p
+WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r.id = p.id AND r.output IS NOT NULL)""")
+def q_retry_nulls(spark, sf_dir):
+    done = RS.done_ids(task_results(spark, sf_dir), "id", "output")
+    return RS.pending_items(task_items(spark, sf_dir), done).select("id")
+
+
+@query("dedup_first", f"""SELECT min(doc_id) AS doc_id, md5({strip_sql('text')}) AS text_md5, count(*) AS n_copies
+FROM documents WHERE text IS NOT NULL GROUP BY {strip_sql('text')}""")
+def q_dedup_first(spark, sf_dir):
+    from ..functions.text import py_strip
+    d = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
+    d = d.select("doc_id", py_strip("text").alias("stext"))
+    out = K.dedup_first(d, ["stext"], ["doc_id"])
+    return out.select("doc_id", F.md5("stext").alias("text_md5"), "n_copies")
+
+
+@query("dedup_responses", f"""WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos,
+         CASE WHEN n_chars % 2 = 0 THEN source ELSE '' END AS original_paragraph
+  FROM documents),
+ok AS (SELECT doc_id, pos, {strip_sql('line')} AS response, original_paragraph FROM lines
+       WHERE line IS NOT NULL AND {strip_sql('line')} <> '')
+SELECT response, arg_min(doc_id, (doc_id, pos)) AS doc_id, CAST(arg_min(pos, (doc_id, pos)) AS INTEGER) AS pos,
+       arg_min(original_paragraph, (doc_id, pos)) AS original_paragraph, count(*) AS n_copies
+FROM ok GROUP BY response""")
+def q_dedup_responses(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    original = F.when(F.col("n_chars") % 2 == 0, F.to_json(F.struct(F.col("source").alias("paragraph")))).otherwise(
+        F.lit("plain"))
+    raw = d.select("doc_id", F.split("text", "\n").alias("responses"), original.alias("original"))
+    ex = K.explode_responses(raw, "responses", "doc_id", "original").withColumnRenamed("ord", "doc_id")
+    out = K.dedup_first(ex.select("response", "doc_id", "pos", "original_paragraph"), ["response"], ["doc_id", "pos"])
+    return out.select("response", "doc_id", "pos", "original_paragraph", "n_copies")
