@@ -72,20 +72,22 @@ def global_rank(df: DataFrame, order_cols: list, name: str = "rank", num_partiti
         "_gr_mid", "_gr_part", "_gr_local", "_gr_off")
 
 
-def top_n_per_group(df: DataFrame, group_cols: list[str], order_cols: list, n: int,
+def top_n_per_group(df: DataFrame, group_cols: list[str], order_cols: list, n,
                     name: str = "rn", salts: int = 32, salt_cols: list[str] | None = None) -> DataFrame:
     """row_number() over (partition by group order by order_cols) <= n, skew-safe.
 
+    ``n`` is an int or the name of a per-row limit column (constant within a group).
     ``order_cols`` must be a total order inside each group. ``salt_cols`` (default:
     all of ``order_cols`` that are plain names) spread one group over ``salts`` tasks.
     """
     order = [col_(c) for c in order_cols]
     salt_src = [F.col(c) for c in (salt_cols or [c for c in order_cols if isinstance(c, str)])]
+    limit = F.col(n) if isinstance(n, str) else F.lit(n)
     salted = df.withColumn("_tn_salt", F.pmod(F.xxhash64(*salt_src), F.lit(salts)))
     w1 = Window.partitionBy(*group_cols, "_tn_salt").orderBy(*order)
-    cand = salted.withColumn("_tn_r", F.row_number().over(w1)).filter(F.col("_tn_r") <= n)
+    cand = salted.withColumn("_tn_r", F.row_number().over(w1)).filter(F.col("_tn_r") <= limit)
     w2 = Window.partitionBy(*group_cols).orderBy(*order)
-    return (cand.withColumn(name, F.row_number().over(w2)).filter(F.col(name) <= n)
+    return (cand.withColumn(name, F.row_number().over(w2)).filter(F.col(name) <= limit)
                 .drop("_tn_salt", "_tn_r"))
 
 

@@ -807,3 +807,237 @@ def q_dedup_responses(spark, sf_dir):
     ex = K.explode_responses(raw, "responses", "doc_id", "original").withColumnRenamed("ord", "doc_id")
     out = K.dedup_first(ex.select("response", "doc_id", "pos", "original_paragraph"), ["response"], ["doc_id", "pos"])
     return out.select("response", "doc_id", "pos", "original_paragraph", "n_copies")
+
+
+# ---------------------------------------------------------------------------------
+# Corpus -> context -> stratified sample -> length band -> few-shot prompts
+# ---------------------------------------------------------------------------------
+from ..operators import corpus as CP  # noqa: E402
+
+N_SAMPLES = 12000
+FEWSHOT_K = 3
+SRC_LABEL, TGT_LABEL = "English", "Danish"
+
+
+def doc_sentences(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
+    arts = d.select("doc_id", "lang", CP.doc_lines("text").alias("lines"))
+    return CP.sentences_with_context(arts, "doc_id", "lines", keep=["lang"])
+
+
+def sampled_sentences(spark, sf_dir) -> DataFrame:
+    return CP.stratified_sample(doc_sentences(spark, sf_dir), "lang", "doc_id", N_SAMPLES, ["doc_id", "pos"], SEED)
+
+
+def banded(spark, sf_dir) -> DataFrame:
+    return CP.length_band(CP.with_paragraph(sampled_sentences(spark, sf_dir)))
+
+
+CORPUS_SQL = f"""WITH docs AS (
+  SELECT doc_id, lang, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS arr FROM documents WHERE text IS NOT NULL),
+sent AS (SELECT doc_id, lang, arr, unnest(range(len(arr))) AS pos, unnest(arr) AS sentence FROM docs),
+ctx AS (
+  SELECT doc_id, lang, CAST(pos AS INTEGER) AS pos, sentence,
+         CASE WHEN pos > 0 THEN arr[pos] END AS prev_sentence,
+         CASE WHEN pos + 1 < len(arr) THEN arr[pos + 2] END AS next_sentence
+  FROM sent),
+ctxp AS (
+  SELECT *, {strip_sql("concat_ws(' ', nullif(prev_sentence, ''), sentence, nullif(next_sentence, ''))")} AS paragraph
+  FROM ctx),
+pf AS (SELECT lang, count(DISTINCT doc_id) AS groups FROM ctx GROUP BY lang),
+nf AS (SELECT count(*) AS files FROM pf),
+qt AS (SELECT lang, greatest(1, floor(floor({N_SAMPLES} / files) / groups)) AS q FROM pf, nf),
+smp AS (
+  SELECT c.*, qt.q, row_number() OVER (PARTITION BY c.lang, c.doc_id
+                                       ORDER BY {md5_key_sql('c.doc_id', 'c.pos', seed=SEED)}, c.doc_id, c.pos) AS rn
+  FROM ctxp c JOIN qt USING (lang)),
+sampled AS (SELECT *, length(paragraph) AS lenght FROM smp WHERE rn <= q),
+bounds AS (SELECT quantile_cont(lenght, 0.02) AS lo, quantile_cont(lenght, 0.98) AS hi FROM sampled),
+band AS (SELECT s.* FROM sampled s, bounds b WHERE s.lenght > b.lo AND s.lenght < b.hi),
+al AS (SELECT u.conv_id, u.text AS src, a.text AS tgt FROM conversations u JOIN conversations a
+       ON u.conv_id = a.conv_id AND u.turn = 0 AND a.turn = 1),
+fs AS (
+  SELECT {sql_literal(CP.FEWSHOT_HEADER.format(source_label=SRC_LABEL, target_label=TGT_LABEL))}
+         || string_agg({sql_literal(SRC_LABEL + ': ')} || src || chr(10) || {sql_literal(TGT_LABEL + ': ')} || tgt
+                       || chr(10) || chr(10), '' ORDER BY conv_id) AS fewshot
+  FROM (SELECT * FROM al ORDER BY conv_id LIMIT {FEWSHOT_K}))
+"""
+
+
+@query("context_paragraphs", CORPUS_SQL + "SELECT doc_id, pos, prev_sentence, next_sentence, paragraph FROM ctxp")
+def q_context_paragraphs(spark, sf_dir):
+    return CP.with_paragraph(doc_sentences(spark, sf_dir)).select("doc_id", "pos", "prev_sentence", "next_sentence",
+                                                                  "paragraph")
+
+
+@query("stratified_sample", CORPUS_SQL + "SELECT doc_id, pos, sentence FROM sampled")
+def q_stratified_sample(spark, sf_dir):
+    return sampled_sentences(spark, sf_dir).select("doc_id", "pos", "sentence")
+
+
+@query("length_band", CORPUS_SQL + "SELECT doc_id, pos, lenght FROM band")
+def q_length_band(spark, sf_dir):
+    return banded(spark, sf_dir).select("doc_id", "pos", "lenght")
+
+
+@query("sampled_prompts", CORPUS_SQL + f"""SELECT doc_id, pos, paragraph,
+  fewshot || {sql_literal(SRC_LABEL + ': ')} || paragraph || chr(10) || {sql_literal(TGT_LABEL + ': ')} AS prompt
+FROM band, fs""")
+def q_sampled_prompts(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations")
+    u = conv.filter(F.col("turn") == 0).select("conv_id", F.col("text").alias("src"))
+    a = conv.filter(F.col("turn") == 1).select("conv_id", F.col("text").alias("tgt"))
+    header = CP.fewshot_header(u.join(a, "conv_id"), "src", "tgt", "conv_id", FEWSHOT_K, SRC_LABEL, TGT_LABEL)
+    out = CP.translation_prompts(banded(spark, sf_dir), header, SRC_LABEL, TGT_LABEL)
+    return out.select("doc_id", "pos", "paragraph", "prompt")
+
+
+# ---------------------------------------------------------------------------------
+# notebook path: pairs -> swap-debiased votes -> win/loss -> top-n -> human rank
+# ---------------------------------------------------------------------------------
+from ..operators import ranking as RK  # noqa: E402
+
+VOTE_REPEAT = 2
+# judge replies are picked by an md5 digit of (pair, repeat, side); the forms cover the
+# vote rules: letters in any case/padding, tie words, free text and the winner tag
+VOTE_REPLIES = ["A", " b ", "equal", "tie", "B", "a\n", "unclear", "<winner>b</winner>"]
+
+
+def rating_pairs(spark, sf_dir) -> DataFrame:
+    items, _ = doc_items(spark, sf_dir)
+    c = P.candidate_pairs(items, min_diff=0.0)
+    return c.select(F.concat_ws(":", "first_id", "second_id").alias("pair_id"),
+                    F.col("group_key").alias("source_id"),
+                    F.col("worse_id").alias("translation_id_1"), F.col("better_id").alias("translation_id_2"),
+                    F.col("worse_sentence").alias("translation_1"), F.col("better_sentence").alias("translation_2"),
+                    F.col("worse_score").alias("human_score_1"), F.col("better_score").alias("human_score_2"))
+
+
+def judge_votes(pairs: DataFrame, repeat: int = VOTE_REPEAT) -> DataFrame:
+    combos = F.array(*[F.struct(F.lit(r).alias("repeat"), F.lit(s).alias("swapped"))
+                       for r in range(1, repeat + 1) for s in (False, True)])
+    v = pairs.select("pair_id", F.inline(combos))
+    h = F.md5(F.concat_ws("|", F.col("pair_id"), F.col("repeat").cast("string"), F.col("swapped").cast("string"),
+                          F.lit(str(SEED))))
+    ix = F.conv(F.substring(h, 1, 1), 16, 10).cast("int") % len(VOTE_REPLIES)
+    reply = F.element_at(F.array(*[F.lit(x) for x in VOTE_REPLIES]), ix + 1)
+    return v.withColumn("response", reply)
+
+
+def rated(spark, sf_dir) -> DataFrame:
+    pairs = rating_pairs(spark, sf_dir)
+    return RK.pair_ratings(judge_votes(pairs), pairs, VOTE_REPEAT)
+
+
+_REPLY_LIST_SQL = "[" + ", ".join(sql_literal(x).replace("\n", "' || chr(10) || '") for x in VOTE_REPLIES) + "]"
+RANK_SQL = f"""WITH {ITEMS_SQL},
+pr AS (
+  SELECT a.id || ':' || b.id AS pair_id, a.group_key AS source_id,
+         CASE WHEN a.score > b.score THEN b.id ELSE a.id END AS translation_id_1,
+         CASE WHEN a.score > b.score THEN a.id ELSE b.id END AS translation_id_2,
+         CASE WHEN a.score > b.score THEN b.sentence ELSE a.sentence END AS translation_1,
+         CASE WHEN a.score > b.score THEN a.sentence ELSE b.sentence END AS translation_2,
+         least(a.score, b.score) AS human_score_1, greatest(a.score, b.score) AS human_score_2
+  FROM items a JOIN items b ON a.group_key = b.group_key AND a.ord < b.ord AND a.score <> b.score),
+combos AS (SELECT * FROM (VALUES (1, false), (1, true), (2, false), (2, true)) c(rep, swapped)),
+votes AS (
+  SELECT pr.pair_id, c.rep, c.swapped,
+         ({_REPLY_LIST_SQL})[{hexval_sql("substr(md5(concat_ws('|', pr.pair_id, CAST(c.rep AS VARCHAR), CAST(c.swapped AS VARCHAR), '42')), 1, 1)")} % 8 + 1] AS response
+  FROM pr, combos c),
+vn AS (
+  SELECT pair_id, rep, swapped, response, lower({strip_sql("CASE WHEN regexp_matches(response, '(?is)<winner>.*?</winner>') THEN regexp_extract(response, '(?is)<winner>(.*?)</winner>', 1) ELSE response END")}) AS r
+  FROM votes),
+pts AS (
+  SELECT pair_id,
+         sum(CASE WHEN (r = 'b' AND NOT swapped) OR (r = 'a' AND swapped) THEN 1.0 WHEN r IN ('equal', 'tie') THEN 0.5 ELSE 0.0 END) AS corr
+  FROM vn GROUP BY pair_id),
+rated AS (
+  SELECT pr.*, coalesce(pts.corr, 0.0) / {2.0 * VOTE_REPEAT} AS model_preference_score,
+         coalesce(pts.corr, 0.0) / {2.0 * VOTE_REPEAT} > 0.5 AS model_agrees
+  FROM pr LEFT JOIN pts USING (pair_id)),
+sides AS (
+  SELECT source_id, translation_id_1 AS translation_id, human_score_1 AS human_score,
+         CASE WHEN model_agrees THEN 0 ELSE 1 END AS w, CASE WHEN model_agrees THEN 1 ELSE 0 END AS l FROM rated
+  UNION ALL
+  SELECT source_id, translation_id_2, human_score_2,
+         CASE WHEN model_agrees THEN 1 ELSE 0 END, CASE WHEN model_agrees THEN 0 ELSE 1 END FROM rated),
+wl AS (
+  SELECT source_id, translation_id, sum(w) AS wins, sum(l) AS losses, any_value(human_score) AS human_score,
+         CASE WHEN sum(w) + sum(l) > 0 THEN sum(w) / (sum(w) + sum(l)) ELSE 0.0 END AS fluency_score
+  FROM sides GROUP BY 1, 2),
+hr AS (
+  SELECT source_id, human_score, dense_rank() OVER (PARTITION BY source_id ORDER BY human_score DESC) AS human_rank
+  FROM (SELECT source_id, human_score_1 AS human_score FROM rated UNION SELECT source_id, human_score_2 FROM rated)),
+best AS (
+  SELECT wl.*, row_number() OVER (PARTITION BY source_id ORDER BY fluency_score DESC, translation_id) AS position FROM wl),
+worst AS (
+  SELECT wl.*, row_number() OVER (PARTITION BY source_id ORDER BY fluency_score ASC, translation_id) AS position FROM wl)
+"""
+
+
+@query("swap_vote", RANK_SQL + """SELECT pair_id, source_id, translation_id_1, translation_id_2,
+  model_preference_score, model_agrees FROM rated""")
+def q_swap_vote(spark, sf_dir):
+    return rated(spark, sf_dir).select("pair_id", "source_id", "translation_id_1", "translation_id_2",
+                                       "model_preference_score", "model_agrees")
+
+
+@query("agreement", RANK_SQL + """SELECT s.source_id, round(r.rate, 9) AS agreement_rate, coalesce(r.n, 0) AS n_compared
+FROM (SELECT DISTINCT group_key AS source_id FROM items) s
+LEFT JOIN (SELECT source_id, avg(CASE WHEN model_agrees THEN 1.0 ELSE 0.0 END) AS rate, count(*) AS n
+           FROM rated GROUP BY 1) r USING (source_id)""")
+def q_agreement(spark, sf_dir):
+    items, _ = doc_items(spark, sf_dir)
+    sources = items.select(F.col("group_key").alias("source_id")).distinct()
+    a = RK.agreement_by_source(rated(spark, sf_dir), sources)
+    return a.select("source_id", R9(F.col("agreement_rate")).alias("agreement_rate"), "n_compared")
+
+
+@query("win_loss", RANK_SQL + """SELECT source_id, translation_id, CAST(wins AS BIGINT) AS wins,
+  CAST(losses AS BIGINT) AS losses, round(fluency_score, 9) AS fluency_score, human_score FROM wl""")
+def q_win_loss(spark, sf_dir):
+    w = RK.win_loss(rated(spark, sf_dir))
+    return w.select("source_id", "translation_id", "wins", "losses", R9(F.col("fluency_score")).alias("fluency_score"),
+                    "human_score")
+
+
+@query("top_n_rank", RANK_SQL + """SELECT b.source_id, b.translation_id, CAST(b.position AS INTEGER) AS position,
+  CAST(hr.human_rank AS INTEGER) AS human_rank
+FROM best b LEFT JOIN hr ON b.source_id = hr.source_id AND b.human_score = hr.human_score WHERE b.position <= 3""")
+def q_top_n_rank(spark, sf_dir):
+    r = rated(spark, sf_dir)
+    t = RK.top_n_human_rank(RK.win_loss(r), r, 3, best=True)
+    return t.select("source_id", "translation_id", "position", "human_rank")
+
+
+@query("bottom_n_rank", RANK_SQL + """SELECT b.source_id, b.translation_id, CAST(b.position AS INTEGER) AS position,
+  CAST(hr.human_rank AS INTEGER) AS human_rank
+FROM worst b LEFT JOIN hr ON b.source_id = hr.source_id AND b.human_score = hr.human_score WHERE b.position <= 3""")
+def q_bottom_n_rank(spark, sf_dir):
+    r = rated(spark, sf_dir)
+    t = RK.top_n_human_rank(RK.win_loss(r), r, 3, best=False)
+    return t.select("source_id", "translation_id", "position", "human_rank")
+
+
+@query("rank_histogram", RANK_SQL + """,
+top1 AS (SELECT hr.human_rank FROM best b JOIN hr ON b.source_id = hr.source_id AND b.human_score = hr.human_score
+         WHERE b.position = 1)
+SELECT CAST(g.v AS INTEGER) AS value, coalesce(c.n, 0) AS n FROM range(1, 6) g(v)
+LEFT JOIN (SELECT human_rank AS v, count(*) AS n FROM top1 WHERE human_rank BETWEEN 1 AND 5 GROUP BY 1) c USING (v)""")
+def q_rank_histogram(spark, sf_dir):
+    r = rated(spark, sf_dir)
+    t = RK.top_n_human_rank(RK.win_loss(r), r, 1, best=True)
+    return M.integer_histogram(t, "human_rank", 1, 5)
+
+
+@query("three_way_verdict", RANK_SQL + """SELECT pair_id, CASE WHEN corr > trans THEN 'better' WHEN trans > corr THEN 'worse'
+  ELSE 'equal' END AS verdict
+FROM (SELECT pair_id,
+        sum(CASE WHEN (lower(trim(response, {ws})) = 'b' AND NOT swapped) OR (lower(trim(response, {ws})) = 'a' AND swapped) THEN 1.0
+                 WHEN lower(trim(response, {ws})) = 'equal' THEN 0.5 ELSE 0.0 END) AS corr,
+        sum(CASE WHEN (lower(trim(response, {ws})) = 'a' AND NOT swapped) OR (lower(trim(response, {ws})) = 'b' AND swapped) THEN 1.0
+                 WHEN lower(trim(response, {ws})) = 'equal' THEN 0.5 ELSE 0.0 END) AS trans
+      FROM votes WHERE rep = 1 GROUP BY pair_id)""".replace("{ws}", WS_SQL))
+def q_three_way_verdict(spark, sf_dir):
+    v = judge_votes(rating_pairs(spark, sf_dir)).filter(F.col("repeat") == 1)
+    return RK.three_way_verdict(v)
