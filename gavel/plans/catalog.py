@@ -1041,3 +1041,103 @@ FROM (SELECT pair_id,
 def q_three_way_verdict(spark, sf_dir):
     v = judge_votes(rating_pairs(spark, sf_dir)).filter(F.col("repeat") == 1)
     return RK.three_way_verdict(v)
+
+
+# ---------------------------------------------------------------------------------
+# overlap scores: assistant turns against the user turns of their conversation
+# ---------------------------------------------------------------------------------
+from ..operators import overlap as OV  # noqa: E402
+from .sqltext import WS_RE2  # noqa: E402
+
+
+def conv_sides(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").filter(F.col("text").isNotNull())
+    hyps = c.filter(F.col("role") == "assistant").select("conv_id", F.col("turn").alias("hyp_turn"), "text")
+    refs = c.filter(F.col("role") == "user").select("conv_id", F.col("turn").alias("ref_turn"), "text")
+    return hyps, refs
+
+
+OVERLAP_SQL = f"""WITH conv AS (
+  SELECT conv_id, turn, role, text, regexp_replace(text, {sql_literal(WS_RE2)}, '', 'g') AS s,
+         list_filter(regexp_split_to_array({strip_sql('text')}, {sql_literal(WS_RE2 + '+')}), lambda x: x <> '') AS toks
+  FROM conversations WHERE text IS NOT NULL),
+hyp AS (SELECT conv_id, turn AS hyp_turn, s, toks FROM conv WHERE role = 'assistant'),
+ref AS (SELECT conv_id, turn AS ref_turn, s, toks FROM conv WHERE role = 'user'),
+hg0 AS (SELECT conv_id, hyp_turn, n, s, unnest(range(1, length(s) - n + 2)) AS i FROM hyp, range(1, 7) o(n)),
+hg AS (SELECT conv_id, hyp_turn, n, substr(s, i, n) AS g, count(*) AS c FROM hg0 GROUP BY ALL),
+rg0 AS (SELECT conv_id, ref_turn, n, s, unnest(range(1, length(s) - n + 2)) AS i FROM ref, range(1, 7) o(n)),
+rg AS (SELECT conv_id, ref_turn, n, substr(s, i, n) AS g, count(*) AS rc FROM rg0 GROUP BY ALL),
+mt AS (SELECT hg.conv_id, hyp_turn, ref_turn, hg.n, sum(least(c, rc)) AS m FROM hg JOIN rg
+       ON hg.conv_id = rg.conv_id AND hg.n = rg.n AND hg.g = rg.g GROUP BY ALL),
+ht AS (SELECT conv_id, hyp_turn, n, sum(c) AS ht FROM hg GROUP BY ALL),
+rt AS (SELECT conv_id, ref_turn, n, sum(rc) AS rt FROM rg GROUP BY ALL),
+grid AS (SELECT ht.conv_id, ht.hyp_turn, rt.ref_turn, ht.n, ht.ht, rt.rt, CAST(coalesce(mt.m, 0) AS DOUBLE) AS m
+         FROM ht JOIN rt ON ht.conv_id = rt.conv_id AND ht.n = rt.n
+         LEFT JOIN mt ON mt.conv_id = ht.conv_id AND mt.hyp_turn = ht.hyp_turn AND mt.ref_turn = rt.ref_turn AND mt.n = ht.n),
+pf AS (SELECT *, m / ht AS p, m / rt AS r FROM grid),
+perref AS (SELECT conv_id, hyp_turn, ref_turn,
+                  avg(CASE WHEN p + r > 0 THEN (1 + {OV.BETA ** 2}) * p * r / ({OV.BETA ** 2} * p + r) ELSE 0.0 END) * 100 AS score
+           FROM pf GROUP BY ALL),
+chrf AS (SELECT h.conv_id, h.hyp_turn, coalesce(b.best, 0.0) AS chrf FROM (SELECT DISTINCT conv_id, hyp_turn FROM hyp) h
+         LEFT JOIN (SELECT conv_id, hyp_turn, max(score) AS best FROM perref GROUP BY ALL) b USING (conv_id, hyp_turn)),
+wg0 AS (SELECT conv_id, hyp_turn, n, toks, unnest(range(1, len(toks) - n + 2)) AS i FROM hyp, range(1, 5) o(n)),
+wg AS (SELECT conv_id, hyp_turn, n, array_to_string(toks[i:i + n - 1], ' ') AS g, count(*) AS c FROM wg0 GROUP BY ALL),
+wr0 AS (SELECT conv_id, ref_turn, n, toks, unnest(range(1, len(toks) - n + 2)) AS i FROM ref, range(1, 5) o(n)),
+wr AS (SELECT conv_id, n, g, max(c) AS rc FROM (
+         SELECT conv_id, ref_turn, n, array_to_string(toks[i:i + n - 1], ' ') AS g, count(*) AS c FROM wr0 GROUP BY ALL)
+       GROUP BY ALL),
+wm AS (SELECT wg.conv_id, hyp_turn, wg.n, sum(least(c, rc)) AS m FROM wg JOIN wr
+       ON wg.conv_id = wr.conv_id AND wg.n = wr.n AND wg.g = wr.g GROUP BY ALL),
+hl AS (SELECT conv_id, hyp_turn, len(toks) AS hlen FROM hyp),
+rl AS (SELECT conv_id, len(toks) AS rlen FROM ref),
+cl AS (SELECT hl.conv_id, hl.hyp_turn, arg_min(rl.rlen, (abs(rl.rlen - hl.hlen), rl.rlen)) AS rlen
+       FROM hl JOIN rl ON hl.conv_id = rl.conv_id GROUP BY ALL),
+pn AS (SELECT hl.conv_id, hl.hyp_turn, hl.hlen, o.n, greatest(hl.hlen - o.n + 1, 0) AS t,
+              CAST(coalesce(wm.m, 0) AS DOUBLE) AS m
+       FROM hl CROSS JOIN range(1, 5) o(n)
+       LEFT JOIN wm ON wm.conv_id = hl.conv_id AND wm.hyp_turn = hl.hyp_turn AND wm.n = o.n),
+pa AS (SELECT conv_id, hyp_turn, hlen, sum(CASE WHEN n = 1 THEN m END) AS m1,
+              sum(ln(CASE WHEN n = 1 THEN (CASE WHEN t > 0 AND m > 0 THEN m / t END) ELSE (m + 1) / (t + 1) END)) AS logsum
+       FROM pn GROUP BY ALL),
+wscore AS (SELECT pa.conv_id, pa.hyp_turn,
+                  CASE WHEN pa.hlen = 0 OR pa.m1 = 0 OR cl.rlen IS NULL THEN 0.0
+                       ELSE 100 * (CASE WHEN CAST(pa.hlen AS DOUBLE) > cl.rlen THEN 1.0 ELSE exp(1 - CAST(cl.rlen AS DOUBLE) / pa.hlen) END)
+                            * exp(pa.logsum / 4) END AS score
+           FROM pa LEFT JOIN cl USING (conv_id, hyp_turn))
+"""
+
+
+def chrf_frame(spark, sf_dir) -> DataFrame:
+    hyps, refs = conv_sides(spark, sf_dir)
+    return OV.char_f_score(hyps, refs, "conv_id", "hyp_turn", "ref_turn")
+
+
+@query("char_ngram_f", OVERLAP_SQL + "SELECT conv_id, hyp_turn, round(chrf, 9) AS chrf FROM chrf")
+def q_char_ngram_f(spark, sf_dir):
+    return chrf_frame(spark, sf_dir).select("conv_id", "hyp_turn", R9(F.col("chrf")).alias("chrf"))
+
+
+@query("word_ngram_score", OVERLAP_SQL + "SELECT conv_id, hyp_turn, round(score, 9) AS score FROM wscore")
+def q_word_ngram_score(spark, sf_dir):
+    hyps, refs = conv_sides(spark, sf_dir)
+    w = OV.word_ngram_score(hyps, refs, "conv_id", "hyp_turn", "ref_turn")
+    return w.select("conv_id", "hyp_turn", R9(F.col("score")).alias("score"))
+
+
+@query("overlap_gain", OVERLAP_SQL + """SELECT conv_id,
+  round(((100 - base) - (100 - new)) / nullif(100 - base, 0), 9) AS error_reduction
+FROM (SELECT conv_id, arg_min(chrf, hyp_turn) AS base, arg_max(chrf, hyp_turn) AS new FROM chrf GROUP BY conv_id)""")
+def q_overlap_gain(spark, sf_dir):
+    c = chrf_frame(spark, sf_dir)
+    g = c.groupBy("conv_id").agg(F.min_by("chrf", "hyp_turn").alias("base"), F.max_by("chrf", "hyp_turn").alias("new"))
+    return g.select("conv_id", R9(OV.error_reduction("base", "new")).alias("error_reduction"))
+
+
+@query("edit_distance")
+def q_edit_distance(spark, sf_dir):
+    """Rows-only: DuckDB's levenshtein counts bytes, Spark's counts code points; the
+    unit test checks values against a brute-force implementation."""
+    b = table(spark, sf_dir, "benchmark")
+    nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next_text"))
+    j = b.join(nxt, "item_id")
+    return j.select("item_id", OV.edit_distance("text", "next_text").alias("distance"))
