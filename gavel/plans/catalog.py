@@ -1141,3 +1141,187 @@ def q_edit_distance(spark, sf_dir):
     nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next_text"))
     j = b.join(nxt, "item_id")
     return j.select("item_id", OV.edit_distance("text", "next_text").alias("distance"))
+
+
+# ---------------------------------------------------------------------------------
+# rating job: score-form prompts and replies (X6 score kind, X7, X9)
+# ---------------------------------------------------------------------------------
+SCORE_INSTRUCTION = "Rate the fluency of each response from 1 to 5.\n\n"
+
+
+def score_members(spark, sf_dir) -> DataFrame:
+    p = packed_items(spark, sf_dir)
+    return p.select("batch_id", "position", F.col("id").alias("doc_id"), F.col("text").alias("sentence"),
+                    F.concat_ws("-", F.col("batch_id"), F.col("position").cast("string")).alias("response_id"))
+
+
+def _score_piece(rid: F.Column, text: F.Column) -> F.Column:
+    d = F.substring(F.md5(rid), 1, 1)
+    s = (F.lit(1) + F.length(text) % 5).cast("string")
+    tag = lambda a, b: F.concat(F.lit("<" + a), rid, F.lit(b))
+    normal = F.concat(tag("id", "><score>"), s, F.lit("</score></id"), rid, F.lit(">\n"), text, F.lit("\n\n"))
+    bold = F.concat(tag("id", "><score>"), s, F.lit("</score></id"), rid, F.lit(">\n**Rationale:** "), text,
+                    F.lit("\n\n"))
+    upper = F.concat(tag("ID", "><SCORE>"), s, F.lit("</SCORE></ID"), rid, F.lit(">\n"), text, F.lit("\n"))
+    short = F.concat(tag("id", ">"), s, F.lit("</id"), rid, F.lit(">\n"))
+    unclosed = F.concat(tag("id", "><score>"), s, F.lit("</score>\n"))
+    invalid = F.concat(tag("id", "><score>6</score></id"), rid, F.lit(">\n"))
+    return (F.when(d.isin(*"01234567"), normal).when(d.isin("8", "9"), bold).when(d.isin("a", "b"), upper)
+             .when(d == "c", short).when(d == "d", unclosed).when(d == "e", invalid).otherwise(F.lit("")))
+
+
+def score_replies(spark, sf_dir) -> DataFrame:
+    m = score_members(spark, sf_dir)
+    per = m.groupBy("batch_id").agg(F.sort_array(F.collect_list(F.struct("position", "response_id", "sentence"))).alias("ms"))
+    reply = F.array_join(F.transform("ms", lambda x: _score_piece(x["response_id"], x["sentence"])), "")
+    return per.filter(F.substring(F.md5("batch_id"), 1, 1) != "0").select("batch_id", reply.alias("response"))
+
+
+SCORE_REPLY_SQL = PACK_SQL + """,
+mem AS (SELECT batch_id, position, id AS doc_id, text AS sentence,
+               batch_id || '-' || CAST(position AS VARCHAR) AS response_id FROM packed),
+pieces AS (SELECT *, substr(md5(response_id), 1, 1) AS d, CAST(1 + length(sentence) % 5 AS VARCHAR) AS s FROM mem),
+replies AS (
+  SELECT batch_id, string_agg(CASE
+      WHEN d IN ('0','1','2','3','4','5','6','7') THEN '<id' || response_id || '><score>' || s || '</score></id' || response_id || '>' || chr(10) || sentence || chr(10) || chr(10)
+      WHEN d IN ('8','9') THEN '<id' || response_id || '><score>' || s || '</score></id' || response_id || '>' || chr(10) || '**Rationale:** ' || sentence || chr(10) || chr(10)
+      WHEN d IN ('a','b') THEN '<ID' || response_id || '><SCORE>' || s || '</SCORE></ID' || response_id || '>' || chr(10) || sentence || chr(10)
+      WHEN d = 'c' THEN '<id' || response_id || '>' || s || '</id' || response_id || '>' || chr(10)
+      WHEN d = 'd' THEN '<id' || response_id || '><score>' || s || '</score>' || chr(10)
+      WHEN d = 'e' THEN '<id' || response_id || '><score>6</score></id' || response_id || '>' || chr(10)
+      ELSE '' END, '' ORDER BY position) AS response
+  FROM pieces WHERE substr(md5(batch_id), 1, 1) <> '0' GROUP BY batch_id),
+j AS (
+  SELECT m.*, r.response, r.batch_id IS NOT NULL AS has_reply,
+         '(?is)<id\\Q' || m.response_id || '\\E><score>([1-5])</score></id\\Q' || m.response_id || '\\E>(.*)' AS main_pat,
+         '(?i)<id\\Q' || m.response_id || '\\E><score>([1-5])</score>' AS fb1,
+         '(?i)<id\\Q' || m.response_id || '\\E>([1-5])</id[^>]*>' AS fb2
+  FROM mem m LEFT JOIN replies r USING (batch_id)),
+j2 AS (
+  SELECT *, regexp_matches(response, main_pat) AS has_main,
+         regexp_replace(regexp_extract(response, main_pat, 2), '(?is)<id\\d+(?:-\\d+)*><score>.*', '') AS rest,
+         CAST(CASE WHEN regexp_matches(response, main_pat) THEN regexp_extract(response, main_pat, 1)
+                   WHEN regexp_matches(response, fb1) THEN regexp_extract(response, fb1, 1)
+                   WHEN regexp_matches(response, fb2) THEN regexp_extract(response, fb2, 1) END AS INTEGER) AS score
+  FROM j),
+j3 AS (
+  SELECT *, trim(regexp_replace(regexp_replace(trim(rest, WSX), '(?i)^\\*\\*Rationale:\\*\\*\\s*', ''), '\\*\\*(.*?)\\*\\*', '\\1', 'g'), WSX) AS rat
+  FROM j2)
+""".replace("WSX", WS_SQL)
+
+
+@query("parse_score_tags", SCORE_REPLY_SQL + """SELECT response_id, doc_id,
+  CASE WHEN has_reply THEN score END AS fluency_score,
+  CASE WHEN NOT has_reply THEN 'Error during processing'
+       WHEN has_main THEN (CASE WHEN length(rat) > 200 THEN substr(rat, 1, 200) || '...' ELSE rat END)
+       WHEN score IS NOT NULL THEN 'No rationale' ELSE '' END AS reason
+FROM j3""")
+def q_parse_score_tags(spark, sf_dir):
+    r = RP.parse_score_results(score_members(spark, sf_dir), score_replies(spark, sf_dir))
+    return r.select("response_id", "doc_id", "fluency_score", "reason")
+
+
+@query("score_prompts", PACK_SQL + f""",
+mem AS (SELECT batch_id, position, text, batch_id || '-' || CAST(position AS VARCHAR) AS rid FROM packed)
+SELECT batch_id, {sql_literal(SCORE_INSTRUCTION)}
+  || string_agg('<id' || rid || '>' || text || '</id' || rid || '>' || chr(10), '' ORDER BY position)
+  || {sql_literal(K.SCORE_FORMAT_HEADER)}
+  || string_agg('<id' || rid || '><score>[1-5]</score></id' || rid || '>' || chr(10) || '[Brief rationale]' || chr(10) || chr(10), '' ORDER BY position)
+  AS prompt
+FROM mem GROUP BY batch_id""")
+def q_score_prompts(spark, sf_dir):
+    return K.batch_prompts(packed_items(spark, sf_dir), SCORE_INSTRUCTION, "score").select("batch_id", "prompt")
+
+
+# ---------------------------------------------------------------------------------
+# smaller operators on the driver tables
+# ---------------------------------------------------------------------------------
+from ..functions import text as TX  # noqa: E402
+from ..operators.lookup import any_column_lookup  # noqa: E402
+from ..operators.ordering import first_n  # noqa: E402
+from ..sources.io import nested_section  # noqa: E402
+
+
+@query("nested_section", """SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, prompt FROM (
+  SELECT doc_id, unnest(range(len(arr))) AS line_no, unnest(arr) AS prompt
+  FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS arr
+        FROM documents WHERE lang = 'en' AND text IS NOT NULL))""")
+def q_nested_section(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
+    lines = CP.doc_lines("text")
+    items = F.transform(lines, lambda x, i: F.struct(F.col("doc_id").alias("doc_id"), i.alias("line_no"), x.alias("prompt")))
+    empty = F.array().cast("array<struct<doc_id:bigint,line_no:int,prompt:string>>")
+    nested = d.select(F.array(F.struct(F.col("lang").alias("language"), items.alias("items")),
+                              F.struct(F.lit("zz").alias("language"), empty.alias("items"))).alias("languages"))
+    return nested_section(nested, "en").select("doc_id", "line_no", "prompt")
+
+
+@query("page_titles", f"""SELECT page_id,
+  nullif({strip_sql("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")}, '') AS title FROM pages""")
+def q_page_titles(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", TX.first_tag_text("html", "title").alias("title"))
+
+
+@query("quoted_text", f"""WITH d AS (
+  SELECT doc_id, text, strpos(text, '"') AS first, length(text) - strpos(reverse(text), '"') + 1 AS last,
+         length(text) - strpos(reverse(text), ':') + 1 AS colon FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN first > 0 AND last <> first THEN substr(text, first + 1, last - first - 1)
+                    WHEN strpos(text, ':') > 0 THEN trim({strip_sql('substr(text, colon + 1)')}, '"')
+                    ELSE text END AS extracted FROM d""")
+def q_quoted_text(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
+    return d.select("doc_id", TX.quoted_text("text").alias("extracted"))
+
+
+@query("score_forms", f"""SELECT doc_id,
+  TRY_CAST({strip_sql("split_part(CAST(quality * 4 + 1 AS VARCHAR) || '/5', '/', 1)")} AS INTEGER) AS direct_score,
+  TRY_CAST({strip_sql("split_part(list_last(string_split('Score: ' || CAST(toxic + 2 AS VARCHAR) || '/5', ' ')), '/', 1)")} AS INTEGER) AS last_token_score,
+  TRY_CAST(CASE WHEN toxic = 1 THEN 'n/a' ELSE '3.5' END AS DOUBLE) AS numeric_score,
+  coalesce(TRY_CAST(CASE WHEN toxic = 1 THEN 'n/a' ELSE '3.5' END AS DOUBLE), 0.0) AS numeric_or_zero
+FROM labels""")
+def q_score_forms(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels")
+    s1 = F.concat((F.col("quality") * 4 + 1).cast("string"), F.lit("/5"))
+    s2 = F.concat(F.lit("Score: "), (F.col("toxic") + 2).cast("string"), F.lit("/5"))
+    s3 = F.when(F.col("toxic") == 1, "n/a").otherwise("3.5")
+    return lab.select("doc_id", TX.score_before_slash(s1).alias("direct_score"),
+                      TX.score_last_token_before_slash(s2).alias("last_token_score"),
+                      TX.to_number(s3).alias("numeric_score"), TX.to_number(s3, True).alias("numeric_or_zero"))
+
+
+LOOKUP_DIM_SQL = """dim AS (
+  SELECT n_nationkey AS ord, n_name AS res, n_name AS c1, 'src' || CAST(n_regionkey * 4 AS VARCHAR) AS c2,
+         'src' || CAST(n_nationkey AS VARCHAR) AS c3 FROM nation),
+long AS (SELECT c1 AS v, 0 AS pos, ord, res FROM dim UNION ALL SELECT c2, 1, ord, res FROM dim
+         UNION ALL SELECT c3, 2, ord, res FROM dim)"""
+
+
+@query("any_column_lookup", f"""WITH {LOOKUP_DIM_SQL},
+best AS (SELECT v, arg_min(res, (pos, ord)) AS res FROM long WHERE v IS NOT NULL GROUP BY v),
+vals AS (SELECT DISTINCT source AS value FROM documents UNION SELECT DISTINCT lang FROM documents)
+SELECT value, coalesce(best.res, '') AS match FROM vals LEFT JOIN best ON vals.value = best.v""")
+def q_any_column_lookup(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    dim = n.select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("res"), F.col("n_name").alias("c1"),
+                   F.concat(F.lit("src"), (F.col("n_regionkey") * 4).cast("string")).alias("c2"),
+                   F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("c3"))
+    d = table(spark, sf_dir, "documents")
+    vals = d.select(F.col("source").alias("value")).union(d.select("lang")).distinct()
+    return any_column_lookup(vals, "value", dim, ["c1", "c2", "c3"], "ord", "res", "match").select("value", "match")
+
+
+@query("top_items", """SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 25""")
+def q_top_items(spark, sf_dir):
+    return first_n(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), ["doc_id"], 25)
+
+
+@query("longest_candidates", """WITH top AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL
+                                  ORDER BY length(text) DESC, doc_id LIMIT 15)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, candidate FROM (
+  SELECT doc_id, unnest(range(len(arr))) AS pos, unnest(arr) AS candidate
+  FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS arr FROM top))""")
+def q_longest_candidates(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
+    top = first_n(d.select("doc_id", "text"), [F.length("text").desc(), F.col("doc_id")], 15)
+    return top.select("doc_id", F.posexplode(CP.doc_lines("text")).alias("pos", "candidate"))

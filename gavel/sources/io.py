@@ -78,7 +78,7 @@ def read_parquet_glob(spark: SparkSession, pattern: str, max_files: int | None =
 def nested_section(df: DataFrame, language: str, sections: str = "languages") -> DataFrame:
     """The items of the first ``languages[]`` entry whose language matches, as rows;
     a missing language gives no rows."""
-    first = F.element_at(F.filter(F.col(sections), lambda s: s["language"] == F.lit(language)), 1)
+    first = F.try_element_at(F.filter(F.col(sections), lambda s: s["language"] == F.lit(language)), F.lit(1))
     return df.select(F.inline_outer(first["items"])).dropna(how="all")
 
 
