@@ -113,19 +113,72 @@ AB_REWRITE_RULES = [
 # --- end of fixed values ------------------------------------------------------------
 
 
-def ab_user_text(c) -> Column:
-    """Fold the ordered rewrite list over one text column (all JVM regex)."""
-    out = col_(c)
-    for pattern, repl in AB_REWRITE_RULES:
-        out = F.regexp_replace(out, pattern, repl)
-    return out
+# Our optimisation, not part of the fixed values. Every rule gets a necessary
+# condition that is much cheaper than a regex pass (``contains`` is a byte scan):
+#   ("cs", lit)   the text contains ``lit``;
+#   ("any", lits) the text contains one of ``lits`` (case variants of ASCII letters
+#                 that have no other Unicode case partners);
+#   ("grp", None) rules 5-8 share one check, made once before rule 5 (a change by one
+#                 of them cannot create a match for another).
+# A rule whose condition fails cannot match, so skipping it leaves the result unchanged.
+_OR = [" or ", " Or ", " oR ", " OR "]
+AB_REWRITE_GUARDS = [
+    ("cs", "1)"), ("cs", "2)"), ("cs", "1."), ("cs", "2."),
+    ("grp", None), ("grp", None), ("grp", None), ("grp", None),
+    ("cs", "1"), ("cs", "2"),
+    ("cs", "(1 or 2)"), ("cs", "(1 and 2)"), ("cs", " 1 or 2"), ("cs", "(1 or 2)"),
+    ("cs", " 1 or 2"), ("cs", " 1 or 2"), ("cs", " 1 or "), ("cs", " or 2"), ("cs", " 1 or 2"),
+    ("cs", " 1 or 2"), ("cs", "(1 or 2)"), ("cs", " 1 or 2"), ("cs", "(1 or "),
+    ("cs", "):"), ("any", _OR),
+    ("cs", "(1)"), ("cs", "(2)"), ("cs", "("),
+    ("cs", "(1 or "), ("cs", " or 2)"), ("cs", "(1 or 2)"),
+]
+assert len(AB_REWRITE_GUARDS) == len(AB_REWRITE_RULES)
+_GROUP_CHECK = r"(?iuU)\b(?:Option|Sentence)\s+[12]\b"
+_GROUP_FIRST = 4
+
+
+def _group_flag(t: Column) -> Column:
+    # the digit test short-circuits the regex for texts without 1 or 2
+    return (t.contains("1") | t.contains("2")) & F.regexp_like(t, F.lit(_GROUP_CHECK))
 
 
-def ab_answer(c) -> Column:
-    """Assistant answer 1 -> A, 2 -> B, A/B kept (stripped), other text unchanged."""
-    s = py_strip(col_(c))
-    return (F.when(s == "1", "A").when(s == "2", "B")
-             .when(s.isin("A", "B"), s).otherwise(col_(c)))
+def _guard(t: Column, flag: Column, k: int) -> Column:
+    kind, lit = AB_REWRITE_GUARDS[k]
+    if kind == "cs":
+        return t.contains(lit)
+    if kind == "any":
+        out = t.contains(lit[0])
+        for x in lit[1:]:
+            out = out | t.contains(x)
+        return out
+    return flag
+
+
+def ab_user_text(c) -> Column:
+    """Fold the ordered rewrite list over one text column (all JVM regex).
+
+    The fold is an ``aggregate`` over the rule numbers with a (text, group flag)
+    accumulator, so the text is a lambda variable (no expression duplication) and each
+    rule first checks its cheap guard."""
+    def step(acc, i):
+        t = acc["t"]
+        out = None
+        for k, (pattern, repl) in enumerate(AB_REWRITE_RULES):
+            flag = _group_flag(t) if k == _GROUP_FIRST else acc["g"]
+            new_t = F.when(_guard(t, flag, k), F.regexp_replace(t, pattern, repl)).otherwise(t)
+            if k == _GROUP_FIRST:
+                # evaluate the group check once and keep it for the next three rules
+                val = F.struct(F.lit(None).cast("string").alias("t"), flag.alias("g"))
+                val = F.when(flag, F.struct(F.regexp_replace(t, pattern, repl).alias("t"), F.lit(True).alias("g"))) \
+                       .otherwise(F.struct(t.alias("t"), F.lit(False).alias("g")))
+            else:
+                val = F.struct(new_t.alias("t"), acc["g"].alias("g"))
+            out = F.when(i == k, val) if out is None else out.when(i == k, val)
+        return out
+    rules = F.array(*[F.lit(k) for k in range(len(AB_REWRITE_RULES))])
+    init = F.struct(col_(c).cast("string").alias("t"), F.lit(False).alias("g"))
+    return F.aggregate(rules, init, step, lambda acc: acc["t"])
 
 
 def rewrite_messages(messages="messages", enabled: bool = True) -> Column:
@@ -147,12 +200,10 @@ def pairs_to_chat(pairs: DataFrame, enabled: bool = True) -> DataFrame:
     """Preference records (flat prompt/chosen) -> chat record columns + edit flags."""
     user_new = ab_user_text("prompt") if enabled else F.col("prompt")
     asst_new = ab_answer("chosen") if enabled else F.col("chosen")
-    return pairs.select(
-        "*",
-        user_new.alias("user_content"), asst_new.alias("assistant_content"),
-        (user_new != F.col("prompt")).alias("user_edited"),
-        (asst_new != F.col("chosen")).alias("assistant_edited"),
-    )
+    out = pairs.select("*", user_new.alias("user_content"), asst_new.alias("assistant_content"))
+    # flags read the new columns (the rewrite is computed once)
+    return out.select("*", (F.col("user_content") != F.col("prompt")).alias("user_edited"),
+                      (F.col("assistant_content") != F.col("chosen")).alias("assistant_edited"))
 
 
 def conversion_counters(chat: DataFrame) -> DataFrame:
