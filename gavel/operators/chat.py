@@ -181,6 +181,56 @@ def ab_user_text(c) -> Column:
     return F.aggregate(rules, init, step, lambda acc: acc["t"])
 
 
+def ab_answer(c) -> Column:
+    """Assistant answer 1 -> A, 2 -> B, A/B kept (stripped), other text unchanged."""
+    s = py_strip(col_(c))
+    return (F.when(s == "1", "A").when(s == "2", "B")
+             .when(s.isin("A", "B"), s).otherwise(col_(c)))
+
+
+# Words (lower case) that occur in some rewrite rule. A text that contains none of
+# them and no digit 1 or 2 cannot be part of any rule match: every rule needs a 1/2
+# digit or one of these words, and the rules' whitespace runs cannot reach into a
+# stripped text. (Our analysis; used by the template fast path below.)
+REWRITE_WORDS = ["option", "sentence", "answer", "select", "choose", "pick", "number", "respond", "your", "letter"]
+
+
+def rewrite_inert(c) -> Column:
+    """True when the text cannot take part in any A/B rewrite match."""
+    t = col_(c)
+    no_digit = ~(t.contains("1") | t.contains("2"))
+    # fold the non-ASCII letters whose case partners are ASCII letters, then lower-case
+    folded = F.lower(F.translate(t, "\u017f\u0131\u0130\u212a", "siik"))
+    no_word = ~_any([folded.contains(w) for w in REWRITE_WORDS])
+    return t.isNotNull() & no_digit & no_word  # ``&`` short-circuits: lower() only without digits
+
+
+def _any(conds: list[Column]) -> Column:
+    out = conds[0]
+    for c in conds[1:]:
+        out = out | c
+    return out
+
+
+def rewritten_template(spark, template: str, slots: list[str]) -> list[tuple[str, str | None]]:
+    """Apply the rewrite rules to a template whose slots hold inert markers; returns
+    [(literal, slot), ...] so the sentences can be spliced in. The template is a short
+    constant: this evaluates one literal row, no data."""
+    from ..functions.templates import template_parts
+    markers = {name: f"\x00{i}\x00" for i, name in enumerate(slots)}
+    filled = "".join(lit + (markers[f] if f is not None else "") for lit, f in template_parts(template))
+    out = spark.range(1).select(ab_user_text(F.lit(filled)).alias("t")).first()["t"]
+    parts, rest = [], out
+    for name in slots:
+        m = markers[name]
+        if rest.count(m) != 1:
+            raise ValueError("marker lost in template rewrite")
+        head, rest = rest.split(m)
+        parts.append((head, name))
+    parts.append((rest, None))
+    return parts
+
+
 def rewrite_messages(messages="messages", enabled: bool = True) -> Column:
     """Rewrite an array<struct<role, content>> by role; switchable off."""
     m = col_(messages)
@@ -196,9 +246,29 @@ def rewrite_messages(messages="messages", enabled: bool = True) -> Column:
     return F.transform(m, one)
 
 
-def pairs_to_chat(pairs: DataFrame, enabled: bool = True) -> DataFrame:
-    """Preference records (flat prompt/chosen) -> chat record columns + edit flags."""
+def pairs_to_chat(pairs: DataFrame, enabled: bool = True, templates: list[str] | None = None) -> DataFrame:
+    """Preference records (flat prompt/chosen) -> chat record columns + edit flags.
+
+    With ``templates`` and the pair columns ``template_idx, sentence_a, sentence_b,
+    inert`` (from :func:`gavel.operators.pairs.preference_pairs`), pairs whose two
+    sentences are inert take the template fast path: the rewritten template (computed
+    once) with the sentences spliced in. Every other pair runs the full rule fold on
+    its prompt. Both give the same text."""
     user_new = ab_user_text("prompt") if enabled else F.col("prompt")
+    needed = {"template_idx", "sentence_a", "sentence_b", "inert"}
+    if enabled and templates and needed <= set(pairs.columns):
+        spark = pairs.sparkSession
+        fast = None
+        for i, t in enumerate(templates):
+            pieces = []
+            for lit, slot in rewritten_template(spark, t, ["sentence_a", "sentence_b"]):
+                if lit:
+                    pieces.append(F.lit(lit))
+                if slot:
+                    pieces.append(F.col(slot))
+            text = F.concat(*pieces)
+            fast = F.when(F.col("template_idx") == i, text) if fast is None else fast.when(F.col("template_idx") == i, text)
+        user_new = F.when(F.col("inert"), fast).otherwise(user_new)
     asst_new = ab_answer("chosen") if enabled else F.col("chosen")
     out = pairs.select("*", user_new.alias("user_content"), asst_new.alias("assistant_content"))
     # flags read the new columns (the rewrite is computed once)

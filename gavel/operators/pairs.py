@@ -95,10 +95,11 @@ def candidate_pairs(items: DataFrame, min_diff: float = 1.0, translation: bool =
     if translation:
         base = base.filter(F.col("english_sentence") != "")
     cells = _cells(base, keys, block_rows)
+    carried = ("id", "ord", "sentence", "score", "_blk") + (("inert",) if "inert" in items.columns else ())
     a = cells.select(*[F.col(c).alias(c) for c in keys], "_lo", "_hi",
-                     *[F.col(c).alias(f"a_{c}") for c in ("id", "ord", "sentence", "score", "_blk")])
+                     *[F.col(c).alias(f"a_{c}") for c in carried])
     b = cells.select(*[F.col(c).alias(f"b_{c}") for c in keys], F.col("_lo").alias("b_lo"), F.col("_hi").alias("b_hi"),
-                     *[F.col(c).alias(f"b_{c}") for c in ("id", "ord", "sentence", "score", "_blk")])
+                     *[F.col(c).alias(f"b_{c}") for c in carried])
     cond = [F.col(c) == F.col(f"b_{c}") for c in keys] + [F.col("_lo") == F.col("b_lo"), F.col("_hi") == F.col("b_hi")]
     residual = ((F.col("a_ord") < F.col("b_ord"))
                 & ((F.col("a__blk") != F.col("b__blk")) | (F.col("_lo") == F.col("_hi")))
@@ -114,6 +115,8 @@ def candidate_pairs(items: DataFrame, min_diff: float = 1.0, translation: bool =
         pick("b_sentence", "a_sentence").alias("worse_sentence"),
         pick("a_score", "b_score").alias("better_score"), pick("b_score", "a_score").alias("worse_score"),
     ]
+    if "inert" in carried:
+        out.append((F.col("a_inert") & F.col("b_inert")).alias("inert"))
     return joined.select(*out)
 
 
@@ -135,6 +138,10 @@ def preference_pairs(items: DataFrame, min_diff: float = 1.0, seed: int = 42,
     so ``chosen != rejected`` always holds (the reference maps both to one digit).
     """
     templates = templates or (TRANSLATION_PAIR_TEMPLATES if translation else PAIR_TEMPLATES)
+    if not translation:
+        # per item, before the pair explosion: can the sentence take part in an A/B rewrite?
+        from .chat import rewrite_inert
+        items = items.withColumn("inert", rewrite_inert("sentence"))
     pairs = candidate_pairs(items, min_diff, translation, block_rows)
     h = seeded_hash("first_id", "second_id", seed=seed)
     pairs = pairs.withColumn("_h", h)
@@ -153,7 +160,8 @@ def preference_pairs(items: DataFrame, min_diff: float = 1.0, seed: int = 42,
         c = F.when(a_first, F.lit(good)).otherwise(F.lit(bad))
         prompt = F.when(tix == i, p) if prompt is None else prompt.when(tix == i, p)
         chosen = F.when(tix == i, c) if chosen is None else chosen.when(tix == i, c)
-    out = (pairs.withColumn("prompt", prompt)
+    out = (pairs.withColumn("sentence_a", sent_a).withColumn("sentence_b", sent_b)
+                .withColumn("prompt", prompt)
                 .withColumn("chosen", chosen)
                 .withColumn("rejected", F.when(F.col("chosen") == "A", "B").when(F.col("chosen") == "B", "A")
                             .when(F.col("chosen") == "1", "2").otherwise("1"))

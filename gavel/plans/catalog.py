@@ -229,14 +229,15 @@ rw AS (
 
 @query("ab_rewrite", AB_SQL + "SELECT better_id, worse_id, user_content, assistant_content FROM rw")
 def q_ab_rewrite(spark, sf_dir):
-    return C.pairs_to_chat(doc_pairs(spark, sf_dir)).select("better_id", "worse_id", "user_content", "assistant_content")
+    chat = C.pairs_to_chat(doc_pairs(spark, sf_dir), templates=P.PAIR_TEMPLATES)
+    return chat.select("better_id", "worse_id", "user_content", "assistant_content")
 
 
 @query("conversion_counters", AB_SQL + """SELECT count(*) AS n_records,
   count(*) FILTER (WHERE user_content <> prompt) AS user_conversions,
   count(*) FILTER (WHERE assistant_content <> chosen) AS assistant_conversions FROM rw""")
 def q_conversion_counters(spark, sf_dir):
-    return C.conversion_counters(C.pairs_to_chat(doc_pairs(spark, sf_dir)))
+    return C.conversion_counters(C.pairs_to_chat(doc_pairs(spark, sf_dir), templates=P.PAIR_TEMPLATES))
 
 
 # ---------------------------------------------------------------------------------
