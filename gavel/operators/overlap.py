@@ -35,11 +35,11 @@ def edit_distance(a, b) -> Column:
 
 def _char_gram_at(s: Column, n: int):
     # one-argument lambda: Spark reads a second parameter as the element index
-    return lambda i: F.struct(F.lit(n).alias("n"), s.substr(i, F.lit(n)).alias("g"))
+    return lambda i: F.struct(F.lit(n).alias("_ord"), s.substr(i, F.lit(n)).alias("_gram"))
 
 
 def _word_gram_at(t: Column, n: int):
-    return lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(t, i, F.lit(n)), " ").alias("g"))
+    return lambda i: F.struct(F.lit(n).alias("_ord"), F.array_join(F.slice(t, i, F.lit(n)), " ").alias("_gram"))
 
 
 def _char_grams(df: DataFrame, keys: list[str], text: str, orders: int) -> DataFrame:
@@ -52,7 +52,7 @@ def _char_grams(df: DataFrame, keys: list[str], text: str, orders: int) -> DataF
         idx = F.when(F.length(s) >= n, F.sequence(F.lit(1), F.length(s) - n + 1)).otherwise(F.array().cast("array<int>"))
         per_order.append(F.transform(idx, _char_gram_at(s, n)))
     ex = df.select(*keys, F.inline(F.flatten(F.array(*per_order))))
-    return ex.groupBy(*keys, "n", "g").agg(F.count(F.lit(1)).alias("c"))
+    return ex.groupBy(*keys, "_ord", "_gram").agg(F.count(F.lit(1)).alias("_cnt"))
 
 
 def char_f_score(hyps: DataFrame, refs: DataFrame, group: str, hyp_key: str, ref_key: str, text: str = "text",
@@ -60,18 +60,18 @@ def char_f_score(hyps: DataFrame, refs: DataFrame, group: str, hyp_key: str, ref
     """Best character n-gram F-score of each hypothesis against the references of
     its group. Returns (group, hyp_key, chrf)."""
     hg = _char_grams(hyps, [group, hyp_key], text, orders)
-    rg = _char_grams(refs, [group, ref_key], text, orders).withColumnRenamed("c", "rc")
-    match = (hg.join(rg, [group, "n", "g"])
-               .groupBy(group, hyp_key, ref_key, "n").agg(F.sum(F.least("c", "rc")).alias("m")))
-    ht = hg.groupBy(group, hyp_key, "n").agg(F.sum("c").alias("ht"))
-    rt = rg.groupBy(group, ref_key, "n").agg(F.sum("rc").alias("rt"))
-    grid = ht.join(rt, [group, "n"]).join(match, [group, hyp_key, ref_key, "n"], "left")
-    m = F.coalesce(F.col("m"), F.lit(0)).cast("double")
-    p, r = m / F.col("ht"), m / F.col("rt")
+    rg = _char_grams(refs, [group, ref_key], text, orders).withColumnRenamed("_cnt", "_rcnt")
+    match = (hg.join(rg, [group, "_ord", "_gram"])
+               .groupBy(group, hyp_key, ref_key, "_ord").agg(F.sum(F.least("_cnt", "_rcnt")).alias("_m")))
+    ht = hg.groupBy(group, hyp_key, "_ord").agg(F.sum("_cnt").alias("_ht"))
+    rt = rg.groupBy(group, ref_key, "_ord").agg(F.sum("_rcnt").alias("_rt"))
+    grid = ht.join(rt, [group, "_ord"]).join(match, [group, hyp_key, ref_key, "_ord"], "left")
+    m = F.coalesce(F.col("_m"), F.lit(0)).cast("double")
+    p, r = m / F.col("_ht"), m / F.col("_rt")
     b2 = beta * beta
     f = F.when(p + r > 0, (1 + b2) * p * r / (b2 * p + r)).otherwise(F.lit(0.0))
-    per_ref = grid.groupBy(group, hyp_key, ref_key).agg((F.avg(f) * 100).alias("score"))
-    best = per_ref.groupBy(group, hyp_key).agg(F.max("score").alias("chrf"))
+    per_ref = grid.groupBy(group, hyp_key, ref_key).agg((F.avg(f) * 100).alias("_score"))
+    best = per_ref.groupBy(group, hyp_key).agg(F.max("_score").alias("chrf"))
     return (hyps.select(group, hyp_key).distinct().join(best, [group, hyp_key], "left")
                 .withColumn("chrf", F.coalesce("chrf", F.lit(0.0))))
 
@@ -88,7 +88,7 @@ def _word_grams(df: DataFrame, keys: list[str], text: str, orders: int) -> DataF
         idx = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
         per_order.append(F.transform(idx, _word_gram_at(t, n)))
     ex = df.select(*keys, F.inline(F.flatten(F.array(*per_order))))
-    return ex.groupBy(*keys, "n", "g").agg(F.count(F.lit(1)).alias("c"))
+    return ex.groupBy(*keys, "_ord", "_gram").agg(F.count(F.lit(1)).alias("_cnt"))
 
 
 def word_ngram_score(hyps: DataFrame, refs: DataFrame, group: str, hyp_key: str, ref_key: str, text: str = "text",
@@ -96,22 +96,23 @@ def word_ngram_score(hyps: DataFrame, refs: DataFrame, group: str, hyp_key: str,
     """Multi-reference clipped word n-gram precision score (see module docstring)."""
     hg = _word_grams(hyps, [group, hyp_key], text, orders)
     rg = _word_grams(refs, [group, ref_key], text, orders)
-    rmax = rg.groupBy(group, "n", "g").agg(F.max("c").alias("rc"))
-    m = (hg.join(rmax, [group, "n", "g"]).groupBy(group, hyp_key, "n").agg(F.sum(F.least("c", "rc")).alias("m")))
+    rmax = rg.groupBy(group, "_ord", "_gram").agg(F.max("_cnt").alias("_rcnt"))
+    m = (hg.join(rmax, [group, "_ord", "_gram"]).groupBy(group, hyp_key, "_ord").agg(F.sum(F.least("_cnt", "_rcnt")).alias("_m")))
     hl = hyps.select(group, hyp_key, F.size(_tokens(text)).alias("hlen"))
     rl = refs.select(group, F.size(_tokens(text)).alias("rlen"))
     # closest reference length, ties to the shorter one
     closest = (hl.join(rl, group)
                  .groupBy(group, hyp_key)
                  .agg(F.min_by("rlen", F.struct(F.abs(F.col("rlen") - F.col("hlen")), F.col("rlen"))).alias("rlen")))
-    orders_df = hyps.sparkSession.range(1, orders + 1).select(F.col("id").cast("int").alias("n"))
+    orders_df = hyps.sparkSession.range(1, orders + 1).select(F.col("id").cast("int").alias("_ord"))
     per_n = (hl.crossJoin(F.broadcast(orders_df))  # the order list is a parameter
-               .join(m, [group, hyp_key, "n"], "left")
-               .withColumn("t", F.greatest(F.col("hlen") - F.col("n") + 1, F.lit(0)))
-               .withColumn("m", F.coalesce("m", F.lit(0)).cast("double")))
-    p = F.when(F.col("n") == 1, F.col("m") / F.col("t")).otherwise((F.col("m") + 1) / (F.col("t") + 1))
+               .join(m, [group, hyp_key, "_ord"], "left")
+               .withColumn("_t", F.greatest(F.col("hlen") - F.col("_ord") + 1, F.lit(0)))
+               .withColumn("_m", F.coalesce("_m", F.lit(0)).cast("double")))
+    p = F.when(F.col("_ord") == 1, F.when(F.col("_t") > 0, F.col("_m") / F.col("_t"))).otherwise(
+        (F.col("_m") + 1) / (F.col("_t") + 1))
     agg = per_n.groupBy(group, hyp_key, "hlen").agg(
-        F.sum(F.when(F.col("n") == 1, F.col("m"))).alias("m1"),
+        F.sum(F.when(F.col("_ord") == 1, F.col("_m"))).alias("m1"),
         F.sum(F.log(p)).alias("logsum"))  # log(0) only when m1 = 0, which scores 0 below
     out = agg.join(closest, [group, hyp_key], "left")
     c, r = F.col("hlen").cast("double"), F.col("rlen").cast("double")
