@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.votes import vote_points
-from .ordering import top_n_per_group
+from .ordering import global_rank, top_n_per_group
 
 
 def pair_ratings(votes: DataFrame, pairs: DataFrame, repeat: int) -> DataFrame:
@@ -87,6 +87,29 @@ def top_n_human_rank(scores: DataFrame, ratings: DataFrame, n: int, best: bool =
     return t.join(human_ranks(ratings), ["source_id", "human_score"], "left")
 
 
+def candidate_positions(candidates: DataFrame, order_col: str = "translation_id") -> DataFrame:
+    """1-based position of each candidate inside its source (by ``order_col``), from one
+    exact global rank minus the source's first rank: no per-source window sort."""
+    r = global_rank(candidates, ["source_id", order_col], "_cp_rank")
+    first = r.groupBy("source_id").agg(F.min("_cp_rank").alias("_cp_first"), F.count(F.lit(1)).alias("n_candidates"))
+    return (r.join(first, "source_id")
+             .withColumn("position", (F.col("_cp_rank") - F.col("_cp_first") + 1).cast("int"))
+             .drop("_cp_rank", "_cp_first"))
+
+
+def ranking_list_ranks(replies: DataFrame, candidates: DataFrame, ranks: DataFrame, n: int | None = None) -> DataFrame:
+    """W8 + X12: a reply's ``<rankings>`` list (1-based candidate positions) re-ordered
+    against human ranks: (source_id, list_pos, position, human_rank); entries that do
+    not parse or point nowhere are skipped; ``n`` keeps the first n list entries."""
+    from ..functions.text import first_tag_text, rank_list
+    lst = rank_list(first_tag_text("response", "rankings"))
+    ex = replies.select("source_id", F.posexplode(lst).alias("list_pos", "position"))
+    ex = ex.filter(F.col("position").isNotNull()).withColumn("list_pos", (F.col("list_pos") + 1).cast("int"))
+    if n is not None:
+        ex = ex.filter(F.col("list_pos") <= n)
+    return ex.join(candidates, ["source_id", "position"]).join(ranks, ["source_id", "human_score"], "left")
+
+
 def winner_rank(replies: DataFrame, candidates: DataFrame, ranks: DataFrame) -> DataFrame:
     """A reply's winner index (1-based position among the source's candidates) ->
     that candidate's human rank; unparsable winners are skipped."""

@@ -1326,3 +1326,69 @@ def q_longest_candidates(spark, sf_dir):
     d = table(spark, sf_dir, "documents").filter(F.col("text").isNotNull())
     top = first_n(d.select("doc_id", "text"), [F.length("text").desc(), F.col("doc_id")], 15)
     return top.select("doc_id", F.posexplode(CP.doc_lines("text")).alias("pos", "candidate"))
+
+
+# ---------------------------------------------------------------------------------
+# list-wise judging: winner index and ranking lists against human ranks
+# ---------------------------------------------------------------------------------
+
+def listwise(spark, sf_dir):
+    items, _ = doc_items(spark, sf_dir)
+    cand = items.select(F.col("group_key").alias("source_id"), F.col("id").alias("translation_id"),
+                        F.col("score").alias("human_score"))
+    cand = RK.candidate_positions(cand)
+    ranks = (cand.select("source_id", "human_score").distinct()
+                 .withColumn("human_rank", F.dense_rank().over(
+                     __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("source_id")
+                     .orderBy(F.col("human_score").desc()))))
+    # one reply per source, derived from the source's md5 digits and its candidate count
+    src = cand.select("source_id", "n_candidates").distinct()
+    h = F.md5(F.concat_ws("|", "source_id", F.lit(str(SEED))))
+    dig = lambda i: F.conv(F.substring(h, i, 1), 16, 10).cast("int")
+    pos = lambda i: ((dig(i) % F.col("n_candidates")) + 1).cast("string")
+    winner = F.when(dig(1) == 15, F.lit("no clear winner")).otherwise(
+        F.concat(F.lit("<winner>"), pos(1), F.lit("</winner>")))
+    rankings = F.concat(F.lit("<rankings>"), pos(2), F.lit(", "), pos(3), F.lit(","),
+                        F.when(dig(4) == 0, F.lit("x")).otherwise(pos(4)), F.lit("</rankings>"))
+    replies = src.select("source_id", winner.alias("winner_reply"), rankings.alias("ranking_reply"))
+    return cand, ranks, replies
+
+
+LISTWISE_SQL = f"""WITH {ITEMS_SQL},
+cand AS (SELECT group_key AS source_id, id AS translation_id, score AS human_score,
+                CAST(row_number() OVER (PARTITION BY group_key ORDER BY id) AS INTEGER) AS position,
+                count(*) OVER (PARTITION BY group_key) AS n_candidates FROM items),
+ranks AS (SELECT source_id, human_score, dense_rank() OVER (PARTITION BY source_id ORDER BY human_score DESC) AS human_rank
+          FROM (SELECT DISTINCT source_id, human_score FROM cand)),
+src AS (SELECT DISTINCT source_id, n_candidates, md5(source_id || '|{SEED}') AS h FROM cand),
+dg AS (SELECT source_id, n_candidates,
+              {hexval_sql('substr(h, 1, 1)')} AS d1, {hexval_sql('substr(h, 2, 1)')} AS d2,
+              {hexval_sql('substr(h, 3, 1)')} AS d3, {hexval_sql('substr(h, 4, 1)')} AS d4 FROM src)
+"""
+
+
+@query("winner_rank", LISTWISE_SQL + """SELECT dg.source_id, CAST(d1 % dg.n_candidates + 1 AS INTEGER) AS position,
+  c.translation_id, CAST(r.human_rank AS INTEGER) AS human_rank
+FROM dg JOIN cand c ON c.source_id = dg.source_id AND c.position = d1 % dg.n_candidates + 1
+LEFT JOIN ranks r ON r.source_id = c.source_id AND r.human_score = c.human_score
+WHERE d1 <> 15""")
+def q_winner_rank(spark, sf_dir):
+    cand, ranks, replies = listwise(spark, sf_dir)
+    w = RK.winner_rank(replies.select("source_id", F.col("winner_reply").alias("response")), cand, ranks)
+    return w.select("source_id", "position", "translation_id", F.col("human_rank").cast("int").alias("human_rank"))
+
+
+@query("ranking_list_ranks", LISTWISE_SQL + """,
+lst AS (SELECT source_id, 1 AS list_pos, d2 % n_candidates + 1 AS position FROM dg
+        UNION ALL SELECT source_id, 2, d3 % n_candidates + 1 FROM dg
+        UNION ALL SELECT source_id, 3, CASE WHEN d4 = 0 THEN NULL ELSE d4 % n_candidates + 1 END FROM dg)
+SELECT lst.source_id, CAST(lst.list_pos AS INTEGER) AS list_pos, CAST(lst.position AS INTEGER) AS position,
+       c.translation_id, CAST(r.human_rank AS INTEGER) AS human_rank
+FROM lst JOIN cand c ON c.source_id = lst.source_id AND c.position = lst.position
+LEFT JOIN ranks r ON r.source_id = c.source_id AND r.human_score = c.human_score
+WHERE lst.position IS NOT NULL""")
+def q_ranking_list_ranks(spark, sf_dir):
+    cand, ranks, replies = listwise(spark, sf_dir)
+    r = RK.ranking_list_ranks(replies.select("source_id", F.col("ranking_reply").alias("response")), cand, ranks, n=3)
+    return r.select("source_id", "list_pos", "position", "translation_id",
+                    F.col("human_rank").cast("int").alias("human_rank"))

@@ -7,6 +7,7 @@ def test_entry_and_registry(spark):
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
     assert set(qs) - set(sql) == {"edit_distance"}
+    assert len(qs) >= 62
 
 
 def test_every_query_runs_on_smoke_data(spark):
