@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.templates import render
+from ..functions.templates import render, template_parts
 from ..functions.text import group_key, py_strip, valid_sentence
 from .ordering import rank_by_hash, seeded_hash
 
@@ -95,7 +95,8 @@ def candidate_pairs(items: DataFrame, min_diff: float = 1.0, translation: bool =
     if translation:
         base = base.filter(F.col("english_sentence") != "")
     cells = _cells(base, keys, block_rows)
-    carried = ("id", "ord", "sentence", "score", "_blk") + (("inert",) if "inert" in items.columns else ())
+    cells = cells.withColumn("slen", F.length("sentence"))
+    carried = ("id", "ord", "sentence", "slen", "score", "_blk") + (("inert",) if "inert" in items.columns else ())
     a = cells.select(*[F.col(c).alias(c) for c in keys], "_lo", "_hi",
                      *[F.col(c).alias(f"a_{c}") for c in carried])
     b = cells.select(*[F.col(c).alias(f"b_{c}") for c in keys], F.col("_lo").alias("b_lo"), F.col("_hi").alias("b_hi"),
@@ -113,6 +114,7 @@ def candidate_pairs(items: DataFrame, min_diff: float = 1.0, translation: bool =
         pick("a_id", "b_id").alias("better_id"), pick("b_id", "a_id").alias("worse_id"),
         pick("a_sentence", "b_sentence").alias("better_sentence"),
         pick("b_sentence", "a_sentence").alias("worse_sentence"),
+        pick("a_slen", "b_slen").alias("better_len"), pick("b_slen", "a_slen").alias("worse_len"),
         pick("a_score", "b_score").alias("better_score"), pick("b_score", "a_score").alias("worse_score"),
     ]
     if "inert" in carried:
@@ -154,8 +156,23 @@ def preference_pairs(items: DataFrame, min_diff: float = 1.0, seed: int = 42,
         slots["english_sentence"] = F.col("english_sentence")
     prompt = None
     chosen = None
+    plen = None
     for i, t in enumerate(templates):
         p = py_strip(render(t, slots))
+        # prompt length without building the prompt: exact when the template's literal
+        # text starts and ends with non-whitespace (sentences are already stripped), so
+        # the F5 filter does not force prompt construction where the prompt is unused
+        lits = "".join(lit for lit, _ in template_parts(t))
+        n_slots = [f for _, f in template_parts(t) if f is not None]
+        if t and not t[0].isspace() and not t[-1].isspace() and "{" not in t[:1] and "}" not in t[-1:]:
+            lens = {"sentence_a": F.when(a_first, F.col("better_len")).otherwise(F.col("worse_len")),
+                    "sentence_b": F.when(a_first, F.col("worse_len")).otherwise(F.col("better_len"))}
+            ln = F.lit(len(lits))
+            for f in n_slots:
+                ln = ln + (lens[f] if f in lens else F.length(slots[f]))
+        else:
+            ln = F.length(p)
+        plen = F.when(tix == i, ln) if plen is None else plen.when(tix == i, ln)
         good, bad = ("1", "2") if is_numbered(t) else ("A", "B")
         c = F.when(a_first, F.lit(good)).otherwise(F.lit(bad))
         prompt = F.when(tix == i, p) if prompt is None else prompt.when(tix == i, p)
@@ -168,8 +185,8 @@ def preference_pairs(items: DataFrame, min_diff: float = 1.0, seed: int = 42,
                 .withColumn("a_first", a_first)
                 .withColumn("template_idx", tix))
     # F5 (prompt length) and F4 (two messages each, by construction)
-    out = out.filter(F.length("prompt") >= MIN_PROMPT_CHARS)
-    return out.drop("_h", "better_sentence", "worse_sentence", "first_id", "second_id")
+    out = out.filter(plen >= MIN_PROMPT_CHARS)
+    return out.drop("_h", "better_sentence", "worse_sentence", "better_len", "worse_len", "first_id", "second_id")
 
 
 def as_messages(df: DataFrame) -> DataFrame:
