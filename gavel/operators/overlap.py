@@ -42,10 +42,17 @@ def _word_gram_at(t: Column, n: int):
     return lambda i: F.struct(F.lit(n).alias("_ord"), F.array_join(F.slice(t, i, F.lit(n)), " ").alias("_gram"))
 
 
+def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-spread the texts by key before an n-gram explosion (about orders x length
+    rows per text): a small or unsplittable input file would otherwise explode in one task."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def _char_grams(df: DataFrame, keys: list[str], text: str, orders: int) -> DataFrame:
     # project the cleaned text once: inside the lambdas it must be a column reference,
     # not an expression that would be re-evaluated for every position
-    df = df.select(*keys, strip_ws_all(text).alias("_s"))
+    df = _spread(df.select(*keys, strip_ws_all(text).alias("_s")), keys)
     s = F.col("_s")
     per_order = []
     for n in range(1, orders + 1):
@@ -81,7 +88,7 @@ def _tokens(text: str) -> Column:
 
 
 def _word_grams(df: DataFrame, keys: list[str], text: str, orders: int) -> DataFrame:
-    df = df.select(*keys, _tokens(text).alias("_t"))
+    df = _spread(df.select(*keys, _tokens(text).alias("_t")), keys)
     t = F.col("_t")
     per_order = []
     for n in range(1, orders + 1):

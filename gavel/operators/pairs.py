@@ -94,8 +94,8 @@ def candidate_pairs(items: DataFrame, min_diff: float = 1.0, translation: bool =
     base = items
     if translation:
         base = base.filter(F.col("english_sentence") != "")
-    cells = _cells(base, keys, block_rows)
-    cells = cells.withColumn("slen", F.length("sentence"))
+    # the length travels as its own column so the text itself can be pruned where unused
+    cells = _cells(base.withColumn("slen", F.length("sentence")), keys, block_rows)
     carried = ("id", "ord", "sentence", "slen", "score", "_blk") + (("inert",) if "inert" in items.columns else ())
     a = cells.select(*[F.col(c).alias(c) for c in keys], "_lo", "_hi",
                      *[F.col(c).alias(f"a_{c}") for c in carried])
