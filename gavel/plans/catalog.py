@@ -904,13 +904,14 @@ VOTE_REPEAT = 2
 VOTE_REPLIES = ["A", " b ", "equal", "tie", "B", "a\n", "unclear", "<winner>b</winner>"]
 
 
-def rating_pairs(spark, sf_dir) -> DataFrame:
+def rating_pairs(spark, sf_dir, with_text: bool = True) -> DataFrame:
     items, _ = doc_items(spark, sf_dir)
     c = P.candidate_pairs(items, min_diff=0.0)
+    text = (lambda col: F.col(col)) if with_text else (lambda col: F.lit(None).cast("string"))
     return c.select(F.concat_ws(":", "first_id", "second_id").alias("pair_id"),
                     F.col("group_key").alias("source_id"),
                     F.col("worse_id").alias("translation_id_1"), F.col("better_id").alias("translation_id_2"),
-                    F.col("worse_sentence").alias("translation_1"), F.col("better_sentence").alias("translation_2"),
+                    text("worse_sentence").alias("translation_1"), text("better_sentence").alias("translation_2"),
                     F.col("worse_score").alias("human_score_1"), F.col("better_score").alias("human_score_2"))
 
 
@@ -925,9 +926,13 @@ def judge_votes(pairs: DataFrame, repeat: int = VOTE_REPEAT) -> DataFrame:
     return v.withColumn("response", reply)
 
 
-def rated(spark, sf_dir) -> DataFrame:
-    pairs = rating_pairs(spark, sf_dir)
-    return RK.pair_ratings(judge_votes(pairs), pairs, VOTE_REPEAT)
+def rated(spark, sf_dir, with_text: bool = False, reused: bool = False) -> DataFrame:
+    """Rated pairs; pair texts are kept only when asked for. A query that reads them
+    more than once gets them computed once (reliable checkpoint)."""
+    from ..operators.ordering import materialize
+    pairs = rating_pairs(spark, sf_dir, with_text)
+    r = RK.pair_ratings(judge_votes(pairs), pairs, VOTE_REPEAT)
+    return materialize(r) if reused else r
 
 
 _REPLY_LIST_SQL = "[" + ", ".join(sql_literal(x).replace("\n", "' || chr(10) || '") for x in VOTE_REPLIES) + "]"
@@ -1006,7 +1011,7 @@ def q_win_loss(spark, sf_dir):
   CAST(hr.human_rank AS INTEGER) AS human_rank
 FROM best b LEFT JOIN hr ON b.source_id = hr.source_id AND b.human_score = hr.human_score WHERE b.position <= 3""")
 def q_top_n_rank(spark, sf_dir):
-    r = rated(spark, sf_dir)
+    r = rated(spark, sf_dir, reused=True)
     t = RK.top_n_human_rank(RK.win_loss(r), r, 3, best=True)
     return t.select("source_id", "translation_id", "position", "human_rank")
 
@@ -1015,7 +1020,7 @@ def q_top_n_rank(spark, sf_dir):
   CAST(hr.human_rank AS INTEGER) AS human_rank
 FROM worst b LEFT JOIN hr ON b.source_id = hr.source_id AND b.human_score = hr.human_score WHERE b.position <= 3""")
 def q_bottom_n_rank(spark, sf_dir):
-    r = rated(spark, sf_dir)
+    r = rated(spark, sf_dir, reused=True)
     t = RK.top_n_human_rank(RK.win_loss(r), r, 3, best=False)
     return t.select("source_id", "translation_id", "position", "human_rank")
 
@@ -1026,7 +1031,7 @@ top1 AS (SELECT hr.human_rank FROM best b JOIN hr ON b.source_id = hr.source_id
 SELECT CAST(g.v AS INTEGER) AS value, coalesce(c.n, 0) AS n FROM range(1, 6) g(v)
 LEFT JOIN (SELECT human_rank AS v, count(*) AS n FROM top1 WHERE human_rank BETWEEN 1 AND 5 GROUP BY 1) c USING (v)""")
 def q_rank_histogram(spark, sf_dir):
-    r = rated(spark, sf_dir)
+    r = rated(spark, sf_dir, reused=True)
     t = RK.top_n_human_rank(RK.win_loss(r), r, 1, best=True)
     return M.integer_histogram(t, "human_rank", 1, 5)
 
