@@ -116,3 +116,30 @@ def group_key(c) -> Column:
 def strip_ws_all(c) -> Column:
     """Remove every whitespace character (used by the character n-gram score)."""
     return F.regexp_replace(col_(c), WS_CLASS, "")
+
+
+def message_text(messages, prompt) -> Column:
+    """The text to score: the first message's content, else the prompt (null = skip)."""
+    first = F.try_element_at(col_(messages), F.lit(1))
+    return F.coalesce(first["content"], col_(prompt))
+
+
+def map_scalar_or_list(c, fn) -> Column:
+    """Apply a Column function to each element of an array column, or to a scalar.
+
+    The decision is made from the column's type when the plan is built (``fn`` takes
+    and returns a Column); use :func:`map_scalar_or_list_df` to name the new column."""
+    return fn(col_(c))
+
+
+def map_scalar_or_list_df(df, col: str, fn, suffix: str = "_mt-translated"):
+    """X36 on a DataFrame: ``<col><suffix>`` holds ``fn`` applied to the value, or to every
+    element (order kept) when the column is an array. Every mapped column is renamed
+    (the reference renamed only the last one)."""
+    from pyspark.sql import types as T
+    dtype = df.schema[col].dataType
+    if isinstance(dtype, T.ArrayType):
+        out = F.transform(F.col(col), lambda x: fn(x))
+    else:
+        out = fn(F.col(col))
+    return df.withColumn(col + suffix, out)

@@ -230,3 +230,43 @@ def row_mean(cols: list) -> Column:
 def match_percentage(df: DataFrame, a: str, b: str) -> DataFrame:
     """Share of rows where the two labels agree, in percent."""
     return df.agg((F.avg((col_(a) == col_(b)).cast("double")) * 100).alias("match_pct"))
+
+
+def squared_errors(long: DataFrame, human: str, value: str) -> DataFrame:
+    """A10: squared error per row; null when the judge value did not parse."""
+    return long.withColumn("squared_error", F.pow(col_(human).cast("double") - col_(value).cast("double"), 2))
+
+
+def mse_by_model(long: DataFrame, keys: list[str], disagreements_only: bool = False) -> DataFrame:
+    """A10: mean squared error per model over parsed rows. ``disagreements_only``
+    reproduces the reference's mask (only rows with a non-zero error)."""
+    se = F.col("squared_error")
+    rows = long.filter(se.isNotNull())
+    if disagreements_only:
+        rows = rows.filter(se > 0)
+    return rows.groupBy(*keys).agg(F.avg(se).alias("mse"), F.count(F.lit(1)).alias("n"))
+
+
+def evaluable(df: DataFrame, top: str, answer: str, stored: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """F8: rows that can be evaluated (a non-empty top-logprob map or a stored prediction,
+    and an answer) plus a one-row processed / skipped count."""
+    has = (F.col(top).isNotNull() & (F.size(top) > 0))
+    if stored:
+        has = has | F.col(stored).isNotNull()
+    ok = has & F.col(answer).isNotNull()
+    counts = df.agg(F.count_if(ok).alias("processed"), F.count_if(~ok).alias("skipped"))
+    return df.filter(ok), counts
+
+
+def columns_by_suffix(df: DataFrame, suffixes: list[str]) -> DataFrame:
+    """the columns of a wide table whose name ends with one of the suffixes."""
+    pattern = "`.*(" + "|".join(s.replace(".", "\\.") for s in suffixes) + ")$`"
+    return df.select(df.colRegex(pattern))
+
+
+def union_long(frames: list[DataFrame]) -> DataFrame:
+    """Union per-model result tables by name into one long table (missing columns null)."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out

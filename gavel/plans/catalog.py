@@ -1397,3 +1397,24 @@ def q_ranking_list_ranks(spark, sf_dir):
     r = RK.ranking_list_ranks(replies.select("source_id", F.col("ranking_reply").alias("response")), cand, ranks, n=3)
     return r.select("source_id", "list_pos", "position", "translation_id",
                     F.col("human_rank").cast("int").alias("human_rank"))
+
+
+@query("mse_by_model", WIDE_SQL + """,
+se AS (SELECT split_part(col, '_', 1) AS model, split_part(col, '_', 2) AS method,
+              (CAST(w.m1_cot AS DOUBLE) - value) * (CAST(w.m1_cot AS DOUBLE) - value) AS squared_error
+       FROM long JOIN wide w USING (doc_id) WHERE col <> 'm1_cot')
+SELECT model, method, round(avg(squared_error), 9) AS mse, count(*) AS n,
+       round(avg(squared_error) FILTER (WHERE squared_error > 0), 9) AS mse_disagreements
+FROM se WHERE squared_error IS NOT NULL GROUP BY 1, 2""")
+def q_mse_by_model(spark, sf_dir):
+    w = wide_scores(spark, sf_dir)
+    long = M.melt(w, ["doc_id", "m1_cot"], [c for c in MELT_COLS if c != "m1_cot"], "col", "value")
+    long = long.select(F.split_part("col", F.lit("_"), F.lit(1)).alias("model"),
+                       F.split_part("col", F.lit("_"), F.lit(2)).alias("method"), "m1_cot", "value")
+    se = M.squared_errors(long, "m1_cot", "value")
+    a = M.mse_by_model(se, ["model", "method"])
+    b = M.mse_by_model(se, ["model", "method"], disagreements_only=True).select(
+        "model", "method", F.col("mse").alias("mse_disagreements"))
+    out = a.join(b, ["model", "method"], "left")
+    return out.select("model", "method", R9(F.col("mse")).alias("mse"), "n",
+                      R9(F.col("mse_disagreements")).alias("mse_disagreements"))

@@ -84,7 +84,7 @@ def nested_section(df: DataFrame, language: str, sections: str = "languages") ->
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
     """A whole file as one string (e.g. the instruction prompt)."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
 
 
 # ------------------------------------------------------------------ sinks ---------
