@@ -667,7 +667,7 @@ prompts AS (
 """
 
 
-@query("batch_prompts", PROMPT_SQL + """SELECT batch_id, prompt, n_items, CAST(length(prompt) // 4 AS BIGINT) AS estimated_tokens,
+@query("batch_prompts", PROMPT_SQL + """SELECT batch_id, prompt, CAST(n_items AS INTEGER) AS n_items, CAST(length(prompt) // 4 AS BIGINT) AS estimated_tokens,
   was_split FROM prompts""")
 def q_batch_prompts(spark, sf_dir):
     b = task_batches(spark, sf_dir)
@@ -852,7 +852,7 @@ smp AS (
   SELECT c.*, qt.q, row_number() OVER (PARTITION BY c.lang, c.doc_id
                                        ORDER BY {md5_key_sql('c.doc_id', 'c.pos', seed=SEED)}, c.doc_id, c.pos) AS rn
   FROM ctxp c JOIN qt USING (lang)),
-sampled AS (SELECT *, length(paragraph) AS lenght FROM smp WHERE rn <= q),
+sampled AS (SELECT *, CAST(length(paragraph) AS INTEGER) AS lenght FROM smp WHERE rn <= q),
 bounds AS (SELECT quantile_cont(lenght, 0.02) AS lo, quantile_cont(lenght, 0.98) AS hi FROM sampled),
 band AS (SELECT s.* FROM sampled s, bounds b WHERE s.lenght > b.lo AND s.lenght < b.hi),
 al AS (SELECT u.conv_id, u.text AS src, a.text AS tgt FROM conversations u JOIN conversations a
