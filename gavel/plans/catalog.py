@@ -894,7 +894,7 @@ def q_sampled_prompts(spark, sf_dir):
 
 
 # ---------------------------------------------------------------------------------
-# notebook path: pairs -> swap-debiased votes -> win/loss -> top-n -> human rank
+# pairwise judging: pairs -> swap-debiased votes -> win/loss -> top-n -> human rank
 # ---------------------------------------------------------------------------------
 from ..operators import ranking as RK  # noqa: E402
 
@@ -1418,3 +1418,46 @@ def q_mse_by_model(spark, sf_dir):
     out = a.join(b, ["model", "method"], "left")
     return out.select("model", "method", R9(F.col("mse")).alias("mse"), "n",
                       R9(F.col("mse_disagreements")).alias("mse_disagreements"))
+
+
+# ---------------------------------------------------------------------------------
+# verdicts attached by index (J5, X30, X31), resume merge (J10), reference lists
+# ---------------------------------------------------------------------------------
+from ..operators.lookup import attach_answers  # noqa: E402
+
+
+@query("verdict_match", """WITH v AS (SELECT doc_id AS idx, CASE WHEN quality = 1 THEN 'B' ELSE 'A' END AS winner FROM labels),
+d AS (SELECT doc_id, CASE WHEN substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) < '8' THEN 'B' ELSE 'A' END AS expected FROM documents)
+SELECT d.doc_id, d.expected, v.winner, (trim(v.winner, """ + WS_SQL + """) = d.expected) AS correct
+FROM d LEFT JOIN v ON v.idx = d.doc_id""")
+def q_verdict_match(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels")
+    verdicts = lab.select(F.col("doc_id").alias("idx"), F.when(F.col("quality") == 1, "B").otherwise("A").alias("winner"))
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1) < "8").alias("edited_second"))
+    d = d.withColumn("expected", V.edited_side("edited_second"))
+    j = attach_answers(d, "doc_id", verdicts)
+    return j.select("doc_id", "expected", "winner", V.verdict_matches("winner", F.col("expected")).alias("correct"))
+
+
+@query("resume_merge", REPLY_SQL + """SELECT p.id, r.output, CASE WHEN r.output IS NULL THEN 'todo' ELSE 'done' END AS state
+FROM (SELECT DISTINCT id FROM packed) p
+LEFT JOIN (SELECT id, any_value(output) AS output FROM results WHERE output IS NOT NULL GROUP BY id) r USING (id)""")
+def q_resume_merge(spark, sf_dir):
+    items = task_items(spark, sf_dir).select("id").distinct()
+    done, todo = RS.merge_previous(items, task_results(spark, sf_dir), "id", "output")
+    return (done.withColumn("state", F.lit("done")).unionByName(todo.withColumn("state", F.lit("todo")))
+                .select("id", "output", "state"))
+
+
+@query("reference_lists", """WITH refs AS (SELECT DISTINCT conv_id AS source_id, text AS reference FROM conversations
+                                 WHERE role = 'user' AND text IS NOT NULL),
+tg AS (SELECT DISTINCT conv_id AS source_id, text AS target FROM conversations WHERE turn = 1 AND text IS NOT NULL)
+SELECT source_id, reference FROM refs
+UNION ALL
+SELECT source_id, target FROM tg WHERE NOT EXISTS (SELECT 1 FROM refs WHERE refs.source_id = tg.source_id AND refs.reference = tg.target)""")
+def q_reference_lists(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").filter(F.col("text").isNotNull())
+    refs = c.filter(F.col("role") == "user").select(F.col("conv_id").alias("source_id"), F.col("text").alias("reference"))
+    tg = c.filter(F.col("turn") == 1).select(F.col("conv_id").alias("source_id"), F.col("text").alias("target"))
+    return RK.references_long(refs, tg).select("source_id", "reference")
