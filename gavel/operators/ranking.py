@@ -31,6 +31,21 @@ def pair_ratings(votes: DataFrame, pairs: DataFrame, repeat: int) -> DataFrame:
                .drop("_corr", "_trans"))
 
 
+def pair_ratings_inline(pairs: DataFrame, replies_col: str, repeat: int) -> DataFrame:
+    """A19 when the replies sit on the pair row (e.g. the injected scorer's output as an
+    array of struct(repeat, swapped, response)): the points are folded inside the row,
+    so no shuffle and no join back to the pairs."""
+    # a pair has 2 * repeat replies: the sum is unrolled over the positions so it stays
+    # in generated code (a lambda fold would be interpreted); missing replies count 0
+    corr = F.lit(0.0)
+    for i in range(2 * repeat):
+        v = F.try_element_at(F.col(replies_col), F.lit(i + 1))
+        corr = corr + F.coalesce(vote_points(v["response"], v["swapped"])["corr"], F.lit(0.0))
+    score = corr / F.lit(2.0 * repeat)
+    return (pairs.withColumn("model_preference_score", score)
+                 .withColumn("model_agrees", F.col("model_preference_score") > 0.5))
+
+
 def three_way_verdict(votes: DataFrame, tie_words=("equal",)) -> DataFrame:
     """Better / worse / equal for the correction from the same vote sums."""
     pts = votes.select("pair_id", vote_points("response", "swapped", tie_words, winner_tag=False).alias("p"))

@@ -915,15 +915,26 @@ def rating_pairs(spark, sf_dir, with_text: bool = True) -> DataFrame:
                     F.col("worse_score").alias("human_score_1"), F.col("better_score").alias("human_score_2"))
 
 
+def _judge_reply(pair_id, rep, swapped) -> F.Column:
+    h = F.md5(F.concat_ws("|", pair_id, rep.cast("string"), swapped.cast("string"), F.lit(str(SEED))))
+    ix = F.conv(F.substring(h, 1, 1), 16, 10).cast("int") % len(VOTE_REPLIES)
+    return F.element_at(F.array(*[F.lit(x) for x in VOTE_REPLIES]), ix + 1)
+
+
 def judge_votes(pairs: DataFrame, repeat: int = VOTE_REPEAT) -> DataFrame:
+    """Long replies table (pair_id, repeat, swapped, response)."""
     combos = F.array(*[F.struct(F.lit(r).alias("repeat"), F.lit(s).alias("swapped"))
                        for r in range(1, repeat + 1) for s in (False, True)])
     v = pairs.select("pair_id", F.inline(combos))
-    h = F.md5(F.concat_ws("|", F.col("pair_id"), F.col("repeat").cast("string"), F.col("swapped").cast("string"),
-                          F.lit(str(SEED))))
-    ix = F.conv(F.substring(h, 1, 1), 16, 10).cast("int") % len(VOTE_REPLIES)
-    reply = F.element_at(F.array(*[F.lit(x) for x in VOTE_REPLIES]), ix + 1)
-    return v.withColumn("response", reply)
+    return v.withColumn("response", _judge_reply(F.col("pair_id"), F.col("repeat"), F.col("swapped")))
+
+
+def judge_replies_inline(pairs: DataFrame, repeat: int = VOTE_REPEAT) -> DataFrame:
+    """The same replies as an array on each pair row (how a scorer returns them)."""
+    reps = [F.struct(F.lit(r).alias("repeat"), F.lit(s).alias("swapped"),
+                     _judge_reply(F.col("pair_id"), F.lit(r), F.lit(s)).alias("response"))
+            for r in range(1, repeat + 1) for s in (False, True)]
+    return pairs.withColumn("replies", F.array(*reps))
 
 
 def rated(spark, sf_dir, with_text: bool = False, reused: bool = False) -> DataFrame:
@@ -931,7 +942,7 @@ def rated(spark, sf_dir, with_text: bool = False, reused: bool = False) -> DataF
     more than once gets them computed once (reliable checkpoint)."""
     from ..operators.ordering import materialize
     pairs = rating_pairs(spark, sf_dir, with_text)
-    r = RK.pair_ratings(judge_votes(pairs), pairs, VOTE_REPEAT)
+    r = RK.pair_ratings_inline(judge_replies_inline(pairs), "replies", VOTE_REPEAT).drop("replies")
     return materialize(r) if reused else r
 
 

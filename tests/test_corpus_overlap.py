@@ -130,3 +130,16 @@ def test_win_loss_and_ranks(spark):
     assert wl == {"t1": (1, 1, 0.5), "t2": (1, 1, 0.5), "t3": (1, 1, 0.5)}
     top = RK.top_n_human_rank(RK.win_loss(ratings), ratings, 1).collect()
     assert [(r.translation_id, r.human_rank) for r in top] == [("t1", 3)]
+
+
+def test_pair_ratings_long_and_inline_agree(spark):
+    pairs = spark.createDataFrame([("p1", "s", "a", "b", 1.0, 3.0), ("p2", "s", "a", "c", 1.0, 5.0)],
+                                  "pair_id string, source_id string, translation_id_1 string, translation_id_2 string, "
+                                  "human_score_1 double, human_score_2 double")
+    votes = spark.createDataFrame([("p1", 1, False, "B"), ("p1", 1, True, "a"), ("p2", 1, False, "tie"),
+                                   ("p2", 1, True, "b")], "pair_id string, repeat int, swapped boolean, response string")
+    long = {r.pair_id: r.model_preference_score for r in RK.pair_ratings(votes, pairs, 1).collect()}
+    arr = votes.groupBy("pair_id").agg(F.collect_list(F.struct("repeat", "swapped", "response")).alias("replies"))
+    inline = {r.pair_id: r.model_preference_score
+              for r in RK.pair_ratings_inline(pairs.join(arr, "pair_id"), "replies", 1).collect()}
+    assert long == inline == {"p1": 1.0, "p2": 0.25}
