@@ -38,14 +38,18 @@ def _offsets(counts: DataFrame, key: str, n_col: str, off_col: str) -> DataFrame
 
 
 def rank_by_hash(df: DataFrame, hash_col: str, tie_cols: list[str], name: str = "rank",
-                 digits: int = 3) -> DataFrame:
-    """Exact row_number() over (order by hash_col, tie_cols) without a one-task window."""
+                 digits: int = 3, total_col: str | None = None) -> DataFrame:
+    """Exact row_number() over (order by hash_col, tie_cols) without a one-task window.
+    ``total_col`` also attaches the row count (summed from the same bucket counts)."""
     b = "_rbh_bucket"
     with_b = df.withColumn(b, F.substring(F.col(hash_col), 1, digits))
     w = Window.partitionBy(b).orderBy(F.col(hash_col), *[F.col(c) for c in tie_cols])
     local = with_b.withColumn("_rbh_local", F.row_number().over(w))
     counts = with_b.groupBy(b).agg(F.count(F.lit(1)).alias("_rbh_n"))
     offs = _offsets(counts, b, "_rbh_n", "_rbh_off")
+    if total_col:
+        w_all = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        offs = offs.join(counts, b).withColumn(total_col, F.sum("_rbh_n").over(w_all)).drop("_rbh_n")
     # at most 16**digits rows: a proven bound, so broadcasting is safe
     out = local.join(F.broadcast(offs), b)
     return out.withColumn(name, (F.col("_rbh_off") + F.col("_rbh_local")).cast("long")).drop(

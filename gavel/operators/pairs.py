@@ -211,11 +211,9 @@ def group_split(pairs: DataFrame, seed: int = 42, train_share: float = 0.8,
     """Leak-free split. Groups that produced pairs are ordered by md5(group | seed);
     the first floor(share * G) groups are train, the rest test; pairs follow their group."""
     groups = pairs.select(group_col).distinct().withColumn("_gh", seeded_hash(group_col, seed=seed))
-    ranked = rank_by_hash(groups, "_gh", [group_col], "_grank")
-    total = groups.agg(F.count(F.lit(1)).alias("_gn"))
+    ranked = rank_by_hash(groups, "_gh", [group_col], "_grank", total_col="_gn")
     cut = F.floor(F.lit(train_share) * F.col("_gn"))
-    labelled = (ranked.crossJoin(F.broadcast(total))  # one row
-                      .select(group_col, F.when(F.col("_grank") <= cut, "train").otherwise("test").alias(split_col)))
+    labelled = ranked.select(group_col, F.when(F.col("_grank") <= cut, "train").otherwise("test").alias(split_col))
     return pairs.join(labelled, group_col)
 
 
