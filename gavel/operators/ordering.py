@@ -31,10 +31,13 @@ def seeded_hash(*cols, seed: int | str = 42) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
-def _offsets(counts: DataFrame, key: str, n_col: str, off_col: str) -> DataFrame:
+def _offsets(counts: DataFrame, key: str, n_col: str, off_col: str, total_col: str | None = None) -> DataFrame:
     # ``counts`` has one row per bucket/partition (bounded), so a global window is fine.
     w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(key, F.coalesce(F.sum(n_col).over(w), F.lit(0)).alias(off_col))
+    cols = [key, F.coalesce(F.sum(n_col).over(w), F.lit(0)).alias(off_col)]
+    if total_col:
+        cols.append(F.sum(n_col).over(Window.partitionBy(F.lit(1))).alias(total_col))
+    return counts.select(*cols)
 
 
 def rank_by_hash(df: DataFrame, hash_col: str, tie_cols: list[str], name: str = "rank",
@@ -46,10 +49,7 @@ def rank_by_hash(df: DataFrame, hash_col: str, tie_cols: list[str], name: str =
     w = Window.partitionBy(b).orderBy(F.col(hash_col), *[F.col(c) for c in tie_cols])
     local = with_b.withColumn("_rbh_local", F.row_number().over(w))
     counts = with_b.groupBy(b).agg(F.count(F.lit(1)).alias("_rbh_n"))
-    offs = _offsets(counts, b, "_rbh_n", "_rbh_off")
-    if total_col:
-        w_all = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        offs = offs.join(counts, b).withColumn(total_col, F.sum("_rbh_n").over(w_all)).drop("_rbh_n")
+    offs = _offsets(counts, b, "_rbh_n", "_rbh_off", total_col)
     # at most 16**digits rows: a proven bound, so broadcasting is safe
     out = local.join(F.broadcast(offs), b)
     return out.withColumn(name, (F.col("_rbh_off") + F.col("_rbh_local")).cast("long")).drop(
