@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.templates import render_sql
@@ -674,7 +674,19 @@ def q_batch_prompts(spark, sf_dir):
     return b.select("batch_id", "prompt", F.size("item_ids").alias("n_items"), "estimated_tokens", "was_split")
 
 
-REPLY_SQL = PROMPT_SQL + """,
+def _trim(x: str) -> str:
+    return strip_sql(x)
+
+
+def _untag(x: str) -> str:
+    return f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+
+
+def _cut500(x: str) -> str:
+    return f"(CASE WHEN length({x}) > 500 THEN substr({x}, 1, 500) || '...' ELSE {x} END)"
+
+
+REPLY_SQL = PROMPT_SQL + f""",
 pieces AS (
   SELECT batch_id, position, safe, id, text, substr(md5(id), 1, 1) AS d,
          CAST(1 + length(text) % 5 AS VARCHAR) AS score FROM packed),
@@ -699,11 +711,11 @@ m3 AS (
          has_block AND regexp_matches(block, '(?s)<reason>.*?</reason>') AS has_r FROM m2),
 m4 AS (
   SELECT *,
-    CASE WHEN has_o THEN TRIMWS(regexp_replace(regexp_extract(block, '(?s)<o>(.*?)</o>', 1), '<[^>]*>', '', 'g')) END AS l1_out,
-    CASE WHEN has_r THEN CUT500(TRIMWS(regexp_replace(regexp_extract(block, '(?s)<reason>(.*?)</reason>', 1), '<[^>]*>', '', 'g')))
+    CASE WHEN has_o THEN {_trim(_untag("regexp_extract(block, '(?s)<o>(.*?)</o>', 1)"))} END AS l1_out,
+    CASE WHEN has_r THEN {_cut500(_trim(_untag("regexp_extract(block, '(?s)<reason>(.*?)</reason>', 1)")))}
          WHEN has_o THEN 'No reason provided' END AS l1_reason,
-    CASE WHEN has_strict THEN TRIMWS(regexp_extract(response, strict_pat, 1)) END AS l2_out,
-    CASE WHEN has_strict THEN CUT500(TRIMWS(regexp_extract(response, strict_pat, 2))) END AS l2_reason
+    CASE WHEN has_strict THEN {_trim('regexp_extract(response, strict_pat, 1)')} END AS l2_out,
+    CASE WHEN has_strict THEN {_cut500(_trim('regexp_extract(response, strict_pat, 2)'))} END AS l2_reason
   FROM m3),
 lv AS (SELECT batch_id, bool_and(l1_out IS NOT NULL) AS level1 FROM m4 GROUP BY batch_id),
 results AS (
@@ -714,35 +726,6 @@ results AS (
          'judge-x' AS model_name
   FROM m4 JOIN lv USING (batch_id))
 """
-REPLY_SQL = REPLY_SQL.replace("TRIMWS(", "trim(" + "").replace("CUT500(", "cut500(")
-
-
-def _fix_reply_sql(sql: str) -> str:
-    # expand the two helper "macros" used above into plain SQL
-    import re as _re
-
-    def expand(name, fn, s):
-        out, i = [], 0
-        while True:
-            j = s.find(name + "(", i)
-            if j < 0:
-                out.append(s[i:])
-                return "".join(out)
-            out.append(s[i:j])
-            k, depth = j + len(name) + 1, 1
-            while depth:
-                depth += {"(": 1, ")": -1}.get(s[k], 0)
-                k += 1
-            inner = expand(name, fn, s[j + len(name) + 1:k - 1])
-            out.append(fn(inner))
-            i = k
-    sql = expand("trim", lambda x: f"trim({x}, {WS_SQL})" if ", " + WS_SQL not in x else f"trim({x})", sql)
-    sql = expand("cut500", lambda x: f"(CASE WHEN length({x}) > 500 THEN substr({x}, 1, 500) || '...' ELSE {x} END)", sql)
-    del _re
-    return sql
-
-
-REPLY_SQL = _fix_reply_sql(REPLY_SQL)
 
 
 @query("parse_output_tags", REPLY_SQL + "SELECT id, input, output, reason, model_name FROM results")
@@ -1355,8 +1338,7 @@ def listwise(spark, sf_dir):
     cand = RK.candidate_positions(cand)
     ranks = (cand.select("source_id", "human_score").distinct()
                  .withColumn("human_rank", F.dense_rank().over(
-                     __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("source_id")
-                     .orderBy(F.col("human_score").desc()))))
+                     Window.partitionBy("source_id").orderBy(F.col("human_score").desc()))))
     # one reply per source, derived from the source's md5 digits and its candidate count
     src = cand.select("source_id", "n_candidates").distinct()
     h = F.md5(F.concat_ws("|", "source_id", F.lit(str(SEED))))
