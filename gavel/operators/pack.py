@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.templates import render
 from ..functions.text import col_, item_tokens, py_strip, tag_safe_id
 from .ordering import global_rank
 
@@ -106,14 +107,12 @@ def batch_prompts(packed: DataFrame, instruction: str, kind: str = "task", model
     per = m.groupBy("batch_id").agg(
         F.sort_array(F.collect_list(F.struct("position", "tag", "id", "text"))).alias("members"),
         F.first("was_split").alias("was_split"))
-    line = lambda x: F.concat(F.lit("<id"), x["tag"], F.lit(">"), x["text"], F.lit("</id"), x["tag"], F.lit(">\n"))
+    line = lambda x: render(ITEM_LINE, {"id": x["tag"], "text": x["text"]})
     if kind == "task":
-        skel = lambda x: F.concat(F.lit("<id"), x["tag"], F.lit("><o>[score]</o><reason>[rationale]</reason></id"),
-                                  x["tag"], F.lit(">\n"))
+        skel = lambda x: render(TASK_SKELETON, {"id": x["tag"]})
         head, fmt = F.lit(instruction + "\n\n"), TASK_FORMAT_HEADER
     else:
-        skel = lambda x: F.concat(F.lit("<id"), x["tag"], F.lit("><score>[1-5]</score></id"), x["tag"],
-                                  F.lit(">\n[Brief rationale]\n\n"))
+        skel = lambda x: render(SCORE_SKELETON, {"id": x["tag"]})
         head, fmt = F.lit(instruction), SCORE_FORMAT_HEADER
     prompt = F.concat(head, F.array_join(F.transform("members", line), ""), F.lit(fmt),
                       F.array_join(F.transform("members", skel), ""))

@@ -35,9 +35,6 @@ TRANSLATION_PAIR_TEMPLATES = [
 MIN_PROMPT_CHARS = 50
 # --- end of fixed values ------------------------------------------------------------
 
-HEX = "0123456789abcdef"
-
-
 def is_numbered(template: str) -> bool:
     """A template is the numbered kind when it contains ``1.`` (the reference's test)."""
     return "1." in template
