@@ -127,7 +127,8 @@ def batch_prompts(packed: DataFrame, instruction: str, kind: str = "task", model
 def tag_collisions(items: DataFrame, id_col: str = "id") -> DataFrame:
     """Tag-safe ids shared by more than one original id (an error table)."""
     return (items.select(F.col(id_col).cast("string").alias("id"), tag_safe_id(id_col).alias("safe_id")).distinct()
-                 .groupBy("safe_id").agg(F.count(F.lit(1)).alias("n_ids"), F.sort_array(F.collect_set("id")).alias("ids"))
+                 .groupBy("safe_id").agg(F.count(F.lit(1)).alias("n_ids"), F.min("id").alias("first_id"),
+                                         F.max("id").alias("last_id"))
                  .filter(F.col("n_ids") > 1))
 
 

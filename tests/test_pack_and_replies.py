@@ -49,7 +49,8 @@ def test_prompts_and_collisions(spark):
     b = K.batch_prompts(packed, "Rate.", "task").first()
     assert b.prompt.startswith("Rate.\n\n<id1_2>a</id1_2>\n<id1_2>b</id1_2>\n<id3_4>c</id3_4>\n")
     assert b.item_ids == ["1_2", "1_2", "3_4"] and b.original_ids == ["1-2", "1_2", "3.4"]
-    assert K.tag_collisions(df).first().ids == ["1-2", "1_2"]
+    c = K.tag_collisions(df).first()
+    assert (c.n_ids, c.first_id, c.last_id) == (2, "1-2", "1_2")
 
 
 def test_task_reply_parsing(spark):
