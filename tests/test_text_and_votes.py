@@ -83,3 +83,11 @@ def test_compare_and_error_reduction(spark):
     got = df.select(V.compare_scores("n", "o"), TX.error_reduction("b", "w")).collect()
     assert [r[0] for r in got] == ["worse", "equal", "better"]
     assert [r[1] for r in got] == [0.5, None, 0.0]
+
+
+def test_small_scalar_helpers(spark):
+    df = spark.createDataFrame([("org/gpt4o_cot_scores", "3304-3-2", "A", "A", True)],
+                               "m string, i string, p string, t string, tie boolean")
+    r = df.select(TX.model_short_name("m"), TX.group_key("i"), V.correct_flag("p", "t"),
+                  V.correct_flag("p", "t", "tie")).first()
+    assert tuple(r) == ("gpt4o", "3304", True, False)
