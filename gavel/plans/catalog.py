@@ -125,9 +125,6 @@ def q_pair_counters(spark, sf_dir):
     return P.pair_counters(items, doc_pairs(spark, sf_dir))
 
 
-__all__ = ["QUERIES", "ORACLE", "sql_literal"]
-
-
 # ---------------------------------------------------------------------------------
 # Chat records (F3, X23, A1, L8) and the pair -> chat rewrite
 # ---------------------------------------------------------------------------------
