@@ -27,3 +27,23 @@ def test_every_row_is_good_or_rejected(spark):
     good, bad = P.prepare_items(docs, "doc_id", "text", "human_score", order_col="doc_id", group_col="grp")
     assert good.count() + bad.count() == docs.count()
     assert good.join(bad.select("doc_id"), good.id == bad.doc_id.cast("string"), "left_semi").count() == 0
+
+
+def test_pending_and_done_cover_all_items(spark):
+    from gavel.operators import resume as RS
+    items = C.task_items(spark, SMOKE).select("id")
+    done = RS.done_ids(C.task_results(spark, SMOKE), "id", "output")
+    pending = RS.pending_items(items, done).select("id")
+    finished = items.join(done, items.id == done._done_id, "left_semi").select("id")
+    assert pending.count() + finished.count() == items.count()
+    assert pending.intersect(finished).count() == 0
+
+
+def test_pack_preserves_order_and_membership(spark):
+    packed = C.packed_items(spark, SMOKE).orderBy("rank").collect()
+    assert [r.rank for r in packed] == list(range(1, len(packed) + 1))
+    ids = [r.id for r in packed]
+    assert sorted(ids) == sorted(r.id for r in C.task_items(spark, SMOKE).collect())
+    # batch numbers and positions never go backwards in input order
+    keys = [(r.batch_no, r.chunk, r.position) for r in packed]
+    assert keys == sorted(keys)
