@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 8_000_000
 MAX_BUCKETS = 300_000
+SALT = 8
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -60,9 +61,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node that has an edge (a, b): root is the least node joined to it.
 
     Alternating large-star and small-star rounds: each is a partial ``min`` per node, a join
-    back and a ``distinct``; a hot node is pre-aggregated, and its join is split by AQE.
-    The rounds end when no edge changes. Nothing but a row count and a sum reaches the driver.
+    back and a ``distinct``. A hot node's neighbours are salted over SALT join keys, which AQE
+    splits further. The rounds end when no edge changes; only a count and a sum of hashes
+    reach the driver.
     """
+    spread = F.array([F.lit(i) for i in range(SALT)])
+
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         if large:
             sides = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
@@ -70,7 +74,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         else:  # the larger node looks at its smaller neighbours
             sides = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = sides.join(least, "u")
+        out = (sides.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int"))
+               .join(least.withColumn("salt", F.explode(spread)), ["u", "salt"]))
         if large:
             new = out.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:

@@ -181,3 +181,17 @@ def _short(h: np.ndarray) -> int:
         for v in h:
             x = x * GOLDEN + v
     return int(mix(np.array([x]))[0])
+
+
+def grams_of_rows(x: np.ndarray) -> np.ndarray:
+    """One hash for each row of a matrix."""
+    out = x[:, 0].copy()
+    for j in range(1, x.shape[1]):
+        out = mix(out * GOLDEN + x[:, j])
+    return out
+
+
+def set_key(x: np.ndarray) -> str:
+    """128-bit name of a sorted set of hashes."""
+    from hashlib import blake2b
+    return blake2b(x.tobytes(), digest_size=16).hexdigest()

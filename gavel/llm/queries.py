@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gavel.llm.ngram_join import near_duplicates
 from gavel.llm.substring_dedup import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query("op4_substring_dedup", r"""
 WITH d AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+  SELECT doc_id, [x for x in string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] AS w FROM documents
 ), win AS (
   SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)
@@ -37,8 +38,7 @@ WITH d AS (
 ), g AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id
 ), kept AS (
   SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
-         list_filter(list_transform(w, (x, i) -> CASE WHEN list_contains(coalesce(gone, []), i) THEN NULL ELSE x END),
-                     x -> x IS NOT NULL) AS kept
+         [x for x, i in w if NOT list_contains(coalesce(gone, []), i)] AS kept
   FROM d LEFT JOIN g USING (doc_id)
 )
 SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM kept
@@ -46,3 +46,8 @@ SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sh
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"), min_words=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op7_ngram_jaccard_join")
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=5, threshold=0.8, recall=0.999)
