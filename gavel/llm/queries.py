@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gavel.llm.mixing import mix_sources
 from gavel.llm.ngram_join import near_duplicates
 from gavel.llm.substring_dedup import remove_repeats
 
@@ -51,3 +52,51 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_ngram_jaccard_join")
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=5, threshold=0.8, recall=0.999)
+
+
+def _mix_sql(documents: str) -> str:
+    """Mixing in SQL over a relation of documents (one running sum a source, no bins)."""
+    return rf"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         (CAST(CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5)
+           / 4503599627370496.0::DOUBLE AS u
+  FROM {documents}
+), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s
+), l AS (
+  SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS BIGINT)
+             - coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST
+                                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(CAST(weight AS DOUBLE)) OVER (ORDER BY 2.0::DOUBLE * source_size / weight, source NULLS LAST
+                                ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w
+), t AS (
+  SELECT source, source_size, least(2.0::DOUBLE * source_size, max(level) OVER () * weight) AS target FROM l
+), p AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t
+), q AS (
+  SELECT *, target - whole * source_size AS rest,
+         CASE WHEN source_size > 0 THEN (target - whole * source_size) / source_size ELSE 0 END AS pi FROM p
+), r AS (
+  SELECT d.doc_id, d.source, d.size, d.u, q.* EXCLUDE (source), CASE WHEN pi > 0 THEN (u / (1 - u)) / (pi / (1 - pi)) END AS odds
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+), k AS (SELECT *, odds / (1 + odds) AS rank FROM r
+), c AS (
+  SELECT *, odds IS NOT NULL AND sum(size) OVER (PARTITION BY source ORDER BY rank, size, doc_id
+                                                 ROWS UNBOUNDED PRECEDING) <= rest AS drawn FROM k
+), m AS (SELECT *, rest - sum(CASE WHEN drawn THEN size ELSE 0 END) OVER (PARTITION BY source) AS missing FROM c
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN NOT drawn AND size > 0 AND odds IS NOT NULL
+    AND abs(size - missing) < missing THEN 0 ELSE 1 END, abs(size - missing), rank, doc_id) = 1
+    AND NOT drawn AND size > 0 AND odds IS NOT NULL AND abs(size - missing) < missing AS closing FROM m
+)
+SELECT doc_id, source, size, source_size, target, whole + CASE WHEN drawn OR closing THEN 1 ELSE 0 END AS copies,
+       (whole + CASE WHEN drawn OR closing THEN 1 ELSE 0 END) * size AS taken FROM n
+"""
+
+
+@query("op10_mix_sources", _mix_sql("documents"))
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, limit=2.0)
