@@ -5,6 +5,7 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +58,22 @@ def to_table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
+def pieces(batches, text: str = "text", most: int = 2_000_000):
+    """Slices of Arrow batches with about ``most`` bytes of text (a longer text is a slice of its own)."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if not table.num_rows:
+            continue
+        sizes = pa.compute.binary_length(table.column(text)).fill_null(0).to_pylist()
+        first = size = 0
+        for i, n in enumerate(sizes):
+            if size and size + n > most:
+                yield table.slice(first, i - first)
+                first, size = i, 0
+            size += n
+        yield table.slice(first)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) of every node that has an edge (a, b): root is the least node joined to it.
 

@@ -35,15 +35,20 @@ def _byte_table(seed: int, fold: bool) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def _gaps() -> tuple[np.ndarray, np.ndarray]:
-    """Which bytes part words: white space, or everything but letters, digits and non-ASCII."""
+def _gaps() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which bytes part words: white space; all but letters, digits and non-ASCII; line feeds."""
     space = np.zeros(256, bool)
     space[[9, 10, 11, 12, 13, 32]] = True
     other = np.ones(256, bool)
     other[128:] = False
     for a, b in ("09", "AZ", "az"):
         other[ord(a):ord(b) + 1] = False
-    return space, other
+    line = np.zeros(256, bool)
+    line[10] = True
+    return space, other, line
+
+
+SPACE, ALNUM, LINE = 0, 1, 2
 
 
 _POWERS: dict[str, np.ndarray] = {}
@@ -79,12 +84,13 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words(data: np.ndarray, off: np.ndarray, seed: int = 1, fold: bool = False,
-          alnum: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+          gap: int = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end byte of every word, and the number of words of every text.
 
-    ``fold`` reads A-Z as a-z; ``alnum`` takes runs of letters and digits as words.
+    ``fold`` reads A-Z as a-z. ``gap``: what parts words (SPACE), runs of letters and digits
+    (ALNUM) or lines that aren't empty (LINE).
     """
-    gap_of = _gaps()[int(alnum)]
+    gap_of = _gaps()[gap]
     table = _byte_table(seed, fold)
     first = np.zeros(len(data) + 1, bool)  # a text starts here
     first[off] = True

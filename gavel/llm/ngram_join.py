@@ -61,8 +61,7 @@ def _signatures(k: int, bands: int, rows: int):
     salt = T.mix(np.arange(1, bands + 1, dtype=np.uint64))
 
     def sign(batches):
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
+        for t in B.pieces(batches):
             data, off = T.buffers(B.column_of(t, "text"))
             h, _, _, counts = T.words(data, off)
             sets, at = T.shingle_sets(h, counts, k)
@@ -87,8 +86,7 @@ def _sets(k: int):
     schema = pa.schema([("node", pa.string()), ("shingles", pa.binary())])
 
     def sets_of(batches):
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
+        for t in B.pieces(batches):
             data, off = T.buffers(B.column_of(t, "text"))
             h, _, _, counts = T.words(data, off)
             sets, at = T.shingle_sets(h, counts, k)

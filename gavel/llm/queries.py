@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gavel.llm.mixing import mix_sources
 from gavel.llm.ngram_join import near_duplicates
+from gavel.llm.quality_crf import judge_quality, learn
 from gavel.llm.substring_dedup import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +101,12 @@ SELECT doc_id, source, size, source_size, target, whole + CASE WHEN drawn OR clo
 @query("op10_mix_sources", _mix_sql("documents"))
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, limit=2.0)
+
+
+@query("op8_quality_rules")
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs, table(spark, sf_dir, "labels"), max_docs=3000, max_lines=200)
+    return judge_quality(docs, model, min_share=0.5).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_lines", "n_content_lines", "content_share")
