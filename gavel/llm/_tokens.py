@@ -201,3 +201,11 @@ def set_key(x: np.ndarray) -> str:
     """128-bit name of a sorted set of hashes."""
     from hashlib import blake2b
     return blake2b(x.tobytes(), digest_size=16).hexdigest()
+
+
+def shorts(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The hash that ``shingle_sets`` gives a text of n words, for the n words from each position on."""
+    x = np.full(len(at), n, np.uint64)
+    for j in range(n):
+        x = x * GOLDEN + h[at + j]
+    return mix(x)

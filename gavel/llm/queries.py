@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gavel.llm.decontaminate import contaminated
 from gavel.llm.mixing import mix_sources
 from gavel.llm.ngram_join import near_duplicates
 from gavel.llm.quality_crf import judge_quality, learn
@@ -110,3 +111,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(docs, model, min_share=0.5).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "n_lines", "n_content_lines", "content_share")
+
+
+@query("op1_benchmark_decontamination")
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=5, threshold=0.8, radius=31)
