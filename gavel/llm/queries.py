@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gavel.llm.decontaminate import contaminated
 from gavel.llm.mixing import mix_sources
 from gavel.llm.ngram_join import near_duplicates
+from gavel.llm.pii import BASE_KINDS, find_pii
 from gavel.llm.quality_crf import judge_quality, learn
 from gavel.llm.substring_dedup import remove_repeats
 
@@ -116,3 +117,18 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_benchmark_decontamination")
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=5, threshold=0.8, radius=31)
+
+
+@query("op9_pii")
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+
+    def of(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = listed(F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS)))
+    return found.select("doc_id", *[of(k).alias(f"n_{k}") for k in BASE_KINDS],
+                        F.sha2(base, 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
