@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gavel.llm import langid
 from gavel.llm.decontaminate import contaminated
 from gavel.llm.mixing import mix_sources
 from gavel.llm.ngram_join import near_duplicates
@@ -132,3 +133,11 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = listed(F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS)))
     return found.select("doc_id", *[of(k).alias(f"n_{k}") for k in BASE_KINDS],
                         F.sha2(base, 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
+    texts = langid.learn(docs, ~held_out, docs_per_lang=200, chars_per_lang=40_000)
+    return langid.identify(docs, texts).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
