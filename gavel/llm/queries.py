@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from gavel.llm import langid
 from gavel.llm.decontaminate import contaminated
+from gavel.llm.licenses import TEMPLATES, bigrams, scan_licenses
 from gavel.llm.mixing import mix_sources
 from gavel.llm.ngram_join import near_duplicates
 from gavel.llm.pii import BASE_KINDS, find_pii
 from gavel.llm.quality_crf import judge_quality, learn
 from gavel.llm.substring_dedup import remove_repeats
+from gavel.llm.url_filter import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -141,3 +143,71 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
     texts = langid.learn(docs, ~held_out, docs_per_lang=200, chars_per_lang=40_000)
     return langid.identify(docs, texts).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+# The rules that the query is asked for, and the hosts on its block list.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+BLOCKED_SITES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+BLOCKED = [f"{site}.example.{top}/" for site in BLOCKED_SITES for top in ("com", "net", "org")]
+
+
+def _url_sql() -> str:
+    rules = ", ".join(f"('{a}', '{h}', '{p}', '{h}{p}')" for a, h, p in URL_RULES)
+    hosts = ", ".join(f"('{b[:-1]}')" for b in BLOCKED)
+    return rf"""
+WITH rules(action, rhost, rpath, rule) AS (VALUES {rules}), blocked(bhost) AS (VALUES {hosts}
+), u AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^#?]*') ELSE '' END AS rest
+  FROM pages
+), p AS (
+  SELECT row_number() OVER () AS row, page_id, translate(split_part(coalesce(rest, ''), '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         substr(coalesce(rest, ''), length(split_part(coalesce(rest, ''), '/', 1)) + 1) AS path
+  FROM u
+), r AS (
+  SELECT row, max_by(rule, length(rule)) AS rule, max_by(action, length(rule)) AS action FROM p JOIN rules
+  ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY row
+), b AS (
+  SELECT row, max_by(bhost || '/', length(bhost)) AS entry FROM p JOIN blocked
+  ON (host = bhost OR ends_with(host, '.' || bhost)) AND starts_with(path, '/') GROUP BY row
+)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN entry IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, entry
+FROM p LEFT JOIN r USING (row) LEFT JOIN b USING (row)
+"""
+
+
+@query("op6_url_filter", _url_sql())
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocked = spark.createDataFrame([(b,) for b in BLOCKED], "entry string")
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, blocked)
+
+
+def _license_sql(threshold: float = 0.8) -> str:
+    known = ", ".join("('%s', %d, [%s])" % (k, len(g), ", ".join(f"'{b}'" for b in g))
+                      for k, g in ((k, bigrams(v)) for k, v in sorted(TEMPLATES.items())))
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    return rf"""
+WITH known(license, n, tgrams) AS (VALUES {known}
+), lines AS (SELECT doc_id, string_split(text, chr(10)) AS l, string_split_regex(text, '
+[ 	]*
+') AS p, text FROM documents WHERE text IS NOT NULL
+), units AS (
+  SELECT doc_id, 'line' AS unit, unnest(range(len(l))) AS unit_no, unnest(l) AS t FROM lines
+  UNION ALL SELECT * FROM (SELECT doc_id, 'paragraph', unnest(range(len(p))), unnest(p) AS t FROM lines) WHERE contains(t, chr(10))
+  UNION ALL SELECT doc_id, 'text', 0, text FROM lines WHERE len(p) > 1
+), words AS (
+  SELECT doc_id, unit, unit_no, [x for x in string_split_regex(lower(t), '[^a-z0-9]+') if x <> ''] AS w FROM units
+), grams AS (
+  SELECT doc_id, unit, unit_no, list_distinct([x || ' ' || w[i + 1] for x, i in w[:-2]]) AS g FROM words WHERE len(w) > 1
+), hits AS (
+  SELECT doc_id, license, unit, unit_no, 2 * len(list_intersect(g, tgrams)) / CAST(len(g) + n AS DOUBLE) AS dice
+  FROM grams JOIN known ON len(g) BETWEEN n * {low!r}::DOUBLE AND n * {high!r}::DOUBLE
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY dice DESC, unit, unit_no) AS k FROM hits WHERE dice >= {threshold}
+)
+SELECT doc_id, license, dice, unit, CAST(unit_no AS INTEGER) AS unit_no FROM best WHERE k = 1
+"""
+
+
+@query("op2_license_scan", _license_sql())
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"), TEMPLATES, threshold=0.8)
