@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavel.llm import langid
+from gavel.llm.brown_lm import score_corpus
 from gavel.llm.decontaminate import contaminated
 from gavel.llm.licenses import TEMPLATES, bigrams, scan_licenses
 from gavel.llm.mixing import mix_sources
@@ -188,7 +189,8 @@ def _license_sql(threshold: float = 0.8) -> str:
     return rf"""
 WITH known(license, n, tgrams) AS (VALUES {known}
 ), lines AS (SELECT doc_id, string_split(text, chr(10)) AS l, string_split_regex(text, '
-[ 	]*
+[ 	
+]*
 ') AS p, text FROM documents WHERE text IS NOT NULL
 ), units AS (
   SELECT doc_id, 'line' AS unit, unnest(range(len(l))) AS unit_no, unnest(l) AS t FROM lines
@@ -211,3 +213,11 @@ SELECT doc_id, license, dice, unit, CAST(unit_no AS INTEGER) AS unit_no FROM bes
 @query("op2_license_scan", _license_sql())
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"), TEMPLATES, threshold=0.8)
+
+
+@query("op5_brown_lm")
+def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1, F.lit(False))
+    out = score_corpus(docs, ~held_out, core_words=500, classes=32)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
