@@ -49,6 +49,13 @@ def with_block(docs: DataFrame, n: int, *cols: str) -> DataFrame:
     return docs.withColumn("block", F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int"))
 
 
+def attach(rows: DataFrame, facts: DataFrame, key: str, spread: str, how: str, salts: int = 64) -> DataFrame:
+    """Joins rows with the facts of their key; a hot key's rows are dealt to ``salts`` join keys by ``spread``."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    copies = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [key, "__salt"], how).drop("__salt")
+
+
 def column_of(table: pa.Table, name: str):
     return table.column(name).combine_chunks() if table.num_rows else table.column(name)
 

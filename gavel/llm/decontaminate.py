@@ -123,85 +123,102 @@ def overlap(grid: np.ndarray, item: np.ndarray) -> np.ndarray:
     return both
 
 
-def _scan(items: list[tuple], k: int, threshold: float, radius: int):
+def _matcher(items: list[tuple], k: int, threshold: float, radius: int):
+    """A function from a slice of documents to {(row, item_id): (-similarity, word, words, distance)}."""
     limit = Fraction(str(threshold))
     holder: list[Index] = []
 
-    def scan(batches):
+    def match(t: pa.Table) -> dict:
         if not holder:
             holder.append(Index(items, k, radius))
         index = holder[0]
-        for t in B.pieces(batches):
-            best: dict = {}
-            lower = pa.compute.utf8_lower(B.column_of(t, "text"))
-            h, _, _, counts = T.words(*T.buffers(lower), gap=T.ALNUM)
-            ids = B.column_of(t, "doc_id").to_pylist()
-            doc = np.repeat(np.arange(len(counts)), counts)
-            begin = np.cumsum(counts) - counts
-            left = T.room(counts)
-            g = T.grams(h, k)
-            known = index.in_benchmark(g) & (left[:len(g)] >= k)
-            run, sums = np.zeros(len(g) + 1, np.int64), np.zeros(len(g) + 1, np.uint64)
-            np.cumsum(known, out=run[1:])
-            np.cumsum(T.mix(g), out=sums[1:])
-            live = np.flatnonzero(known)
-            for size, n in index.sizes.items():
-                if size < k:  # a short item is one shingle of all its words
-                    at = np.flatnonzero(left >= size)
-                    grid = T.shorts(h, at, size)[:, None]
-                    keep = index.in_benchmark(grid[:, 0])
-                    at, grid = at[keep], grid[keep]
-                else:  # windows in which enough shingles belong to the benchmark
-                    starts = np.zeros(len(g) + 1, np.int64)
-                    np.add.at(starts, np.maximum(0, live - n + 1), 1)
-                    np.add.at(starts, live + 1, -1)
-                    at = np.flatnonzero(np.cumsum(starts[:-1]) > 0) if len(live) else live
-                    at = at[left[at] >= size]
-                    at = at[(run[at + n] - run[at]) * limit.denominator >= n * limit.numerator]
-                    # of a document's windows with the same shingles the first will do
-                    same = np.stack([doc[at].astype(np.uint64), sums[at + n] - sums[at]], axis=1)
-                    at = at[np.sort(np.unique(same, axis=0, return_index=True)[1])] if len(at) else at
-                    grid = g[at[:, None] + np.arange(n)[None, :]]
-                if not len(at):
-                    continue
-                row, item, far = index.near(fingerprints(grid))
-                for i in np.unique(item):
-                    mine = np.flatnonzero(item == i)
-                    theirs = index.items[i][2]
-                    both = overlap(grid[row[mine]], theirs)
-                    union = n + len(theirs) - both
-                    for m in np.flatnonzero(both * limit.denominator >= union * limit.numerator):
-                        a = int(at[row[mine[m]]])
-                        d = int(doc[a])
-                        hit = (-int(both[m]) / int(union[m]), a - int(begin[d]), size, int(far[mine[m]]))
-                        key = (ids[d], index.items[i][0])
-                        if key not in best or hit < best[key]:
-                            best[key] = hit
-            yield from B.to_table([(d, i, -s, w, n, far) for (d, i), (s, w, n, far) in best.items()], HITS).to_batches()
-
-    return scan
+        best: dict = {}
+        lower = pa.compute.utf8_lower(B.column_of(t, "text"))
+        h, _, _, counts = T.words(*T.buffers(lower), gap=T.ALNUM)
+        doc = np.repeat(np.arange(len(counts)), counts)
+        begin = np.cumsum(counts) - counts
+        left = T.room(counts)
+        g = T.grams(h, k)
+        known = index.in_benchmark(g) & (left[:len(g)] >= k)
+        run, sums = np.zeros(len(g) + 1, np.int64), np.zeros(len(g) + 1, np.uint64)
+        np.cumsum(known, out=run[1:])
+        np.cumsum(T.mix(g), out=sums[1:])
+        live = np.flatnonzero(known)
+        for size, n in index.sizes.items():
+            if size < k:  # a short item is one shingle of all its words
+                at = np.flatnonzero(left >= size)
+                grid = T.shorts(h, at, size)[:, None]
+                keep = index.in_benchmark(grid[:, 0])
+                at, grid = at[keep], grid[keep]
+            else:  # windows in which enough shingles belong to the benchmark
+                starts = np.zeros(len(g) + 1, np.int64)
+                np.add.at(starts, np.maximum(0, live - n + 1), 1)
+                np.add.at(starts, live + 1, -1)
+                at = np.flatnonzero(np.cumsum(starts[:-1]) > 0) if len(live) else live
+                at = at[left[at] >= size]
+                at = at[(run[at + n] - run[at]) * limit.denominator >= n * limit.numerator]
+                # of a document's windows with the same shingles the first will do
+                same = np.stack([doc[at].astype(np.uint64), sums[at + n] - sums[at]], axis=1)
+                at = at[np.sort(np.unique(same, axis=0, return_index=True)[1])] if len(at) else at
+                grid = g[at[:, None] + np.arange(n)[None, :]]
+            if not len(at):
+                continue
+            row, item, far = index.near(fingerprints(grid))
+            for i in np.unique(item):
+                mine = np.flatnonzero(item == i)
+                theirs = index.items[i][2]
+                both = overlap(grid[row[mine]], theirs)
+                union = n + len(theirs) - both
+                for m in np.flatnonzero(both * limit.denominator >= union * limit.numerator):
+                    a = int(at[row[mine[m]]])
+                    d = int(doc[a])
+                    hit = (-int(both[m]) / int(union[m]), a - int(begin[d]), size, int(far[mine[m]]))
+                    key = (d, index.items[i][0])
+                    if key not in best or hit < best[key]:
+                        best[key] = hit
+        return best
+
+    return match
+
+
+def _slices(benchmark: DataFrame) -> list[list[tuple]]:
+    """Distinct (item_id, text) in slices of about SLICE_BYTES of text: one for all but huge benchmarks."""
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-size // SLICE_BYTES)
+    parts = (items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect() for i in range(n))
+    return [sorted(((r.item_id, r.text) for r in part), key=lambda x: (x[0] is None, x[0] or 0, x[1])) for part in parts]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 31) -> DataFrame:
     """One row a (doc_id, item_id) that match: best similarity, its first window, the Hamming distance."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = -(-size // SLICE_BYTES)
-    found = None
-    for i in range(slices):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == i)
-        rows = sorted((r.item_id if r.item_id is not None else -1, r.text, r.item_id) for r in part.collect())
-        hits = docs.mapInArrow(_scan([(r[2], r[1]) for r in rows], k, threshold, radius), DDL)
-        found = hits if found is None else found.union(hits)
-    if found is None:
-        return docs.limit(0).mapInArrow(lambda batches: iter(()), DDL)
+    found = docs.sparkSession.createDataFrame([], DDL)
+    for items in _slices(benchmark):
+        match = _matcher(items, k, threshold, radius)
+
+        def scan(batches, match=match):
+            for t in B.pieces(batches):
+                ids = t["doc_id"].to_pylist()
+                rows = [(ids[d], i, -s, w, n, far) for (d, i), (s, w, n, far) in match(t).items()]
+                yield from B.to_table(rows, HITS).to_batches()
+
+        found = found.union(docs.mapInArrow(scan, DDL))
     order = F.struct((-F.col("similarity")).alias("o"), "start_word", "n_words", "distance")
     return (found.groupBy("doc_id", "item_id").agg(F.min(order).alias("b"))
             .select("doc_id", "item_id", (-F.col("b.o")).alias("similarity"), "b.start_word", "b.n_words", "b.distance"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The documents that match no item, with all their columns. A null doc_id stays where its text is clean."""
-    hits = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hits, docs["doc_id"].cast("long").eqNullSafe(hits["__hit"]), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 31) -> DataFrame:
+    """The documents that match no item, with all their columns; judged and dropped in one pass a slice."""
+    for items in _slices(benchmark):
+        match = _matcher(items, k, threshold, radius)
+
+        def keep(batches, match=match):
+            for t in B.pieces(batches):
+                clean = np.ones(t.num_rows, bool)
+                clean[[d for d, _ in match(t)]] = False
+                yield from t.filter(pa.array(clean)).to_batches()
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs

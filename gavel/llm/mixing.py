@@ -14,7 +14,8 @@ document left whose size is nearest to what is still missing, if that brings it
 
 Ranks are cut into BINS equal bins, summed per (source, bin) before the shuffle; a running
 sum over the bins finds the bin in which the rest is used up, and only that bin's documents
-are ordered one by one. So a source with most of the rows is never sorted in one task.
+are ordered one by one. So a source with most of the rows is never sorted in one task;
+joins of rows with their source's figures are salted.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last;
 equal ranks (repeated doc_ids) go by size; documents of size 0 take 0; an empty table gives
@@ -59,8 +60,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
             .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
             .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
             .withColumn("pi", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(F.lit(0.0))))
+    plan = B.stored(plan)
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("pi") / (1 - F.col("pi")))
-    ranked = (sized.join(plan, "key").withColumn("odds", F.when(F.col("pi") > 0, odds))
+    ranked = (B.attach(sized, plan, "key", "row", "inner").withColumn("odds", F.when(F.col("pi") > 0, odds))
               .withColumn("rank", F.col("odds") / (1 + F.col("odds")))
               .withColumn("bin", F.coalesce(F.least(F.floor(F.col("rank") * BINS), F.lit(BINS - 1)), F.lit(BINS)).cast("int")))
 
@@ -69,19 +71,19 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     cut = (bins.where(f"bin < {BINS}").withColumn("before", F.coalesce(F.sum("words").over(in_order), F.lit(0)))
            .where("before + words > rest and before <= rest").groupBy("key")
            .agg(F.min("bin").alias("cut_bin"), F.min_by("before", "bin").alias("cut_before")))
-    ranked = ranked.join(cut, "key", "left").withColumn("cut_bin", F.coalesce("cut_bin", F.lit(BINS)))
+    ranked = B.attach(ranked, cut, "key", "row", "left").withColumn("cut_bin", F.coalesce("cut_bin", F.lit(BINS)))
     edge = Window.partitionBy("key", "bin").orderBy("rank", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at_edge = ranked.where("bin = cut_bin and odds is not null").withColumn(
         "drawn", F.col("cut_before") + F.sum("size").over(edge) <= F.col("rest"))
     clear = ranked.where("bin <> cut_bin or odds is null").withColumn(
         "drawn", F.col("odds").isNotNull() & (F.col("bin") < F.col("cut_bin")))
-    drawn = clear.unionByName(at_edge)
+    drawn = B.stored(clear.unionByName(at_edge))
 
     missing = drawn.groupBy("key").agg(
         (F.first("rest") - F.coalesce(F.sum(F.when(F.col("drawn"), F.col("size"))), F.lit(0))).alias("missing"))
     off = F.abs(F.col("size") - F.col("missing"))
-    last = (drawn.where("not drawn and size > 0 and odds is not null").join(missing, "key").where(off < F.col("missing"))
+    last = (B.attach(drawn.where("not drawn and size > 0 and odds is not null"), missing, "key", "row", "inner").where(off < F.col("missing"))
             .groupBy("key").agg(F.min(F.struct(off.alias("off"), "rank", "row")).alias("last")))
     copies = F.col("whole") + F.when(F.col("drawn") | F.coalesce(F.col("row") == F.col("last.row"), F.lit(False)), 1).otherwise(0)
-    return (drawn.join(last, "key", "left").withColumn("copies", copies.cast("long"))
+    return (B.attach(drawn, last, "key", "row", "left").withColumn("copies", copies.cast("long"))
             .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")))

@@ -37,7 +37,7 @@ from gavel.llm import _tokens as T
 MAX_HASHES = 128
 CELL = 64  # nodes on either side of a cell
 COLUMNS = 4096  # shingles that a cell counts at once
-SIGNED = pa.schema([("doc_id", pa.int64()), ("node", pa.string()), ("bands", pa.list_(pa.int64()))])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.string()), ("bands", pa.list_(pa.int64()))])
 
 
 def choose_bands(threshold: float, recall: float, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
@@ -66,16 +66,16 @@ def _signatures(k: int, bands: int, rows: int):
             h, _, _, counts = T.words(data, off)
             sets, at = T.shingle_sets(h, counts, k)
             out = []
-            for i, doc in enumerate(B.column_of(t, "doc_id").to_pylist()):
+            for i, (doc, name) in enumerate(zip(t["doc_id"].to_pylist(), t["text_hash"].to_pylist())):
                 x = sets[at[i]:at[i + 1]]
                 if not len(x):
-                    out.append((doc, None, None))
+                    out.append((doc, name, None, None))
                     continue
                 low = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
                 for y in range(0, len(x), 512):
                     np.minimum(low, (odd[:, None] * x[None, y:y + 512]).min(1), out=low)
                 band = T.grams_of_rows(low.reshape(bands, rows)) + salt
-                out.append((doc, T.set_key(x), T.mix(band).view(np.int64).tolist()))
+                out.append((doc, name, T.set_key(x), T.mix(band).view(np.int64).tolist()))
             yield from B.to_table(out, SIGNED).to_batches()
 
     return sign
@@ -170,10 +170,11 @@ def _spanning(left: list[str], right: list[str], link: np.ndarray) -> list[tuple
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
-    """One row a document: doc_id, copy_id, class_id, n_links (see the module docstring)."""
+    """One row a document: doc_id, text_hash (xxhash64), copy_id, class_id, n_links (see above)."""
     bands, rows = choose_bands(threshold, recall)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = B.stored(docs.mapInArrow(_signatures(k, bands, rows), "doc_id long, node string, bands array<long>"))
+    signed = B.stored(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+        _signatures(k, bands, rows), "doc_id long, text_hash long, node string, bands array<long>"))
     known = signed.where("node is not null and doc_id is not null")
     nodes = known.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.first("bands").alias("bands"))
 
@@ -206,5 +207,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall:
         "node", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"))
     rest = signed.where("node is null or doc_id is null").select(
-        "doc_id", F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return known.select("doc_id", "node").join(named, "node").select("doc_id", "copy_id", "class_id", "n_links").union(rest)
+        "doc_id", "text_hash", F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"),
+        F.lit(0).cast("long").alias("n_links"))
+    return (known.select("doc_id", "text_hash", "node").join(named, "node")
+            .select("doc_id", "text_hash", "copy_id", "class_id", "n_links").union(rest))
+
+
+def keep_one(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
+    """The documents with one of each class left, the least doc_id, with all their columns.
+
+    Rows without a doc_id or without words stay. Of equal rows one stays.
+    """
+    found = B.stored(near_duplicates(docs, k, threshold, recall).where("doc_id is not null")
+                     .select("doc_id", "text_hash", (F.col("doc_id") != F.col("class_id")).alias("copy")))
+    key = [docs["doc_id"].cast("long") == F.col("__id"), F.xxhash64(docs["text"]) == F.col("__hash")]
+    named = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "copy")
+    left = docs.join(named.where("copy").drop("copy").distinct(), key, "left_anti")
+    twice = named.groupBy("__id", "__hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    if twice.isEmpty():
+        return left
+    key = [left["doc_id"].cast("long") == F.col("__id"), F.xxhash64(left["text"]) == F.col("__hash")]
+    again = left.join(twice, key, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(twice, key, "left_anti").unionByName(again)

@@ -227,3 +227,18 @@ def judge_quality(docs: DataFrame, model: dict, min_share: float = 0.5) -> DataF
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & (F.col("content_share") >= min_share))
+
+
+def keep_good(docs: DataFrame, model: dict, min_share: float = 0.5) -> DataFrame:
+    """The documents that ``judge_quality`` keeps, with all their columns; judged and dropped in one pass."""
+    label = _label(model)
+
+    def keep(batches):
+        for t in B.pieces(batches):
+            given = pa.table({"doc_id": pa.nulls(t.num_rows, pa.int64()), "text": t["text"]})
+            seen = pa.Table.from_batches(label(given.to_batches(max_chunksize=t.num_rows)))
+            n, repeats, share = (seen[c].to_numpy() for c in ("n_words", "n_repeat_words", "content_share"))
+            good = (n >= MIN_WORDS) & (100 * repeats <= MAX_REPEAT * n) & (share >= min_share)
+            yield from t.filter(pa.array(good)).to_batches()
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -58,7 +58,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_ngram_jaccard_join")
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), k=5, threshold=0.8, recall=0.999)
+    return near_duplicates(table(spark, sf_dir, "documents"), k=5, threshold=0.8, recall=0.999).drop("text_hash")
 
 
 def _mix_sql(documents: str) -> str:
