@@ -203,9 +203,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall:
     linked = joined.join(copies, "node")
     least = linked.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     linked = linked.join(least, "root").join(counted, "node").select("node", "class_id", "n_links")
-    named = copies.join(linked, "node", "left").select(
+    # a table of its own, so that both sides of the last join are shuffled and AQE can split a hot set
+    named = B.stored(copies.join(linked, "node", "left").select(
         "node", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        F.coalesce("n_links", F.lit(0)).alias("n_links")))
     rest = signed.where("node is null or doc_id is null").select(
         "doc_id", "text_hash", F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"),
         F.lit(0).cast("long").alias("n_links"))
