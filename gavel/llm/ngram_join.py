@@ -47,7 +47,7 @@ def choose_bands(threshold: float, recall: float, max_hashes: int = MAX_HASHES)
     """
     best = None
     for rows in range(1, max_hashes + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)) if threshold < 1 else 1
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-threshold**rows)) if threshold < 1 else 1
         if bands * rows <= max_hashes:
             best = bands, rows
     if best is None:
