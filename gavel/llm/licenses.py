@@ -59,8 +59,8 @@ def bigrams(text: str) -> list[str]:
 
 
 def _bigrams(words: Column) -> Column:
-    n = F.size(words)
-    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n - 1), F.slice(words, F.lit(2), n - 1),
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n),
                                        lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
