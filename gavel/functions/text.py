@@ -85,6 +85,12 @@ def quoted_text(c) -> Column:
     return F.when(has_pair, between).when(has_colon, after_colon).otherwise(c)
 
 
+def message_label(messages) -> Column:
+    """X20's label: the second message's content as an integer (null when it is none)."""
+    second = F.try_element_at(col_(messages), F.lit(2))
+    return py_strip(second["content"]).try_cast("int")
+
+
 def norm_answer(c) -> Column:
     """Strip + upper."""
     return F.upper(py_strip(col_(c)))
@@ -124,14 +130,6 @@ def message_text(messages, prompt) -> Column:
     return F.coalesce(first["content"], col_(prompt))
 
 
-def map_scalar_or_list(c, fn) -> Column:
-    """Apply a Column function to each element of an array column, or to a scalar.
-
-    The decision is made from the column's type when the plan is built (``fn`` takes
-    and returns a Column); use :func:`map_scalar_or_list_df` to name the new column."""
-    return fn(col_(c))
-
-
 def map_scalar_or_list_df(df, col: str, fn, suffix: str = "_mt-translated"):
     """X36 on a DataFrame: ``<col><suffix>`` holds ``fn`` applied to the value, or to every
     element (order kept) when the column is an array. Every mapped column is renamed

@@ -113,72 +113,14 @@ AB_REWRITE_RULES = [
 # --- end of fixed values ------------------------------------------------------------
 
 
-# Our optimisation, not part of the fixed values. Every rule gets a necessary
-# condition that is much cheaper than a regex pass (``contains`` is a byte scan):
-#   ("cs", lit)   the text contains ``lit``;
-#   ("any", lits) the text contains one of ``lits`` (case variants of ASCII letters
-#                 that have no other Unicode case partners);
-#   ("grp", None) rules 5-8 share one check, made once before rule 5 (a change by one
-#                 of them cannot create a match for another).
-# A rule whose condition fails cannot match, so skipping it leaves the result unchanged.
-_OR = [" or ", " Or ", " oR ", " OR "]
-AB_REWRITE_GUARDS = [
-    ("cs", "1)"), ("cs", "2)"), ("cs", "1."), ("cs", "2."),
-    ("grp", None), ("grp", None), ("grp", None), ("grp", None),
-    ("cs", "1"), ("cs", "2"),
-    ("cs", "(1 or 2)"), ("cs", "(1 and 2)"), ("cs", " 1 or 2"), ("cs", "(1 or 2)"),
-    ("cs", " 1 or 2"), ("cs", " 1 or 2"), ("cs", " 1 or "), ("cs", " or 2"), ("cs", " 1 or 2"),
-    ("cs", " 1 or 2"), ("cs", "(1 or 2)"), ("cs", " 1 or 2"), ("cs", "(1 or "),
-    ("cs", "):"), ("any", _OR),
-    ("cs", "(1)"), ("cs", "(2)"), ("cs", "("),
-    ("cs", "(1 or "), ("cs", " or 2)"), ("cs", "(1 or 2)"),
-]
-assert len(AB_REWRITE_GUARDS) == len(AB_REWRITE_RULES)
-_GROUP_CHECK = r"(?iuU)\b(?:Option|Sentence)\s+[12]\b"
-_GROUP_FIRST = 4
-
-
-def _group_flag(t: Column) -> Column:
-    # the digit test short-circuits the regex for texts without 1 or 2
-    return (t.contains("1") | t.contains("2")) & F.regexp_like(t, F.lit(_GROUP_CHECK))
-
-
-def _guard(t: Column, flag: Column, k: int) -> Column:
-    kind, lit = AB_REWRITE_GUARDS[k]
-    if kind == "cs":
-        return t.contains(lit)
-    if kind == "any":
-        out = t.contains(lit[0])
-        for x in lit[1:]:
-            out = out | t.contains(x)
-        return out
-    return flag
-
-
 def ab_user_text(c) -> Column:
-    """Fold the ordered rewrite list over one text column (all JVM regex).
-
-    The fold is an ``aggregate`` over the rule numbers with a (text, group flag)
-    accumulator, so the text is a lambda variable (no expression duplication) and each
-    rule first checks its cheap guard."""
-    def step(acc, i):
-        t = acc["t"]
-        out = None
-        for k, (pattern, repl) in enumerate(AB_REWRITE_RULES):
-            flag = _group_flag(t) if k == _GROUP_FIRST else acc["g"]
-            new_t = F.when(_guard(t, flag, k), F.regexp_replace(t, pattern, repl)).otherwise(t)
-            if k == _GROUP_FIRST:
-                # evaluate the group check once and keep it for the next three rules
-                val = F.struct(F.lit(None).cast("string").alias("t"), flag.alias("g"))
-                val = F.when(flag, F.struct(F.regexp_replace(t, pattern, repl).alias("t"), F.lit(True).alias("g"))) \
-                       .otherwise(F.struct(t.alias("t"), F.lit(False).alias("g")))
-            else:
-                val = F.struct(new_t.alias("t"), acc["g"].alias("g"))
-            out = F.when(i == k, val) if out is None else out.when(i == k, val)
-        return out
-    rules = F.array(*[F.lit(k) for k in range(len(AB_REWRITE_RULES))])
-    init = F.struct(col_(c).cast("string").alias("t"), F.lit(False).alias("g"))
-    return F.aggregate(rules, init, step, lambda acc: acc["t"])
+    """The ordered rewrite list over one text column, rule after rule, none skipped.
+
+    Plain nested ``regexp_replace``: each step reads the one before once."""
+    t = col_(c).cast("string")
+    for pattern, repl in AB_REWRITE_RULES:
+        t = F.regexp_replace(t, pattern, repl)
+    return t
 
 
 def ab_answer(c) -> Column:
@@ -188,49 +130,6 @@ def ab_answer(c) -> Column:
              .when(s.isin("A", "B"), s).otherwise(col_(c)))
 
 
-# Words (lower case) that occur in some rewrite rule. A text that contains none of
-# them and no digit 1 or 2 cannot be part of any rule match: every rule needs a 1/2
-# digit or one of these words, and the rules' whitespace runs cannot reach into a
-# stripped text. (Our analysis; used by the template fast path below.)
-REWRITE_WORDS = ["option", "sentence", "answer", "select", "choose", "pick", "number", "respond", "your", "letter"]
-
-
-def rewrite_inert(c) -> Column:
-    """True when the text cannot take part in any A/B rewrite match."""
-    t = col_(c)
-    no_digit = ~(t.contains("1") | t.contains("2"))
-    # fold the non-ASCII letters whose case partners are ASCII letters, then lower-case
-    folded = F.lower(F.translate(t, "\u017f\u0131\u0130\u212a", "siik"))
-    no_word = ~_any([folded.contains(w) for w in REWRITE_WORDS])
-    return t.isNotNull() & no_digit & no_word  # ``&`` short-circuits: lower() only without digits
-
-
-def _any(conds: list[Column]) -> Column:
-    out = conds[0]
-    for c in conds[1:]:
-        out = out | c
-    return out
-
-
-def rewritten_template(spark, template: str, slots: list[str]) -> list[tuple[str, str | None]]:
-    """Apply the rewrite rules to a template whose slots hold inert markers; returns
-    [(literal, slot), ...] so the sentences can be spliced in. The template is a short
-    constant: this evaluates one literal row, no data."""
-    from ..functions.templates import template_parts
-    markers = {name: f"\x00{i}\x00" for i, name in enumerate(slots)}
-    filled = "".join(lit + (markers[f] if f is not None else "") for lit, f in template_parts(template))
-    out = spark.range(1).select(ab_user_text(F.lit(filled)).alias("t")).first()["t"]
-    parts, rest = [], out
-    for name in slots:
-        m = markers[name]
-        if rest.count(m) != 1:
-            raise ValueError("marker lost in template rewrite")
-        head, rest = rest.split(m)
-        parts.append((head, name))
-    parts.append((rest, None))
-    return parts
-
-
 def rewrite_messages(messages="messages", enabled: bool = True) -> Column:
     """Rewrite an array<struct<role, content>> by role; switchable off."""
     m = col_(messages)
@@ -246,38 +145,40 @@ def rewrite_messages(messages="messages", enabled: bool = True) -> Column:
     return F.transform(m, one)
 
 
-def pairs_to_chat(pairs: DataFrame, enabled: bool = True, templates: list[str] | None = None) -> DataFrame:
+def messages_error(messages="messages") -> Column:
+    """X26 error row: why a record's messages can't be converted (null: they can)."""
+    m = col_(messages)
+    return F.when(m.isNull(), "missing_messages").when(F.size(m) == 0, "empty_messages")
+
+
+def rewrite_records(df: DataFrame, messages: str = "messages", enabled: bool = True) -> DataFrame:
+    """X26 + A25 per record: rewritten messages, edit flags by role and ``error`` (unconverted)."""
+    out = df.withColumn("error", messages_error(messages)).withColumn("_new", rewrite_messages(messages, enabled))
+
+    def edited(role):
+        return F.coalesce(F.exists(F.arrays_zip(F.col(messages).alias("o"), F.col("_new").alias("n")),
+                                   lambda x: (x["o"]["role"] == role) & (x["o"]["content"] != x["n"]["content"])), F.lit(False))
+
+    return (out.withColumn("user_edited", edited("user")).withColumn("assistant_edited", edited("assistant"))
+               .withColumn(messages, F.col("_new")).drop("_new"))
+
+
+def pairs_to_chat(pairs: DataFrame, enabled: bool = True) -> DataFrame:
     """Preference records (flat prompt/chosen) -> chat record columns + edit flags.
 
-    With ``templates`` and the pair columns ``template_idx, sentence_a, sentence_b,
-    inert`` (from :func:`gavel.operators.pairs.preference_pairs`), pairs whose two
-    sentences are inert take the template fast path: the rewritten template (computed
-    once) with the sentences spliced in. Every other pair runs the full rule fold on
-    its prompt. Both give the same text."""
+    A record without a prompt or an answer is not converted and carries ``error``."""
     user_new = ab_user_text("prompt") if enabled else F.col("prompt")
-    needed = {"template_idx", "sentence_a", "sentence_b", "inert"}
-    if enabled and templates and needed <= set(pairs.columns):
-        spark = pairs.sparkSession
-        fast = None
-        for i, t in enumerate(templates):
-            pieces = []
-            for lit, slot in rewritten_template(spark, t, ["sentence_a", "sentence_b"]):
-                if lit:
-                    pieces.append(F.lit(lit))
-                if slot:
-                    pieces.append(F.col(slot))
-            text = F.concat(*pieces)
-            fast = F.when(F.col("template_idx") == i, text) if fast is None else fast.when(F.col("template_idx") == i, text)
-        user_new = F.when(F.col("inert"), fast).otherwise(user_new)
     asst_new = ab_answer("chosen") if enabled else F.col("chosen")
-    out = pairs.select("*", user_new.alias("user_content"), asst_new.alias("assistant_content"))
+    error = F.when(F.col("prompt").isNull(), "missing_prompt").when(F.col("chosen").isNull(), "missing_chosen")
+    out = pairs.select("*", user_new.alias("user_content"), asst_new.alias("assistant_content"), error.alias("error"))
     # flags read the new columns (the rewrite is computed once)
     return out.select("*", (F.col("user_content") != F.col("prompt")).alias("user_edited"),
                       (F.col("assistant_content") != F.col("chosen")).alias("assistant_edited"))
 
 
 def conversion_counters(chat: DataFrame) -> DataFrame:
-    """Records, user edits, assistant edits."""
+    """Records, user edits, assistant edits, records with an error."""
     return chat.agg(F.count(F.lit(1)).alias("n_records"),
                     F.count_if(F.col("user_edited")).alias("user_conversions"),
-                    F.count_if(F.col("assistant_edited")).alias("assistant_conversions"))
+                    F.count_if(F.col("assistant_edited")).alias("assistant_conversions"),
+                    F.count_if(F.col("error").isNotNull()).alias("errors"))

@@ -15,22 +15,32 @@ from .ordering import seeded_hash, top_n_per_group
 
 # --- fixed values: few-shot prompt format -------------------------------------------
 FEWSHOT_HEADER = "Translate the following {source_label} sentences to {target_label}.\n\n"
-FEWSHOT_EXAMPLE = "{source_label}: {source}\n{target_label}: {target}\n\n"
-FEWSHOT_CUE = "{source_label}: {paragraph}\n{target_label}: "
 # --- end of fixed values ------------------------------------------------------------
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """Blank-line separated text -> one row per article: (group_id, lines).
+    """Blank-line separated text -> one row per article: (lines, file, group_id).
 
-    ``lineSep='\\n\\n'`` makes one record per article; three or more newlines in a row
-    leave empty lines inside a record, which the line filter drops. CRLF is normalised.
+    Records end at ``\\n\\n``, or at ``\\n\\r\\n`` in files with CRLF line ends (each file is
+    read by the separator that its first bytes show); more newlines in a row leave empty
+    lines inside a record, which the line filter drops. ``group_id`` is the file's path, the
+    record's content hash and its number among equal records of the file: it does not depend
+    on how files are split.
     """
-    raw = spark.read.option("lineSep", "\n\n").text(path)
-    text = F.regexp_replace("value", "\r\n", "\n")
-    lines = F.filter(F.split(text, "\n"), lambda x: x != "")
-    arts = raw.select(lines.alias("lines"), F.col("_metadata.file_path").alias("file")).filter(F.size("lines") > 0)
-    return arts.withColumn("group_id", F.monotonically_increasing_id())
+    names = F.col("_metadata.file_path").alias("file")
+    # one flag per file, from its first record only
+    crlf = (spark.read.option("lineSep", "\n").text(path).select("value", names, F.col("_metadata.file_block_start").alias("at"))
+            .where("at = 0").groupBy("file").agg(F.max(F.col("value").endswith("\r")).alias("crlf")))
+    parts = None
+    for flag, sep in ((False, "\n\n"), (True, "\n\r\n")):
+        part = (spark.read.option("lineSep", sep).text(path).select("value", names)
+                .join(crlf.where(F.col("crlf") == flag).select("file"), "file", "left_semi"))
+        parts = part if parts is None else parts.unionByName(part)
+    lines = F.filter(F.transform(F.split("value", "\n"), lambda x: F.regexp_replace(x, "\r$", "")), lambda x: x != "")
+    arts = parts.select(lines.alias("lines"), "file").filter(F.size("lines") > 0)
+    arts = arts.withColumn("_h", F.sha2(F.array_join("lines", "\n"), 256))
+    again = F.row_number().over(Window.partitionBy("file", "_h").orderBy("_h"))
+    return arts.withColumn("group_id", F.concat_ws("#", "file", "_h", again.cast("string"))).drop("_h")
 
 
 def sentences_with_context(df: DataFrame, group_col: str, lines_col: str, keep: list[str] | None = None) -> DataFrame:

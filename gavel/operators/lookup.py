@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col_
 
-# dimensions above this many rows are joined with a shuffle instead of broadcast
-MAX_BROADCAST_ROWS = 1_000_000
-
-
-def _maybe_broadcast(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a dimension only after its row count has been checked."""
-    n = dim.limit(max_rows + 1).count()
-    return F.broadcast(dim) if n <= max_rows else dim
-
-
 def display_names(df: DataFrame, col: str, dim: DataFrame, key: str, display: str, out: str) -> DataFrame:
     """Display-name mapping with identity default."""
-    d = _maybe_broadcast(dim.select(F.col(key).alias("_dn_key"), F.col(display).alias("_dn_val")))
+    # no hint: Spark broadcasts by the size it has seen, else shuffles
+    d = dim.select(F.col(key).alias("_dn_key"), F.col(display).alias("_dn_val"))
     j = df.join(d, df[col] == F.col("_dn_key"), "left")
     return j.withColumn(out, F.coalesce("_dn_val", F.col(col))).drop("_dn_key", "_dn_val")
 
@@ -44,8 +35,6 @@ def any_column_lookup(values: DataFrame, value_col: str, dim: DataFrame, search_
         long = part if long is None else long.unionByName(part)
     long = long.filter(F.col("_lk_val").isNotNull())
     best = long.groupBy("_lk_val").agg(F.min_by("_lk_res", F.struct("_lk_pos", "_lk_ord")).alias("_lk_res"))
-    j = values.join(_maybe_broadcast(best), col_(value_col).cast("string") == F.col("_lk_val"), "left")
+    j = values.join(best, col_(value_col).cast("string") == F.col("_lk_val"), "left")
     return j.withColumn(out, F.coalesce("_lk_res", F.lit(""))).drop("_lk_val", "_lk_res")
 
-
-__all__ = ["display_names", "attach_answers", "any_column_lookup", "Window"]

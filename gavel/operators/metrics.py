@@ -68,35 +68,45 @@ def _ddl(labels: list) -> str:
     return "int" if all(isinstance(x, int) for x in labels) else "string"
 
 
-def classification_report(conf: DataFrame) -> DataFrame:
+def classification_report(conf: DataFrame, labels: list) -> DataFrame:
     """Per label precision / recall / f1 / support, then accuracy, macro and weighted
-    averages (empty denominators give 0, like scikit-learn's default)."""
-    tp = conf.filter(F.col("actual") == F.col("predicted")).select(F.col("actual").alias("label"), F.col("n").alias("tp"))
-    sup = conf.groupBy(F.col("actual").alias("label")).agg(F.sum("n").alias("support"))
-    prd = conf.groupBy(F.col("predicted").alias("label")).agg(F.sum("n").alias("n_pred"))
-    per = (tp.join(sup, "label").join(prd, "label")
-             .select(F.col("label").cast("string").alias("label"),
-                     _ratio(F.col("tp"), F.col("n_pred")).alias("precision"),
-                     _ratio(F.col("tp"), F.col("support")).alias("recall"),
-                     "support", "tp"))
-    per = per.withColumn("f1", _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
-    tot = per.agg(F.sum("support").alias("total"), F.sum("tp").alias("tp_all"),
-                  F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-                  F.sum(F.col("precision") * F.col("support")).alias("wp"),
-                  F.sum(F.col("recall") * F.col("support")).alias("wr"),
-                  F.sum(F.col("f1") * F.col("support")).alias("wf"))
-    rows = [per.select("label", "precision", "recall", "f1", "support")]
-    rows.append(tot.select(F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"),
-                           F.lit(None).cast("double").alias("recall"),
-                           _ratio(F.col("tp_all"), F.col("total")).alias("f1"), F.col("total").alias("support")))
-    rows.append(tot.select(F.lit("macro avg"), "mp", "mr", "mf", "total"))
-    rows.append(tot.select(F.lit("weighted avg"), _ratio(F.col("wp"), F.col("total")),
-                           _ratio(F.col("wr"), F.col("total")), _ratio(F.col("wf"), F.col("total")), "total"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.union(r)
-    return out.select("label", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")],
-                      F.col("support").cast("long").alias("support"))
+    averages (empty denominators give 0, like scikit-learn's default).
+
+    The cells of the (zero-filled) confusion are folded into one row; all report rows are
+    read off it, so the input is planned once."""
+    def at(actual=None, predicted=None):
+        c = F.lit(True)
+        for name, v in (("actual", actual), ("predicted", predicted)):
+            c = c if v is None else c & (F.col(name) == F.lit(v))
+        return F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+
+    one = conf.agg(*[x.alias(f"{n}{i}") for i, v in enumerate(labels)
+                     for n, x in (("tp", at(v, v)), ("sup", at(v)), ("prd", at(None, v)))])
+    per = []
+    for i, v in enumerate(labels):
+        tp, sup, prd = (F.col(f"{n}{i}") for n in ("tp", "sup", "prd"))
+        per.append((str(v), _ratio(tp, prd), _ratio(tp, sup), sup, tp))
+    per = [(v, p, r, _ratio(2 * p * r, p + r), s, tp) for v, p, r, s, tp in per]
+    total = sum((x[4] for x in per), F.lit(0))
+
+    def mean(k):
+        return sum((x[k] for x in per), F.lit(0.0)) / len(per)
+
+    def weighted(k):
+        return _ratio(sum((x[k] * x[4] for x in per), F.lit(0.0)), total)
+
+    rows = [x[:5] for x in per] + [
+        ("accuracy", F.lit(None), F.lit(None), _ratio(sum((x[5] for x in per), F.lit(0)), total), total),
+        ("macro avg", mean(1), mean(2), mean(3), total), ("weighted avg", weighted(1), weighted(2), weighted(3), total)]
+    return one.select(F.inline(F.array(*[
+        F.struct(F.lit(v).alias("label"), *[F.round(c.cast("double"), 9).alias(n) for n, c in (("precision", p), ("recall", r), ("f1", f))],
+                 s.cast("long").alias("support")) for v, p, r, f, s in rows])))
+
+
+def _pearson(x: Column, y: Column) -> Column:
+    """Pearson correlation; null where one side does not vary (``corr`` fails there in ANSI mode)."""
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread > 0, F.covar_pop(x, y) / spread)
 
 
 def regression_metrics(df: DataFrame, true: str, pred: str) -> DataFrame:
@@ -109,38 +119,63 @@ def regression_metrics(df: DataFrame, true: str, pred: str) -> DataFrame:
         F.avg((e == 0).cast("double")).alias("exact"),
         F.avg((F.abs(e) <= 1).cast("double")).alias("within_1"),
         F.avg((F.abs(e) <= 2).cast("double")).alias("within_2"),
-        F.corr(col_(true).cast("double"), col_(pred).cast("double")).alias("pearson"),
+        _pearson(col_(true).cast("double"), col_(pred).cast("double")).alias("pearson"),
     ).withColumn("rmse", F.sqrt("mse"))
 
 
 def average_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None) -> DataFrame:
     """Average rank with ties (1-based), via the value histogram."""
     by = by or []
-    hist = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    return df.join(_value_ranks(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")), value, out, by), by + [value])
+
+
+def _value_ranks(hist: DataFrame, value: str, out: str, by: list[str]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = hist.select(*by, value, (F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2.0).alias(out))
-    return df.join(ranks, by + [value])
+    counts = hist.groupBy(*by, value).agg(F.sum("_n").alias("_n"))
+    return counts.select(*by, value, (F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2.0).alias(out))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
-    """Spearman correlation = Pearson of average ranks, on pairwise-complete rows."""
+    """Spearman correlation = Pearson of average ranks, on pairwise-complete rows.
+
+    Rows are counted per (x, y) first; ranks and the weighted correlation run on those counts.
+    ``by`` gives one row a group (e.g. per model)."""
+    by = by or []
+    cells = (df.filter(col_(x).isNotNull() & col_(y).isNotNull()).groupBy(*by, col_(x).alias("_x"), col_(y).alias("_y"))
+             .agg(F.count(F.lit(1)).alias("_n")))
+    r = (cells.join(_value_ranks(cells, "_x", "_rx", by), by + ["_x"])
+              .join(_value_ranks(cells, "_y", "_ry", by), by + ["_y"]))
+    n, a, b = F.col("_n"), F.col("_rx"), F.col("_ry")
+    sums = (r.groupBy(*by) if by else r).agg(
+        F.sum(n).alias("n"), F.sum(n * a).alias("_a"), F.sum(n * b).alias("_b"), F.sum(n * a * a).alias("_aa"),
+        F.sum(n * b * b).alias("_bb"), F.sum(n * a * b).alias("_ab"))
+    m = F.col("n")
+    cov = m * F.col("_ab") - F.col("_a") * F.col("_b")
+    var = (m * F.col("_aa") - F.col("_a") * F.col("_a")) * (m * F.col("_bb") - F.col("_b") * F.col("_b"))
+    return sums.select(*by, F.when(var > 0, cov / F.sqrt(var)).alias("spearman"),  # null where a side does not vary
+                       F.coalesce(m, F.lit(0)).alias("n"))
+
+
+def pearson_by(df: DataFrame, x: str, others: list[str], by: list[str] | None = None) -> DataFrame:
+    """A8 per group and one column to many: (by..., column, pearson, n) on pairwise-complete rows."""
     by = by or []
-    ok = df.filter(col_(x).isNotNull() & col_(y).isNotNull()).select(*by, x, y)
-    r = average_rank(average_rank(ok, x, "_rx", by), y, "_ry", by)
-    agg = r.groupBy(*by) if by else r
-    return agg.agg(F.corr("_rx", "_ry").alias("spearman"), F.count(F.lit(1)).alias("n"))
+    long = df.select(*by, col_(x).cast("double").alias("_x"), *[col_(c).cast("double").alias(c) for c in others])
+    long = long.unpivot(by + ["_x"], others, "column", "_y").where("_x is not null and _y is not null")
+    return long.groupBy(*by, "column").agg(_pearson(F.col("_x"), F.col("_y")).alias("pearson"), F.count(F.lit(1)).alias("n"))
 
 
 def threshold_metrics(df: DataFrame, true: str, pred: str, thresholds: list) -> DataFrame:
-    """positive = score > t; TN/FP/FN/TP, precision, recall, F1 per threshold."""
-    spark = df.sparkSession
-    ts = spark.createDataFrame([(float(t),) for t in thresholds], "threshold double")
+    """positive = score > t; TN/FP/FN/TP, precision, recall, F1 per threshold.
+
+    One aggregate with four counters a threshold (a short parameter list)."""
     ok = df.filter(col_(true).isNotNull() & col_(pred).isNotNull()).select(col_(true).alias("_t"), col_(pred).alias("_p"))
-    j = ok.crossJoin(F.broadcast(ts))  # thresholds: a short parameter list
-    tpos, ppos = F.col("_t") > F.col("threshold"), F.col("_p") > F.col("threshold")
-    m = j.groupBy("threshold").agg(
-        F.count_if(~tpos & ~ppos).alias("tn"), F.count_if(~tpos & ppos).alias("fp"),
-        F.count_if(tpos & ~ppos).alias("fn"), F.count_if(tpos & ppos).alias("tp"))
+    counts = []
+    for i, t in enumerate(thresholds):
+        a, p = F.col("_t") > float(t), F.col("_p") > float(t)
+        counts += [F.count_if(c).alias(f"{n}{i}") for n, c in (("tn", ~a & ~p), ("fp", ~a & p), ("fn", a & ~p), ("tp", a & p))]
+    rows = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), *[F.col(f"{n}{i}").alias(n) for n in ("tn", "fp", "fn", "tp")])
+                     for i, t in enumerate(thresholds)])
+    m = ok.agg(*counts).select(F.inline(rows))
     m = m.select("*", _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
                  _ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"))
     return m.withColumn("f1", _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
@@ -190,13 +225,11 @@ def equal_width_histogram(df: DataFrame, value: str, bins: int = 20, density: bo
 
 
 def integer_histogram(df: DataFrame, value: str, lo: int = 1, hi: int = 5) -> DataFrame:
-    """A14 (ii): bins (k-0.5, k+0.5] for k in lo..hi; values outside are dropped."""
+    """A14 (ii): bins [k-0.5, k+0.5) for k in lo..hi, the last one closed; values outside are dropped."""
     spark = df.sparkSession
     grid = spark.range(lo, hi + 1).select(F.col("id").cast("int").alias("value"))
     v = col_(value).cast("double")
-    k = F.ceil(v - 0.5).cast("int")
-    # numpy's first bin is closed on the left as well
-    k = F.when(v == lo - 0.5, F.lit(lo)).otherwise(k)
+    k = F.least(F.floor(v + 0.5), F.lit(hi)).cast("int")
     counts = (df.select(k.alias("value"), v.alias("_v"))
                 .filter((F.col("_v") >= lo - 0.5) & (F.col("_v") <= hi + 0.5))
                 .groupBy("value").agg(F.count(F.lit(1)).alias("n")))
@@ -206,18 +239,49 @@ def integer_histogram(df: DataFrame, value: str, lo: int = 1, hi: int = 5) -> Da
 def describe(df: DataFrame, value: str) -> DataFrame:
     """Count, mean, sample std, min, 25/50/75 % (linear interpolation), max."""
     v = col_(value).cast("double")
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    q = exact_percentiles(df, value, [0.25, 0.5, 0.75])
     return df.agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-                  F.min(v).alias("min"), q.alias("_q"), F.max(v).alias("max")).select(
-        "count", "mean", "std", "min", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"),
-        F.col("_q")[2].alias("p75"), "max")
+                  F.min(v).alias("min"), F.max(v).alias("max")).crossJoin(F.broadcast(q)).select(  # one row each
+        "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def exact_percentiles(df: DataFrame, value: str, probs: list[float]) -> DataFrame:
-    """Exact linear-interpolated percentiles, one row with one column per prob."""
-    q = F.percentile(col_(value).cast("double"), F.array(*[F.lit(float(p)) for p in probs]))
-    r = df.agg(q.alias("_q"))
-    return r.select(*[F.col("_q")[i].alias(f"p{int(round(p * 100)):02d}") for i, p in enumerate(probs)])
+    """Exact linear-interpolated percentiles, one row with one column per prob.
+
+    Values are counted, the counts summed in value order (``running_counts``), and the two
+    neighbours of each position picked: no buffer holds all distinct values."""
+    spread = running_counts(df.select(col_(value).cast("double").alias("_v")).where(F.col("_v").isNotNull()), "_v")
+    total = spread.agg(F.sum("n").alias("_n"))
+    at = spread.crossJoin(F.broadcast(total))  # one row
+    picks = []
+    for i, p in enumerate(probs):
+        pos = F.lit(float(p)) * (F.col("_n") - 1)
+        for name, k in ((f"_lo{i}", F.floor(pos)), (f"_hi{i}", F.ceil(pos))):
+            picks.append(F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col("_v"))).alias(name))
+    r = at.agg(*picks, F.max("_n").alias("_n"))
+    out = []
+    for i, p in enumerate(probs):
+        part = F.lit(float(p)) * (F.col("_n") - 1) - F.floor(F.lit(float(p)) * (F.col("_n") - 1))
+        out.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * part).alias(f"p{int(round(p * 100)):02d}"))
+    return r.select(*out)
+
+
+def running_counts(df: DataFrame, value: str, cells: int = 1024) -> DataFrame:
+    """Distinct values with their count ``n`` and the count ``before`` of all smaller ones.
+
+    Values fall into ``cells`` equal ranges; a running sum over the ranges (at most that many
+    rows) and one inside each range replace a sort of all values in one task."""
+    hist = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+    ends = hist.agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"))
+    width = F.col("_mx") - F.col("_mn")
+    cell = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_mn")) / width * cells), F.lit(cells - 1))).otherwise(F.lit(0))
+    placed = hist.crossJoin(F.broadcast(ends)).withColumn("_cell", cell.cast("int"))  # one row
+    sums = placed.groupBy("_cell").agg(F.sum("n").alias("_cn"))
+    earlier = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_cell", F.coalesce(F.sum("_cn").over(earlier), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return (placed.join(F.broadcast(offsets), "_cell")  # at most ``cells`` rows
+            .select(value, "n", (F.col("_off") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("before")))
 
 
 def row_mean(cols: list) -> Column:
@@ -264,6 +328,33 @@ def columns_by_suffix(df: DataFrame, suffixes: list[str]) -> DataFrame:
     return df.select(df.colRegex(pattern))
 
 
+def score_subset(df: DataFrame, value: str, keep: str = "imperfect", probe: int = 3) -> DataFrame:
+    """rows by score: ``imperfect`` (not 5), ``equal`` (to ``probe``) or ``parsed`` (not 0)."""
+    v = col_(value)
+    return df.filter({"imperfect": v != 5, "equal": v == probe, "parsed": v != 0}[keep])
+
+
+def drop_missing(df: DataFrame, cols: list[str]) -> DataFrame:
+    """rows that miss one of the derived columns go."""
+    return df.na.drop(subset=cols)
+
+
+def attach_model_column(base: DataFrame, results: DataFrame, key: str, model: str, models: list[str],
+                        value: str) -> DataFrame:
+    """One column per model, joined by key from a long (key, model, value) table; the long
+    table is pivoted over the given models first, so the base is joined once."""
+    wide = results.groupBy(key).pivot(model, models).agg(F.max(value))
+    return base.join(wide, key, "left")
+
+
+def metrics_row(conf: DataFrame, metrics: DataFrame, labels: list) -> DataFrame:
+    """K4: the one-row summary with the confusion as a nested matrix (rows: actual labels)."""
+    cell = {(a, p): F.coalesce(F.sum(F.when((F.col("actual") == F.lit(a)) & (F.col("predicted") == F.lit(p)), F.col("n"))),
+                               F.lit(0)).cast("long") for a in labels for p in labels}
+    matrix = conf.agg(F.array(*[F.array(*[cell[a, p] for p in labels]) for a in labels]).alias("confusion_matrix"))
+    return metrics.crossJoin(F.broadcast(matrix))  # one row each
+
+
 def union_long(frames: list[DataFrame]) -> DataFrame:
     """Union per-model result tables by name into one long table (missing columns null)."""
     out = frames[0]

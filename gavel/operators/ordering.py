@@ -95,13 +95,6 @@ def top_n_per_group(df: DataFrame, group_cols: list[str], order_cols: list, n,
                 .drop("_tn_salt", "_tn_r"))
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute a reused intermediate once and cut its lineage with a reliable checkpoint
-    (``spark.checkpoint.dir``, shared storage on a cluster); never a local checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def first_n(df: DataFrame, order_cols: list, n: int) -> DataFrame:
     """L1: first n rows in input order (TakeOrderedAndProject: per-task top-n, then merge)."""
     return df.orderBy(*[col_(c) for c in order_cols]).limit(n)

@@ -31,8 +31,11 @@ def extract_items(df: DataFrame, id_col: str, text_col: str, order_col: str) ->
     ok = df.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     ok = ok.select(F.col(id_col).cast("string").alias("id"), py_strip(F.col(text_col).cast("string")).alias("text"),
                    F.col(order_col).alias("ord")).filter(F.col("text") != "")
-    first = ok.groupBy("id", "text").agg(F.min("ord").alias("ord"))
-    return first
+    # the text's hash and length stand for it in the aggregate; the text itself is fetched by its
+    # first place, so no text is a shuffle or sort key
+    ok = ok.withColumn("_h", F.md5("text")).withColumn("_n", F.length("text"))
+    first = ok.groupBy("id", "_h", "_n").agg(F.min("ord").alias("ord"))
+    return ok.join(first, ["id", "_h", "_n", "ord"]).select("id", "text", "ord").dropDuplicates(["id", "ord"])
 
 
 def explode_responses(df: DataFrame, responses_col: str, order_col: str, original_col: str | None = None) -> DataFrame:
@@ -57,7 +60,7 @@ def dedup_first(df: DataFrame, key_cols: list[str], order_cols: list[str]) -> Da
 
 
 def pack_batches(items: DataFrame, items_per_batch: int, max_tokens: int, instruction: str,
-                 order_cols: list | None = None) -> DataFrame:
+                 order_cols: list[str] | None = None) -> DataFrame:
     """W3 + X2 + X3 + X4: one row per item with its batch and chunk.
 
     items: ``id, text, ord``. Output adds ``rank, batch_no, chunk, n_chunks, position,
@@ -65,7 +68,9 @@ def pack_batches(items: DataFrame, items_per_batch: int, max_tokens: int, instru
     """
     instr_tokens = len(instruction) // 4
     avail = max_tokens - instr_tokens - SPLIT_RESERVE_TOKENS
-    ranked = global_rank(items, order_cols or ["ord", "id"], "rank")
+    # only the order columns are ranked (and pinned); the texts are joined back once
+    order = order_cols or ["ord", "id"]
+    ranked = items.join(global_rank(items.select(*order), order, "rank"), order)
     ranked = ranked.withColumn("batch_no", ((F.col("rank") - 1) / items_per_batch).cast("long") + 1)
     ranked = ranked.withColumn("tokens", item_tokens("text"))
     per_batch = ranked.groupBy("batch_no").agg(

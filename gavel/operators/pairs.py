@@ -84,22 +84,24 @@ def _cells(items: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
 
 def candidate_pairs(items: DataFrame, min_diff: float = 1.0, translation: bool = False,
                     block_rows: int = 4096) -> DataFrame:
-    """Every unordered pair (ord_a < ord_b) inside a group whose scores differ by
-    at least ``min_diff`` (and are not equal). Translation mode also needs the same,
+    """Every unordered pair (in input order) inside a group whose scores differ by
+    at least ``min_diff`` (and are not equal). Equal ``ord`` values are ordered by id, text and score. Translation mode also needs the same,
     non-empty source text, which becomes part of the join key."""
     keys = ["group_key"] + (["english_sentence"] if translation else [])
     base = items
     if translation:
         base = base.filter(F.col("english_sentence") != "")
     # the length travels as its own column so the text itself can be pruned where unused
-    cells = _cells(base.withColumn("slen", F.length("sentence")), keys, block_rows)
-    carried = ("id", "ord", "sentence", "slen", "score", "_blk") + (("inert",) if "inert" in items.columns else ())
+    # rows that share ord and id are told apart by their text and score
+    cells = _cells(base.withColumn("slen", F.length("sentence"))
+                       .withColumn("_row", F.struct("ord", "id", F.xxhash64("sentence").alias("h"), "score")), keys, block_rows)
+    carried = ("id", "ord", "sentence", "slen", "score", "_blk", "_row")
     a = cells.select(*[F.col(c).alias(c) for c in keys], "_lo", "_hi",
                      *[F.col(c).alias(f"a_{c}") for c in carried])
     b = cells.select(*[F.col(c).alias(f"b_{c}") for c in keys], F.col("_lo").alias("b_lo"), F.col("_hi").alias("b_hi"),
                      *[F.col(c).alias(f"b_{c}") for c in carried])
     cond = [F.col(c) == F.col(f"b_{c}") for c in keys] + [F.col("_lo") == F.col("b_lo"), F.col("_hi") == F.col("b_hi")]
-    residual = ((F.col("a_ord") < F.col("b_ord"))
+    residual = ((F.col("a__row") < F.col("b__row"))
                 & ((F.col("a__blk") != F.col("b__blk")) | (F.col("_lo") == F.col("_hi")))
                 & (F.abs(F.col("a_score") - F.col("b_score")) >= F.lit(float(min_diff)))
                 & (F.col("a_score") != F.col("b_score")))
@@ -114,8 +116,6 @@ def candidate_pairs(items: DataFrame, min_diff: float = 1.0, translation: bool =
         pick("a_slen", "b_slen").alias("better_len"), pick("b_slen", "a_slen").alias("worse_len"),
         pick("a_score", "b_score").alias("better_score"), pick("b_score", "a_score").alias("worse_score"),
     ]
-    if "inert" in carried:
-        out.append((F.col("a_inert") & F.col("b_inert")).alias("inert"))
     return joined.select(*out)
 
 
@@ -137,10 +137,6 @@ def preference_pairs(items: DataFrame, min_diff: float = 1.0, seed: int = 42,
     so ``chosen != rejected`` always holds (the reference maps both to one digit).
     """
     templates = templates or (TRANSLATION_PAIR_TEMPLATES if translation else PAIR_TEMPLATES)
-    if not translation:
-        # per item, before the pair explosion: can the sentence take part in an A/B rewrite?
-        from .chat import rewrite_inert
-        items = items.withColumn("inert", rewrite_inert("sentence"))
     pairs = candidate_pairs(items, min_diff, translation, block_rows)
     h = seeded_hash("first_id", "second_id", seed=seed)
     pairs = pairs.withColumn("_h", h)

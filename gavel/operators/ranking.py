@@ -2,8 +2,8 @@
 
 A source holds the candidate translations of one sentence. Every aggregate here is
 keyed by (source[, translation]); dense ranks run on the distinct (source, score)
-values, and top-n uses the salted two-phase top-n, so a hot source never lands whole
-in one task.
+values, and top-n is limited before the shuffle, so a hot source never lands whole in
+one task.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.votes import vote_points
-from .ordering import global_rank, top_n_per_group
+from .ordering import global_rank
 
 
 def pair_ratings(votes: DataFrame, pairs: DataFrame, repeat: int) -> DataFrame:
@@ -90,16 +90,25 @@ def human_ranks(ratings: DataFrame) -> DataFrame:
     return u.withColumn("human_rank", F.dense_rank().over(w))
 
 
+def item_ranks(items: DataFrame, group: str = "group_key", score: str = "score") -> DataFrame:
+    """W2 from the items themselves: dense rank of the distinct scores of a source (high = 1).
+    The same ranks as over all pairs of the source, without its pairs."""
+    u = items.select(F.col(group).alias("source_id"), F.col(score).alias("human_score")).distinct()
+    return u.withColumn("human_rank", F.dense_rank().over(Window.partitionBy("source_id").orderBy(F.col("human_score").desc())))
+
+
 def top_n(scores: DataFrame, n: int, best: bool = True) -> DataFrame:
-    """N best (or worst) translations per source by win share, ties by id."""
+    """N best (or worst) translations per source by win share, ties by id. Spark limits the
+    rows of a source before and after the shuffle (a literal n), so a hot source is no burden."""
     order = [F.col("fluency_score").desc() if best else F.col("fluency_score").asc(), F.col("translation_id")]
-    return top_n_per_group(scores, ["source_id"], order, n, name="position", salt_cols=["translation_id"])
+    place = F.row_number().over(Window.partitionBy("source_id").orderBy(*order))
+    return scores.withColumn("position", place).filter(F.col("position") <= n)
 
 
-def top_n_human_rank(scores: DataFrame, ratings: DataFrame, n: int, best: bool = True) -> DataFrame:
-    """The human rank of the model's n best (or worst) translations per source."""
-    t = top_n(scores, n, best)
-    return t.join(human_ranks(ratings), ["source_id", "human_score"], "left")
+def top_n_human_rank(scores: DataFrame, ranks: DataFrame, n: int, best: bool = True) -> DataFrame:
+    """The human rank (``item_ranks`` or ``human_ranks``) of the model's n best (or worst)
+    translations per source."""
+    return top_n(scores, n, best).join(ranks, ["source_id", "human_score"], "left")
 
 
 def candidate_positions(candidates: DataFrame, order_col: str = "translation_id") -> DataFrame:

@@ -19,9 +19,17 @@ RATIONALE_LIMIT = 200
 NO_REASON = "No reason provided"
 NO_RATIONALE = "No rationale"
 BATCH_ERROR = "Error during processing"
+NEXT_SCORE_TAG = r"(?is)<id\d+(?:-\d+)*><score>.*"
+XML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")]
 # --- end of fixed values ------------------------------------------------------------
 
-NEXT_SCORE_TAG = r"(?is)<id\d+(?:-\d+)*><score>.*"
+
+def _plain(c: Column) -> Column:
+    """Text of an XML element: inner tags dropped, the five entities decoded (``&amp;`` last)."""
+    c = F.regexp_replace(c, "<[^>]*>", "")
+    for entity, char in XML_ENTITIES:
+        c = F.replace(c, F.lit(entity), F.lit(char))
+    return c
 
 
 def _q(c: Column) -> Column:
@@ -55,10 +63,9 @@ def parse_task_reply(reply: Column, safe_id: Column) -> Column:
     has_block = _found(reply, block_pat)
     block = _extract(reply, block_pat, 1)
     has_o = has_block & F.regexp_like(block, F.lit("(?s)<o>.*?</o>"))
-    o_text = py_strip(F.regexp_replace(F.regexp_extract(block, "(?s)<o>(.*?)</o>", 1), "<[^>]*>", ""))
+    o_text = py_strip(_plain(F.regexp_extract(block, "(?s)<o>(.*?)</o>", 1)))
     has_r = has_block & F.regexp_like(block, F.lit("(?s)<reason>.*?</reason>"))
-    r_text = _cut(py_strip(F.regexp_replace(F.regexp_extract(block, "(?s)<reason>(.*?)</reason>", 1), "<[^>]*>", "")),
-                  REASON_LIMIT)
+    r_text = _cut(py_strip(_plain(F.regexp_extract(block, "(?s)<reason>(.*?)</reason>", 1))), REASON_LIMIT)
     l1_out = F.when(has_o, o_text)
     l1_reason = F.when(has_r, r_text).when(has_o, F.lit(NO_REASON))
     strict = F.concat(F.lit("(?is)<id"), qid, F.lit("><o>([^<]+)</o><reason>(.*?)</reason></id"), qid, F.lit(">"))
@@ -83,7 +90,9 @@ def parse_task_results(batches: DataFrame, replies: DataFrame) -> DataFrame:
                                                      m["txt"].alias("txt"),
                                                      parse_task_reply(F.col("_reply"), m["safe"]).alias("p")))
     j = j.withColumn("_parsed", parsed)
-    level1 = F.forall("_parsed", lambda x: x["p"]["l1_output"].isNotNull())
+    # two items under one tag-safe id (D18) can't be told apart: the batch goes to the fallback
+    clear = F.size(F.array_distinct("item_ids")) == F.size("item_ids")
+    level1 = clear & F.forall("_parsed", lambda x: x["p"]["l1_output"].isNotNull())
     j = j.withColumn("_level1", level1)
     ex = j.select("model_name", "_has_reply", "_level1", F.explode("_parsed").alias("m"))
     failed = F.col("_has_reply").isNull()
@@ -142,13 +151,19 @@ def parse_dict_reply(reply) -> Column:
     """A dict literal in a reply (maybe fenced) -> map<string,string>.
 
     Tries, in order: the text without code fences; the span from the first ``{`` to
-    the first ``}``; the first ``{[^}]*}`` match. Unquoted keys and single quotes are
-    accepted. Null when all fail (route those rows to an error table).
+    the first ``}``. Unquoted keys, single quotes, a comma before the closing brace and
+    the literals ``None``, ``True`` and ``False`` as values are accepted. Null when both
+    fail (route those rows to an error table).
     """
     r = col_(reply)
     opts = {"allowUnquotedFieldNames": "true", "allowSingleQuotes": "true"}
     unfenced = py_strip(F.regexp_replace(F.regexp_replace(r, r"(?s)^\s*```[a-zA-Z]*", ""), r"(?s)```\s*$", ""))
     first_span = F.regexp_extract(r, r"(?s)(\{.*?\})", 1)
-    simple = F.regexp_extract(r, r"(\{[^}]*\})", 1)
-    tries = [F.from_json(x, "map<string,string>", opts) for x in (unfenced, first_span, simple)]
-    return F.coalesce(*tries)
+
+    def json(x: Column) -> Column:
+        x = F.regexp_replace(x, r",\s*\}", "}")
+        for literal, word in (("None", "null"), ("True", "true"), ("False", "false")):
+            x = F.regexp_replace(x, rf"(:\s*){literal}(?=\s*[,}}])", f"$1{word}")
+        return F.from_json(x, "map<string,string>", opts)
+
+    return F.coalesce(json(unfenced), json(first_span))

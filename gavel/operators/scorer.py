@@ -10,8 +10,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
@@ -45,23 +44,44 @@ def apply_scorer(df: DataFrame, fn: Callable[[str], str], prompt_col: str = "pro
     return src.mapInPandas(run, schema)
 
 
-def score_with_reprompt(df: DataFrame, fn: Callable[[str], str], parse: Callable[[Column], Column],
-                        rewrite: Callable[[Column], Column], prompt_col: str = "prompt", passes: int = 1,
-                        **kw) -> DataFrame:
-    """Score, then re-prompt rows whose reply does not parse, a fixed number of times.
+def score_with_reprompt(df: DataFrame, fn: Callable[[str], str], parse: Callable[[str], str | None],
+                        rewrite: Callable[[str], str], prompt_col: str = "prompt", passes: int = 1,
+                        retries: int = 3, wait_seconds: float = 2.0, partitions: int | None = None) -> DataFrame:
+    """Score, then re-prompt rows whose reply does not parse, at most ``passes`` times.
 
-    ``parse(reply_col)`` returns the parsed value (null = unparsed); ``rewrite(prompt_col)``
-    returns the new prompt. Output adds ``parsed`` and ``passes_used``.
+    All passes of a row run one after another where the row is, so a scorer that answers
+    differently each time is asked once a pass and no row is lost or doubled. ``parse`` and
+    ``rewrite`` are Python callables (``parse`` returns null for an unparsable reply). Output
+    adds ``response``, ``error``, ``attempts``, ``parsed`` and ``passes_used``.
     """
-    cur = apply_scorer(df, fn, prompt_col, **kw).withColumn("parsed", parse(F.col("response")))
-    cur = cur.withColumn("passes_used", F.lit(0))
-    done = cur.filter(F.col("parsed").isNotNull())
-    todo = cur.filter(F.col("parsed").isNull())
-    for p in range(1, passes + 1):
-        again = todo.drop("response", "error", "attempts", "parsed", "passes_used").withColumn(
-            prompt_col, rewrite(F.col(prompt_col)))
-        again = apply_scorer(again, fn, prompt_col, **kw).withColumn("parsed", parse(F.col("response")))
-        again = again.withColumn("passes_used", F.lit(p))
-        done = done.unionByName(again.filter(F.col("parsed").isNotNull()))
-        todo = again.filter(F.col("parsed").isNull())
-    return done.unionByName(todo)
+    schema = T.StructType(df.schema.fields + [
+        T.StructField("response", T.StringType()), T.StructField("error", T.StringType()),
+        T.StructField("attempts", T.IntegerType()), T.StructField("parsed", T.StringType()),
+        T.StructField("passes_used", T.IntegerType())])
+
+    def ask(prompt: str):
+        for attempt in range(1, retries + 1):
+            try:
+                return fn(prompt), None, attempt
+            except Exception as e:  # noqa: BLE001  # a failed call becomes an error row
+                if attempt == retries:
+                    return None, f"{type(e).__name__}: {e}", attempt
+                if wait_seconds:
+                    time.sleep(wait_seconds)
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for prompt in pdf[prompt_col]:
+                for used in range(passes + 1):
+                    reply, error, attempts = ask(prompt)
+                    value = parse(reply) if reply is not None else None
+                    if value is not None:
+                        break
+                    prompt = rewrite(prompt) if used < passes else prompt
+                rows.append((reply, error, attempts, value, used))
+            cols = list(zip(*rows)) if rows else [[]] * 5
+            yield pdf.assign(**{n: list(c) for n, c in zip(("response", "error", "attempts", "parsed", "passes_used"), cols)})
+
+    src = df.repartition(partitions) if partitions else df
+    return src.mapInPandas(run, schema)

@@ -226,15 +226,16 @@ rw AS (
 
 @query("ab_rewrite", AB_SQL + "SELECT better_id, worse_id, user_content, assistant_content FROM rw")
 def q_ab_rewrite(spark, sf_dir):
-    chat = C.pairs_to_chat(doc_pairs(spark, sf_dir), templates=P.PAIR_TEMPLATES)
+    chat = C.pairs_to_chat(doc_pairs(spark, sf_dir))
     return chat.select("better_id", "worse_id", "user_content", "assistant_content")
 
 
 @query("conversion_counters", AB_SQL + """SELECT count(*) AS n_records,
   count(*) FILTER (WHERE user_content <> prompt) AS user_conversions,
-  count(*) FILTER (WHERE assistant_content <> chosen) AS assistant_conversions FROM rw""")
+  count(*) FILTER (WHERE assistant_content <> chosen) AS assistant_conversions,
+  count(*) FILTER (WHERE prompt IS NULL OR chosen IS NULL) AS errors FROM rw""")
 def q_conversion_counters(spark, sf_dir):
-    return C.conversion_counters(C.pairs_to_chat(doc_pairs(spark, sf_dir), templates=P.PAIR_TEMPLATES))
+    return C.conversion_counters(C.pairs_to_chat(doc_pairs(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------------------------
@@ -340,7 +341,7 @@ SELECT label, round(precision, 9) AS precision, round(recall, 9) AS recall, roun
 
 @query("logprob_report", CONF_AB_SQL + classification_report_sql("conf"))
 def q_logprob_report(spark, sf_dir):
-    return M.classification_report(q_logprob_confusion(spark, sf_dir))
+    return M.classification_report(q_logprob_confusion(spark, sf_dir), ["A", "B"])
 
 
 @query("prob_vote_metrics", VOTE_SQL + """,
@@ -476,7 +477,7 @@ conf AS (SELECT grid.actual, grid.predicted, CAST(coalesce(c.n, 0) AS DOUBLE) AS
          FROM grid LEFT JOIN c ON grid.actual = c.actual AND grid.predicted = c.predicted)""" +
        classification_report_sql("conf"))
 def q_score_report(spark, sf_dir):
-    return M.classification_report(q_score_confusion(spark, sf_dir))
+    return M.classification_report(q_score_confusion(spark, sf_dir), [1, 2, 3, 4, 5])
 
 
 @query("score_histogram", SCORED_SQL + """,
@@ -917,13 +918,10 @@ def judge_replies_inline(pairs: DataFrame, repeat: int = VOTE_REPEAT) -> DataFra
     return pairs.withColumn("replies", F.array(*reps))
 
 
-def rated(spark, sf_dir, with_text: bool = False, reused: bool = False) -> DataFrame:
-    """Rated pairs; pair texts are kept only when asked for. A query that reads them
-    more than once gets them computed once (reliable checkpoint)."""
-    from ..operators.ordering import materialize
+def rated(spark, sf_dir, with_text: bool = False) -> DataFrame:
+    """Rated pairs; pair texts are kept only when asked for."""
     pairs = rating_pairs(spark, sf_dir, with_text)
-    r = RK.pair_ratings_inline(judge_replies_inline(pairs), "replies", VOTE_REPEAT).drop("replies")
-    return materialize(r) if reused else r
+    return RK.pair_ratings_inline(judge_replies_inline(pairs), "replies", VOTE_REPEAT).drop("replies")
 
 
 _REPLY_LIST_SQL = "[" + ", ".join(sql_literal(x).replace("\n", "' || chr(10) || '") for x in VOTE_REPLIES) + "]"
@@ -1002,8 +1000,8 @@ def q_win_loss(spark, sf_dir):
   CAST(hr.human_rank AS INTEGER) AS human_rank
 FROM best b LEFT JOIN hr ON b.source_id = hr.source_id AND b.human_score = hr.human_score WHERE b.position <= 3""")
 def q_top_n_rank(spark, sf_dir):
-    r = rated(spark, sf_dir, reused=True)
-    t = RK.top_n_human_rank(RK.win_loss(r), r, 3, best=True)
+    ranks = RK.item_ranks(doc_items(spark, sf_dir)[0])
+    t = RK.top_n_human_rank(RK.win_loss(rated(spark, sf_dir)), ranks, 3, best=True)
     return t.select("source_id", "translation_id", "position", "human_rank")
 
 
@@ -1011,8 +1009,8 @@ def q_top_n_rank(spark, sf_dir):
   CAST(hr.human_rank AS INTEGER) AS human_rank
 FROM worst b LEFT JOIN hr ON b.source_id = hr.source_id AND b.human_score = hr.human_score WHERE b.position <= 3""")
 def q_bottom_n_rank(spark, sf_dir):
-    r = rated(spark, sf_dir, reused=True)
-    t = RK.top_n_human_rank(RK.win_loss(r), r, 3, best=False)
+    ranks = RK.item_ranks(doc_items(spark, sf_dir)[0])
+    t = RK.top_n_human_rank(RK.win_loss(rated(spark, sf_dir)), ranks, 3, best=False)
     return t.select("source_id", "translation_id", "position", "human_rank")
 
 
@@ -1022,8 +1020,8 @@ top1 AS (SELECT hr.human_rank FROM best b JOIN hr ON b.source_id = hr.source_id
 SELECT CAST(g.v AS INTEGER) AS value, coalesce(c.n, 0) AS n FROM range(1, 6) g(v)
 LEFT JOIN (SELECT human_rank AS v, count(*) AS n FROM top1 WHERE human_rank BETWEEN 1 AND 5 GROUP BY 1) c USING (v)""")
 def q_rank_histogram(spark, sf_dir):
-    r = rated(spark, sf_dir, reused=True)
-    t = RK.top_n_human_rank(RK.win_loss(r), r, 1, best=True)
+    ranks = RK.item_ranks(doc_items(spark, sf_dir)[0])
+    t = RK.top_n_human_rank(RK.win_loss(rated(spark, sf_dir)), ranks, 1, best=True)
     return M.integer_histogram(t, "human_rank", 1, 5)
 
 
@@ -1034,10 +1032,9 @@ FROM (SELECT pair_id,
                  WHEN lower(trim(response, {ws})) = 'equal' THEN 0.5 ELSE 0.0 END) AS corr,
         sum(CASE WHEN (lower(trim(response, {ws})) = 'a' AND NOT swapped) OR (lower(trim(response, {ws})) = 'b' AND swapped) THEN 1.0
                  WHEN lower(trim(response, {ws})) = 'equal' THEN 0.5 ELSE 0.0 END) AS trans
-      FROM votes WHERE rep = 1 GROUP BY pair_id)""".replace("{ws}", WS_SQL))
+      FROM votes GROUP BY pair_id)""".replace("{ws}", WS_SQL))
 def q_three_way_verdict(spark, sf_dir):
-    v = judge_votes(rating_pairs(spark, sf_dir)).filter(F.col("repeat") == 1)
-    return RK.three_way_verdict(v)
+    return RK.three_way_verdict(judge_votes(rating_pairs(spark, sf_dir, with_text=False)))
 
 
 # ---------------------------------------------------------------------------------
@@ -1130,14 +1127,33 @@ def q_overlap_gain(spark, sf_dir):
     return g.select("conv_id", R9(OV.error_reduction("base", "new")).alias("error_reduction"))
 
 
-@query("edit_distance")
+# Each benchmark item against the next one, the last against the first. The oracle walks the
+# distance matrix row by row over code points (DuckDB's own levenshtein counts bytes): within
+# row i, d[j] = min over k <= j of (cost of coming from above at k) + (j - k).
+EDIT_SQL = """WITH RECURSIVE b AS (
+  SELECT item_id, text AS a, coalesce(lead(text) OVER (ORDER BY item_id), first_value(text) OVER (ORDER BY item_id)) AS z FROM benchmark),
+walk(item_id, a, z, i, d) AS (
+  SELECT item_id, a, z, 0, range(length(z) + 1) FROM b
+  UNION ALL
+  SELECT item_id, a, z, i + 1, (
+    SELECT list(m + j ORDER BY j) FROM (
+      SELECT j, min(c - j) OVER (ORDER BY j ROWS UNBOUNDED PRECEDING) AS m FROM (
+        SELECT j, CASE WHEN j = 0 THEN i + 1 ELSE least(d[j + 1] + 1, d[j] + CASE WHEN substr(z, j, 1) = substr(a, i + 1, 1) THEN 0 ELSE 1 END) END AS c
+        FROM (SELECT unnest(range(length(z) + 1)) AS j))))
+  FROM walk WHERE i < length(a))
+SELECT item_id, CAST(d[length(z) + 1] AS INTEGER) AS distance FROM walk WHERE i = length(a)"""
+
+
+@query("edit_distance", EDIT_SQL)
 def q_edit_distance(spark, sf_dir):
-    """Rows-only: DuckDB's levenshtein counts bytes, Spark's counts code points; the
-    unit test checks values against a brute-force implementation."""
-    b = table(spark, sf_dir, "benchmark")
-    nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next_text"))
-    j = b.join(nxt, "item_id")
-    return j.select("item_id", OV.edit_distance("text", "next_text").alias("distance"))
+    b = table(spark, sf_dir, "benchmark").where("text is not null")
+    order = b.select("item_id", "text")
+    ids = b.select("item_id").withColumn("_r", F.row_number().over(Window.orderBy("item_id")))  # ids of a small table
+    n = ids.agg(F.max("_r").alias("_n"))
+    nxt = order.join(ids, "item_id").select(F.col("text").alias("next_text"), F.col("_r").alias("_nr"))
+    own = order.join(ids, "item_id").crossJoin(F.broadcast(n))  # one row
+    j = own.withColumn("_nr", F.col("_r") % F.col("_n") + 1).join(nxt, "_nr")
+    return j.select("item_id", OV.edit_distance("text", "next_text").cast("int").alias("distance"))
 
 
 # ---------------------------------------------------------------------------------

@@ -3,7 +3,6 @@ respects whatever the cluster already configured."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -31,7 +30,9 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "gav
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when nothing is configured (local tests) a scratch folder is created.
+    Where nothing is configured: in local mode a folder under the working directory's
+    ``spark-checkpoints`` is set; on a cluster it is an error, since executors would not
+    share a folder chosen here.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -39,6 +40,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="gavel-ckpt-", dir=os.environ.get("GAVEL_SCRATCH", "/tmp"))
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        conf_dir = tempfile.mkdtemp(prefix="gavel-checkpoints-")
     sc.setCheckpointDir(conf_dir)
     return conf_dir

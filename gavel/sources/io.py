@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import py_strip
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str,
                strict: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -20,7 +22,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str,
     if strict:
         return spark.read.schema(st).option("mode", "FAILFAST").json(path), spark.createDataFrame([], "value string")
     raw = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("_file"))
-    raw = raw.filter(F.length(F.trim("value")) > 0)
+    raw = raw.filter(F.length(py_strip("value")) > 0)
     v = F.try_parse_json("value")
     parsed = raw.withColumn("_v", v)
     is_obj = F.col("_v").isNotNull() & (F.schema_of_variant(F.col("_v")).startswith("OBJECT"))
@@ -79,7 +81,7 @@ def nested_section(df: DataFrame, language: str, sections: str = "languages") ->
     """The items of the first ``languages[]`` entry whose language matches, as rows;
     a missing language gives no rows."""
     first = F.try_element_at(F.filter(F.col(sections), lambda s: s["language"] == F.lit(language)), F.lit(1))
-    return df.select(F.inline_outer(first["items"])).dropna(how="all")
+    return df.select(F.inline(first["items"]))
 
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:

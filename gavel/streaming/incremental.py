@@ -1,13 +1,15 @@
-"""Incremental reply intake (ST1): new reply files are parsed once, ids that already have
-a non-null output are skipped, null outputs stay open for a later reply.
+"""Incremental reply intake (ST1): every reply of a file is parsed, ids that already have a
+non-null output are skipped, null outputs stay open for a later reply.
 
-File-source checkpointing gives exactly-once intake of each file across restarts;
-the anti join against finished ids keeps the output idempotent.
+File-source checkpointing gives exactly-once intake of each file across restarts. A batch's
+output is a folder of its own epoch, written over when the epoch is run again, and the anti
+join against the ids that other epochs finished keeps the output idempotent.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.replies import parse_task_results
@@ -16,12 +18,29 @@ from ..operators.resume import done_ids, pending_items
 REPLY_SCHEMA = "batch_id string, response string"
 
 
-def _finished(spark: SparkSession, results_path: str) -> DataFrame:
+def _finished(spark: SparkSession, results_path: str, epoch_id: int) -> DataFrame:
+    """Ids that earlier epochs finished; only a path that isn't there yet means none."""
     try:
-        prev = spark.read.schema("id string, output string").json(results_path)
-    except Exception:  # nothing written yet  # noqa: BLE001
+        prev = spark.read.schema("id string, output string, epoch long").json(results_path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], "_done_id string")
-    return done_ids(prev, "id", "output")
+    return done_ids(prev.where(F.col("epoch") != epoch_id), "id", "output")
+
+
+def parse_all_replies(batches: DataFrame, replies: DataFrame) -> DataFrame:
+    """Each id's best result over all replies of its batch: parsed before unparsed, then the
+    least output. A reply is a batch of its own while it is parsed."""
+    turn = F.row_number().over(Window.partitionBy("batch_id").orderBy("response"))
+    one = replies.select("batch_id", "response").distinct().withColumn("_n", turn)
+    name = F.concat_ws("#", F.col("_n").cast("string"), F.col("batch_id")).alias("batch_id")
+    mine = batches.join(one.select("batch_id", "_n"), "batch_id").select(
+        name, *[c for c in batches.columns if c != "batch_id"])
+    parsed = parse_task_results(mine, one.select(name, "response"))
+    row = F.struct("input", "output", "reason", "model_name")
+    best = F.min_by(row, F.struct(F.col("output").isNull(), "output", "reason")).alias("r")
+    return parsed.groupBy("id").agg(best).select("id", "r.*")
 
 
 def start_incremental_parse(spark: SparkSession, replies_dir: str, batches: DataFrame, results_path: str,
@@ -30,11 +49,9 @@ def start_incremental_parse(spark: SparkSession, replies_dir: str, batches: Data
     stream = spark.readStream.schema(REPLY_SCHEMA).json(replies_dir)
 
     def each(batch_df: DataFrame, epoch_id: int) -> None:
-        replies = batch_df.dropDuplicates(["batch_id"])
-        mine = batches.join(replies.select("batch_id"), "batch_id", "left_semi")
-        parsed = parse_task_results(mine, replies)
-        new = pending_items(parsed, _finished(spark, results_path), "id")
-        (new.write.mode("append").option("ignoreNullFields", "false").json(results_path))
+        new = pending_items(parse_all_replies(batches, batch_df), _finished(spark, results_path, epoch_id), "id")
+        (new.write.mode("overwrite").option("ignoreNullFields", "false")
+            .json(f"{results_path.rstrip('/')}/epoch={epoch_id}"))
 
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint_path)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
@@ -44,5 +61,5 @@ def start_incremental_parse(spark: SparkSession, replies_dir: str, batches: Data
 def latest_results(spark: SparkSession, results_path: str) -> DataFrame:
     """The current result per id: a non-null output wins over earlier null attempts."""
     r = spark.read.schema("id string, input string, output string, reason string, model_name string").json(results_path)
-    best = F.max_by(F.struct("output", "reason", "input", "model_name"), F.col("output").isNotNull())
+    best = F.min_by(F.struct("output", "reason", "input", "model_name"), F.struct(F.col("output").isNull(), "output", "reason"))
     return r.groupBy("id").agg(best.alias("r")).select("id", "r.*")

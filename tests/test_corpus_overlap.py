@@ -128,7 +128,7 @@ def test_win_loss_and_ranks(spark):
        "translation_2 string, human_score_1 double, human_score_2 double, model_agrees boolean")
     wl = {r.translation_id: (r.wins, r.losses, r.fluency_score) for r in RK.win_loss(ratings).collect()}
     assert wl == {"t1": (1, 1, 0.5), "t2": (1, 1, 0.5), "t3": (1, 1, 0.5)}
-    top = RK.top_n_human_rank(RK.win_loss(ratings), ratings, 1).collect()
+    top = RK.top_n_human_rank(RK.win_loss(ratings), RK.human_ranks(ratings), 1).collect()
     assert [(r.translation_id, r.human_rank) for r in top] == [("t1", 3)]
 
 

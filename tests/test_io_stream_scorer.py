@@ -1,7 +1,10 @@
 import json
 import os
+
 import time
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from gavel.operators import pack as K
@@ -86,7 +89,49 @@ def test_scorer_retries_and_errors(spark):
     assert got["flaky"] == ("FLAKY", True, 2)
     rep = Y.score_with_reprompt(spark.createDataFrame([("x",)], "prompt string"),
                                 lambda p: "5" if p.endswith("!") else "?",
-                                parse=lambda c: c.try_cast("int"), rewrite=lambda c: F.concat(c, F.lit("!")),
+                                parse=lambda r: r if r.isdigit() else None, rewrite=lambda p: p + "!",
                                 passes=1, wait_seconds=0)
     r = rep.first()
-    assert (r.parsed, r.passes_used) == (5, 1)
+    assert (r.parsed, r.passes_used, r.response) == ("5", 1, "5")
+
+
+def test_reprompt_keeps_every_row_with_a_random_scorer(spark, tmp_dir):
+    """A scorer that answers differently on each call: each id once, no call too many."""
+    calls = os.path.join(tmp_dir, "calls")
+
+    def fn(p):
+        import random
+        with open(calls, "a") as f:
+            f.write("x\n")
+        return random.choice(["7", "?"])
+
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(200)], "id int, prompt string")
+    out = Y.score_with_reprompt(df, fn, parse=lambda r: r if r.isdigit() else None, rewrite=lambda p: p + "!",
+                                passes=2, wait_seconds=0, partitions=8).collect()
+    assert sorted(r.id for r in out) == list(range(200))
+    assert all((r.parsed is None) == (r.response == "?") for r in out)
+    assert len(open(calls).readlines()) == sum(r.passes_used + 1 for r in out) <= 600
+
+
+def test_stream_keeps_the_good_reply_of_a_batch(spark, tmp_dir):
+    """A bad and a good reply for each batch, in one file and in two, in both orders."""
+    batches = spark.createDataFrame([(str(i), [f"i{i}"], [f"i{i}"], ["t"], "m") for i in range(40)],
+                                    "batch_id string, item_ids array<string>, original_ids array<string>, item_texts array<string>, model_name string")
+    good = [json.dumps({"batch_id": str(i), "response": f"<idi{i}><o>{i % 5}</o></idi{i}>"}) for i in range(40)]
+    bad = [json.dumps({"batch_id": str(i), "response": "no tags"}) for i in range(40)]
+    for k, files in enumerate(([good + bad], [bad + good], [good, bad], [bad, good])):
+        rdir, res, ck = (os.path.join(tmp_dir, f"{n}{k}") for n in ("r", "o", "c"))
+        os.makedirs(rdir)
+        for n, lines in enumerate(files):
+            with open(os.path.join(rdir, f"{n}.json"), "w") as f:
+                f.write("\n".join(lines) + "\n")
+            ST.start_incremental_parse(spark, rdir, batches, res, ck).awaitTermination()
+        latest = {r.id: r.output for r in ST.latest_results(spark, res).collect()}
+        assert latest == {f"i{i}": str(i % 5) for i in range(40)}
+
+
+def test_stream_reports_unreadable_results(spark, tmp_dir):
+    from pyspark.errors import PySparkException
+    with pytest.raises(PySparkException):
+        ST._finished(spark, "nosuchscheme://x/y", 0).collect()
+    assert ST._finished(spark, os.path.join(tmp_dir, "none"), 0).collect() == []

@@ -75,7 +75,7 @@ def test_confusion_and_report(spark):
     rows = [("A", "A"), ("A", "B"), ("B", "B"), ("B", "B"), ("C", "A")]
     conf = M.confusion(spark.createDataFrame(rows, "t string, p string"), "t", "p", ["A", "B"])
     assert sorted(tuple(r) for r in conf.collect()) == [("A", "A", 1), ("A", "B", 1), ("B", "A", 0), ("B", "B", 2)]
-    rep = {r.label: r for r in M.classification_report(conf).collect()}
+    rep = {r.label: r for r in M.classification_report(conf, ["A", "B"]).collect()}
     assert rep["A"].precision == 1.0 and rep["A"].recall == 0.5
     assert abs(rep["B"].precision - 2 / 3) < 1e-9 and rep["accuracy"].f1 == 0.75
 
@@ -92,7 +92,34 @@ def test_ab_metrics_and_histograms(spark):
     assert [r.n for r in h.orderBy("bin").collect()] == [2, 2, 2, 2, 3]
     ih = M.integer_histogram(spark.createDataFrame([(1,), (5,), (5,), (7,)], "v int"), "v")
     assert [r.n for r in ih.orderBy("value").collect()] == [1, 0, 0, 0, 2]
+    half = M.integer_histogram(spark.createDataFrame([(x + 0.5,) for x in range(6)], "v double"), "v")
+    assert [r.n for r in half.orderBy("value").collect()] == [1, 1, 1, 1, 2]  # as numpy: the last bin is closed
     d = M.describe(spark.createDataFrame([(float(x),) for x in range(1, 101)], "v double"), "v").first()
     assert (d.p25, d.p50, d.p75) == (25.75, 50.5, 75.25)
     q = M.exact_percentiles(spark.createDataFrame([(float(x),) for x in range(1, 101)], "v double"), "v", [0.02, 0.98]).first()
     assert (round(q.p02, 6), round(q.p98, 6)) == (2.98, 98.02)
+
+
+def test_percentiles_of_any_doubles(spark):
+    """Against Spark's exact percentile, with repeats, negatives, one value and none."""
+    rnd = random.Random(8)
+    for values in ([rnd.gauss(0, 1e6) for _ in range(3000)], [rnd.choice([-1.5, 0.0, 2.25]) for _ in range(50)], [4.0], [1e-300, 1e300, 3.0, None]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        probs = [0.0, 0.02, 0.25, 0.5, 0.77, 1.0]
+        want = df.selectExpr("percentile(v, array(0.0D, 0.02D, 0.25D, 0.5D, 0.77D, 1.0D)) AS q").first().q
+        got = M.exact_percentiles(df, "v", probs).first()
+        assert all(abs(a - b) <= 1e-12 * max(1, abs(a)) for a, b in zip(want, got))
+    assert list(M.exact_percentiles(spark.createDataFrame([], "v double"), "v", [0.5]).first()) == [None]
+
+
+def test_correlations_per_model(spark):
+    rnd = random.Random(9)
+    rows = [(f"m{i % 3}", rnd.randint(1, 5), rnd.random(), rnd.choice([None, 1.0, 2.0])) for i in range(300)]
+    df = spark.createDataFrame(rows, "model string, h int, a double, b double")
+    sp = {r.model: (r.spearman, r.n) for r in M.spearman(df, "h", "a", ["model"]).collect()}
+    pe = {(r.model, r.column): (r.pearson, r.n) for r in M.pearson_by(df, "h", ["a", "b"], ["model"]).collect()}
+    for m in ("m0", "m1", "m2"):
+        x = [(r[1], r[2]) for r in rows if r[0] == m]
+        assert abs(sp[m][0] - _pearson(_avg_ranks([a for a, _ in x]), _avg_ranks([b for _, b in x]))) < 1e-9 and sp[m][1] == 100
+        y = [(r[1], r[3]) for r in rows if r[0] == m and r[3] is not None]
+        assert abs(pe[m, "b"][0] - _pearson([a for a, _ in y], [b for _, b in y])) < 1e-9 and pe[m, "b"][1] == len(y)

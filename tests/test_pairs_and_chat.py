@@ -111,14 +111,59 @@ def test_ab_rewrite_matches_python_re(spark):
     assert [r[0] for r in answers.select(C.ab_answer("a")).collect()] == ["A", "B", "B", "Both"]
 
 
-def test_fast_path_equals_full_rewrite(spark):
-    rows = [(f"g{g}-{i}", w, str(i % 5 + 1)) for g in range(4) for i, w in enumerate(
-        ["plain words here", "has digit 1 inside", "Option two", "another plain line", "with (2) here"])]
+def test_ab_rewrite_in_any_case(spark):
+    """Every rule phrase in random case mixes, alone and in text, against Python ``re``."""
+    import random
+    rng = random.Random(11)
+    rules = _py_rules()
+    phrases = ["Option 1", "option  2", "Sentence 1", "Answer with only the number (1 or 2)", "Answer with only the number (1 and 2)",
+               "Answer with only the number 1 or 2", "Answer with only number (1 or 2)", "Select 1 or 2", "Choose 1 or 2", "Answer 1 or B",
+               "Answer A or 2", "Answer 1 or 2", "Pick 1 or 2", "number (1 or 2)", "number 1 or 2", "the number (1 or B)",
+               "Your answer (letter only):", "Respond with only A or B:", "(1)", "(2)", "Answer: (1 or 2 only)", "(1 or B)", "(A or 2)", "(1 or 2)"]
+    texts = []
+    for p in phrases:
+        for _ in range(12):
+            mixed = "".join(rng.choice((c.lower(), c.upper())) for c in p)
+            texts.append(rng.choice(("", "Reply ", "1. ", "x\n2) ")) + mixed + rng.choice(("", " now", " ok\n1 Æ", ": 2")))
+
+    def ref(t):
+        for c, r in rules:
+            t = c.sub(r, t)
+        return t
+
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(C.ab_user_text("t")).collect()]
+    assert got == [ref(t) for t in texts]
+
+
+def test_custom_templates_are_rewritten_whole(spark):
+    rows = [(f"g{g}-{i}", w, str(i % 5 + 1)) for g in range(4) for i, w in enumerate(["Hund", "Kat her", "Option two", "with (2) here"])]
     items, _ = _items(spark, rows)
-    pairs = P.preference_pairs(items, min_diff=1)
-    fast = C.pairs_to_chat(pairs, templates=P.PAIR_TEMPLATES).select("better_id", "worse_id", "user_content")
-    slow = C.pairs_to_chat(pairs.drop("inert")).select("better_id", "worse_id", "user_content")
-    assert sorted(fast.collect()) == sorted(slow.collect())
+    rules = _py_rules()
+    pairs = P.preference_pairs(items, min_diff=1, templates=[
+        "1 {sentence_a}\n2 {sentence_b}\n which of these two sentences is it, Answer 1 OR 2", "{sentence_b} OR {sentence_a}: sElEcT 1 oR 2, which one of them reads better"])
+    got = C.pairs_to_chat(pairs).select("prompt", "user_content", "error").collect()
+    assert len(got) > 10
+    for r in got:
+        t = r.prompt
+        for c, rep in rules:
+            t = c.sub(rep, t)
+        assert r.user_content == t and r.error is None
+
+
+def test_equal_order_keeps_every_pair(spark):
+    df = spark.createDataFrame([("g-1", "one here", "1"), ("g-1", "two here", "3"), ("g-2", "three here", "5")], "id string, s string, score string")
+    items, _ = P.prepare_items(df, "id", "s", "score")
+    assert P.candidate_pairs(items).count() == 3
+
+
+def test_records_with_errors(spark):
+    df = spark.createDataFrame([(1, [("user", "Answer 1 oR 2"), ("assistant", "2")]), (2, None), (3, []), (4, [("assistant", "Both")])],
+                               "id int, messages array<struct<role:string,content:string>>")
+    got = {r.id: r for r in C.rewrite_records(df).collect()}
+    assert (got[1].user_edited, got[1].assistant_edited, got[1].error) == (True, True, None)
+    assert (got[2].error, got[3].error, got[4].error, got[4].assistant_edited) == ("missing_messages", "empty_messages", None, False)
+    c = C.conversion_counters(C.rewrite_records(df)).first()
+    assert (c.n_records, c.user_conversions, c.assistant_conversions, c.errors) == (4, 1, 1, 2)
 
 
 def test_message_rewrite(spark):
