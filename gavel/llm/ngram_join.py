@@ -151,7 +151,7 @@ def _verify(threshold: float):
 
 
 def _spanning(left: list[str], right: list[str], link: np.ndarray) -> list[tuple[str, int, str]]:
-    """Edges that join all that the cell's links join: fewer than the cell has nodes."""
+    """Edges that join all that the cell's links join: of each node to the least it is joined to."""
     parent = {n: n for n in left + right}
 
     def find(x: str) -> str:
@@ -160,13 +160,11 @@ def _spanning(left: list[str], right: list[str], link: np.ndarray) -> list[tuple
             x = parent[x]
         return x
 
-    out = []
     for x, y in zip(*np.nonzero(link)):
         a, b = find(left[x]), find(right[y])
         if a != b:
             parent[max(a, b)] = min(a, b)
-            out.append((left[x], 0, right[y]))
-    return out
+    return [(x, 0, find(x)) for x in parent if find(x) != x]
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall: float = 0.999) -> DataFrame:
