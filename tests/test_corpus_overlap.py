@@ -28,6 +28,24 @@ def test_read_articles_and_context(spark, tmp_dir):
     assert para == "A one. A two."
 
 
+def test_crlf_articles_and_stable_ids(spark, tmp_dir):
+    """CRLF files give the same articles, a row each, and ids don't depend on the splits."""
+    text = "A one.\nA two.\n\nB only.\n\n\nC one.\nC two.\n\nB only.\n"
+    got = {}
+    for name, body in (("lf", text), ("crlf", text.replace("\n", "\r\n"))):
+        path = os.path.join(tmp_dir, f"{name}.txt")
+        with open(path, "w", newline="") as f:
+            f.write(body)
+        got[name] = CP.read_articles(spark, path).collect()
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16b")
+        small = CP.read_articles(spark, path).collect()
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert sorted(r.group_id for r in small) == sorted(r.group_id for r in got[name])
+        assert len({r.group_id for r in small}) == 4
+    want = sorted([["A one.", "A two."], ["B only."], ["C one.", "C two."], ["B only."]])
+    assert sorted(r.lines for r in got["lf"]) == want == sorted(r.lines for r in got["crlf"])
+
+
 def test_stratified_sample_quota(spark):
     rows = [("f1", g, p) for g in range(3) for p in range(g * 3 + 1)] + [("f2", 9, p) for p in range(10)]
     df = spark.createDataFrame(rows, "file string, g int, pos int")

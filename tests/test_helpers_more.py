@@ -95,3 +95,40 @@ def test_mse_filters_and_unions(spark):
     assert M.columns_by_suffix(wide, ["_cot", "_score"]).columns == ["a_cot", "b_score"]
     u = M.union_long([spark.createDataFrame([(1, "x")], "id int, a string"), spark.createDataFrame([(2, 0.5)], "id int, b double")])
     assert sorted(u.columns) == ["a", "b", "id"] and u.count() == 2
+
+
+def test_nested_items_whose_fields_are_all_null_stay(spark):
+    df = spark.createDataFrame([([("da", [("x", 1), (None, None)]), ("en", [])],), ([("en", [("y", 2)])],)],
+                               "languages array<struct<language:string,items:array<struct<a:string,b:int>>>>")
+    assert sorted((tuple(r) for r in IO.nested_section(df, "da").collect()), key=str) == sorted([("x", 1), (None, None)], key=str)
+
+
+def test_blank_lines_of_any_white_space_are_skipped(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "blank.jsonl")
+    with open(path, "w") as f:
+        f.write('{"a": 1}\n\t\n \n{"a": 2}\nbad\n')
+    good, bad = IO.read_jsonl(spark, path, "a int")
+    assert sorted(r.a for r in good.collect()) == [1, 2] and [r.value for r in bad.collect()] == ["bad"]
+
+
+def test_reply_entities_and_shared_tags(spark):
+    from gavel.operators.replies import parse_dict_reply, parse_task_results
+    batches = spark.createDataFrame([("1", ["a"], ["a"], ["t"], "m"), ("2", ["b_1", "b_1"], ["b-1", "b.1"], ["t", "u"], "m")],
+                                    "batch_id string, item_ids array<string>, original_ids array<string>, item_texts array<string>, model_name string")
+    replies = spark.createDataFrame([("1", "<ida><o>4</o><reason>x &lt;y&gt; &amp;amp; z</reason></ida>"),
+                                     ("2", "<idb_1><o>4</o></idb_1><idb_1><o>5</o></idb_1>")], "batch_id string, response string")
+    got = {r.id: (r.output, r.reason) for r in parse_task_results(batches, replies).collect()}
+    assert got == {"a": ("4", "x <y> &amp; z"), "b-1": (None, ""), "b.1": (None, "")}
+    d = spark.createDataFrame([("{'a': 1, 'b': None,}",), ('{"x": True, "y": "None"}',), ("none",)], "r string")
+    assert [r.m for r in d.select(parse_dict_reply("r").alias("m")).collect()] == [{"a": "1", "b": None}, {"x": "true", "y": "None"}, None]
+
+
+def test_resume_by_sample_index_and_ordered_merge(spark):
+    from gavel.operators import resume as RS
+    items = spark.createDataFrame([("a", None), (None, 1), (None, 2), (None, None)], "id string, sample_idx int")
+    done = RS.done_ids(spark.createDataFrame([("a", None, "x"), (None, 1, "y"), (None, 2, None)], "id string, sample_idx int, output string"))
+    left = [tuple(r) for r in RS.pending_items(items, done).collect()]
+    assert sorted(left, key=str) == sorted([(None, 2), (None, None)], key=str)
+    prev = spark.createDataFrame([("k", 2, "late"), ("k", 1, "early"), ("k", 0, None)], "key string, n int, out string")
+    good, _ = RS.merge_previous(spark.createDataFrame([("k",)], "key string"), prev, "key", "out", ["n"])
+    assert good.first().out == "early"

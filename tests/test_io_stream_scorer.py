@@ -131,7 +131,7 @@ def test_stream_keeps_the_good_reply_of_a_batch(spark, tmp_dir):
 
 
 def test_stream_reports_unreadable_results(spark, tmp_dir):
-    from pyspark.errors import PySparkException
-    with pytest.raises(PySparkException):
+    from py4j.protocol import Py4JJavaError
+    with pytest.raises(Py4JJavaError):
         ST._finished(spark, "nosuchscheme://x/y", 0).collect()
     assert ST._finished(spark, os.path.join(tmp_dir, "none"), 0).collect() == []
