@@ -11,6 +11,9 @@ only those that are repeated are extended to (at most) twice their length:
    repeated, a window's full 64-bit hash goes out with the least doc_id the block has it in.
    The bucket number comes from the same well-mixed hash, so two sequences are mixed up
    with a probability of about pairs / 2**64.
+``remove_repeats`` stops at ``min_words``, which settles every word. ``repeated_passages`` goes
+on: windows repeated at one length alone are extended to twice that length until none survives.
+
 Each level is one shuffle of packed arrays (a few bytes a window, hot windows once a block),
 not of rows per window. Texts are shuffled once, into blocks, and that exchange is reused.
 
@@ -195,3 +198,108 @@ def remove_repeats(docs: DataFrame, min_words: int = 13) -> DataFrame:
     return B.cogrouped(dealt, found, "block", _cut(seed, min_words),
                        "doc_id long, n_words long, n_removed long, kept_text string, "
                        "spans array<array<long>>")
+
+
+STATE = pa.schema([("block", pa.int32()), ("code", pa.binary()), ("keys", pa.binary()), ("ids", pa.binary())])
+DDL_STATE = "block int, code binary, keys binary, ids binary"
+
+
+def _state(block: int, code: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> pa.Table:
+    """Windows of a block that are still in question: row and word (``code``), hash, doc_id."""
+    return B.to_table([(block, code.tobytes(), keys.tobytes(), ids.tobytes())] if len(code) else [], STATE)
+
+
+def _read(state: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return (np.frombuffer(state["code"][0].as_py(), np.int64), np.frombuffer(state["keys"][0].as_py(), np.uint64),
+            np.frombuffer(state["ids"][0].as_py(), np.int64))
+
+
+def repeated_passages(docs: DataFrame, min_words: int = 13) -> DataFrame:
+    """The longest repeated passages: one row for each document that shares ``min_words`` words
+    in a row with another doc_id: doc_id, words, start_word, n_windows.
+
+    Windows repeated at one length alone are extended to twice that length, level after level,
+    until no candidate survives. ``words`` is the last length (min_words * 2**k) at which the
+    document has a window that another doc_id has too, ``n_windows`` how many it has there,
+    ``start_word`` where the first of them starts. Null doc_ids count as one.
+    """
+    seed = (min_words + 1) // 2
+    n = B.block_count(docs)
+    buckets = min(n, B.MAX_BUCKETS)
+    dealt = B.with_block(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n, "doc_id", "text")
+    first_send, first_judge = _seed_level(seed, buckets)
+    found = B.grouped(B.grouped(dealt, "block", first_send, DDL_SENT), "bucket", first_judge, DDL_BACK)
+
+    def begin(docs: pa.Table, found: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return STATE.empty_table()
+        g, hit, _, row, counts = _candidates(docs, found, seed, buckets)
+        step = min_words - seed
+        both = hit[:len(g) - step] & hit[step:] if len(g) > step else np.zeros(0, bool)
+        at = np.flatnonzero(both & (T.room(counts)[:len(both)] >= min_words))
+        word = at - (np.cumsum(counts) - counts)[row[at]]
+        return _state(docs["block"][0].as_py(), row[at] << 32 | word, _double(g, step)[at], _ids(docs)[row[at]])
+
+    def send(state: pa.Table) -> pa.Table:
+        _, keys, ids = _read(state)
+        own, index, order = T.distinct(keys)
+        ends = np.stack([_least(ids, index, order, len(own)), -_least(-ids, index, order, len(own))], axis=1)
+        return _send(state["block"][0].as_py(), own, own, ends, buckets)
+
+    def judge(sent: pa.Table) -> pa.Table:
+        rows = [np.frombuffer(x, np.uint64) for x in sent["keys"].to_pylist()]
+        ends = np.concatenate([np.frombuffer(x, np.int64) for x in sent["ids"].to_pylist()]).reshape(-1, 2)
+        keys, index, order = T.distinct(np.concatenate(rows))
+        shared = (_least(ends[:, 0], index, order, len(keys)) < -_least(-ends[:, 1], index, order, len(keys)))[index]
+        out, at = [], 0
+        for block, bucket, r in zip(sent["block"].to_pylist(), sent["bucket"].to_pylist(), rows):
+            if (hit := shared[at:at + len(r)]).any():
+                out.append((block, bucket, r[hit].tobytes()))
+            at += len(r)
+        return B.to_table(out, BACK)
+
+    def keep(state: pa.Table, found: pa.Table) -> pa.Table:
+        if not state.num_rows or not found.num_rows:
+            return STATE.empty_table()
+        code, keys, ids = _read(state)
+        hit = np.isin(keys, np.concatenate([np.frombuffer(x, np.uint64) for x in found["found"].to_pylist()]))
+        return _state(state["block"][0].as_py(), code[hit], keys[hit], ids[hit])
+
+    def extend(step: int):
+        def run(batches):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    code, keys, ids = _read(pa.Table.from_batches([batch.slice(i, 1)]))
+                    to = np.minimum(np.searchsorted(code, code + step), len(code) - 1)
+                    both = code[to] == code + step
+                    yield from _state(batch.column("block")[i].as_py(), code[both],
+                                      T.mix(T.mix(keys[both]) * T.GOLDEN + keys[to[both]]), ids[both]).to_batches()
+
+        return run
+
+    summary = pa.schema([("doc_id", pa.int64()), ("words", pa.int64()), ("start_word", pa.int64()), ("n_windows", pa.int64())])
+
+    def report(words: int):
+        def run(batches):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    code, _, ids = _read(pa.Table.from_batches([batch.slice(i, 1)]))
+                    own, index, _ = T.distinct(code >> 32)
+                    at = np.searchsorted(code >> 32, own)
+                    yield from B.to_table([(None if d == LAST else int(d), words, int(c & 0xFFFFFFFF), int(k)) for d, c, k in zip(
+                        ids[at], code[at], np.bincount(index))], summary).to_batches()
+
+        return run
+
+    ddl = "doc_id long, words long, start_word long, n_windows long"
+    state, words, out = B.stored(B.cogrouped(dealt, found, "block", begin, DDL_STATE)), min_words, None
+    while True:
+        back = B.grouped(B.grouped(state, "block", send, DDL_SENT), "bucket", judge, DDL_BACK)
+        state = B.stored(B.cogrouped(state, back, "block", keep, DDL_STATE))
+        if out is not None and state.isEmpty():
+            break
+        level = state.mapInArrow(report(words), ddl)
+        out = level if out is None else out.union(level)
+        state, words = B.stored(state.mapInArrow(extend(words), DDL_STATE)), words * 2
+    best = F.max(F.struct("words", (-F.col("start_word")).alias("s"), "n_windows")).alias("b")
+    return out.groupBy("doc_id").agg(best).select("doc_id", "b.words", (-F.col("b.s")).alias("start_word"), "b.n_windows")

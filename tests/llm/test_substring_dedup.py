@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gavel.llm.substring_dedup import remove_repeats
+from gavel.llm.substring_dedup import remove_repeats, repeated_passages
 from tests.llm.common import frame, prose, words
 
 
@@ -67,3 +67,36 @@ def test_empty(spark):
 def test_one_word_seed_is_refused(spark):
     with pytest.raises(ValueError):
         remove_repeats(frame(spark, []), 1)
+
+
+def levels(rows, k):
+    """(doc_id, longest level, first start, windows) over one row a doc_id."""
+    best = {}
+    n = k
+    while True:
+        seen = {}
+        for i, t in rows:
+            w = words(t)
+            for a in range(len(w) - n + 1):
+                seen.setdefault(tuple(w[a:a + n]), set()).add(i)
+        hits = {}
+        for i, t in rows:
+            w = words(t)
+            at = [a for a in range(len(w) - n + 1) if len(seen[tuple(w[a:a + n])]) > 1]
+            if at:
+                hits[i] = (n, at[0], len(at))
+        if not hits:
+            return best
+        best.update(hits)
+        n *= 2
+
+
+def test_levels_double_until_none_survives(spark):
+    rng = random.Random(8)
+    shared = [prose(100 + j, 20 * (j + 1)) for j in range(6)]
+    rows = [(i, " ".join([prose(300 + i, rng.randint(0, 30)), shared[rng.randrange(6)], prose(600 + i, rng.randint(0, 9))]), "en", "s", 0)
+            for i in range(40)] + [(90, "y " * 60, "en", "s", 0), (91, "y " * 45, "en", "s", 0), (92, "z " * 70, "en", "s", 0), (93, None, None, None, 0)]
+    for k in (13, 5):
+        got = {r.doc_id: (r.words, r.start_word, r.n_windows) for r in repeated_passages(frame(spark, rows), k).collect()}
+        assert got == levels([(r[0], r[1]) for r in rows], k)
+    assert repeated_passages(frame(spark, []), 13).collect() == []
