@@ -1,9 +1,9 @@
 """Judge replies -> per-item results.
 
 Replies are a table ``(batch_id, response)``; batches carry their expected ids. The
-parse runs on the joined batch row: per expected id one regular expression built from
-the (quoted) id, ``forall`` decides between the structured and the strict form, and the
-array is exploded once. Everything stays inside JVM expressions.
+parse runs on the joined batch row: one pass finds all blocks of a reply, ``forall`` decides
+between the structured and the strict form, and the array is exploded once. Everything stays
+inside JVM expressions.
 """
 
 from __future__ import annotations
@@ -50,30 +50,27 @@ def _cut(c: Column, limit: int) -> Column:
     return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit("..."))).otherwise(c)
 
 
-def parse_task_reply(reply: Column, safe_id: Column) -> Column:
-    """X8, one id: struct(l1_output, l1_reason, l2_output, l2_reason).
+# one pass over a reply: every closed <idX> block, its tag and its text
+BLOCKS = r"(?s)<id([^<>]+)>(.*?)</id\1>"
 
-    Level 1 (structured): the first ``<idX>...</idX>`` block (tag names are case
-    sensitive, like an XML parser), inside it the first ``<o>`` and ``<reason>``; a found
-    output without reason gets 'No reason provided'. Level 2 (strict):
-    ``<idX><o>([^<]+)</o><reason>(.*?)</reason></idX>``, case-insensitive, dot-all.
-    """
-    qid = _q(safe_id)
-    block_pat = F.concat(F.lit("(?s)<id"), qid, F.lit(">(.*?)</id"), qid, F.lit(">"))
-    has_block = _found(reply, block_pat)
-    block = _extract(reply, block_pat, 1)
-    has_o = has_block & F.regexp_like(block, F.lit("(?s)<o>.*?</o>"))
+
+def _level1(block: Column) -> Column:
+    """Structured form of a block: struct(output, reason); output null without ``<o>``."""
+    has_o = F.regexp_like(block, F.lit("(?s)<o>.*?</o>"))
+    has_r = F.regexp_like(block, F.lit("(?s)<reason>.*?</reason>"))
     o_text = py_strip(_plain(F.regexp_extract(block, "(?s)<o>(.*?)</o>", 1)))
-    has_r = has_block & F.regexp_like(block, F.lit("(?s)<reason>.*?</reason>"))
     r_text = _cut(py_strip(_plain(F.regexp_extract(block, "(?s)<reason>(.*?)</reason>", 1))), REASON_LIMIT)
-    l1_out = F.when(has_o, o_text)
-    l1_reason = F.when(has_r, r_text).when(has_o, F.lit(NO_REASON))
+    return F.struct(F.when(has_o, o_text).alias("output"),
+                    F.when(has_r, r_text).when(has_o, F.lit(NO_REASON)).alias("reason"))
+
+
+def _level2(reply: Column, safe_id: Column) -> Column:
+    """Strict form for one id: ``<idX><o>([^<]+)</o><reason>(.*?)</reason></idX>``, any case, dot-all."""
+    qid = _q(safe_id)
     strict = F.concat(F.lit("(?is)<id"), qid, F.lit("><o>([^<]+)</o><reason>(.*?)</reason></id"), qid, F.lit(">"))
-    has_strict = _found(reply, strict)
-    l2_out = F.when(has_strict, py_strip(_extract(reply, strict, 1)))
-    l2_reason = F.when(has_strict, _cut(py_strip(_extract(reply, strict, 2)), REASON_LIMIT))
-    return F.struct(l1_out.alias("l1_output"), l1_reason.alias("l1_reason"),
-                    l2_out.alias("l2_output"), l2_reason.alias("l2_reason"))
+    found = _found(reply, strict)
+    return F.struct(F.when(found, py_strip(_extract(reply, strict, 1))).alias("output"),
+                    F.when(found, _cut(py_strip(_extract(reply, strict, 2)), REASON_LIMIT)).alias("reason"))
 
 
 def parse_task_results(batches: DataFrame, replies: DataFrame) -> DataFrame:
@@ -81,27 +78,40 @@ def parse_task_results(batches: DataFrame, replies: DataFrame) -> DataFrame:
 
     ``batches``: batch_id, item_ids (tag-safe), original_ids, item_texts, model_name.
     ``replies``: batch_id, response (a batch without a reply row failed).
+
+    Level 1 (structured): an item's first ``<idX>...</idX>`` block (tag names are case
+    sensitive, like an XML parser), inside it the first ``<o>`` and ``<reason>``. All blocks of
+    a reply are found in one pass with a fixed pattern and looked up by tag; only where
+    blocks are nested does each id search for its own. Level 2 (strict) reads the replies in
+    which some item has no output at level 1.
     """
     j = batches.join(replies.select("batch_id", F.col("response").alias("_reply"), F.lit(True).alias("_has_reply")),
                      "batch_id", "left")
-    members = F.arrays_zip(F.col("item_ids").alias("safe"), F.col("original_ids").alias("orig"),
-                           F.col("item_texts").alias("txt"))
-    parsed = F.transform(members, lambda m: F.struct(m["safe"].alias("safe"), m["orig"].alias("orig"),
-                                                     m["txt"].alias("txt"),
-                                                     parse_task_reply(F.col("_reply"), m["safe"]).alias("p")))
-    j = j.withColumn("_parsed", parsed)
+    reply = F.col("_reply")
+    j = j.withColumn("_tags", F.regexp_extract_all(reply, F.lit(BLOCKS), F.lit(1)))
+    j = j.withColumn("_blocks", F.regexp_extract_all(reply, F.lit(BLOCKS), F.lit(2)))
+    j = j.withColumn("_nested", F.exists("_blocks", lambda x: x.contains("<id")))
+
+    def own(safe: Column) -> Column:
+        pattern = F.concat(F.lit("(?s)<id"), _q(safe), F.lit(">(.*?)</id"), _q(safe), F.lit(">"))
+        return F.when(_found(reply, pattern), _extract(reply, pattern, 1))
+
+    def block(safe: Column) -> Column:
+        looked_up = F.get(F.col("_blocks"), (F.array_position("_tags", safe) - 1).cast("int"))
+        return F.when(F.col("_nested"), own(safe)).otherwise(looked_up)
+
+    j = j.withColumn("_found", F.transform("item_ids", block))
+    j = j.withColumn("_l1", F.transform("_found", _level1))
     # two items under one tag-safe id (D18) can't be told apart: the batch goes to the fallback
     clear = F.size(F.array_distinct("item_ids")) == F.size("item_ids")
-    level1 = clear & F.forall("_parsed", lambda x: x["p"]["l1_output"].isNotNull())
-    j = j.withColumn("_level1", level1)
-    ex = j.select("model_name", "_has_reply", "_level1", F.explode("_parsed").alias("m"))
+    j = j.withColumn("_level1", clear & F.forall("_l1", lambda x: x["output"].isNotNull()))
+    j = j.withColumn("_result", F.when(F.col("_level1"), F.col("_l1")).otherwise(F.transform("item_ids", lambda x: _level2(reply, x))))
+    members = F.arrays_zip(F.col("original_ids").alias("orig"), F.col("item_texts").alias("txt"), F.col("_result").alias("r"))
+    ex = j.select("model_name", "_has_reply", F.explode(members).alias("m"))
     failed = F.col("_has_reply").isNull()
-    output = F.when(failed, F.lit(None)).when(F.col("_level1"), F.col("m.p.l1_output")).otherwise(F.col("m.p.l2_output"))
-    reason = (F.when(failed, F.lit(BATCH_ERROR))
-               .when(F.col("_level1"), F.coalesce(F.col("m.p.l1_reason"), F.lit("")))
-               .otherwise(F.coalesce(F.col("m.p.l2_reason"), F.lit(""))))
-    return ex.select(F.col("m.orig").alias("id"), F.col("m.txt").alias("input"), output.cast("string").alias("output"),
-                     reason.alias("reason"), "model_name")
+    return ex.select(F.col("m.orig").alias("id"), F.col("m.txt").alias("input"),
+                     F.when(~failed, F.col("m.r.output")).cast("string").alias("output"),
+                     F.when(failed, F.lit(BATCH_ERROR)).otherwise(F.coalesce("m.r.reason", F.lit(""))).alias("reason"), "model_name")
 
 
 def _clean_rationale(raw: Column) -> Column:
