@@ -80,8 +80,11 @@ def stratified_sample(sentences: DataFrame, file_col: str, group_col: str, n_sam
     quota = per_file.crossJoin(n_files).select(
         file_col, F.greatest(F.lit(1), F.floor(F.floor(F.lit(n_samples) / F.col("_files")) / F.col("_groups")))
         .cast("long").alias("_q"))
-    # one row per file: grows with the file count, so AQE picks broadcast or shuffle at run time
-    s = sentences.join(quota, file_col).withColumn("_h", seeded_hash(*key_cols, seed=seed))
+    # a file may hold most sentences: its rows are dealt to several join keys
+    salts = 32
+    quota = quota.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = sentences.withColumn("_salt", F.pmod(F.xxhash64(*key_cols), F.lit(salts)).cast("int"))
+    s = salted.join(quota, [file_col, "_salt"]).drop("_salt").withColumn("_h", seeded_hash(*key_cols, seed=seed))
     out = top_n_per_group(s, [file_col, group_col], ["_h"] + key_cols, "_q", name="_rn", salt_cols=key_cols)
     return out.drop("_q", "_h", "_rn")
 

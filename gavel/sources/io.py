@@ -16,18 +16,21 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str,
     Lenient (default): blank lines are skipped; a malformed line becomes a ``bad`` row
     with its raw text. Every key of the schema is read through VARIANT, so a missing key
     and an explicit null stay distinguishable: ``<col>__present`` says whether the key
-    exists. Strict mode fails the job on the first malformed line (FAILFAST).
+    exists. Strict mode fails the job on the first line that is no JSON object.
     """
     st = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    if strict:
-        return spark.read.schema(st).option("mode", "FAILFAST").json(path), spark.createDataFrame([], "value string")
     raw = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("_file"))
     raw = raw.filter(F.length(py_strip("value")) > 0)
     v = F.try_parse_json("value")
-    parsed = raw.withColumn("_v", v)
-    is_obj = F.col("_v").isNotNull() & (F.schema_of_variant(F.col("_v")).startswith("OBJECT"))
-    bad = parsed.filter(~is_obj | F.col("_v").isNull()).select("value", "_file")
-    good = parsed.filter(is_obj)
+    is_obj = v.isNotNull() & (F.schema_of_variant(v).startswith("OBJECT"))
+    if strict:
+        v = F.when(is_obj, v).otherwise(F.raise_error(F.concat(F.lit("malformed line: "), "value")))
+        good = raw.withColumn("_v", v)
+        bad = raw.limit(0).select("value", "_file")
+    else:
+        parsed = raw.withColumn("_v", v).withColumn("_ok", is_obj)
+        bad = parsed.filter(~F.col("_ok")).select("value", "_file")
+        good = parsed.filter(F.col("_ok"))
     cols = []
     for f in st.fields:
         path_ = "$." + f.name if f.name.isidentifier() else f"$['{f.name}']"
