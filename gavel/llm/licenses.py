@@ -3,7 +3,8 @@ bigrams, in DataFrame operations only.
 
 Units are a text's lines, its paragraphs (parted by blank lines) of several lines and, if it
 has several paragraphs, the whole text. Normalising lower-cases and takes runs of a-z and 0-9
-as words. A unit and a template with a and b distinct bigrams have 2 * common / (a + b), which
+as words. Bigrams are
+compared by their 64-bit hashes. A unit and a template with a and b distinct bigrams have 2 * common / (a + b), which
 reaches t only if b lies between a * t / (2 - t) and a * (2 - t) / t: templates outside these
 bounds are pruned, and units that no template's bounds admit are dropped before their bigrams
 are compared. All of it is per row; the templates are literals (their number and size are a
@@ -60,8 +61,7 @@ def bigrams(text: str) -> list[str]:
 
 def _bigrams(words: Column) -> Column:
     n = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n),
-                                       lambda a, b: F.concat(a, F.lit(" "), b)))
+    return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.xxhash64(a, b)))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
@@ -74,7 +74,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     most = max(len(v) for v in names.values()) * high
     least = min(len(v) for v in names.values()) * low
     known = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(len(v)).alias("n"),
-                               F.array(*[F.lit(b) for b in v]).alias("grams")) for k, v in sorted(names.items())])
+                               F.array(*[F.xxhash64(*map(F.lit, b.split())) for b in v]).alias("grams")) for k, v in sorted(names.items())])
 
     def numbered(kind: str, parts: Column) -> Column:
         return F.transform(parts, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("number"), x.alias("text")))
@@ -85,15 +85,18 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
         numbered("line", lines),
         F.filter(numbered("paragraph", paragraphs), lambda p: F.instr(p["text"], "\n") > 0),
         F.when(F.size(paragraphs) > 1, numbered("text", F.array("text"))).otherwise(numbered("text", F.array().cast("array<string>"))))
-    # a bigram needs three characters and a space: a cheap bound before any pattern runs
     unit = docs.where("text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.explode(units).alias("u")).select("doc_id", "u.*")
-    unit = unit.where(F.length("text") >= 3)
-    words = F.array_remove(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " "), "")
+    words = F.array_remove(F.split(F.lower("text"), "[^a-z0-9]+"), "")
+
+    def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+        """Adds a column that is computed once: an explode of one element, which filters and
+        projections aren't folded into (they would repeat the expression)."""
+        return df.select("doc_id", "kind", "number", F.explode(F.array(value)).alias(name))
+
     # distinct bigrams are one less than the words at most; repeats may lower them, never raise them
-    unit = unit.select("doc_id", "kind", "number", words.alias("words")).where(F.size("words") - 1 >= least)
-    unit = unit.select("doc_id", "kind", "number", _bigrams(F.col("words")).alias("grams"))
-    unit = unit.where(F.size("grams").between(least, most))
+    unit = once(unit.where(F.length("text") >= 3), words, "words").where(F.size("words") - 1 >= least)
+    unit = once(unit, _bigrams(F.col("words")), "grams").where(F.size("grams").between(least, most))
     near = F.filter(known, lambda t: F.size("grams").between(t["n"] * F.lit(low), t["n"] * F.lit(high)))
     scored = F.transform(near, lambda t: F.struct(t["license"].alias("license"), (
         2 * F.size(F.array_intersect(F.col("grams"), t["grams"])) / (F.size("grams") + t["n"])).alias("dice")))
