@@ -19,8 +19,8 @@ Documents are parsed side by side: one table step moves all (document, language)
 piece by one symbol; the last, longest documents go on one by one.
 
 Defined results: null text or no letter: ``und`` with score 0; a learned language is any
-non-null ``lang``; without any training text all is ``und``. Letters that no training text
-has count as separators. Extra columns are ignored.
+non-null ``lang``; without any training text all is ``und``. A letter that no training text has
+is a phrase of its own in every language. Extra columns are ignored.
 """
 from __future__ import annotations
 
@@ -80,13 +80,13 @@ class Parser:
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
         letters = sorted({c for t in texts.values() for c in t.lower() if c.isalpha() and len(c) == 1})
-        self.code = np.zeros(0x110000, np.uint16)  # 0: separator
-        for i, c in enumerate(letters, 1):
-            for form in {c, c.upper()}:
-                if len(form) == 1:
-                    self.code[ord(form)] = i
+        known = {c: i for i, c in enumerate(letters, 1)}
+        self.code = np.zeros(0x110000, np.uint16)  # 0: separator; the last code: a letter not learned
+        for c in map(chr, range(0x110000)):
+            if c.isalpha():
+                self.code[ord(c)] = known.get(c.lower(), len(letters) + 1)
         tables, self.root, self.bits = [], [], []
-        at, width = 0, len(letters) + 1
+        at, width = 0, len(letters) + 2
         for name in self.langs:
             codes = self.symbols(texts[name])
             table = automaton(codes.tolist(), width).astype(np.int64)

@@ -33,7 +33,16 @@ def test_phrase_counts():
 
 def test_symbols():
     p = L.Parser({"a": "abc é"})
-    assert p.symbols("  A,b..C É! q").tolist() == [p.code[ord(c)] for c in "a"] + [0, p.code[ord("b")], 0, p.code[ord("c")], 0, p.code[ord("é")]]
+    assert p.symbols("  A,b..C É! q").tolist() == [p.code[ord(c)] for c in "a"] + [0, p.code[ord("b")], 0, p.code[ord("c")], 0, p.code[ord("é")],
+                                                          0, p.code[ord("q")]]
+
+
+def test_letters_of_no_training_text():
+    p = L.Parser(TEXTS)
+    got = p.judge(["абв", "а1б", "ABC ẞ", "12 !", None])
+    assert all(g[0] in TEXTS and 0 < g[1] <= 1 for g in got[:3]) and got[2][0] == "a" and [g[0] for g in got[3:]] == ["und", "und"]
+    assert p.phrases([p.symbols("абв")]).tolist() == [[3, 3, 3]]
+    assert p.symbols("É").tolist() == p.symbols("é").tolist() and len(set(p.symbols("абв").tolist())) == 1
 
 
 def test_awkward_rows(spark):
