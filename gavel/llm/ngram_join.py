@@ -176,15 +176,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall:
     known = signed.where("node is not null and doc_id is not null")
     nodes = known.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.first("bands").alias("bands"))
 
+    # Figures of a band, group or set are tables of their own before rows are joined with them:
+    # so both sides of those joins are shuffled, and AQE can split a hot key.
     member = nodes.select("node", F.explode("bands").alias("band"))
-    hubs = member.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1")
+    hubs = B.stored(member.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1"))
     edges = member.join(hubs, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     groups = B.components(edges)
 
     wanted = groups.join(nodes, "node").select(F.col("copy_id").alias("doc_id"))
     sets = (docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "node string, shingles binary")
             .groupBy("node").agg(F.first("shingles").alias("shingles")))
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
+    sizes = B.stored(groups.groupBy("root").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks")))
     placed = (groups.join(sizes, "root")
               .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
@@ -199,9 +201,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: float = 0.8, recall:
     copies = known.groupBy("node").agg(F.min("doc_id").alias("copy_id"))
     counted = links.groupBy("node").agg(F.sum("links").alias("n_links"))
     linked = joined.join(copies, "node")
-    least = linked.groupBy("root").agg(F.min("copy_id").alias("class_id"))
+    least = B.stored(linked.groupBy("root").agg(F.min("copy_id").alias("class_id")))
     linked = linked.join(least, "root").join(counted, "node").select("node", "class_id", "n_links")
-    # a table of its own, so that both sides of the last join are shuffled and AQE can split a hot set
     named = B.stored(copies.join(linked, "node", "left").select(
         "node", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links")))
