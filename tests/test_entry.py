@@ -1,5 +1,7 @@
 import __spark_entry__ as E
 
+MAY_BE_EMPTY: set[str] = set()  # on the smallest tables
+
 
 def test_entry_and_registry(spark):
     df = E.entry(spark)
@@ -12,6 +14,5 @@ def test_entry_and_registry(spark):
 
 
 def test_every_query_runs_on_smoke_data(spark):
-    for name, fn in E.queries().items():
-        df = fn(spark, "/root/testdata/sf0.001")
-        assert df.count() >= 0, name
+    empty = [name for name, fn in E.queries().items() if fn(spark, "/root/testdata/sf0.001").count() == 0]
+    assert set(empty) <= MAY_BE_EMPTY, empty
