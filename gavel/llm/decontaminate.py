@@ -28,6 +28,7 @@ window); empty tables give no rows. Extra columns are ignored.
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -114,6 +115,12 @@ class Index:
         return hit
 
 
+@lru_cache(maxsize=2)
+def _index(items: tuple[tuple, ...], k: int, radius: int) -> Index:
+    """Built once a worker process, not once a task."""
+    return Index(list(items), k, radius)
+
+
 def overlap(grid: np.ndarray, item: np.ndarray) -> np.ndarray:
     """Size of the multiset intersection of every row with an item's shingles."""
     values, weights = np.unique(item, return_counts=True)
@@ -126,12 +133,10 @@ def overlap(grid: np.ndarray, item: np.ndarray) -> np.ndarray:
 def _matcher(items: list[tuple], k: int, threshold: float, radius: int):
     """A function from a slice of documents to {(row, item_id): (-similarity, word, words, distance)}."""
     limit = Fraction(str(threshold))
-    holder: list[Index] = []
+    given = tuple(items)
 
     def match(t: pa.Table) -> dict:
-        if not holder:
-            holder.append(Index(items, k, radius))
-        index = holder[0]
+        index = _index(given, k, radius)
         best: dict = {}
         lower = pa.compute.utf8_lower(B.column_of(t, "text"))
         h, _, _, counts = T.words(*T.buffers(lower), gap=T.ALNUM)

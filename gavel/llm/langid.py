@@ -25,6 +25,7 @@ is a phrase of its own in every language. Extra columns are ignored.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -169,6 +170,12 @@ class Parser:
         return out
 
 
+@lru_cache(maxsize=2)
+def _parser(texts: tuple[tuple[str, str], ...]) -> Parser:
+    """Built once a worker process, not once a task."""
+    return Parser(dict(texts))
+
+
 def learn(docs: DataFrame, train: Column, docs_per_lang: int = 200, chars_per_lang: int = 40_000) -> dict[str, str]:
     """Training text per language from the rows where ``train`` holds (a bounded sample of them)."""
     known = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -187,13 +194,11 @@ def learn(docs: DataFrame, train: Column, docs_per_lang: int = 200, chars_per_la
 
 def identify(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
     """One row a document: doc_id, lang_pred, score, n_symbols. Reads the text alone."""
-    holder: list[Parser] = []
+    given = tuple(sorted(texts.items()))
 
     def run(batches):
-        if not holder:
-            holder.append(Parser(texts))
         for t in B.pieces(batches, most=8_000_000):
-            got = holder[0].judge(t["text"].to_pylist())
+            got = _parser(given).judge(t["text"].to_pylist())
             yield from B.to_table([(d, *x) for d, x in zip(t["doc_id"].to_pylist(), got)], OUT).to_batches()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, DDL)

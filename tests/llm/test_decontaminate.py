@@ -1,13 +1,12 @@
 """Decontamination against every window of every item size."""
+import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 
 from gavel.llm import decontaminate as D
-from tests.llm.common import frame, prose
-from tests.llm.common import awkward
-import re
+from tests.llm.common import awkward, frame, prose
 
 ITEMS = "item_id long, text string"
 
