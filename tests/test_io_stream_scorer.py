@@ -1,12 +1,8 @@
 import json
 import os
 
-import time
-
 import pytest
 
-from pyspark.sql import functions as F
-
 from gavel.operators import pack as K
 from gavel.operators import scorer as Y
 from gavel.sources import io as IO

@@ -1,6 +1,5 @@
 import random
 
-from pyspark.sql import functions as F
 
 from gavel.operators import pack as K
 from gavel.operators import replies as RP

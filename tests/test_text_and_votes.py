@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from gavel.functions import text as TX
 from gavel.functions import votes as V
