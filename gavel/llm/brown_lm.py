@@ -7,12 +7,15 @@ previous class. The end of a text is a token and a class; it also stands before
 
 1. Counts. Every task packs its distinct words' hashes and counts for hash buckets; buckets add
    them up. From there come N, V and the ``core`` most frequent words (a parameter).
-2. Core classes. The bigram counts of core words over the whole corpus (a bounded matrix) go
+2. First classes. The bigram counts of core words over the whole corpus (a bounded matrix) go
    to the driver, where exchange clustering moves each word to the class that raises the
-   likelihood most, until no word moves.
-3. All other words. Each block of documents packs, for its words, the counts of the classes
-   to their left and right; buckets add them up and give each word of the vocabulary the class
-   with the largest exchange gain. So each word's class rests on all its occurrences.
+   likelihood most, until no word moves. This only seeds the next step.
+3. All words, the core's too, in rounds. Each block of documents keeps its words and counted word
+   pairs; it packs, for its words, the counts of the current classes to their left and right.
+   Buckets add them up and move each word of the vocabulary to the class with the largest
+   exchange gain, its own counts taken out. All words of a round move at once against the same
+   matrix; the rounds end when one raises the log likelihood by less than RISE a token (one that
+   lowers it is undone). In the first round neighbours outside the core share one class.
 4. Documents and their words' classes and counts meet by block. A document keeps its class
    bigram counts; those of training documents make the transition matrix, and all are scored.
 
@@ -33,13 +36,16 @@ from pyspark.sql import functions as F
 from gavel.llm import _blocks as B
 from gavel.llm import _tokens as T
 
-CORE, CLASSES, ROUNDS = 500, 32, 12
+CORE, CLASSES = 500, 32
+RISE, WORDS_AT_ONCE = 0.002, 2048
 PACKED = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 DDL_PACKED = "bucket int, block int, keys binary, counts binary"
 TALLY = pa.schema([("words", pa.int64()), ("tokens", pa.int64()), ("top", pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())])))])
 PAIRS = pa.schema([("pair", pa.int32()), ("n", pa.int64())])
-SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("entries", pa.binary()), ("ctx", pa.binary()),
-                  ("counts", pa.binary())])
+CODED = pa.schema([("block", pa.int32()), ("keys", pa.binary()), ("first", pa.binary()), ("second", pa.binary()), ("counts", pa.binary())])
+SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("now", pa.binary()), ("entries", pa.binary()),
+                  ("ctx", pa.binary()), ("counts", pa.binary())])
+DDL_SENT = "bucket int, block int, keys binary, now binary, entries binary, ctx binary, counts binary"
 BACK = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("classes", pa.binary()), ("counts", pa.binary())])
 STATS = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                    ("base", pa.float64()), ("emit", pa.float64()), ("pairs", pa.binary()), ("ns", pa.binary())])
@@ -58,17 +64,19 @@ def phi(x):
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def exchange(counts: np.ndarray, n_words: int, n_classes: int, rounds: int = ROUNDS) -> np.ndarray:
+def exchange(counts: np.ndarray, n_words: int, n_classes: int) -> np.ndarray:
     """Classes of the first ``n_words`` of a bigram matrix; what follows are classes of their own.
 
-    Words start by frequency rank, in turn; each round offers every word to every class.
+    Words start by frequency rank, in turn; each round offers every word to every class. A move
+    raises the likelihood, so the rounds come to an end.
     """
     extra = counts.shape[0] - n_words
     cls = np.concatenate([np.arange(n_words) % n_classes, n_classes + np.arange(extra)])
     size = n_classes + extra
     onehot = np.eye(size)[cls]
     g = onehot.T @ counts @ onehot
-    for _ in range(rounds):
+    moved = 1
+    while moved:
         moved = 0
         for w in range(n_words):
             a, same = cls[w], counts[w, w]
@@ -87,7 +95,7 @@ def exchange(counts: np.ndarray, n_words: int, n_classes: int, rounds: int = ROU
             gain = (phi(rows + right) - phi(rows)).sum(1) + (phi(cols + left[:, None]) - phi(cols)).sum(0)
             own = g[at, at]  # the cell that is in both sums
             gain += phi(own + right[at] + left[at] + same) + phi(own) - phi(own + right[at]) - phi(own + left[at])
-            r, c = rows.sum(1), cols.sum(0)
+            r, c = rows.sum(1) + left[:n_classes], cols.sum(0) + right[:n_classes]  # pairs with the word are pairs still
             gain -= phi(r + n_right) - phi(r) + phi(c + n_left) - phi(c)
             b = int(np.argmax(gain))
             if gain[b] <= gain[a] + 1e-9:
@@ -97,8 +105,6 @@ def exchange(counts: np.ndarray, n_words: int, n_classes: int, rounds: int = ROU
             g[b] += right
             g[:, b] += left
             g[b, b] += same
-        if not moved:
-            break
     return cls[:n_words]
 
 
@@ -169,62 +175,159 @@ def _core_pairs(core: Core):
     return count
 
 
-def _local(docs: pa.Table, core: Core):
+def _code(docs: pa.Table) -> pa.Table:
+    """A block's distinct words and the counted word pairs of its training texts; the end is one more word."""
     h, _, _, counts = T.words(*T.buffers(B.column_of(docs, "text")), fold=True)
-    place = core.places(h)
-    other = np.flatnonzero(place < 0)
-    keys, index, _ = T.distinct(h[other])
-    return counts, place, other, keys, index
+    keys, index, _ = T.distinct(h)
+    train = B.column_of(docs, "train").to_numpy(zero_copy_only=False)
+    s = _with_ends(index[np.repeat(train, counts)], counts[train], len(keys))
+    pair, where, _ = T.distinct(s[:-1] * (len(keys) + 1) + s[1:])
+    first, second = np.divmod(pair, len(keys) + 1)
+    return B.to_table([(docs["block"][0].as_py(), keys.tobytes(), planes(first), planes(second),
+                        planes(np.bincount(where, minlength=len(pair))))], CODED)
+
+
+def _classes(keys: np.ndarray, back: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class and training count of a block's words, as the buckets sent them back."""
+    to, cut = T.slices(keys, n)
+    where = dict(zip(to.tolist(), range(len(to))))
+    cls, seen = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+    for bucket, c, m in zip(back["bucket"].to_pylist(), back["classes"].to_pylist(), back["counts"].to_pylist()):
+        x, y = cut[where[bucket]], cut[where[bucket] + 1]
+        cls[x:y] = np.frombuffer(c, np.uint8)
+        seen[x:y] = unplanes(m)
+    return cls, seen
+
+
+def _contexts(row: dict, keys: np.ndarray, cls: np.ndarray, k: int, n: int) -> list[tuple]:
+    """A block's words with their classes now, and the classes beside them: left, right, and the word itself."""
+    width = k + 2
+    stride, end = 2 * width + 1, len(keys)
+    first, second, counts = (unplanes(row[c]).astype(np.int64) for c in ("first", "second", "counts"))
+    of = np.append(cls, k + 1)
+    r, le, same = first < end, second < end, (first == second) & (first < end)
+    cell, where, _ = T.distinct(np.concatenate([first[r] * stride + width + of[second[r]], second[le] * stride + of[first[le]],
+                                                first[same] * stride + 2 * width]))
+    amount = np.bincount(where, np.concatenate([counts[r], counts[le], counts[same]]), minlength=len(cell))
+    word, ctx = np.divmod(cell, stride)
+    each = np.bincount(word, minlength=len(keys))
+    begin = np.concatenate(([0], np.cumsum(each)))
+    to, cut = T.slices(keys, n)
+    return [(int(b), row["block"], keys[x:y].tobytes(), cls[x:y].astype(np.uint8).tobytes(), each[x:y].astype(np.uint8).tobytes(),
+             ctx[begin[x]:begin[y]].astype(np.uint8).tobytes(), planes(amount[begin[x]:begin[y]])) for b, x, y in zip(to, cut[:-1], cut[1:])]
+
+
+def _seed(core: Core, k: int, n: int):
+    """The first round's contexts: the core's classes, and k for all other words."""
+    def seed(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                keys = np.frombuffer(row["keys"], np.uint64)
+                place = core.places(keys)
+                cls = np.where(place < 0, k, core.cls[place] if len(core.cls) else k)
+                yield from B.to_table(_contexts(row, keys, cls, k, n), SENT).to_batches()
 
+    return seed
 
-def _send(core: Core, k: int, n: int):
-    """For each block: its words outside the core and the classes beside them in training texts."""
-    width = k + 2
 
-    def send(docs: pa.Table) -> pa.Table:
-        counts, place, other, keys, index = _local(docs, core)
-        s = _with_ends(np.where(place < 0, k, core.cls[place] if len(core.cls) else k), counts, k + 1)
-        at = np.arange(len(place)) + np.repeat(np.arange(len(counts)), counts) + 1
-        train = np.repeat(B.column_of(docs, "train").to_numpy(zero_copy_only=False), counts)[other]
-        left, right = s[at[other] - 1], s[at[other] + 1]
-        cell = np.concatenate([(index * (2 * width) + left)[train], (index * (2 * width) + width + right)[train]])
-        cells, where, _ = T.distinct(cell)
-        amount = np.bincount(where, minlength=len(cells))
-        word, ctx = np.divmod(cells, 2 * width)
-        each = np.bincount(word, minlength=len(keys))
-        begin = np.concatenate(([0], np.cumsum(each)))
-        to, cut = T.slices(keys, n)
-        block = docs["block"][0].as_py()
-        return B.to_table([(int(b), block, keys[x:y].tobytes(), each[x:y].astype(np.uint8).tobytes(),
-                            ctx[begin[x]:begin[y]].astype(np.uint8).tobytes(), planes(amount[begin[x]:begin[y]]))
-                           for b, x, y in zip(to, cut[:-1], cut[1:])], SENT)
+def _send(k: int, n: int):
+    """A later round's contexts, by the classes of the round before."""
+    def send(coded: pa.Table, back: pa.Table) -> pa.Table:
+        out = []
+        for row in coded.to_pylist():
+            keys = np.frombuffer(row["keys"], np.uint64)
+            out += _contexts(row, keys, _classes(keys, back, n)[0], k, n)
+        return B.to_table(out, SENT)
 
     return send
 
 
+def _sum_classes(k: int):
+    """Class bigrams of the contexts sent: each word's right side, and the words after an end."""
+    width = k + 2
+
+    def add_up(batches):
+        total = np.zeros(width * width, np.int64)
+        for batch in batches:
+            for now, entries, ctx, counts in zip(*(batch.column(c).to_pylist() for c in ("now", "entries", "ctx", "counts"))):
+                cls = np.repeat(np.frombuffer(now, np.uint8), np.frombuffer(entries, np.uint8)).astype(np.int64)
+                ctx, m = np.frombuffer(ctx, np.uint8).astype(np.int64), unplanes(counts)
+                right, start = (ctx >= width) & (ctx < 2 * width), ctx == k + 1
+                cell = np.concatenate([cls[right] * width + ctx[right] - width, (k + 1) * width + cls[start]])
+                total += np.bincount(cell, np.concatenate([m[right], m[start]]), minlength=len(total)).astype(np.int64)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], schema=PAIRS)
+
+    return add_up
+
+
+def likelihood(g: np.ndarray) -> float:
+    """Log likelihood of class bigrams, but for what no exchange changes."""
+    return float(phi(g).sum() - phi(g.sum(0)).sum() - phi(g.sum(1)).sum())
+
+
+def place(word: np.ndarray, ctx: np.ndarray, total: np.ndarray, now: np.ndarray, g: np.ndarray, k: int,
+          spread: np.ndarray) -> np.ndarray:
+    """The best of the first k classes for every word, with its own counts taken out of the class bigrams ``g``.
+
+    Cells (word, ctx, total) are sorted by word; ``ctx`` is the class to the left, the class to
+    the right plus k + 2, or 2 * (k + 2) for the word itself. Words without counts get k + 1.
+    Of equal classes (such as empty ones) the first from ``spread`` on is taken, so that words don't move as one.
+    """
+    width, at = k + 2, np.arange(k)
+    rows, cols, diagonal = g[:k].sum(1), g[:, :k].sum(0), g[at, at]
+    out = np.full(len(now), k + 1)
+    for lo in range(0, len(now), WORDS_AT_ONCE):
+        a = now[lo:lo + WORDS_AT_ONCE].astype(np.int64)
+        i = np.arange(len(a))
+        x, y = np.searchsorted(word, [lo, lo + len(a)])
+        dense = np.zeros((len(a), 2 * width + 1))
+        dense[word[x:y] - lo, ctx[x:y]] = total[x:y]
+        left, right, same = dense[:, :width], dense[:, width:2 * width], dense[:, 2 * width]
+        n = left.sum(1)
+        left[i, a] -= same
+        right[i, a] -= same
+        own = at == a[:, None]
+        gain = np.zeros((len(a), k))
+        for side, other, table in ((right, left, g[:k].T), (left, right, g[:, :k])):
+            w, c = np.nonzero(side)
+            m = side[w, c][:, None]
+            base = table[c] - own[w] * m
+            self_ctx = np.flatnonzero(c == a[w])
+            base[self_ctx] -= other[w[self_ctx], :k] + own[w[self_ctx]] * same[w[self_ctx], None]
+            np.add.at(gain, w, phi(base + m) - phi(base))
+        right, left, same, n = right[:, :k], left[:, :k], same[:, None], n[:, None]
+        cell = diagonal - own * (right + left + same)  # the cell that is in both sums
+        gain += phi(cell + right + left + same) + phi(cell) - phi(cell + right) - phi(cell + left)
+        r, c = rows - own * n, cols - own * n
+        gain -= phi(r + n) - phi(r) + phi(c + n) - phi(c)
+        tied = gain >= gain.max(1, keepdims=True) - 1e-9
+        best = np.where(tied, (at - spread[lo:lo + len(a), None]) % k, k).argmin(1)
+        stay = np.minimum(a, k - 1)
+        best = np.where((a < k) & (gain[i, best] <= gain[i, stay] + 1e-9), stay, best)
+        out[lo:lo + len(a)] = np.where(n[:, 0] > 0, best, k + 1)
+    return out
+
+
 def _assign(g: np.ndarray, k: int):
-    """The class of each word: the largest gain of adding it to the core's classes (exchange step)."""
+    """The class of each word after a round, and its count."""
     width = k + 2
-    by_left, by_right = g[:, :k], g[:k, :].T  # a row for each context, a column for each class
-    tables = np.concatenate([by_left, by_right])
-    rows, cols = g[:k].sum(1), g[:, :k].sum(0)
+    stride = 2 * width + 1
 
     def assign(sent: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x, np.uint64) for x in sent["keys"].to_pylist()]
         keys, index, _ = T.distinct(np.concatenate(parts))
+        now = np.zeros(len(keys), np.int64)
+        now[index] = np.frombuffer(b"".join(sent["now"].to_pylist()), np.uint8)
         each = np.frombuffer(b"".join(sent["entries"].to_pylist()), np.uint8)
         ctx = np.frombuffer(b"".join(sent["ctx"].to_pylist()), np.uint8)
         amount = np.concatenate([unplanes(x) for x in sent["counts"].to_pylist()])
-        cell, where, _ = T.distinct(np.repeat(index, each) * (2 * width) + ctx)
+        cell, where, _ = T.distinct(np.repeat(index, each) * stride + ctx)
         total = np.bincount(where, amount, minlength=len(cell))
-        word, side = np.divmod(cell, 2 * width)
+        word, side = np.divmod(cell, stride)
         n = np.bincount(word[side < width], total[side < width], minlength=len(keys))
-        gain = np.zeros((len(keys), k))
-        for a in range(0, len(cell), 20_000):
-            m = tables[side[a:a + 20_000]]
-            np.add.at(gain, word[a:a + 20_000], phi(m + total[a:a + 20_000, None]) - phi(m))
-        gain -= phi(rows + n[:, None]) - phi(rows) + phi(cols + n[:, None]) - phi(cols)
-        cls = np.where(n > 0, gain.argmax(1), k + 1).astype(np.uint8)
+        cls = place(word, side, total, now, g, k, (keys % T.U64(k)).astype(np.int64)).astype(np.uint8)
         out, at = [], 0
         for block, bucket, p in zip(sent["block"].to_pylist(), sent["bucket"].to_pylist(), parts):
             i = index[at:at + len(p)]
@@ -235,7 +338,7 @@ def _assign(g: np.ndarray, k: int):
     return assign
 
 
-def _describe(core: Core, k: int, n: int, ends: int):
+def _describe(k: int, n: int, ends: int):
     """Per document: token counts, sums of logs, and class bigrams. Classes: k, end k, unknown k + 1.
 
     The last column of the pairs' matrix counts tokens seen once in training, by the class before.
@@ -245,20 +348,10 @@ def _describe(core: Core, k: int, n: int, ends: int):
     def describe(docs: pa.Table, back: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return STATS.empty_table()
-        counts, place, other, keys, index = _local(docs, core)
-        to, cut = T.slices(keys, n)
-        where = dict(zip(to.tolist(), range(len(to))))
-        cls = np.zeros(len(keys), np.int64)
-        seen = np.zeros(len(keys), np.int64)
-        for bucket, c, m in zip(back["bucket"].to_pylist(), back["classes"].to_pylist(), back["counts"].to_pylist()):
-            x, y = cut[where[bucket]], cut[where[bucket] + 1]
-            cls[x:y] = np.frombuffer(c, np.uint8)
-            seen[x:y] = unplanes(m)
-        c = np.zeros(len(place), np.int64)
-        m = np.zeros(len(place), np.int64)
-        inner = np.flatnonzero(place >= 0)
-        c[inner], m[inner] = core.cls[place[inner]], core.counts[place[inner]]
-        c[other], m[other] = cls[index], seen[index]
+        h, _, _, counts = T.words(*T.buffers(B.column_of(docs, "text")), fold=True)
+        keys, index, _ = T.distinct(h)
+        cls, seen = _classes(keys, back, n)
+        c, m = cls[index], seen[index]
         s = _with_ends(c, counts, k)
         once = _with_ends((m == 1).astype(np.int64), counts, 0)
         logs, half = np.log10(np.maximum(m, 1)), np.log10(m + 0.5)
@@ -334,14 +427,23 @@ def score_corpus(docs: DataFrame, train: Column, core_words: int = CORE, classes
     for r in pairs.collect():  # bounded by core_words squared
         counts[divmod(r.pair, m + 2)] = r.n
     core.cls = exchange(counts, m, classes)
-    kind = np.eye(classes + 2)[np.concatenate([core.cls, [classes, classes + 1]])]
-    g = kind.T @ counts @ kind
 
     dealt = B.with_block(docs, n_blocks, "doc_id", "text")
-    back = B.grouped(B.grouped(dealt, "block", _send(core, classes, buckets),
-                               "bucket int, block int, keys binary, entries binary, ctx binary, counts binary"),
-                     "bucket", _assign(g, classes), "block int, bucket int, classes binary, counts binary")
-    stats = B.stored(B.cogrouped(dealt, back, "block", _describe(core, classes, buckets, ends),
+    coded = B.stored(B.grouped(dealt, "block", _code, "block int, keys binary, first binary, second binary, counts binary"))
+    back, before, best = None, None, -np.inf
+    while True:
+        sent = B.stored(coded.mapInArrow(_seed(core, classes, buckets), DDL_SENT) if back is None else
+                        B.cogrouped(coded, back, "block", _send(classes, buckets), DDL_SENT))
+        g = np.zeros((classes + 2, classes + 2))
+        for r in sent.mapInArrow(_sum_classes(classes), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+            g[divmod(r.pair, classes + 2)] = r.n  # bounded by the classes squared
+        reached = likelihood(g) if back is not None else -np.inf  # the first has one class more
+        if back is not None and reached - best < RISE * n_train or before is not None and not n_train:
+            back = before if before is not None and reached < best else back
+            break
+        before, best = back, reached
+        back = B.stored(B.grouped(sent, "bucket", _assign(g, classes), "block int, bucket int, classes binary, counts binary"))
+    stats = B.stored(B.cogrouped(dealt, back, "block", _describe(classes, buckets, ends),
                                  "doc_id long, train boolean, n_tokens long, n_known long, base double, emit double, "
                                  "pairs binary, ns binary"))
     width = classes + 3

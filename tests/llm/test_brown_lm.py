@@ -92,6 +92,50 @@ def test_all_words_get_a_class_from_their_contexts(spark):
     assert per("score") > per("base_score") + 0.2  # which half of the words comes next is known: log10(2) a token at most
 
 
+def test_place_is_the_best_class_of_each_word():
+    """Gains with own counts taken out, against the likelihood of every placement."""
+    rng = np.random.default_rng(8)
+    n, k = 12, 3
+    s = np.concatenate([rng.choice(n + 1, 400, p=rng.dirichlet(np.ones(n + 1))), np.arange(n + 1)])  # the last is the end
+    counts = np.zeros((n + 1, n + 1), int)
+    np.add.at(counts, (np.append(n, s[:-1]), s), 1)
+    now = rng.integers(0, k + 1, n)  # k: no class yet
+
+    def matrix(cls):
+        one = np.eye(k + 2)[np.append(cls, k + 1)]
+        return one.T @ counts @ one
+
+    cells = {}
+    for i in range(n + 1):
+        for j in range(n + 1):
+            if counts[i, j]:
+                of = np.append(now, k + 1)
+                for key in ([(i, k + 2 + of[j])] if i < n else []) + ([(j, of[i])] if j < n else []) + ([(i, 2 * k + 4)] if i == j else []):
+                    cells[key] = cells.get(key, 0) + counts[i, j]
+    word, ctx = np.array(sorted(cells)).T
+    total = np.array([cells[c] for c in sorted(cells)])
+    got = M.place(word, ctx, total, now, matrix(now), k, np.zeros(n, int))
+    for w in range(n):
+        like = [M.likelihood(matrix(np.where(np.arange(n) == w, b, now))) for b in range(k)]
+        assert like[got[w]] > max(like) - 1e-6
+
+
+def test_rounds_reach_words_without_core_neighbours(spark):
+    """Two kinds of words with none but words outside the core beside them are told apart in later rounds."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(400):
+        w = []
+        for _ in range(6):
+            t = rng.integers(0, 2)
+            w += [f"core{t}"] + [f"{c}{t}_{rng.integers(0, 12)}" for c in ("a", "b", "c")]
+        rows.append((i, " ".join(w), "en", "s", 0))
+    got = M.score_corpus(frame(spark, rows), F.col("doc_id") >= 80, core_words=2, classes=10).collect()
+    held = [r for r in got if not r.train]
+    per = lambda c: sum(r[c] for r in held) / sum(r.n_tokens for r in held)
+    assert per("score") > -1.4  # one placement by the core alone: -1.66
+
+
 def test_empty_and_no_training(spark):
     assert M.score_corpus(frame(spark, []), F.lit(True)).collect() == []
     got = M.score_corpus(frame(spark), F.lit(False)).collect()
