@@ -50,7 +50,25 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related rights to this work.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
 }
+# The usual short forms of the same licences: how a line names them, and their SPDX lines.
+TEMPLATES |= {f"{k}-short": f"Licensed under {v}." for k, v in {
+    "MIT": "the MIT License", "BSD": "the BSD License", "BSD-2-Clause": "the BSD 2-Clause License", "BSD-3-Clause": "the BSD 3-Clause License",
+    "ISC": "the ISC License", "MPL-2.0": "the Mozilla Public License, Version 2.0", "MPL-2.0-id": "the MPL 2.0",
+    "GPL-2.0": "the GNU GPL v2", "GPL-3.0": "the GNU GPL v3", "GPL-2.0-id": "the GPL-2.0", "GPL-3.0-id": "the GPL-3.0",
+    "GPL-2.0-plain": "the GPLv2", "GPL-3.0-plain": "the GPLv3", "LGPL-2.1": "the GNU LGPL v2.1", "LGPL-3.0": "the GNU LGPL v3",
+    "LGPL-3.0-id": "the LGPL-3.0", "LGPL-3.0-plain": "the LGPLv3", "AGPL-3.0": "the GNU AGPL v3", "AGPL-3.0-id": "the AGPL-3.0",
+    "AGPL-3.0-plain": "the AGPLv3", "CC-BY-4.0": "CC BY 4.0", "CC-BY-SA-4.0": "CC BY-SA 4.0", "CC-BY-NC-4.0": "CC BY-NC 4.0",
+    "CC-BY-NC-SA-4.0": "CC BY-NC-SA 4.0", "CC0-1.0": "CC0 1.0", "CC-BY-4.0-name": "Creative Commons Attribution 4.0",
+    "CC-BY-SA-4.0-name": "Creative Commons Attribution-ShareAlike 4.0",
+    "CC-BY-NC-4.0-name": "Creative Commons Attribution-NonCommercial 4.0",
+    "CC-BY-NC-SA-4.0-name": "Creative Commons Attribution-NonCommercial-ShareAlike 4.0"}.items()}
+TEMPLATES |= {f"CC-{k}-4.0-work": f"This work is licensed under CC {k} 4.0." for k in ("BY", "BY-SA", "BY-NC", "BY-NC-SA")}
+TEMPLATES |= {f"{k}-spdx": f"SPDX-License-Identifier: {k}" for k in (
+    "Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "GPL-2.0", "GPL-3.0", "GPL-2.0-only", "GPL-3.0-only",
+    "GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-3.0-only", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-only",
+    "AGPL-3.0-or-later", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC0-1.0", "Unlicense")}
 
 
 def bigrams(text: str) -> list[str]:
@@ -70,7 +88,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     names = {k: v for k, v in names.items() if v}
     if not names:
         raise ValueError("no template has a bigram")
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9  # rounding must not prune a unit at the threshold
     most = max(len(v) for v in names.values()) * high
     least = min(len(v) for v in names.values()) * low
     known = F.array(*[F.struct(F.lit(k).alias("license"), F.lit(len(v)).alias("n"),

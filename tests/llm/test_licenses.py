@@ -41,6 +41,25 @@ def test_all_templates_in_context(spark):
     assert {(i, n) for i, n, *_ in got} >= {(i, n) for i, n in enumerate(TEMPLATES)} | {(100 + i, n) for i, n in enumerate(TEMPLATES)}
 
 
+def test_short_forms_as_lines(spark):
+    """Public short forms, each a line of a text, are reported by their licence first."""
+    forms = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "licensed under CC-BY-4.0": "CC-BY-4.0", "This work is licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+             "Licensed under Creative Commons Attribution-NonCommercial 4.0": "CC-BY-NC-4.0", "Licensed under the GNU GPL v3.": "GPL-3.0",
+             "Licensed under the GPLv2": "GPL-2.0", "Licensed under the GPL-3.0.": "GPL-3.0", "Licensed under the GNU LGPL v3": "LGPL-3.0",
+             "Licensed under the Mozilla Public License, Version 2.0.": "MPL-2.0", "Licensed under the MPL 2.0": "MPL-2.0",
+             "Licensed under the BSD 3-Clause License.": "BSD-3-Clause", "Licensed under the ISC License.": "ISC", "Licensed under the MIT License.": "MIT",
+             "// SPDX-License-Identifier: MIT": "MIT", "# SPDX-License-Identifier: LGPL-3.0-or-later": "LGPL-3.0",
+             "SPDX-License-Identifier: CC-BY-NC-4.0": "CC-BY-NC-4.0", "/* SPDX-License-Identifier: BSD-3-Clause */": "BSD-3-Clause"}
+    rows = [(i, prose(i, 30) + "\n" + f + "\n" + prose(i + 50, 30), None, None, 0) for i, f in enumerate(forms)]
+    rows.append((99, "We like the MIT License and CC BY-NC 4.0 alike", None, None, 0))
+    got = run(frame(spark, rows))
+    assert got == brute([(r[0], r[1]) for r in rows], TEMPLATES)
+    for i, name in enumerate(forms.values()):
+        mine = [g for g in got if g[0] == i]
+        assert mine and max(mine, key=lambda g: g[2])[1].startswith(name) and mine[0][3:] == ("line", 1), (name, mine)
+    assert not [g for g in got if g[0] == 99]
+
+
 def test_awkward_rows(spark):
     own = {"x": "x x x", "four": "One, two; three four!", "line": "same line same line same line"}
     df = frame(spark)
