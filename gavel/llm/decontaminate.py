@@ -3,7 +3,8 @@ Hamming blocks, and exact weighted-shingle similarity of the candidates.
 
 Words are runs of letters and digits, lower-cased. An item's shingles are its five-word
 sequences, weighted by how often they occur (shorter items: one shingle, all words). For
-every item size a window of that many words starts at every word of a document.
+every item size a window of that many words starts at every word of a document; a document
+shorter than an item is one window, held against the items that are longer than it.
 
 1. A window whose similarity to an item reaches the threshold s has at least s times its
    shingles in the benchmark. Running counts of benchmark shingles tell this for all windows
@@ -149,6 +150,28 @@ def _matcher(items: list[tuple], k: int, threshold: float, radius: int):
         np.cumsum(known, out=run[1:])
         np.cumsum(T.mix(g), out=sums[1:])
         live = np.flatnonzero(known)
+
+        def judge(at: np.ndarray, grid: np.ndarray, size: int, whole: bool = False) -> None:
+            """Enters the items that reach the threshold in windows of ``size`` words; whole documents meet longer items only."""
+            if not len(at):
+                return
+            n = grid.shape[1]
+            row, item, far = index.near(fingerprints(grid))
+            for i in np.unique(item):
+                if whole and index.items[i][1] <= size:
+                    continue
+                mine = np.flatnonzero(item == i)
+                theirs = index.items[i][2]
+                both = overlap(grid[row[mine]], theirs)
+                union = n + len(theirs) - both
+                for m in np.flatnonzero(both * limit.denominator >= union * limit.numerator):
+                    a = int(at[row[mine[m]]])
+                    d = int(doc[a])
+                    hit = (-int(both[m]) / int(union[m]), a - int(begin[d]), size, int(far[mine[m]]))
+                    key = (d, index.items[i][0])
+                    if key not in best or hit < best[key]:
+                        best[key] = hit
+
         for size, n in index.sizes.items():
             if size < k:  # a short item is one shingle of all its words
                 at = np.flatnonzero(left >= size)
@@ -166,21 +189,12 @@ def _matcher(items: list[tuple], k: int, threshold: float, radius: int):
                 same = np.stack([doc[at].astype(np.uint64), sums[at + n] - sums[at]], axis=1)
                 at = at[np.sort(np.unique(same, axis=0, return_index=True)[1])] if len(at) else at
                 grid = g[at[:, None] + np.arange(n)[None, :]]
-            if not len(at):
-                continue
-            row, item, far = index.near(fingerprints(grid))
-            for i in np.unique(item):
-                mine = np.flatnonzero(item == i)
-                theirs = index.items[i][2]
-                both = overlap(grid[row[mine]], theirs)
-                union = n + len(theirs) - both
-                for m in np.flatnonzero(both * limit.denominator >= union * limit.numerator):
-                    a = int(at[row[mine[m]]])
-                    d = int(doc[a])
-                    hit = (-int(both[m]) / int(union[m]), a - int(begin[d]), size, int(far[mine[m]]))
-                    key = (d, index.items[i][0])
-                    if key not in best or hit < best[key]:
-                        best[key] = hit
+            judge(at, grid, size)
+        for size in np.unique(counts[(counts >= k) & (counts < max(index.sizes, default=0))]).tolist():
+            n = size - k + 1
+            at = begin[counts == size]
+            at = at[(run[at + n] - run[at]) * limit.denominator >= n * limit.numerator]
+            judge(at, g[at[:, None] + np.arange(n)[None, :]], size, whole=True)
         return best
 
     return match

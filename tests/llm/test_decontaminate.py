@@ -92,6 +92,27 @@ def test_slices_give_the_same(spark, monkeypatch):
     assert got(spark, df, items) == whole and len(whole) == 40
 
 
+def test_documents_shorter_than_an_item(spark):
+    """An item less its last or first words is found as a document, by the whole document."""
+    items = [(1, prose(41, 38)), (2, prose(42, 15)), (3, "one two three"), (4, prose(43, 59))]
+    w = {i: t.split() for i, t in items}
+    texts = [w[1][:36], w[1][:30], w[1][3:], w[2][:13], w[2][:12], w[4][5:55], w[4][:48], w[3][:2], w[1][:36] + ["x"], w[1][:4]]
+    rows = [(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)] + [(50, w[1][0], None, None, 0), (51, None, None, None, 0)]
+    want = {}
+    for i, t, *_ in rows:
+        for j, x in items:
+            s, b = weighted(tokens(t)), weighted(tokens(x))
+            both, union = sum((s & b).values()), sum((s | b).values())
+            if both and both * 10 >= 8 * union:
+                want[i, j] = both / union
+    df = frame(spark, rows)
+    have = got(spark, df, items)
+    assert have.keys() == want.keys() == {(0, 1), (2, 1), (3, 2), (5, 4), (6, 4), (8, 1)} and have[0, 1] == 32 / 34
+    assert all(abs(have[k] - want[k]) < 1e-12 for k in want)
+    kept = {r.doc_id for r in D.decontaminate(df, spark.createDataFrame(items, ITEMS)).collect()}
+    assert kept == {r[0] for r in rows} - {i for i, _ in want}
+
+
 def test_empty(spark):
     assert got(spark, frame(spark, []), [(1, "a b")]) == {}
     assert got(spark, frame(spark), []) == {}
