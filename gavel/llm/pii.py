@@ -35,7 +35,7 @@ USER_ADDRESS = re.compile(r"[^\s/?#@\"'<>]+@[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s\"
 CUES = ("iban", "ssn", "passport", "account", "konto", "cuenta", "compte", "token", "api_key", "apikey", "api key",
         "secret", "password", "passwd")
 AFTER_CUE = re.compile(r"(?:[ _-]?(?:id|no|nr|number|key))?\.?[ \t]{0,3}[:=#][ \t]{0,3}[\"']?")
-IDENTIFIER = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9_+/-]{4,126}[A-Za-z0-9=])")
+IDENTIFIER = re.compile(r"[A-Za-z0-9][A-Za-z0-9_+/-]{4,}(?:={1,2}|[A-Za-z0-9])")  # of any length, with its padding
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 FOUND = pa.schema([("doc_id", pa.int64()), ("spans", pa.list_(pa.struct(

@@ -54,6 +54,15 @@ def test_redacted():
     assert P.redacted(None) is None and P.redacted("clean text") == "clean text"
 
 
+def test_long_identifiers_go_whole(spark):
+    for key in ("k9" * 200, "Ab3/+" * 80 + "==", "a1" * 63 + "z", "a1-" * 50 + "b=", "x7" * 100_000):
+        text = f"a secret={key} b"
+        assert P.spans_of(text) == [("account", 9, 9 + len(key))], key[:20]
+        df = frame(spark, [(1, text, None, None, 0)])
+        assert [s.end - s.start for s in P.find_pii(df).first().spans] == [len(key)]
+        assert P.redact(df).first().text == "a secret=<ACCOUNT> b"
+
+
 def test_frames(spark):
     df = frame(spark).withColumn("spans", F.lit("x"))
     rows = {(r.doc_id, len(r.spans)) for r in P.find_pii(df).collect()}
