@@ -64,7 +64,6 @@ TEMPLATES |= {f"{k}-short": f"Licensed under {v}." for k, v in {
     "CC-BY-SA-4.0-name": "Creative Commons Attribution-ShareAlike 4.0",
     "CC-BY-NC-4.0-name": "Creative Commons Attribution-NonCommercial 4.0",
     "CC-BY-NC-SA-4.0-name": "Creative Commons Attribution-NonCommercial-ShareAlike 4.0"}.items()}
-TEMPLATES |= {f"CC-{k}-4.0-work": f"This work is licensed under CC {k} 4.0." for k in ("BY", "BY-SA", "BY-NC", "BY-NC-SA")}
 TEMPLATES |= {f"{k}-spdx": f"SPDX-License-Identifier: {k}" for k in (
     "Apache-2.0", "MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "GPL-2.0", "GPL-3.0", "GPL-2.0-only", "GPL-3.0-only",
     "GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-3.0-only", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-only",
