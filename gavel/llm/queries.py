@@ -13,9 +13,11 @@ from gavel.llm.licenses import TEMPLATES, bigrams, scan_licenses
 from gavel.llm.mixing import mix_sources
 from gavel.llm.ngram_join import near_duplicates
 from gavel.llm.pii import BASE_KINDS, find_pii
+from gavel.llm.prefix_trie import prefix_trie
 from gavel.llm.quality_crf import judge_quality, learn
 from gavel.llm.substring_dedup import remove_repeats
 from gavel.llm.url_filter import judge_urls
+from gavel.llm.vector_codes import compress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -221,3 +223,76 @@ def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 1, F.lit(False))
     out = score_corpus(docs, ~held_out, core_words=500, classes=32)
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """Codebooks in SQL, one CTE a step; every part is compared with every entry."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT row, part, min(d * 16 + entry) AS best FROM (
+    SELECT row, part, entry, CAST(sum((x - c) * (x - c)) AS BIGINT) AS d FROM v JOIN b{r} USING (part, pos) GROUP BY ALL) GROUP BY ALL
+)""")
+        if r < rounds:
+            steps.append(f"""b{r + 1} AS MATERIALIZED (
+  SELECT b.part, b.pos, b.entry, coalesce(CAST((s - ((s % n) + n) % n) // n AS BIGINT), b.c) AS c FROM b{r} b LEFT JOIN (
+    SELECT part, pos, best % 16 AS entry, sum(x) AS s, count(*) AS n FROM v JOIN a{r} USING (row, part) GROUP BY ALL) USING (part, pos, entry)
+)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, vec_id, label, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), v AS MATERIALIZED (
+  SELECT row, CAST(i // w AS INTEGER) AS part, CAST(i % w AS INTEGER) AS pos, CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) AS x
+  FROM (SELECT row, len(embedding) // 8 AS w, unnest(range(len(embedding))) AS i, unnest(embedding) AS x FROM kept)
+), b0 AS MATERIALIZED (SELECT part, pos, row AS entry, x AS c FROM v WHERE row < 16
+), {", ".join(steps)}, coded AS (
+  SELECT row, string_agg(printf('%02x', best % 16), '' ORDER BY part) AS code, CAST(sum(best // 16) AS BIGINT) AS error FROM a{rounds} GROUP BY row
+), books AS (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (row), books
+"""
+
+
+@query("op11_vector_codes", _codes_sql())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096).drop("label")
+
+
+@query("op12_prefix_trie", """
+WITH bits AS (
+  SELECT [list_reduce(list_concat([n], range(8)), lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)
+          for n in range(256)] AS t
+), turns AS (
+  SELECT conv_id, turn, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS name,
+         length(coalesce(text, '')) AS chars
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({'name': name, 'chars': chars} ORDER BY turn NULLS FIRST, name) AS turns FROM turns GROUP BY conv_id
+), heads AS (
+  SELECT conv_id, turns, conv_id - conv_id % 100 AS base, xor(list_reduce(list_concat([4294967295], [ord(c) for c in string_split(CAST(conv_id AS VARCHAR), '')]),
+           lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 6 AS h
+  FROM own, bits
+), whole AS (
+  SELECT heads.conv_id, list_concat(coalesce(own.turns[1:h], []), heads.turns[h + 1:]) AS turns
+  FROM heads LEFT JOIN own ON own.conv_id = base
+), p AS (
+  SELECT conv_id, len(turns) AS n_turns, d, array_to_string([x.name for x in turns[1:d]], '') AS k, coalesce(turns[d].chars, 0) AS chars
+  FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS d FROM whole)
+), nodes AS (
+  SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n_turns = d), '')) AS ends_sha256
+  FROM p GROUP BY k, d
+), linked AS (
+  SELECT n.*, up.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes c WHERE c.d = n.d + 1 AND left(c.k, 32 * n.d) = n.k) AS n_children
+  FROM nodes n LEFT JOIN nodes up ON up.d = n.d - 1 AND up.k = left(n.k, 32 * (n.d - 1))
+), below AS (
+  SELECT left(k, 32 * a) AS k, a AS d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * chars) AS saved
+  FROM (SELECT *, unnest(range(d + 1)) AS a FROM linked) GROUP BY ALL
+)
+SELECT conv_id, CAST(d AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, ends_sha256
+FROM linked JOIN below USING (k, d)
+""")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"), every=100, heads=6)
