@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gavel.llm import langid
 from gavel.llm.brown_lm import score_corpus
 from gavel.llm.decontaminate import contaminated
+from gavel.llm.html_extract import main_text
 from gavel.llm.licenses import TEMPLATES, bigrams, scan_licenses
 from gavel.llm.mixing import mix_sources
 from gavel.llm.ngram_join import near_duplicates
@@ -296,3 +297,8 @@ FROM linked JOIN below USING (k, d)
 """)
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"), every=100, heads=6)
+
+
+@query("op13_html_extract")
+def op13_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))

@@ -158,8 +158,8 @@ def fit(vectors: DataFrame, parts: int = 8, entries: int = 16, rounds: int = 6,
     rows = _vectors(vectors, scale)
     start = rows.select("vec_id", "vector").orderBy(F.asc_nulls_last("vec_id"), "vector").limit(entries).collect()
     dim = len(start[0].vector) if start else 0
-    first = np.array([r.vector for r in start if len(r.vector) == dim], np.float64).reshape(-1, dim)
-    books = Codebooks(integers(first, scale, parts).transpose(1, 0, 2), dim, scale)
+    first = [r.vector for r in start if len(r.vector) == dim]
+    books = Codebooks(integers(np.array(first, np.float64).reshape(len(first), dim), scale, parts).transpose(1, 0, 2), dim, scale)
     width = books.entries.shape[2]
     for _ in range(rounds if start and width else 0):
         sums = (rows.select("vector").mapInArrow(books.sums, "part int, entry int, pos int, s long, n long")
