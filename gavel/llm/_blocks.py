@@ -23,18 +23,71 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stored(df: DataFrame, *partition_by: str) -> DataFrame:
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, *partition_by: str, path: str | None = None) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: computed once, lineage cut."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gavel-llm/{uuid.uuid4().hex}"
+    path = path or new_path(spark)
     df.write.parquet(path, partitionBy=list(partition_by) or None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/gavel-llm/{uuid.uuid4().hex}"
+
+
+class Steps:
+    """Tables of a job in rounds: each is written under a name, and the one that it replaces is deleted.
+
+    Shuffle files of a step go as soon as its table is written (Spark's own setting, put back
+    after the write), so that the disk holds one round and not all of them.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        before, path = self.spark.conf.get(CLEANUP, None), new_path(self.spark)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            out = stored(df, path=path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
+        self.drop(name)
+        self.paths[name] = path
+        return out
+
+    def drop(self, name: str) -> None:
+        path = self.paths.pop(name, None)
+        if path:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def layout(n_bytes: int, tasks: int) -> tuple[int, int]:
+    """(bytes of text a block, buckets) for an input of ``n_bytes``.
+
+    A block packs one row a bucket, so packed rows are blocks times buckets. Blocks grow with the
+    input from 16 MB to 64 MB, and a bucket takes what 64 MB of text send: at 256 GB that is 4,096 of
+    each, at 1 TB 16,000 of each with the packed content of 4 KB of text a row. Neither a block nor a
+    bucket outgrows a worker, and up to there what is shuffled is in proportion to the input.
+    """
+    return min(max(n_bytes // 4096, 16_000_000), 64_000_000), max(tasks, -(-n_bytes // 64_000_000))
+
+
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
 def block_count(docs: DataFrame, text: str = "text") -> int:
     """Blocks of about BLOCK_BYTES of text, and one a shuffle partition at least.
 

@@ -49,6 +49,7 @@ def _gaps() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 SPACE, ALNUM, LINE = 0, 1, 2
+WHITE = _gaps()[SPACE]
 
 
 _POWERS: dict[str, np.ndarray] = {}

@@ -1,35 +1,46 @@
 """LM scoring with a Brown class model: word classes from exchange clustering, and a class
 bigram model whose transitions and emissions are counted over the whole training corpus.
 
-``P(w | previous) = P(class(w) | class(previous)) * P(w | class(w))``; a word that training
-never saw is one more class, entered with the Good-Turing share of once-seen words after the
-previous class. The end of a text is a token and a class; it also stands before its first word.
-
-1. Counts. Every task packs its distinct words' hashes and counts for hash buckets; buckets add
-   them up. From there come N, V and the ``core`` most frequent words (a parameter).
-2. First classes. The bigram counts of core words over the whole corpus (a bounded matrix) go
-   to the driver, where exchange clustering moves each word to the class that raises the
-   likelihood most, until no word moves. This only seeds the next step.
-3. All words, the core's too, in rounds. Each block of documents keeps its words and counted word
-   pairs; it packs, for its words, the counts of the current classes to their left and right.
-   Buckets add them up and move each word of the vocabulary to the class with the largest
-   exchange gain, its own counts taken out. All words of a round move at once against the same
-   matrix; the rounds end when one raises the log likelihood by less than RISE a token (one that
-   lowers it is undone). In the first round neighbours outside the core share one class.
-4. Documents and their words' classes and counts meet by block. A document keeps its class
-   bigram counts; those of training documents make the transition matrix, and all are scored.
-
-The vocabulary is never brought together: only N, V, core words and class matrices reach the
-driver. Words are named by 64-bit hashes.
+``P(w | previous) = P(class(w) | class(previous)) * P(w | class(w))``. A word that training never
+saw is one more class, entered with the Good-Turing share of once-seen words after the previous
+class; the single unknown word is then spelled byte by byte from the training words' bytes, its end
+included, so that the probabilities of all texts of a length add up to one at most. The end of a text
+is a token and a class; it also stands before its first word.
+
+1. Coding. A task's documents are cut into blocks of some 16 MB of text; a block is one row: its
+   distinct words' hashes with their training counts and spelling costs, and its documents as word
+   numbers. Texts are read here and are never shuffled. N, V and the ``core`` most frequent words
+   (a parameter) come from counts packed by block and hash bucket.
+2. First classes. The bigram counts of core words over the whole corpus (a bounded matrix) go to
+   the driver, where exchange clustering moves each word to the class that raises the likelihood
+   most, until no word moves. This only seeds the next step.
+3. All words, the core's too, in rounds. A block packs, for its words, the counts of the current classes
+   to their left and right; a bucket adds them up, which is the round's one stored table. Its sum over
+   all words is the class matrix; by it each word of the vocabulary moves to the class with the
+   largest exchange gain, its own counts taken out. All words of a round move at once; the rounds end
+   when one raises the log likelihood by less than RISE a token (one that lowers it is undone).
+   In the first round neighbours outside the core share one class.
+4. Blocks and their words' classes and counts meet again. A document keeps its class bigram
+   counts; those of training documents make the transition matrix, and all are scored.
+
+The vocabulary is never brought together: only N, V, core words, byte counts and class matrices
+reach the driver. Words are named by 64-bit hashes; counts travel in as many bytes as they need.
+A round's tables replace those before, so the disk holds one round.
 
 Defined results: null text: no words, the end token alone; a null doc_id counts as training;
-without training documents every token is unknown, base_score and score are 0. Repeated rows
-are rows of their own. Extra columns are ignored.
+without training documents every token is unknown, base_score is 0, and a text ends or goes on with a
+word of equally likely bytes with probability 1/2 each. A text longer than a block is a block of its
+own. Of equally frequent words the one of the smaller hash is first in the core; of equal gains a word
+stays, else takes the first class from its hash on. Repeated rows are rows of their own. An empty
+table gives no rows. Extra columns, whatever their names, are ignored.
 """
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,26 +49,45 @@ from gavel.llm import _tokens as T
 
 CORE, CLASSES = 500, 32
 RISE, WORDS_AT_ONCE = 0.002, 2048
-PACKED = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-DDL_PACKED = "bucket int, block int, keys binary, counts binary"
+COST = 1000  # spelling costs are whole thousandths of a power of ten, rounded up
+PACKED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 TALLY = pa.schema([("words", pa.int64()), ("tokens", pa.int64()), ("top", pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())])))])
 PAIRS = pa.schema([("pair", pa.int32()), ("n", pa.int64())])
-CODED = pa.schema([("block", pa.int32()), ("keys", pa.binary()), ("first", pa.binary()), ("second", pa.binary()), ("counts", pa.binary())])
-SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("now", pa.binary()), ("entries", pa.binary()),
+CODED = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("ns", pa.binary()), ("costs", pa.binary()), ("seq", pa.binary()),
+                   ("sizes", pa.binary()), ("ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_()))])
+DDL_CODED = "block long, keys binary, ns binary, costs binary, seq binary, sizes binary, ids array<long>, train array<boolean>"
+SENT = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("now", pa.binary()), ("entries", pa.binary()),
                   ("ctx", pa.binary()), ("counts", pa.binary())])
-DDL_SENT = "bucket int, block int, keys binary, now binary, entries binary, ctx binary, counts binary"
-BACK = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("classes", pa.binary()), ("counts", pa.binary())])
+DDL_SENT = "bucket int, block long, keys binary, now binary, entries binary, ctx binary, counts binary"
+STATE = pa.schema([("bucket", pa.int32()), ("spread", pa.binary()), ("now", pa.binary()), ("entries", pa.binary()), ("ctx", pa.binary()),
+                   ("counts", pa.binary()), ("blocks", pa.list_(pa.int64())), ("words", pa.list_(pa.binary()))])
+DDL_STATE = ("bucket int, spread binary, now binary, entries binary, ctx binary, counts binary, blocks array<long>, "
+             "words array<binary>")
+BACK = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("classes", pa.binary()), ("counts", pa.binary())])
 STATS = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                    ("base", pa.float64()), ("emit", pa.float64()), ("pairs", pa.binary()), ("ns", pa.binary())])
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Integers byte by byte of equal weight: small ones leave runs of zeros."""
-    return np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Integers from 0 on in as many bytes as the largest needs, all bytes of equal weight together: small ones leave runs of zeros."""
+    x = np.ascontiguousarray(x, np.uint64)
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def unplanes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    width = raw[0]
+    x = np.frombuffer(raw, np.uint8, offset=1).reshape(width, -1).T
+    out = np.zeros((len(x), 8), np.uint8)
+    out[:, :width] = x
+    return out.view(np.int64).ravel()
+
+
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and how often each is there."""
+    x = np.sort(x)
+    begin = np.flatnonzero(np.concatenate(([len(x) > 0], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+    return x[begin], np.diff(np.append(begin, len(x)))
 
 
 def phi(x):
@@ -107,25 +137,81 @@ def exchange(counts: np.ndarray, n_words: int, n_classes: int) -> np.ndarray:
             g[b, b] += same
     return cls[:n_words]
 
+def _letters(batches):
+    """Bytes of the words (A-Z as a-z), 256 for a word's end, and how often each is there."""
+    total, space = np.zeros(257, np.int64), T.WHITE
+    for t in B.pieces(batches):
+        data, off = T.buffers(B.column_of(t, "text"))
+        total[:256] += np.bincount(data, minlength=256)
+        inside = ~space[data]
+        last = np.ones(len(data), bool)
+        last[:-1] = ~inside[1:]
+        ends = off[1:] - 1
+        last[ends[ends >= 0]] = True
+        total[256] += int((inside & last).sum())
+    total[97:123] += total[65:91]
+    total[65:91] = 0
+    total[:256][space] = 0
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], schema=PAIRS)
+
+
+def spelling(letters: np.ndarray) -> np.ndarray:
+    """Cost of each byte and of a word's end (256) in thousandths, so that all words' probabilities add up to one at most."""
+    p = (letters + 0.5) / (letters.sum() + 0.5 * 257)
+    cost = np.ceil(-np.log10(p) * COST).astype(np.int64)
+    cost[65:91] = cost[97:123]
+    return cost
+
+
+def _code(cost: np.ndarray, most: int):
+    """One row a block: distinct words, and the documents as word numbers."""
+    def code(batches):
+        for i, t in enumerate(B.pieces(batches, most=most)):
+            data, off = T.buffers(B.column_of(t, "text"))
+            h, start, end, counts = T.words(data, off, fold=True)
+            keys, index, order = T.distinct(h)
+            train = B.column_of(t, "train").to_numpy(zero_copy_only=False)
+            spelled = np.concatenate(([0], np.cumsum(cost[data])))
+            one = order[np.searchsorted(index[order], np.arange(len(keys)))]  # an occurrence of each word
+            yield from B.to_table([((TaskContext.get().partitionId() << 32) + i, keys.tobytes(),
+                                    planes(np.bincount(index[np.repeat(train, counts)], minlength=len(keys))),
+                                    planes(spelled[end[one]] - spelled[start[one]] + cost[256]), planes(index), planes(counts),
+                                    t["doc_id"].to_pylist(), train.tolist())], CODED).to_batches()
+
+    return code
+
+
+def _rows(batches):
+    """Coded blocks one by one."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
 
 def _tally(n: int):
-    """Distinct training words of each piece of the input, packed for n buckets."""
+    """The words of each block with training counts, packed for n buckets."""
     def tally(batches):
-        for t in B.pieces(batches, most=B.BLOCK_BYTES):
-            h, _, _, _ = T.words(*T.buffers(B.column_of(t, "text")), fold=True)
-            keys, index, _ = T.distinct(h)
-            counts = np.bincount(index, minlength=len(keys))
+        for row in _rows(batches):
+            keys, counts = np.frombuffer(row["keys"], np.uint64), unplanes(row["ns"])
+            keys, counts = keys[counts > 0], counts[counts > 0]
             to, at = T.slices(keys, n)
-            rows = [(int(b), 0, keys[x:y].tobytes(), planes(counts[x:y])) for b, x, y in zip(to, at[:-1], at[1:])]
-            yield from B.to_table(rows, PACKED).to_batches()
+            yield from B.to_table([(int(b), keys[x:y].tobytes(), planes(counts[x:y])) for b, x, y in zip(to, at[:-1], at[1:])], PACKED).to_batches()
 
     return tally
 
 
+def _totals(index: np.ndarray, amounts: np.ndarray, n: int) -> np.ndarray:
+    """Whole-number sums by index (bincount's are exact as long as they fit a double)."""
+    out = np.zeros(n, np.int64)
+    np.add.at(out, index, amounts)
+    return out
+
+
 def _add_up(core: int):
     def add_up(sent: pa.Table) -> pa.Table:
         keys, index, _ = T.distinct(np.concatenate([np.frombuffer(x, np.uint64) for x in sent["keys"].to_pylist()]))
-        counts = np.bincount(index, np.concatenate([unplanes(x) for x in sent["counts"].to_pylist()])).astype(np.int64)
+        counts = _totals(index, np.concatenate([unplanes(x) for x in sent["counts"].to_pylist()]), len(keys))
         top = np.lexsort((keys, -counts))[:core]
         return B.to_table([(len(keys), int(counts.sum()), [{"h": int(h), "n": int(n)} for h, n in zip(
             keys[top].view(np.int64), counts[top])])], TALLY)
@@ -159,32 +245,26 @@ def _with_ends(values: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
+def _training(row: dict, end: int) -> np.ndarray:
+    """The word numbers of a block's training texts, with ``end`` before the first and after each."""
+    counts, train = unplanes(row["sizes"]), np.array(row["train"], bool)
+    return _with_ends(unplanes(row["seq"])[np.repeat(train, counts)], counts[train], end)
+
+
 def _core_pairs(core: Core):
     n = len(core.hash)
 
-    def count(batches):
+    def count_pairs(batches):
         total = np.zeros((n + 2) ** 2, np.int64)
-        for t in B.pieces(batches):
-            h, _, _, counts = T.words(*T.buffers(B.column_of(t, "text")), fold=True)
-            place = core.places(h)
-            s = _with_ends(np.where(place < 0, n, place), counts, n + 1)
+        for row in _rows(batches):
+            keys = np.frombuffer(row["keys"], np.uint64)
+            place = core.places(keys)
+            s = np.append(np.where(place < 0, n, place), n + 1)[_training(row, len(keys))]
             total += np.bincount(s[:-1] * (n + 2) + s[1:], minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], schema=PAIRS)
 
-    return count
-
-
-def _code(docs: pa.Table) -> pa.Table:
-    """A block's distinct words and the counted word pairs of its training texts; the end is one more word."""
-    h, _, _, counts = T.words(*T.buffers(B.column_of(docs, "text")), fold=True)
-    keys, index, _ = T.distinct(h)
-    train = B.column_of(docs, "train").to_numpy(zero_copy_only=False)
-    s = _with_ends(index[np.repeat(train, counts)], counts[train], len(keys))
-    pair, where, _ = T.distinct(s[:-1] * (len(keys) + 1) + s[1:])
-    first, second = np.divmod(pair, len(keys) + 1)
-    return B.to_table([(docs["block"][0].as_py(), keys.tobytes(), planes(first), planes(second),
-                        planes(np.bincount(where, minlength=len(pair))))], CODED)
+    return count_pairs
 
 
 def _classes(keys: np.ndarray, back: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,8 +274,7 @@ def _classes(keys: np.ndarray, back: pa.Table, n: int) -> tuple[np.ndarray, np.n
     cls, seen = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
     for bucket, c, m in zip(back["bucket"].to_pylist(), back["classes"].to_pylist(), back["counts"].to_pylist()):
         x, y = cut[where[bucket]], cut[where[bucket] + 1]
-        cls[x:y] = np.frombuffer(c, np.uint8)
-        seen[x:y] = unplanes(m)
+        cls[x:y], seen[x:y] = unplanes(c), unplanes(m)
     return cls, seen
 
 
@@ -203,30 +282,27 @@ def _contexts(row: dict, keys: np.ndarray, cls: np.ndarray, k: int, n: int) -> l
     """A block's words with their classes now, and the classes beside them: left, right, and the word itself."""
     width = k + 2
     stride, end = 2 * width + 1, len(keys)
-    first, second, counts = (unplanes(row[c]).astype(np.int64) for c in ("first", "second", "counts"))
-    of = np.append(cls, k + 1)
+    s = _training(row, end)
+    first, second, of = s[:-1], s[1:], np.append(cls, k + 1)
     r, le, same = first < end, second < end, (first == second) & (first < end)
-    cell, where, _ = T.distinct(np.concatenate([first[r] * stride + width + of[second[r]], second[le] * stride + of[first[le]],
-                                                first[same] * stride + 2 * width]))
-    amount = np.bincount(where, np.concatenate([counts[r], counts[le], counts[same]]), minlength=len(cell))
+    cell, amount = runs(np.concatenate([first[r] * stride + width + of[second[r]], second[le] * stride + of[first[le]],
+                                        first[same] * stride + 2 * width]))
     word, ctx = np.divmod(cell, stride)
     each = np.bincount(word, minlength=len(keys))
     begin = np.concatenate(([0], np.cumsum(each)))
     to, cut = T.slices(keys, n)
-    return [(int(b), row["block"], keys[x:y].tobytes(), cls[x:y].astype(np.uint8).tobytes(), each[x:y].astype(np.uint8).tobytes(),
-             ctx[begin[x]:begin[y]].astype(np.uint8).tobytes(), planes(amount[begin[x]:begin[y]])) for b, x, y in zip(to, cut[:-1], cut[1:])]
+    return [(int(b), row["block"], keys[x:y].tobytes(), planes(cls[x:y]), planes(each[x:y]),
+             planes(ctx[begin[x]:begin[y]]), planes(amount[begin[x]:begin[y]])) for b, x, y in zip(to, cut[:-1], cut[1:])]
 
 
 def _seed(core: Core, k: int, n: int):
     """The first round's contexts: the core's classes, and k for all other words."""
     def seed(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                keys = np.frombuffer(row["keys"], np.uint64)
-                place = core.places(keys)
-                cls = np.where(place < 0, k, core.cls[place] if len(core.cls) else k)
-                yield from B.to_table(_contexts(row, keys, cls, k, n), SENT).to_batches()
+        for row in _rows(batches):
+            keys = np.frombuffer(row["keys"], np.uint64)
+            place = core.places(keys)
+            cls = np.where(place < 0, k, core.cls[place] if len(core.cls) else k)
+            yield from B.to_table(_contexts(row, keys, cls, k, n), SENT).to_batches()
 
     return seed
 
@@ -243,19 +319,40 @@ def _send(k: int, n: int):
     return send
 
 
+def _gather(k: int):
+    """A bucket's words: their contexts added up over the blocks, and which of them each block has."""
+    stride = 2 * (k + 2) + 1
+
+    def gather(sent: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.uint64) for x in sent["keys"].to_pylist()]
+        keys, index, _ = T.distinct(np.concatenate(parts))
+        at = np.cumsum([0] + [len(p) for p in parts])
+        now = np.zeros(len(keys), np.int64)
+        now[index] = np.concatenate([unplanes(x) for x in sent["now"].to_pylist()])
+        each = np.concatenate([unplanes(x) for x in sent["entries"].to_pylist()])
+        ctx = np.concatenate([unplanes(x) for x in sent["ctx"].to_pylist()])
+        amount = np.concatenate([unplanes(x) for x in sent["counts"].to_pylist()])
+        cell, where, _ = T.distinct(np.repeat(index, each) * stride + ctx)
+        word, side = np.divmod(cell, stride)
+        return B.to_table([(sent["bucket"][0].as_py(), planes(keys % T.U64(k)), planes(now), planes(np.bincount(word, minlength=len(keys))),
+                            planes(side), planes(_totals(where, amount, len(cell))), sent["block"].to_pylist(),
+                            [planes(index[x:y]) for x, y in zip(at[:-1], at[1:])])], STATE)
+
+    return gather
+
+
 def _sum_classes(k: int):
-    """Class bigrams of the contexts sent: each word's right side, and the words after an end."""
+    """Class bigrams of the words' contexts: each word's right side, and the words after an end."""
     width = k + 2
 
     def add_up(batches):
         total = np.zeros(width * width, np.int64)
         for batch in batches:
             for now, entries, ctx, counts in zip(*(batch.column(c).to_pylist() for c in ("now", "entries", "ctx", "counts"))):
-                cls = np.repeat(np.frombuffer(now, np.uint8), np.frombuffer(entries, np.uint8)).astype(np.int64)
-                ctx, m = np.frombuffer(ctx, np.uint8).astype(np.int64), unplanes(counts)
+                cls, ctx, m = np.repeat(unplanes(now), unplanes(entries)), unplanes(ctx), unplanes(counts)
                 right, start = (ctx >= width) & (ctx < 2 * width), ctx == k + 1
                 cell = np.concatenate([cls[right] * width + ctx[right] - width, (k + 1) * width + cls[start]])
-                total += np.bincount(cell, np.concatenate([m[right], m[start]]), minlength=len(total)).astype(np.int64)
+                total += _totals(cell, np.concatenate([m[right], m[start]]), len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], schema=PAIRS)
 
@@ -309,31 +406,18 @@ def place(word: np.ndarray, ctx: np.ndarray, total: np.ndarray, now: np.ndarray,
         out[lo:lo + len(a)] = np.where(n[:, 0] > 0, best, k + 1)
     return out
 
-
 def _assign(g: np.ndarray, k: int):
-    """The class of each word after a round, and its count."""
+    """The class of each word after a round, and its count, for the blocks that have it."""
     width = k + 2
-    stride = 2 * width + 1
 
-    def assign(sent: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint64) for x in sent["keys"].to_pylist()]
-        keys, index, _ = T.distinct(np.concatenate(parts))
-        now = np.zeros(len(keys), np.int64)
-        now[index] = np.frombuffer(b"".join(sent["now"].to_pylist()), np.uint8)
-        each = np.frombuffer(b"".join(sent["entries"].to_pylist()), np.uint8)
-        ctx = np.frombuffer(b"".join(sent["ctx"].to_pylist()), np.uint8)
-        amount = np.concatenate([unplanes(x) for x in sent["counts"].to_pylist()])
-        cell, where, _ = T.distinct(np.repeat(index, each) * stride + ctx)
-        total = np.bincount(where, amount, minlength=len(cell))
-        word, side = np.divmod(cell, stride)
-        n = np.bincount(word[side < width], total[side < width], minlength=len(keys))
-        cls = place(word, side, total, now, g, k, (keys % T.U64(k)).astype(np.int64)).astype(np.uint8)
-        out, at = [], 0
-        for block, bucket, p in zip(sent["block"].to_pylist(), sent["bucket"].to_pylist(), parts):
-            i = index[at:at + len(p)]
-            out.append((block, bucket, cls[i].tobytes(), planes(n[i])))
-            at += len(p)
-        return B.to_table(out, BACK)
+    def assign(batches):
+        for row in _rows(batches):
+            now, side, total = unplanes(row["now"]), unplanes(row["ctx"]), unplanes(row["counts"])
+            word = np.repeat(np.arange(len(now)), unplanes(row["entries"]))
+            n = _totals(word[side < width], total[side < width], len(now))
+            cls = place(word, side, total, now, g, k, unplanes(row["spread"]))
+            yield from B.to_table([(block, row["bucket"], planes(cls[i]), planes(n[i])) for block, i in zip(
+                row["blocks"], map(unplanes, row["words"]))], BACK).to_batches()
 
     return assign
 
@@ -345,41 +429,43 @@ def _describe(k: int, n: int, ends: int):
     """
     width = k + 3
 
-    def describe(docs: pa.Table, back: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return STATS.empty_table()
-        h, _, _, counts = T.words(*T.buffers(B.column_of(docs, "text")), fold=True)
-        keys, index, _ = T.distinct(h)
-        cls, seen = _classes(keys, back, n)
-        c, m = cls[index], seen[index]
-        s = _with_ends(c, counts, k)
-        once = _with_ends((m == 1).astype(np.int64), counts, 0)
-        logs, half = np.log10(np.maximum(m, 1)), np.log10(m + 0.5)
-        out, w = [], 0
-        ids, train = B.column_of(docs, "doc_id").to_pylist(), B.column_of(docs, "train").to_pylist()
-        for i, words in enumerate(counts.tolist()):
-            a = w + i
-            before, now = s[a:a + words + 1], s[a + 1:a + words + 2]
-            single = before[once[a + 1:a + words + 2] > 0]
-            pair = np.bincount(np.concatenate([before * width + now, single * width + k + 2]), minlength=1)
-            some = np.flatnonzero(pair)
-            known = int((m[w:w + words] > 0).sum()) + (ends > 0)
-            out.append((ids[i], train[i], words + 1, known, float(half[w:w + words].sum() + np.log10(ends + 0.5)),
-                        float(logs[w:w + words].sum()), some.astype(np.uint16).tobytes(), planes(pair[some])))
-            w += words
+    def describe(coded: pa.Table, back: pa.Table) -> pa.Table:
+        out = []
+        for row in coded.to_pylist():
+            keys, index, counts = np.frombuffer(row["keys"], np.uint64), unplanes(row["seq"]), unplanes(row["sizes"])
+            cls, seen = _classes(keys, back, n)
+            cls = np.where(seen > 0, cls, k + 1)
+            c, m = cls[index], seen[index]
+            s = _with_ends(c, counts, k)
+            once = _with_ends((m == 1).astype(np.int64), counts, 0)
+            logs = np.where(seen > 0, np.log10(np.maximum(seen, 1)), -unplanes(row["costs"]) / COST)[index]
+            half = np.log10(m + 0.5)
+            w = 0
+            for i, words in enumerate(counts.tolist()):
+                a = w + i
+                before, now = s[a:a + words + 1], s[a + 1:a + words + 2]
+                single = before[once[a + 1:a + words + 2] > 0]
+                some, pair = runs(np.concatenate([before * width + now, single * width + k + 2]))
+                known = int((m[w:w + words] > 0).sum()) + (ends > 0)
+                out.append((row["ids"][i], row["train"][i], words + 1, known, float(half[w:w + words].sum() + np.log10(ends + 0.5)),
+                            float(logs[w:w + words].sum()), planes(some), planes(pair)))
+                w += words
         return B.to_table(out, STATS)
 
     return describe
 
 
-def _sum_pairs(batches):
-    for batch in batches:
-        p = np.frombuffer(b"".join(batch.column("pairs").to_pylist()), np.uint16)
-        c = np.concatenate([unplanes(x) for x in batch.column("ns").to_pylist()]) if batch.num_rows else np.zeros(0)
-        total = np.bincount(p, c, minlength=1).astype(np.int64)
+def _sum_pairs(size: int):
+    def add_up(batches):
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for p, c in zip(batch.column("pairs").to_pylist(), batch.column("ns").to_pylist()):
+                total[unplanes(p)] += unplanes(c)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], schema=PAIRS)
 
+    return add_up
+
 
 def log_model(g: np.ndarray, k: int) -> np.ndarray:
     """log10 of P(class | class before) / words of the class in training, as pairs are numbered.
@@ -390,8 +476,10 @@ def log_model(g: np.ndarray, k: int) -> np.ndarray:
     width = k + 3
     known = g[:k + 2, :k + 1]
     total = known.sum()
+    out = np.zeros((width, width))
     if not total:
-        return np.zeros(width * width)
+        out[:, k:k + 2] = np.log10(0.5)
+        return out.ravel()
     share = (known.sum(0) + 0.5) / (total + 0.5 * (k + 1))
     row = known.sum(1, keepdims=True)
     step = (known + (k + 1) * share) / (row + k + 1)
@@ -399,65 +487,74 @@ def log_model(g: np.ndarray, k: int) -> np.ndarray:
     rate = (once + once.sum() / total + 0.5 / total) / (row + 1 + 1 / total)
     words = np.maximum(known.sum(0), 1)
     words[k] = 1  # the end is the only word of its class
-    out = np.zeros((width, width))
     out[:k + 2, :k + 1] = np.log10((1 - rate) * step) - np.log10(words)
     out[:k + 2, k + 1] = np.log10(rate[:, 0])
     return out.ravel()
 
 
-def score_corpus(docs: DataFrame, train: Column, core_words: int = CORE, classes: int = CLASSES) -> DataFrame:
-    """One row a document: doc_id, train, n_tokens, n_known, train_tokens, train_types, base_score, score, perplexity."""
+def _matrix(rows: DataFrame, side: int) -> np.ndarray:
+    """Summed (pair, n) rows as a matrix of ``side`` rows and columns."""
+    out = np.zeros((side, side))
+    for r in rows.groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        out[divmod(r.pair, side)] = r.n
+    return out
+
+
+def score_corpus(docs: DataFrame, train: Column, core_words: int = CORE, classes: int = CLASSES,
+                 layout: tuple[int, int] | None = None) -> DataFrame:
+    """One row a document: doc_id, train, n_tokens, n_known, train_tokens, train_types, base_score, score, perplexity.
+
+    ``layout``: bytes of text a block and number of buckets (see ``_blocks.layout``).
+    """
+    spark, k = docs.sparkSession, classes
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
                        F.coalesce(train, F.lit(True)).alias("train"))
-    n_blocks = B.block_count(docs)
-    buckets = min(n_blocks, B.MAX_BUCKETS)
-    learn = docs.where("train")
-    tally = B.stored(B.grouped(learn.select("text").mapInArrow(_tally(buckets), DDL_PACKED), "bucket", _add_up(core_words),
-                               "words long, tokens long, top array<struct<h:long,n:long>>"))
+    most, buckets = layout or B.layout(B.text_bytes(docs), B.partitions(spark))
+    letters = np.zeros(257, np.int64)
+    for r in (docs.where("train").select("text").mapInArrow(_letters, "pair int, n long")
+              .groupBy("pair").agg(F.sum("n").alias("n")).collect()):  # 257 rows
+        letters[r.pair] = r.n
+    steps = B.Steps(spark)
+    coded = steps.keep("coded", docs.mapInArrow(_code(spelling(letters), most), DDL_CODED))
+    tally = steps.keep("tally", B.grouped(coded.select("keys", "ns").mapInArrow(_tally(buckets), "bucket int, keys binary, counts binary"),
+                                          "bucket", _add_up(core_words), "words long, tokens long, top array<struct<h:long,n:long>>"))
     words, tokens = (x or 0 for x in tally.agg(F.sum("words"), F.sum("tokens")).first())
-    ends = learn.count()
+    ends = docs.where("train").count()
     n_train, n_types = tokens + ends, words + (ends > 0)
     top = (tally.select(F.explode("top").alias("t")).select("t.h", "t.n")
            .orderBy(F.desc("n"), "h").limit(core_words).collect())  # bounded by core_words
     core = Core([r.h for r in top], [r.n for r in top])
+    pairs = coded.select("keys", "seq", "sizes", "train").mapInArrow(_core_pairs(core), "pair int, n long")
+    core.cls = exchange(_matrix(pairs, len(top) + 2), len(top), k)  # bounded by core_words squared
 
-    m = len(top)
-    counts = np.zeros((m + 2, m + 2))
-    pairs = learn.select("text").mapInArrow(_core_pairs(core), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    for r in pairs.collect():  # bounded by core_words squared
-        counts[divmod(r.pair, m + 2)] = r.n
-    core.cls = exchange(counts, m, classes)
-
-    dealt = B.with_block(docs, n_blocks, "doc_id", "text")
-    coded = B.stored(B.grouped(dealt, "block", _code, "block int, keys binary, first binary, second binary, counts binary"))
+    blocks = coded.select("block", "keys", "seq", "sizes", "train")
     back, before, best = None, None, -np.inf
-    while True:
-        sent = B.stored(coded.mapInArrow(_seed(core, classes, buckets), DDL_SENT) if back is None else
-                        B.cogrouped(coded, back, "block", _send(classes, buckets), DDL_SENT))
-        g = np.zeros((classes + 2, classes + 2))
-        for r in sent.mapInArrow(_sum_classes(classes), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-            g[divmod(r.pair, classes + 2)] = r.n  # bounded by the classes squared
+    for turn in count(1):
+        sent = blocks.mapInArrow(_seed(core, k, buckets), DDL_SENT) if back is None else B.cogrouped(
+            blocks, back, "block", _send(k, buckets), DDL_SENT)
+        state = steps.keep("state", B.grouped(sent, "bucket", _gather(k), DDL_STATE))
+        g = _matrix(state.mapInArrow(_sum_classes(k), "pair int, n long"), k + 2)  # bounded by the classes squared
         reached = likelihood(g) if back is not None else -np.inf  # the first has one class more
         if back is not None and reached - best < RISE * n_train or before is not None and not n_train:
             back = before if before is not None and reached < best else back
             break
         before, best = back, reached
-        back = B.stored(B.grouped(sent, "bucket", _assign(g, classes), "block int, bucket int, classes binary, counts binary"))
-    stats = B.stored(B.cogrouped(dealt, back, "block", _describe(classes, buckets, ends),
+        # the table of the round before stays: a round that lowers the likelihood is undone
+        back = steps.keep(f"back{turn % 2}", state.mapInArrow(_assign(g, k), "block long, bucket int, classes binary, counts binary"))
+    stats = B.stored(B.cogrouped(coded.drop("ns"), back, "block", _describe(k, buckets, ends),
                                  "doc_id long, train boolean, n_tokens long, n_known long, base double, emit double, "
                                  "pairs binary, ns binary"))
-    width = classes + 3
-    g = np.zeros((width, width))
-    for r in (stats.where("train").select("pairs", "ns").mapInArrow(_sum_pairs, "pair int, n long")
-              .groupBy("pair").agg(F.sum("n").alias("n")).collect()):  # bounded by the classes squared
-        g[divmod(r.pair, width)] = r.n
-    model = log_model(g, classes)
+    for name in list(steps.paths):
+        steps.drop(name)
+    width = k + 3
+    g = _matrix(stats.where("train").select("pairs", "ns").mapInArrow(_sum_pairs(width * width), "pair int, n long"), width)
+    model = log_model(g, k)
     model[np.arange(width) * width + width - 1] = 0  # once-seen tokens are counted, not scored
     floor = float(np.log10(n_train + 0.5 * (n_types + 1)))
 
     def score(batches):
         for batch in batches:
-            each = [float(model[np.frombuffer(p, np.uint16)] @ unplanes(c)) for p, c in zip(
+            each = [float(model[unplanes(p)] @ unplanes(c)) for p, c in zip(
                 batch.column("pairs").to_pylist(), batch.column("ns").to_pylist())]
             t = pa.Table.from_batches([batch]).drop_columns(["pairs", "ns"]).append_column("walk", pa.array(each, pa.float64()))
             yield from t.to_batches()

@@ -139,9 +139,100 @@ def test_rounds_reach_words_without_core_neighbours(spark):
 def test_empty_and_no_training(spark):
     assert M.score_corpus(frame(spark, []), F.lit(True)).collect() == []
     got = M.score_corpus(frame(spark), F.lit(False)).collect()
-    assert len(got) == len(awkward()) and all((r.n_known, r.base_score, r.score, r.train_tokens) == (0, 0.0, 0.0, 0) for r in got)
+    assert len(got) == len(awkward()) and all((r.n_known, r.base_score, r.train_tokens) == (0, 0.0, 0) and r.score < -0.3 * r.n_tokens for r in got)
 
 
 def test_planes():
-    x = np.array([0, 1, 255, 256, 2**31, 2**32 - 1])
-    assert M.unplanes(M.planes(x)).tolist() == x.tolist()
+    for x in ([0, 1, 255, 256, 2**31, 2**32 - 1], [5_000_000_000, 3], [2**62, 0], [], [7]):
+        assert M.unplanes(M.planes(np.array(x, np.int64))).tolist() == x
+    assert len(M.planes(np.zeros(9, int))) == 10
+
+
+class _Task:
+    """A bucket's functions run on one table."""
+
+    @staticmethod
+    def gather(rows, k):
+        return M._gather(k)(M.B.to_table(rows, M.SENT))
+
+
+def test_counts_beyond_32_bits_and_many_classes():
+    """Two blocks' counts of five billion add up, and come back as they are, with more classes than a byte holds."""
+    k, keys = 300, np.array([11, 12], np.uint64)
+    rows = [(0, block, keys.tobytes(), M.planes(np.array([299, 7])), M.planes(np.array([2, 1])),
+             M.planes(np.array([301, 302 + 299, 302 + 299])), M.planes(np.array([5_000_000_000, 5_000_000_000, 4]))) for block in (3, 9)]
+    state = _Task.gather(rows, k)
+    back = list(M._assign(np.ones((k + 2, k + 2)) * 1e10, k)(state.to_batches()))
+    got = [r for b in back for r in b.to_pylist()]
+    assert [r["block"] for r in got] == [3, 9]
+    for r in got:
+        assert M.unplanes(r["counts"]).tolist() == [10_000_000_000, 0] and M.unplanes(r["classes"])[1] == k + 1
+    cells = {r["pair"]: r["n"] for b in M._sum_classes(k)(state.to_batches()) for r in b.to_pylist()}
+    assert cells == {301 * 302 + 299: 10_000_000_000, 299 * 302 + 299: 10_000_000_000, 7 * 302 + 299: 8}
+
+
+def test_many_classes_end_to_end(spark):
+    rows = [(i, prose(i, 60), "en", "s", 0) for i in range(60)]
+    got = M.score_corpus(frame(spark, rows), F.lit(True), core_words=400, classes=200).collect()
+    assert len(got) == 60 and all(-8 * r.n_tokens < r.score < 0 for r in got)
+
+
+def test_all_words_of_a_length_add_up_to_one_at_most():
+    letters = np.zeros(257, np.int64)
+    letters[[97, 98, 99]], letters[256] = [500, 30, 4], 200
+    p = 10.0 ** (-M.spelling(letters) / M.COST)
+    p[65:91] = 0  # A-Z are read as a-z
+    by_length = [p[:256].sum() ** n * p[256] for n in range(60)]
+    assert 0.9 < sum(by_length) <= 1 and sum(10.0 ** (-M.spelling(np.zeros(257)) / M.COST)) < 257 / 256
+
+
+def test_next_tokens_add_up_to_one_at_most(spark):
+    """After one text, the probabilities of all its continuations by a word and the end, known and unknown words alike."""
+    rows = [(i, prose(i % 5, 12, "ab"), "en", "s", 0) for i in range(20)]
+    words = sorted({w for _, t, *_ in rows for w in t.split()})
+    from itertools import product
+    spelled = ["".join(x) for n in range(1, 8) for x in product("ab", repeat=n)]
+    every = sorted(set(words) | set(spelled))
+    held = [(1000 + j, w, "en", "s", 0) for j, w in enumerate(every)]
+    got = M.score_corpus(frame(spark, rows + held), F.col("doc_id") < 1000, core_words=10, classes=3).collect()
+    ends = [10 ** r.score for r in got if r.doc_id >= 1000]
+    assert len(ends) == len(every) and 0.01 < sum(ends) <= 1
+
+
+def test_junk_scores_below_prose(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, prose(i % 30, 80, "abcdef"), "en", "s", 0) for i in range(200)]
+    rows += [(300, prose(3, 80, "abcdef"), "en", "s", 0), (301, prose(12345, 80, "qxzwkv"), "en", "s", 0),
+             (302, " ".join("".join(chr(rng.integers(33, 126)) for _ in range(8)) for _ in range(80)), "en", "s", 0)]
+    got = {r.doc_id: r for r in M.score_corpus(frame(spark, rows), F.col("doc_id") < 300, core_words=50, classes=8).collect()}
+    per = {i: got[i].score / got[i].n_tokens for i in (300, 301, 302)}
+    assert per[300] > per[301] + 2 and per[300] > per[302] + 2 and got[301].n_known == 1
+
+
+def test_blocks_and_buckets_change_nothing_but_ties(spark):
+    rows = awkward() + [(100 + i, prose(i % 9, 200), "en", "s", 0) for i in range(80)]
+    same = lambda got: sorted((r.doc_id or 0, r.n_tokens, r.n_known, r.train_types, round(r.base_score, 6), round(r.score, 6)) for r in got)
+    train = F.coalesce(F.col("doc_id") % 3 > 0, F.lit(True))
+    a, b = (same(M.score_corpus(frame(spark, rows).repartition(n), train, 40, 6, layout).collect()) for n, layout in ((2, None), (7, (3000, 40))))
+    assert a == b
+
+
+def test_layout_keeps_packed_rows_large():
+    """Rows are blocks times buckets; up to 1 TB a row packs what a kilobyte of text or more sends."""
+    for n in (10**9, 10**10, 10**11, 10**12):
+        block, buckets = M.B.layout(n, 8)
+        assert 16_000_000 <= block <= 64_000_000 and n / buckets <= 130_000_000
+        assert n / (-(-n // block) * buckets) >= 1000
+
+
+def test_a_round_replaces_the_one_before(spark, tmp_path):
+    steps = M.B.Steps(spark)
+    df = spark.range(10)
+    one = steps.keep("a", df)
+    first = steps.paths["a"]
+    two = steps.keep("a", one.selectExpr("id + 1 AS id"))
+    assert two.agg(F.sum("id")).first()[0] == 55 and steps.paths["a"] != first
+    import os
+    assert not os.path.exists(first.removeprefix("file:")) and os.path.exists(steps.paths["a"].removeprefix("file:"))
+    steps.drop("a")
+    assert spark.conf.get(M.B.CLEANUP) == "false"
