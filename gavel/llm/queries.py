@@ -10,7 +10,7 @@ from gavel.llm import langid
 from gavel.llm.brown_lm import score_corpus
 from gavel.llm.decontaminate import contaminated
 from gavel.llm.html_extract import main_text
-from gavel.llm.licenses import TEMPLATES, bigrams, scan_licenses
+from gavel.llm.licenses import TEMPLATES, bigrams, scan_licenses, words_of
 from gavel.llm.mixing import mix_sources
 from gavel.llm.ngram_join import near_duplicates
 from gavel.llm.pii import BASE_KINDS, find_pii
@@ -185,16 +185,14 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES, blocked)
 
 
-def _license_sql(threshold: float = 0.8) -> str:
-    known = ", ".join("('%s', %d, [%s])" % (k, len(g), ", ".join(f"'{b}'" for b in g))
+def _license_sql() -> str:
+    known = ", ".join("('%s', %d, %d, [%s])" % (k, len(g), len(words_of(TEMPLATES[k])), ", ".join(f"'{b}'" for b in g))
                       for k, g in ((k, bigrams(v)) for k, v in sorted(TEMPLATES.items())))
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     return rf"""
-WITH known(license, n, tgrams) AS (VALUES {known}
-), lines AS (SELECT doc_id, string_split(text, chr(10)) AS l, string_split_regex(text, '
-[ 	
-]*
-') AS p, text FROM documents WHERE text IS NOT NULL
+WITH known(license, n, nw, tgrams) AS (VALUES {known}
+), lines AS (
+  SELECT row_number() OVER () AS row, doc_id, string_split(text, chr(10)) AS l, string_split_regex(text, '\n[^\p{{L}}\p{{N}}\n]*\n') AS p, text
+  FROM documents WHERE text IS NOT NULL
 ), units AS (
   SELECT doc_id, 'line' AS unit, unnest(range(len(l))) AS unit_no, unnest(l) AS t FROM lines
   UNION ALL SELECT * FROM (SELECT doc_id, 'paragraph', unnest(range(len(p))), unnest(p) AS t FROM lines) WHERE contains(t, chr(10))
@@ -203,11 +201,22 @@ WITH known(license, n, tgrams) AS (VALUES {known}
   SELECT doc_id, unit, unit_no, [x for x in string_split_regex(lower(t), '[^a-z0-9]+') if x <> ''] AS w FROM units
 ), grams AS (
   SELECT doc_id, unit, unit_no, list_distinct([x || ' ' || w[i + 1] for x, i in w[:-2]]) AS g FROM words WHERE len(w) > 1
+), seq AS MATERIALIZED (
+  SELECT row, doc_id, [x || ' ' || w[i + 1] for x, i in w[:-2]] AS g
+  FROM (SELECT row, doc_id, [x for x in string_split_regex(lower(text), '[^a-z0-9]+') if x <> ''] AS w FROM lines) WHERE len(w) > 1
+), spots AS (
+  SELECT row, i, license, n, nw, gram, len FROM (SELECT row, unnest(g) AS gram, unnest(range(len(g))) AS i, len(g) AS len FROM seq)
+  JOIN (SELECT license, n, nw, unnest(tgrams) AS gram FROM known) USING (gram) WHERE len >= nw - 1
+), runs AS (
+  SELECT row, license, n, nw, s, count(DISTINCT gram) AS common
+  FROM (SELECT *, unnest(range(greatest(i - nw + 2, 0), least(i, len - nw + 1) + 1)) AS s FROM spots)
+  GROUP BY ALL HAVING 10 * count(DISTINCT gram) >= 4 * (count(DISTINCT gram) + n)
 ), hits AS (
-  SELECT doc_id, license, unit, unit_no, 2 * len(list_intersect(g, tgrams)) / CAST(len(g) + n AS DOUBLE) AS dice
-  FROM grams JOIN known ON len(g) BETWEEN n * {low!r}::DOUBLE AND n * {high!r}::DOUBLE
+  SELECT doc_id, license, unit, unit_no, len(list_intersect(g, tgrams)) AS common, len(g) + n AS total FROM grams JOIN known ON 10 * least(len(g), n) >= 4 * (len(g) + n)
+  UNION ALL SELECT doc_id, license, 'words', s, common, len(list_distinct(g[s + 1:s + nw - 1])) + n FROM runs JOIN seq USING (row)
 ), best AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY dice DESC, unit, unit_no) AS k FROM hits WHERE dice >= {threshold}
+  SELECT *, 2 * common / CAST(total AS DOUBLE) AS dice, row_number() OVER (
+    PARTITION BY doc_id, license ORDER BY 2 * common / CAST(total AS DOUBLE) DESC, unit, unit_no) AS k FROM hits WHERE 10 * common >= 4 * total
 )
 SELECT doc_id, license, dice, unit, CAST(unit_no AS INTEGER) AS unit_no FROM best WHERE k = 1
 """
