@@ -26,9 +26,24 @@ def test_phrase_counts():
     p = L.Parser(TEXTS)
     rng = random.Random(4)
     texts = [prose(10 + i, rng.randint(0, 80), rng.choice(["abcde", "cdefgh", "xyzé", "aqxé"])) for i in range(60)] + ["", "...", "É x!"]
+    sparse = L.Parser(TEXTS, dense_cells=0)
+    assert isinstance(p.moves, L.Rows) and isinstance(sparse.moves, L.Edges)
     for docs in (texts, texts[:3], texts[::-1]):
-        got = p.phrases([p.symbols(t) for t in docs])
-        assert got.tolist() == [[phrases(p, t, TEXTS[n]) for n in p.langs] for t in docs]
+        want = [[phrases(p, t, TEXTS[n]) for n in p.langs] for t in docs]
+        assert all(q.phrases([q.symbols(t) for t in docs]).tolist() == want for q in (p, sparse))
+
+
+def test_scripts_of_many_letters_stay_small():
+    """Forty thousand characters over 3,000 ideographs beside two alphabets: no table of states by letters."""
+    rng = random.Random(8)
+    ideographs = [chr(0x4E00 + i) for i in range(3000)]
+    han = "".join(rng.choice(ideographs[:rng.choice((30, 300, 3000))]) for _ in range(40_000))
+    texts = {"en": prose(1, 8000, "abcdefghijklmnop"), "ru": prose(2, 8000, "абвгдежзиклмн"), "zh": han}
+    p = L.Parser(texts)
+    assert p.moves.nbytes < 60_000_000
+    docs = [han[100:180] + "".join(rng.choice(ideographs) for _ in range(40)), prose(5, 40, "abcdefghijklmnop"), prose(6, 40, "абвгдежзиклмн"), "末" * 9]
+    assert [g[0] for g in p.judge(docs * 10)][:3] == ["zh", "en", "ru"] and p.judge(docs) == p.judge(docs * 10)[:4]
+    assert p.phrases([p.symbols(t) for t in docs]).tolist() == [[phrases(p, t, texts[n]) for n in p.langs] for t in docs]
 
 
 def test_symbols():
@@ -64,6 +79,17 @@ def test_sample_is_bounded(spark):
     assert texts == L.learn(frame(spark, rows).repartition(9), F.lit(True), docs_per_lang=20, chars_per_lang=5000)
 
 
+def test_all_drawn_documents_count_from_any_place(spark):
+    """A head that all documents share doesn't fill the sample."""
+    head = prose(0, 400, "xyz")
+    rows = [(i, head + " " + prose(i, 2000, "abcde" if i % 2 else "fghij"), "en" if i % 2 else "de", "s", 0) for i in range(60)]
+    texts = L.learn(frame(spark, rows), F.lit(True), docs_per_lang=30, chars_per_lang=6000)
+    for t in texts.values():
+        assert 4000 < len(t) <= 6000 and sum(c in "xyz" for c in t) < 0.4 * len(t)
+    more = L.learn(frame(spark, rows + [(1000 + i, "a b", f"l{i:03}", "s", 0) for i in range(50)]), F.lit(True), max_langs=2)
+    assert set(more) == {"en", "de"}
+
+
 def test_held_out_accuracy(spark):
     base = "/root/testdata/sf0.01"
     got = QUERIES["op3_language_id"](spark, base).join(table(spark, base, "documents").select("doc_id", "lang"), "doc_id").where("held_out").collect()
