@@ -1,8 +1,8 @@
 """Judge replies -> per-item results.
 
-Replies are a table ``(batch_id, response)``; batches carry their expected ids. The
-parse runs on the joined batch row: one pass finds all blocks of a reply, ``forall`` decides
-between the structured and the strict form, and the array is exploded once. Everything stays
+Replies are a table ``(batch_id, response)``; batches carry their expected ids. A reply is cut
+into tags and the texts between them by two fixed patterns, each one pass; an id's block is looked
+up among the tags, nested or not, so no pattern is built or searched for an id. Everything stays
 inside JVM expressions.
 """
 
@@ -19,7 +19,6 @@ RATIONALE_LIMIT = 200
 NO_REASON = "No reason provided"
 NO_RATIONALE = "No rationale"
 BATCH_ERROR = "Error during processing"
-NEXT_SCORE_TAG = r"(?is)<id\d+(?:-\d+)*><score>.*"
 XML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")]
 # --- end of fixed values ------------------------------------------------------------
 
@@ -50,8 +49,14 @@ def _cut(c: Column, limit: int) -> Column:
     return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit("..."))).otherwise(c)
 
 
-# one pass over a reply: every closed <idX> block, its tag and its text
-BLOCKS = r"(?s)<id([^<>]+)>(.*?)</id\1>"
+# every opening and closing id tag of a reply; names hold no angle brackets
+ID_TAG = "</?id[^<>]+>"
+# where a run of a score reply starts, the forms of its first tag, and a plain score
+SCORE_START = "(?i)(?=<id[^<>]+><score>)"
+SCORED = "(?i)^<id([^<>]+)><score>([1-5])</score>"
+NUMBERED_SCORE = r"(?i)^<id\d+(?:-\d+)*><score>"
+PLAIN = "(?i)<id([^<>]+)>([1-5])(?=</id[^>]*>)"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _level1(block: Column) -> Column:
@@ -73,6 +78,22 @@ def _level2(reply: Column, safe_id: Column) -> Column:
                     F.when(found, _cut(py_strip(_extract(reply, strict, 2)), REASON_LIMIT)).alias("reason"))
 
 
+def _block(reply: Column, tags: Column, texts: Column, safe: Column) -> Column:
+    """Text from an id's first opening tag to the first closing one after it; null without both.
+
+    ``texts`` are the pieces between the ``tags``, one more than these: the block is what is joined
+    of both between the two places.
+    """
+    start = F.array_position(tags, F.concat(F.lit("<id"), safe, F.lit(">"))).cast("int")
+    rest = F.when(start > 0, F.slice(tags, start + 1, F.size(tags)))
+    n = F.array_position(rest, F.concat(F.lit("</id"), safe, F.lit(">"))).cast("int")  # tags up to the closing one
+    inner = F.array_join(F.zip_with(F.slice(texts, start + 1, n - 1), F.slice(tags, start + 1, n - 1), lambda t, g: F.concat(t, g)), "")
+    found = F.when(n == 1, F.get(texts, start)).when(n > 1, F.concat(inner, F.get(texts, start + n - 1)))
+    # a name with angle brackets is no tag: it is searched as a text
+    pattern = F.concat(F.lit("(?s)<id"), _q(safe), F.lit(">(.*?)</id"), _q(safe), F.lit(">"))
+    return F.when(F.regexp_like(safe, F.lit("[<>]")), F.when(_found(reply, pattern), _extract(reply, pattern, 1))).otherwise(found)
+
+
 def parse_task_results(batches: DataFrame, replies: DataFrame) -> DataFrame:
     """X8 + X9: one result row per expected item: id, input, output, reason, model_name.
 
@@ -80,35 +101,27 @@ def parse_task_results(batches: DataFrame, replies: DataFrame) -> DataFrame:
     ``replies``: batch_id, response (a batch without a reply row failed).
 
     Level 1 (structured): an item's first ``<idX>...</idX>`` block (tag names are case
-    sensitive, like an XML parser), inside it the first ``<o>`` and ``<reason>``. All blocks of
-    a reply are found in one pass with a fixed pattern and looked up by tag; only where
-    blocks are nested does each id search for its own. Level 2 (strict) reads the replies in
-    which some item has no output at level 1.
+    sensitive, like an XML parser), inside it the first ``<o>`` and ``<reason>``. Level 2 (strict)
+    reads the replies in which some item has no output at level 1.
     """
-    j = batches.join(replies.select("batch_id", F.col("response").alias("_reply"), F.lit(True).alias("_has_reply")),
-                     "batch_id", "left")
-    reply = F.col("_reply")
-    j = j.withColumn("_tags", F.regexp_extract_all(reply, F.lit(BLOCKS), F.lit(1)))
-    j = j.withColumn("_blocks", F.regexp_extract_all(reply, F.lit(BLOCKS), F.lit(2)))
-    j = j.withColumn("_nested", F.exists("_blocks", lambda x: x.contains("<id")))
-
-    def own(safe: Column) -> Column:
-        pattern = F.concat(F.lit("(?s)<id"), _q(safe), F.lit(">(.*?)</id"), _q(safe), F.lit(">"))
-        return F.when(_found(reply, pattern), _extract(reply, pattern, 1))
-
-    def block(safe: Column) -> Column:
-        looked_up = F.get(F.col("_blocks"), (F.array_position("_tags", safe) - 1).cast("int"))
-        return F.when(F.col("_nested"), own(safe)).otherwise(looked_up)
-
-    j = j.withColumn("_found", F.transform("item_ids", block))
+    return task_results_of(batches.join(replies.select("batch_id", "response", F.lit(True).alias("has_reply")), "batch_id", "left"))
+
+
+def task_results_of(joined: DataFrame) -> DataFrame:
+    """The result rows of batches that carry their ``response`` and ``has_reply`` (null: failed); row by row, so it
+    reads streams as well."""
+    reply = F.col("response")
+    j = joined.withColumn("_tags", F.regexp_extract_all(reply, F.lit(ID_TAG), F.lit(0)))
+    j = j.withColumn("_texts", F.split(reply, ID_TAG, -1))
+    j = j.withColumn("_found", F.transform("item_ids", lambda x: _block(reply, F.col("_tags"), F.col("_texts"), x)))
     j = j.withColumn("_l1", F.transform("_found", _level1))
     # two items under one tag-safe id (D18) can't be told apart: the batch goes to the fallback
     clear = F.size(F.array_distinct("item_ids")) == F.size("item_ids")
     j = j.withColumn("_level1", clear & F.forall("_l1", lambda x: x["output"].isNotNull()))
     j = j.withColumn("_result", F.when(F.col("_level1"), F.col("_l1")).otherwise(F.transform("item_ids", lambda x: _level2(reply, x))))
     members = F.arrays_zip(F.col("original_ids").alias("orig"), F.col("item_texts").alias("txt"), F.col("_result").alias("r"))
-    ex = j.select("model_name", "_has_reply", F.explode(members).alias("m"))
-    failed = F.col("_has_reply").isNull()
+    ex = j.select("model_name", "has_reply", F.explode(members).alias("m"))
+    failed = F.col("has_reply").isNull()
     return ex.select(F.col("m.orig").alias("id"), F.col("m.txt").alias("input"),
                      F.when(~failed, F.col("m.r.output")).cast("string").alias("output"),
                      F.when(failed, F.lit(BATCH_ERROR)).otherwise(F.coalesce("m.r.reason", F.lit(""))).alias("reason"), "model_name")
@@ -121,40 +134,53 @@ def _clean_rationale(raw: Column) -> Column:
     return _cut(py_strip(r), RATIONALE_LIMIT)
 
 
-def parse_score_reply(reply: Column, rid: Column) -> Column:
-    """X7, one response id: struct(score, rationale).
+def _ascii_lower(c: Column) -> Column:
+    """A-Z as a-z, as the case-insensitive patterns have it."""
+    return F.translate(c, UPPER, LOWER)
+
+
+def reply_scores(replies: DataFrame) -> DataFrame:
+    """X7 for all ids of a reply at once: (batch_id, key, score, rationale), one row an id that has a score.
 
-    Main form ``<idX><score>n</score></idX>`` + rationale up to the next
-    ``<id..><score>`` tag (case-insensitive, dot-all), cleaned and cut to 200 chars;
-    then ``<idX><score>n</score>`` and ``<idX>n</id..>`` with 'No rationale'; else
-    null score and empty rationale.
+    A reply is cut before each ``<idX><score>``; a run that closes its own id is of the main form, and its
+    rationale goes on up to the next numbered score tag. Plain forms are found in one more pass. Of an
+    id's places the first of the best form counts.
     """
-    qid = _q(rid)
-    main = F.concat(F.lit("(?is)<id"), qid, F.lit("><score>([1-5])</score></id"), qid, F.lit(">(.*)"))
-    has_main = _found(reply, main)
-    rest = F.regexp_replace(_extract(reply, main, 2), NEXT_SCORE_TAG, "")
-    fb1 = F.concat(F.lit("(?i)<id"), qid, F.lit("><score>([1-5])</score>"))
-    fb2 = F.concat(F.lit("(?i)<id"), qid, F.lit(">([1-5])</id[^>]*>"))
-    score = (F.when(has_main, _extract(reply, main, 1))
-              .when(_found(reply, fb1), _extract(reply, fb1, 1))
-              .when(_found(reply, fb2), _extract(reply, fb2, 1))).cast("int")
-    rationale = (F.when(has_main, _clean_rationale(rest))
-                  .when(score.isNotNull(), F.lit(NO_RATIONALE))
-                  .otherwise(F.lit("")))
-    return F.struct(score.alias("score"), rationale.alias("rationale"))
+    runs, numbered = F.col("_runs"), F.col("_numbered")
+    r = replies.select("batch_id", "response", F.split("response", SCORE_START, -1).alias("_runs"))
+    r = r.withColumn("_numbered", F.transform(runs, lambda x: F.regexp_like(x, F.lit(NUMBERED_SCORE))))
+
+    def of_run(x: Column, i: Column) -> Column:
+        main = F.lit(r"(?i)^<id([^<>]+)><score>[1-5]</score></id\1>")
+        until = F.array_position(F.slice(numbered, i + 2, F.size(numbered)), True).cast("int")  # 0: no further one
+        after = F.slice(runs, i + 2, F.when(until > 0, until - 1).otherwise(F.size(runs)))
+        closed = F.regexp_like(x, main)
+        rest = F.concat(F.regexp_replace(x, r"(?i)^<id([^<>]+)><score>[1-5]</score></id\1>", ""), F.array_join(after, ""))
+        return F.struct(F.regexp_extract(x, SCORED, 1).alias("key"), F.when(closed, 0).otherwise(1).alias("form"), i.alias("at"),
+                        F.nullif(F.regexp_extract(x, SCORED, 2), F.lit("")).cast("int").alias("score"),
+                        F.when(closed, _clean_rationale(rest)).otherwise(F.lit(NO_RATIONALE)).alias("rationale"))
+
+    plain = F.transform(F.arrays_zip(F.regexp_extract_all("response", F.lit(PLAIN), F.lit(1)).alias("k"),
+                                     F.regexp_extract_all("response", F.lit(PLAIN), F.lit(2)).alias("s")),
+                        lambda p, i: F.struct(p["k"].alias("key"), F.lit(2).alias("form"), i.alias("at"),
+                                              p["s"].cast("int").alias("score"), F.lit(NO_RATIONALE).alias("rationale")))
+    scored = F.filter(F.transform(runs, of_run), lambda x: x["score"].isNotNull())
+    r = r.select("batch_id", F.inline(F.concat(scored, plain)))
+    best = F.min_by(F.struct("score", "rationale"), F.struct("form", "at")).alias("_best")
+    return r.groupBy("batch_id", _ascii_lower(F.col("key")).alias("_key")).agg(best).select("batch_id", "_key", "_best")
 
 
 def parse_score_results(members: DataFrame, replies: DataFrame) -> DataFrame:
     """X7 + X9 on a long table: ``members`` = (batch_id, response_id, sentence, ...);
-    ``replies`` = (batch_id, response). Failed batches give null score and the error text."""
-    j = members.join(replies.select("batch_id", F.col("response").alias("_reply"), F.lit(True).alias("_has_reply")),
-                     "batch_id", "left")
-    p = parse_score_reply(F.col("_reply"), F.col("response_id"))
+    ``replies`` = (batch_id, response). Failed batches give null score and the error text.
+    Replies are parsed once each; members meet the scores, not the reply texts."""
+    replied = replies.select("batch_id", F.lit(True).alias("_has_reply")).distinct()
+    j = members.withColumn("_key", _ascii_lower(F.col("response_id")))
+    j = j.join(reply_scores(replies), ["batch_id", "_key"], "left").join(replied, "batch_id", "left")
     failed = F.col("_has_reply").isNull()
-    return (j.withColumn("_p", p)
-             .withColumn("fluency_score", F.when(~failed, F.col("_p.score")))
-             .withColumn("reason", F.when(failed, F.lit(BATCH_ERROR)).otherwise(F.col("_p.rationale")))
-             .drop("_p", "_reply", "_has_reply"))
+    return (j.withColumn("fluency_score", F.col("_best.score"))
+             .withColumn("reason", F.when(failed, F.lit(BATCH_ERROR)).otherwise(F.coalesce("_best.rationale", F.lit(""))))
+             .select(*members.columns, "fluency_score", "reason"))
 
 
 def parse_dict_reply(reply) -> Column:

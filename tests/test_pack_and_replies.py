@@ -108,3 +108,90 @@ def test_resume_ops(spark):
     prev = spark.createDataFrame([("a", "x"), ("b", None)], "k string, res string")
     d, t = RS.merge_previous(spark.createDataFrame([("a",), ("b",)], "k string"), prev, "k", "res")
     assert [r.k for r in d.collect()] == ["a"] and [r.k for r in t.collect()] == ["b"]
+
+
+def task_by_patterns(reply, ids):
+    """The reference's rule, one search per id: first block, first inner tags, strict form as a fallback."""
+    import re
+    plain = lambda x: re.sub("<[^>]*>", "", x)
+    found = {}
+    for i in ids:
+        m = re.search(f"(?s)<id{re.escape(i)}>(.*?)</id{re.escape(i)}>", reply)
+        o = m and re.search("(?s)<o>(.*?)</o>", m[1])
+        if o:
+            r = re.search("(?s)<reason>(.*?)</reason>", m[1])
+            found[i] = (plain(o[1]).strip(), plain(r[1]).strip() if r else "No reason provided")
+    if len(found) == len(ids) and len(set(ids)) == len(ids):
+        return found
+    out = {}
+    for i in ids:
+        m = re.search(f"(?is)<id{re.escape(i)}><o>([^<]+)</o><reason>(.*?)</reason></id{re.escape(i)}>", reply)
+        out[i] = (m[1].strip(), m[2].strip()) if m else (None, "")
+    return out
+
+
+def score_by_patterns(reply, i):
+    import re
+    q = re.escape(i)
+    m = re.search(f"(?is)<id{q}><score>([1-5])</score></id{q}>(.*)", reply)
+    if m:
+        rest = re.sub(r"(?is)<id\d+(?:-\d+)*><score>.*", "", m[2]).strip()
+        rest = re.sub(r"(?i)^\*\*Rationale:\*\*\s*", "", rest)
+        rest = re.sub(r"\*\*(.*?)\*\*", r"\1", rest).strip()
+        return int(m[1]), rest[:200] + "..." if len(rest) > 200 else rest
+    m = re.search(f"(?i)<id{q}><score>([1-5])</score>", reply) or re.search(f"(?i)<id{q}>([1-5])</id[^>]*>", reply)
+    return (int(m[1]), "No rationale") if m else (None, "")
+
+
+def test_task_replies_against_one_search_per_id(spark):
+    rng = random.Random(11)
+    ids = ["a", "b", "a_1", "10", "1"]
+    bits = [f"<{s}id{i}>" for i in ids for s in ("", "/")] + ["<o>3</o>", "<o>", "</o>", "<reason>why <b>x</b></reason>", "<reason></reason>", "text", "\n", "<", ">", "<ID10><O>4</O><REASON>R</REASON></ID10>"]
+    whole = [f"<id{i}><o>{k}</o><reason>r{k}</reason></id{i}>" for k, i in enumerate(ids)]
+    replies = []
+    for k in range(300):
+        parts = [rng.choice(bits) for _ in range(rng.randint(0, 14))]
+        for w in whole:
+            if rng.random() < 0.9:
+                parts.insert(rng.randint(0, len(parts)), w)
+        replies.append("".join(parts))
+    batches = spark.createDataFrame([(str(k), ids, [f"{k}/{i}" for i in ids], ids, "m") for k in range(300)],
+                                    "batch_id string, item_ids array<string>, original_ids array<string>, item_texts array<string>, model_name string")
+    got = {r.id: (r.output, r.reason) for r in RP.parse_task_results(batches, spark.createDataFrame(
+        [(str(k), x) for k, x in enumerate(replies)], "batch_id string, response string")).collect()}
+    for k, x in enumerate(replies):
+        want = task_by_patterns(x, ids)
+        assert {i: got[f"{k}/{i}"] for i in ids} == want, x
+    assert len({v for v in got.values()}) > 12
+
+
+def test_score_replies_against_one_search_per_id(spark):
+    rng = random.Random(12)
+    ids = ["1-1", "1-2", "1-10", "2", "x"]
+    bits = [f"<id{i}>{rest}" for i in ids for rest in ("<score>4</score>", f"<score>2</score></id{i}>", "3</id>", f"5</id{i}>", "<score>6</score>", "")]
+    bits += ["**Rationale:** fine", "**bold** text", "\n", "word ", "<score>1</score>", "<ID1-1><SCORE>5</SCORE></ID1-1>", "y" * 210, "</id2>"]
+    replies = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(400)] + [""]
+    members = spark.createDataFrame([(str(k), i) for k in range(len(replies)) for i in ids], "batch_id string, response_id string")
+    got = {(r.batch_id, r.response_id): (r.fluency_score, r.reason) for r in RP.parse_score_results(members, spark.createDataFrame(
+        [(str(k), x) for k, x in enumerate(replies)], "batch_id string, response string")).collect()}
+    for k, x in enumerate(replies):
+        for i in ids:
+            assert got[str(k), i] == score_by_patterns(x, i), (i, x)
+
+
+def test_a_reply_of_a_thousand_ids(spark):
+    """Long replies with nested blocks: every id is found, in time that follows the reply's length."""
+    import time
+    ids = [f"n{k}" for k in range(1000)]
+    reply = "<idouter>" + "".join(f"<id{i}><o>{k % 5}</o><reason>{'r' * 300}</reason></id{i}>\n" for k, i in enumerate(ids)) + "</idouter>"
+    schema = "batch_id string, item_ids array<string>, original_ids array<string>, item_texts array<string>, model_name string"
+    batches = spark.createDataFrame([("1", ids + ["outer"], ids + ["outer"], ids + ["outer"], "m")], schema)
+    t = time.time()
+    got = {r.id: r.output for r in RP.parse_task_results(batches, spark.createDataFrame([("1", reply)], "batch_id string, response string")).collect()}
+    assert time.time() - t < 20
+    assert all(got[i] == str(k % 5) for k, i in enumerate(ids)) and got["outer"] == "0"
+    scores = "".join(f"<id1-{k}><score>{1 + k % 5}</score></id1-{k}>\nreason {k}\n" for k in range(1000))
+    members = spark.createDataFrame([("1", f"1-{k}") for k in range(1000)], "batch_id string, response_id string")
+    t = time.time()
+    rows = RP.parse_score_results(members, spark.createDataFrame([("1", scores)], "batch_id string, response string")).collect()
+    assert time.time() - t < 20 and all((r.fluency_score, r.reason) == (1 + int(r.response_id[2:]) % 5, f"reason {r.response_id[2:]}") for r in rows)
