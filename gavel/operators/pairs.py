@@ -3,14 +3,13 @@
 Plan shape (see README "Scale"):
 
 * items are validated row-wise (no shuffle);
-* pairs come from one self-join on ``(group[, source text], cell)``. A group with more
-  than ``block_rows`` items is cut into ``B`` hash blocks and every item is copied into
-  the ``B`` cells ``(min(b, k), max(b, k))``; pair (x, y) is produced only by cell
-  ``(min(bx, by), max(bx, by))``. Each join key therefore holds at most about
-  ``2 * block_rows`` rows even when one group has a third of the data, and the work
-  of a hot group is spread over ``B * (B + 1) / 2`` tasks. Small groups have one cell.
-* the score condition (gap >= min_diff, scores differ) is a join residual, so
-  equal-score pairs are never materialised;
+* pairs of a group of up to ``block_rows`` items come from one self-join on the group, the score
+  condition being its residual;
+* a larger group is cut into score bands (quantiles, so by its own distribution) and a band into hash
+  blocks of ``BLOCK`` items. Only bands whose score ranges are ``min_diff`` apart somewhere are
+  joined, block by block: what is joined is what qualifies, plus the bands that the limit cuts
+  through. An item is copied once for every block it meets, and every join key holds about
+  ``2 * BLOCK`` rows, so a group with a third of the data spreads over many tasks;
 * side and template choices are ``md5(pair | seed)`` digits: deterministic.
 """
 
@@ -70,16 +69,35 @@ def prepare_items(df: DataFrame, id_col: str, sentence_col: str, score_col: str,
     return good.select(*cols), rejects
 
 
-def _cells(items: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
-    """Attach ``_lo, _hi`` cells (one per block pair) to every item of its group."""
-    sizes = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("_gsize"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("_gsize") / F.lit(block_rows))).cast("int")
-    sized = items.join(sizes, keys).withColumn("_nblk", blocks)
-    sized = sized.withColumn("_blk", F.pmod(F.xxhash64("id"), F.col("_nblk")).cast("int"))
-    k = F.explode(F.sequence(F.lit(0), F.col("_nblk") - 1)).alias("_k")
-    exploded = sized.select("*", k)
-    return (exploded.withColumn("_lo", F.least("_blk", "_k")).withColumn("_hi", F.greatest("_blk", "_k"))
-                    .drop("_k", "_gsize"))
+BANDS = 256  # score bands of a large group
+BLOCK = 256  # items of a band that meet as one
+
+
+def _gap(min_diff: float) -> Column:
+    """The score condition of a low and a high item."""
+    gap = F.col("h_score") - F.col("l_score")
+    return (gap >= F.lit(float(min_diff))) & (gap > 0)
+
+
+def _banded(items: DataFrame, keys: list[str], min_diff: float) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Copies of large groups' items as the low and as the high side of pairs, and the columns they meet on."""
+    step = [i / BANDS for i in range(1, BANDS)]
+    cuts = items.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("score", step, 4 * BANDS)).alias("_cuts"))
+    at = items.join(cuts, keys).withColumn("_band", F.size(F.filter("_cuts", lambda c: c <= F.col("score")))).drop("_cuts")
+    bands = at.groupBy(*keys, "_band").agg(F.min("score").alias("_min"), F.max("score").alias("_max"),
+                                           F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+    low = bands.select(*keys, F.col("_band").alias("_lo"), "_min", F.col("_blocks").alias("_lo_blocks"))
+    high = bands.select(*keys, F.col("_band").alias("_hi"), "_max", F.col("_blocks").alias("_hi_blocks"))
+    # at most BANDS squared for a group
+    meet = low.join(high, keys).where((F.col("_max") - F.col("_min") >= F.lit(float(min_diff))) & (F.col("_max") > F.col("_min"))).drop("_min", "_max")
+
+    def copies(own: str, other: str) -> DataFrame:
+        mine = at.join(meet.withColumnRenamed(f"_{own}", "_band"), [*keys, "_band"]).withColumnRenamed("_band", f"_{own}")
+        mine = mine.withColumn(f"_{own}_block", F.pmod(F.xxhash64("id", "ord"), F.col(f"_{own}_blocks")).cast("int"))
+        return (mine.withColumn(f"_{other}_block", F.explode(F.sequence(F.lit(0), F.col(f"_{other}_blocks") - 1)))
+                    .drop("_lo_blocks", "_hi_blocks"))
+
+    return copies("lo", "hi"), copies("hi", "lo"), [*keys, "_lo", "_hi", "_lo_block", "_hi_block"]
 
 
 def candidate_pairs(items: DataFrame, min_diff: float = 1.0, translation: bool = False,
@@ -93,37 +111,29 @@ def candidate_pairs(items: DataFrame, min_diff: float = 1.0, translation: bool =
         base = base.filter(F.col("english_sentence") != "")
     # the length travels as its own column so the text itself can be pruned where unused
     # rows that share ord and id are told apart by their text and score
-    cells = _cells(base.withColumn("slen", F.length("sentence"))
-                       .withColumn("_row", F.struct("ord", "id", F.xxhash64("sentence").alias("h"), "score")), keys, block_rows)
-    carried = ("id", "ord", "sentence", "slen", "score", "_blk", "_row")
-    a = cells.select(*[F.col(c).alias(c) for c in keys], "_lo", "_hi",
-                     *[F.col(c).alias(f"a_{c}") for c in carried])
-    b = cells.select(*[F.col(c).alias(f"b_{c}") for c in keys], F.col("_lo").alias("b_lo"), F.col("_hi").alias("b_hi"),
-                     *[F.col(c).alias(f"b_{c}") for c in carried])
-    cond = [F.col(c) == F.col(f"b_{c}") for c in keys] + [F.col("_lo") == F.col("b_lo"), F.col("_hi") == F.col("b_hi")]
-    residual = ((F.col("a__row") < F.col("b__row"))
-                & ((F.col("a__blk") != F.col("b__blk")) | (F.col("_lo") == F.col("_hi")))
-                & (F.abs(F.col("a_score") - F.col("b_score")) >= F.lit(float(min_diff)))
-                & (F.col("a_score") != F.col("b_score")))
-    joined = a.join(b, cond[0] if len(cond) == 1 else _and(cond), "inner").filter(residual)
-    a_better = F.col("a_score") > F.col("b_score")
-    pick = lambda x, y: F.when(a_better, F.col(x)).otherwise(F.col(y))
-    out = [F.col(c) for c in keys] + [
-        F.col("a_id").alias("first_id"), F.col("b_id").alias("second_id"),
-        pick("a_id", "b_id").alias("better_id"), pick("b_id", "a_id").alias("worse_id"),
-        pick("a_sentence", "b_sentence").alias("better_sentence"),
-        pick("b_sentence", "a_sentence").alias("worse_sentence"),
-        pick("a_slen", "b_slen").alias("better_len"), pick("b_slen", "a_slen").alias("worse_len"),
-        pick("a_score", "b_score").alias("better_score"), pick("b_score", "a_score").alias("worse_score"),
-    ]
-    return joined.select(*out)
-
-
-def _and(conds: list[Column]) -> Column:
-    out = conds[0]
-    for c in conds[1:]:
-        out = out & c
-    return out
+    base = base.withColumn("slen", F.length("sentence")).withColumn("_row", F.struct("ord", "id", F.xxhash64("sentence").alias("h"), "score"))
+    large = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows).drop("_n")
+
+    def joined(low: DataFrame, high: DataFrame, on: list[str]) -> DataFrame:
+        carried = ("id", "ord", "sentence", "slen", "score", "_row")
+        a = low.select(*on, *[F.col(c).alias(f"l_{c}") for c in carried])
+        b = high.select(*on, *[F.col(c).alias(f"h_{c}") for c in carried])
+        return a.join(b, on).filter(_gap(min_diff))
+
+    if large.isEmpty():
+        pairs = joined(base, base, keys)
+    else:
+        small = base.join(large, keys, "left_anti")
+        pairs = joined(small, small, keys).unionByName(
+            joined(*_banded(base.join(large, keys, "left_semi"), keys, min_diff)).select(joined(small, small, keys).columns))
+    low_first = F.col("l__row") < F.col("h__row")
+    pick = lambda x, y: F.when(low_first, F.col(x)).otherwise(F.col(y))
+    return pairs.select(
+        *keys, pick("l_id", "h_id").alias("first_id"), pick("h_id", "l_id").alias("second_id"),
+        F.col("h_id").alias("better_id"), F.col("l_id").alias("worse_id"),
+        F.col("h_sentence").alias("better_sentence"), F.col("l_sentence").alias("worse_sentence"),
+        F.col("h_slen").alias("better_len"), F.col("l_slen").alias("worse_len"),
+        F.col("h_score").alias("better_score"), F.col("l_score").alias("worse_score"))
 
 
 def preference_pairs(items: DataFrame, min_diff: float = 1.0, seed: int = 42,

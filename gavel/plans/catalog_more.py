@@ -3,6 +3,8 @@ per-model joins and correlations, and the smaller helpers. Importing it complete
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,8 +18,10 @@ from ..operators import pairs as P
 from ..operators import replies as RP
 from ..operators import resume as RS
 from ..operators.ordering import seeded_shuffle
-from .catalog import (JUDGE_SQL, ORACLE, QUERIES, R9, SEED, VOTE_SQL, ab_rewrite_sql, logprob_votes, query,
-                      scored_documents)
+from ..session import ensure_checkpoint_dir
+from ..streaming import incremental as ST
+from .catalog import (JUDGE_SQL, ORACLE, QUERIES, R9, REPLY_SQL, SEED, VOTE_SQL, ab_rewrite_sql, logprob_votes, query,
+                      scored_documents, task_batches, task_replies)
 from .sqltext import WS_SQL, hexval_sql, md5_key_sql, sql_literal, strip_sql
 from .tables import DOC_GROUP_SQL, HUMAN_SCORE_SQL, human_score, table
 
@@ -136,6 +140,35 @@ def q_translation_pairs(spark, sf_dir):
                         F.col("rejected")[1]["content"].alias("rejected"), P.valid_pair_record().alias("valid"))
 
 
+# --- pairs of large groups (J3): score bands in place of all pairs -----------------------------
+@query("large_group_pairs", f"""WITH items AS (
+  SELECT CAST(doc_id AS VARCHAR) AS id, doc_id AS ord, lang AS g, n_chars / 1000.0::DOUBLE AS score FROM documents
+  WHERE doc_id IS NOT NULL AND text IS NOT NULL AND length({strip_sql('text')}) >= 3 AND n_chars IS NOT NULL)
+SELECT a.g AS group_key, CASE WHEN a.score > b.score THEN a.id ELSE b.id END AS better_id,
+       CASE WHEN a.score > b.score THEN b.id ELSE a.id END AS worse_id, greatest(a.score, b.score) AS better_score
+FROM items a JOIN items b ON a.g = b.g AND a.ord < b.ord AND abs(a.score - b.score) >= 60.0""")
+def q_large_group_pairs(spark, sf_dir):
+    """All documents of a language are one group; its length in thousands of characters is the score."""
+    d = table(spark, sf_dir, "documents").withColumn("score", F.col("n_chars") / 1000.0)
+    items, _ = P.prepare_items(d, "doc_id", "text", "score", order_col="doc_id", group_col="lang")
+    return P.candidate_pairs(items, min_diff=60.0, block_rows=128).select("group_key", "better_id", "worse_id", "better_score")
+
+
+# --- the reply stream (ST1) -------------------------------------------------------------------
+@query("incremental_results", REPLY_SQL + "SELECT id, input, output, reason FROM results WHERE reason <> 'Error during processing'")
+def q_incremental_results(spark, sf_dir):
+    """Replies arrive in two files; in the first every other batch's reply is empty. The stream keeps the good ones."""
+    at = f"{ensure_checkpoint_dir(spark).rstrip('/')}/gavel-stream/{uuid.uuid4().hex}"
+    batches = task_batches(spark, sf_dir).select("batch_id", "item_ids", "original_ids", "item_texts", "model_name")
+    replies = task_replies(spark, sf_dir)
+    blank = F.substring(F.md5("batch_id"), 2, 1) < "8"
+    replies.withColumn("response", F.when(blank, "").otherwise(F.col("response"))).write.json(f"{at}/replies/1")
+    ST.start_incremental_parse(spark, f"{at}/replies/*", batches, f"{at}/results", f"{at}/checkpoint").awaitTermination()
+    replies.where(blank).write.json(f"{at}/replies/2")
+    ST.start_incremental_parse(spark, f"{at}/replies/*", batches, f"{at}/results", f"{at}/checkpoint").awaitTermination()
+    return ST.latest_results(spark, f"{at}/results").select("id", "input", "output", "reason")
+
+
 # --- resume by sample index (J1) -----------------------------------------------------------
 @query("resume_by_sample_idx", """SELECT doc_id FROM documents d WHERE NOT EXISTS (
   SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 0)""")

@@ -1,65 +1,130 @@
-"""Incremental reply intake (ST1): every reply of a file is parsed, ids that already have a
-non-null output are skipped, null outputs stay open for a later reply.
+"""Incremental reply intake (ST1): new reply files are parsed, finished ids are dropped, open ones
+are offered again after a while.
 
-File-source checkpointing gives exactly-once intake of each file across restarts. A batch's
-output is a folder of its own epoch, written over when the epoch is run again, and the anti
-join against the ids that other epochs finished keeps the output idempotent.
+What is known of an id is keyed state of the stream (``transformWithState``): whether it is done and how
+often it was tried. An epoch therefore reads its own files alone and never the earlier results. An id
+without an output stays open: a timer offers it for another prompt after ``retry_seconds``, until it
+is done or was tried ``max_tries`` times. Finished ids leave the state after ``forget_seconds``. Timers
+fire in a query that goes on running; one that ends with its files fires them in its next epoch.
+
+The file source's checkpoint takes each file once across restarts, the state store commits with
+the epoch, and the file sink lists an epoch's files once, so a rerun adds nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+from typing import Any
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
-from ..operators.replies import parse_task_results
-from ..operators.resume import done_ids, pending_items
+from ..operators.replies import task_results_of
 
 REPLY_SCHEMA = "batch_id string, response string"
+RESULT_SCHEMA = "id string, input string, output string, reason string, model_name string, event string, tries int"
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DONE, OPEN, RETRY = "done", "open", "retry"
 
 
-def _finished(spark: SparkSession, results_path: str, epoch_id: int) -> DataFrame:
-    """Ids that earlier epochs finished; only a path that isn't there yet means none."""
-    try:
-        prev = spark.read.schema("id string, output string, epoch long").json(results_path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], "_done_id string")
-    return done_ids(prev.where(F.col("epoch") != epoch_id), "id", "output")
-
-
-def parse_all_replies(batches: DataFrame, replies: DataFrame) -> DataFrame:
-    """Each id's best result over all replies of its batch: parsed before unparsed, then the
-    least output. A reply is a batch of its own while it is parsed."""
-    turn = F.row_number().over(Window.partitionBy("batch_id").orderBy("response"))
-    one = replies.select("batch_id", "response").distinct().withColumn("_n", turn)
-    name = F.concat_ws("#", F.col("_n").cast("string"), F.col("batch_id")).alias("batch_id")
-    mine = batches.join(one.select("batch_id", "_n"), "batch_id").select(
-        name, *[c for c in batches.columns if c != "batch_id"])
-    parsed = parse_task_results(mine, one.select(name, "response"))
-    row = F.struct("input", "output", "reason", "model_name")
-    best = F.min_by(row, F.struct(F.col("output").isNull(), "output", "reason")).alias("r")
-    return parsed.groupBy("id").agg(best).select("id", "r.*")
+class Intake(StatefulProcessor):
+    """One id: ``done`` with its first parsed result, ``open`` for each epoch that brings none, ``retry`` when it is due."""
+
+    def __init__(self, retry_seconds: float, max_tries: int, forget_seconds: float | None):
+        self.retry_ms, self.max_tries = int(retry_seconds * 1000), max_tries
+        self.forget_ms = None if forget_seconds is None else int(forget_seconds * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.item = handle.getValueState("item", "tries int, input string, model_name string")
+        # finished ids are only remembered, for as long as late replies are expected
+        self.finished = handle.getValueState("finished", "tries int", self.forget_ms)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        best = min(rows, key=lambda r: (r.output is None, r.output or "", r.reason or ""))  # reads the rows, whatever follows
+        if self.finished.exists():
+            return
+        known = self.item.get() if self.item.exists() else (0, None, None)
+        tries = known[0] + 1
+        if best.output is not None:
+            self._clear_timers()
+            self.item.clear()
+            self.finished.update((tries,))
+        else:
+            self.item.update((tries, best.input, best.model_name))
+            self._clear_timers()
+            if tries < self.max_tries:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.retry_ms)
+        yield Row(id=key[0], input=best.input, output=best.output, reason=best.reason, model_name=best.model_name,
+                  event=OPEN if best.output is None else DONE, tries=tries)
+
+    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        if self.item.exists():
+            tries, text, model = self.item.get()
+            yield Row(id=key[0], input=text, output=None, reason=None, model_name=model, event=RETRY, tries=tries)
+
+    def _clear_timers(self) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+
+    def close(self) -> None:
+        pass
+
+
+def parsed_stream(replies: DataFrame, batches: DataFrame) -> DataFrame:
+    """The result rows of a stream of replies whose batches are a table."""
+    one = replies.select("batch_id", "response").where("response IS NOT NULL").join(batches, "batch_id")
+    return task_results_of(one.withColumn("has_reply", F.lit(True))).where("id IS NOT NULL")
+
+
+def intake(replies: DataFrame, batches: DataFrame, retry_seconds: float = 1800, max_tries: int = 3,
+           forget_seconds: float | None = None) -> DataFrame:
+    """The events of a stream of replies (see ``Intake``), with state keyed by id."""
+    return parsed_stream(replies, batches).groupBy("id").transformWithState(
+        Intake(retry_seconds, max_tries, forget_seconds), RESULT_SCHEMA, "append", "processingTime")
 
 
 def start_incremental_parse(spark: SparkSession, replies_dir: str, batches: DataFrame, results_path: str,
-                            checkpoint_path: str, available_now: bool = True):
-    """Start the stream; returns the StreamingQuery (call ``awaitTermination()``)."""
-    stream = spark.readStream.schema(REPLY_SCHEMA).json(replies_dir)
+                            checkpoint_path: str, available_now: bool = True, retry_seconds: float = 1800, max_tries: int = 3,
+                            forget_seconds: float | None = None, every: str = "30 seconds", max_files: int | None = None):
+    """Start the stream; returns the StreamingQuery (call ``awaitTermination()``). ``max_files``: files an epoch takes at most."""
+    reader = spark.readStream.schema(REPLY_SCHEMA)
+    stream = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).json(replies_dir)
+    events = intake(stream, batches, retry_seconds, max_tries, forget_seconds)
+    w = (events.writeStream.format("json").outputMode("append").option("path", results_path).option("ignoreNullFields", "false")
+         .option("checkpointLocation", checkpoint_path))
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=every)
+    # the store that keyed timers need; a run that ends with its files has no batches without files
+    settings = {STATE_PROVIDER: ROCKSDB} | ({NO_DATA_BATCHES: "false"} if available_now else {})
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        return w.start()  # a query keeps the settings that it is started with
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
-    def each(batch_df: DataFrame, epoch_id: int) -> None:
-        new = pending_items(parse_all_replies(batches, batch_df), _finished(spark, results_path, epoch_id), "id")
-        (new.write.mode("overwrite").option("ignoreNullFields", "false")
-            .json(f"{results_path.rstrip('/')}/epoch={epoch_id}"))
 
-    w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint_path)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
+def results(spark: SparkSession, results_path: str) -> DataFrame:
+    """All events so far."""
+    return spark.read.schema(RESULT_SCHEMA).json(results_path)
 
 
 def latest_results(spark: SparkSession, results_path: str) -> DataFrame:
-    """The current result per id: a non-null output wins over earlier null attempts."""
-    r = spark.read.schema("id string, input string, output string, reason string, model_name string").json(results_path)
-    best = F.min_by(F.struct("output", "reason", "input", "model_name"), F.struct(F.col("output").isNull(), "output", "reason"))
-    return r.groupBy("id").agg(best.alias("r")).select("id", "r.*")
+    """The current result per id: its output, or the last attempt that brought none."""
+    best = F.min_by(F.struct("output", "reason", "input", "model_name"), F.struct(F.col("output").isNull(), -F.col("tries")))
+    return results(spark, results_path).where(F.col("event") != RETRY).groupBy("id").agg(best.alias("r")).select("id", "r.*")
+
+
+def due_items(spark: SparkSession, results_path: str) -> DataFrame:
+    """Open items that are due for another prompt: offered since their last reply, and not done."""
+    last = F.max(F.struct("tries", (F.col("event") == RETRY).alias("due"), "input", "model_name")).alias("last")
+    state = results(spark, results_path).groupBy("id").agg(F.bool_or(F.col("event") == DONE).alias("done"), last)
+    return state.where("NOT done AND last.due").select("id", "last.input", "last.model_name", "last.tries")

@@ -126,8 +126,72 @@ def test_stream_keeps_the_good_reply_of_a_batch(spark, tmp_dir):
         assert latest == {f"i{i}": str(i % 5) for i in range(40)}
 
 
-def test_stream_reports_unreadable_results(spark, tmp_dir):
-    from py4j.protocol import Py4JJavaError
-    with pytest.raises(Py4JJavaError):
-        ST._finished(spark, "nosuchscheme://x/y", 0).collect()
-    assert ST._finished(spark, os.path.join(tmp_dir, "none"), 0).collect() == []
+def _wave(path, name, rows):
+    with open(os.path.join(path, name), "w") as f:
+        f.write("\n".join(json.dumps({"batch_id": b, "response": r}) for b, r in rows) + "\n")
+
+
+def _batches(spark, n):
+    return spark.createDataFrame([(str(i), [f"i{i}"], [f"i{i}"], [f"t{i}"], "m") for i in range(n)],
+                                 "batch_id string, item_ids array<string>, original_ids array<string>, item_texts array<string>, model_name string")
+
+
+def test_an_epoch_reads_its_own_files_only(spark, tmp_dir):
+    """Ten files in ten epochs: the rows read follow the file, not what was finished before."""
+    rdir, res, ck = (os.path.join(tmp_dir, x) for x in ("r", "o", "c"))
+    os.makedirs(rdir)
+    for k in range(10):
+        _wave(rdir, f"{k}.json", [(str(i), f"<idi{i}><o>{k}</o></idi{i}>") for i in range(5 * k, 5 * k + 10)])
+    q = ST.start_incremental_parse(spark, rdir, _batches(spark, 60), res, ck, max_files=1)
+    q.awaitTermination()
+    read = [p["numInputRows"] for p in map(lambda p: json.loads(p.json), q.recentProgress) if p["numInputRows"]]
+    assert read == [10] * 10
+    assert not [t for p in q.recentProgress for t in json.loads(p.json)["sources"] if "FileStreamSource" not in t["description"]]
+    got = ST.results(spark, res).collect()
+    assert sorted(r.id for r in got) == sorted(f"i{i}" for i in range(55))  # each id once, from one of its two files
+    assert all(int(r.output) in (int(r.id[1:]) // 5 - 1, int(r.id[1:]) // 5) for r in got)
+    state = json.loads(q.lastProgress.json)["stateOperators"][0]
+    assert state["numRowsTotal"] >= 55
+
+
+def test_open_items_are_offered_again_until_done(spark, tmp_dir):
+    rdir, res, ck = (os.path.join(tmp_dir, x) for x in ("r", "o", "c"))
+    os.makedirs(rdir)
+    good = lambda i: (str(i), f"<idi{i}><o>5</o></idi{i}>")
+    bad = lambda i: (str(i), "nothing")
+
+    def wait(q, seen):
+        import time
+        for _ in range(120):
+            if q.exception():
+                raise q.exception()
+            if os.path.exists(os.path.join(res, "_spark_metadata")) and seen({(r.id, r.event, r.tries) for r in ST.results(spark, res).collect()}):
+                return
+            time.sleep(0.5)
+        raise AssertionError(sorted(map(tuple, ST.results(spark, res).collect()), key=str))
+
+    _wave(rdir, "1.json", [good(0), bad(1), bad(2)])
+    q = ST.start_incremental_parse(spark, rdir, _batches(spark, 4), res, ck, available_now=False, retry_seconds=0.1, max_tries=2, every="200 milliseconds")
+    try:
+        wait(q, lambda e: {("i1", "retry", 1), ("i2", "retry", 1)} <= e)
+        assert {(r.id, r.input, r.tries) for r in ST.due_items(spark, res).collect()} == {("i1", "t1", 1), ("i2", "t2", 1)}
+        _wave(rdir, "2.json", [good(1), bad(2), bad(0)])
+        wait(q, lambda e: {("i1", "done", 2), ("i2", "open", 2)} <= e)
+    finally:
+        q.stop()
+    events = {(r.id, r.event, r.tries) for r in ST.results(spark, res).collect()}
+    assert events == {("i0", "done", 1), ("i1", "open", 1), ("i2", "open", 1), ("i1", "retry", 1), ("i2", "retry", 1), ("i1", "done", 2), ("i2", "open", 2)}
+    assert ST.due_items(spark, res).collect() == []  # tried as often as it may be
+    _wave(rdir, "3.json", [good(2), good(1)])  # a late better reply still counts, a second one doesn't
+    ST.start_incremental_parse(spark, rdir, _batches(spark, 4), res, ck, retry_seconds=0.1, max_tries=2).awaitTermination()
+    assert {r.id: r.output for r in ST.latest_results(spark, res).collect()} == {"i0": "5", "i1": "5", "i2": "5"}
+    assert len([r for r in ST.results(spark, res).collect() if r.event == "done"]) == 3
+
+
+def test_finished_ids_are_forgotten_in_time(spark, tmp_dir):
+    rdir, res, ck = (os.path.join(tmp_dir, x) for x in ("r", "o", "c"))
+    os.makedirs(rdir)
+    for k in range(2):
+        _wave(rdir, f"{k}.json", [("0", f"<idi0><o>{k}</o></idi0>")])
+        ST.start_incremental_parse(spark, rdir, _batches(spark, 1), res, ck, forget_seconds=0.001).awaitTermination()
+    assert sorted(r.output for r in ST.results(spark, res).collect()) == ["0", "1"]

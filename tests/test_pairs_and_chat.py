@@ -171,3 +171,40 @@ def test_message_rewrite(spark):
                                "messages array<struct<role:string,content:string>>")
     got = df.select(C.rewrite_messages("messages")).first()[0]
     assert [tuple(m) for m in got] == [("user", "Answer A or B:"), ("assistant", "B")]
+
+
+def test_large_groups_against_all_pairs(spark):
+    """Groups above the limit, with continuous, discrete and equal scores, beside small ones."""
+    import random
+    rng = random.Random(3)
+    rows = []
+    for g, n, score in [("wide", 900, lambda: rng.lognormvariate(0, 2)), ("five", 700, lambda: float(rng.randint(1, 5))),
+                        ("same", 300, lambda: 2.0), ("small", 40, lambda: rng.random() * 3), ("two", 500, lambda: rng.choice([0.0, 1.0]))]:
+        rows += [(f"{g}{k}", k // 2, g, f"text {k % 7}", score()) for k in range(n)]  # pairs of equal ord
+    df = spark.createDataFrame(rows, "id string, ord long, group_key string, sentence string, score double")
+    for d in (0.0, 0.5, 1.0, 3.0):
+        got = P.candidate_pairs(df, min_diff=d, block_rows=100).select("first_id", "second_id", "better_id", "worse_id").collect()
+        want = []
+        by = {}
+        for r in rows:
+            by.setdefault(r[2], []).append(r)
+        for members in by.values():
+            for i, x in enumerate(members):
+                for y in members[i + 1:]:
+                    if abs(x[4] - y[4]) >= d and x[4] != y[4]:
+                        a, b = (x, y) if (x[1], x[0]) < (y[1], y[0]) else (y, x)
+                        hi, lo = (x, y) if x[4] > y[4] else (y, x)
+                        want.append((a[0], b[0], hi[0], lo[0]))
+        assert len(got) == len(want) and sorted(map(tuple, got)) == sorted(want), d
+
+
+def test_large_groups_join_about_what_qualifies(spark):
+    """One per cent of a large group's pairs qualify: about twice as many rows are joined, and no key is large."""
+    n = 8000
+    df = spark.range(n).selectExpr("cast(id as string) AS id", "id AS ord", "'g' AS group_key", "'text' AS sentence",
+                                   "pmod(xxhash64(id), 1000000) / 1000000.0D AS score")
+    low, high, on = P._banded(df, ["group_key"], 0.9)
+    joined = low.join(high, on)
+    total, good = joined.selectExpr("1").count(), P.candidate_pairs(df, 0.9, block_rows=100).count()
+    assert 0.004 < good / (n * n / 2) < 0.02 and total < 2.5 * good
+    assert max(r["count"] for side in (low, high) for r in side.groupBy(*on).count().collect()) <= 2 * P.BLOCK
