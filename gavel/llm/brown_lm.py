@@ -48,7 +48,7 @@ from gavel.llm import _blocks as B
 from gavel.llm import _tokens as T
 
 CORE, CLASSES = 500, 32
-RISE, WORDS_AT_ONCE = 0.002, 2048
+RISE, WORDS_AT_ONCE, FEW_COUNTS = 0.002, 2048, 32
 COST = 1000  # spelling costs are whole thousandths of a power of ten, rounded up
 PACKED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 TALLY = pa.schema([("words", pa.int64()), ("tokens", pa.int64()), ("top", pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())])))])
@@ -172,11 +172,14 @@ def _code(cost: np.ndarray, most: int):
             h, start, end, counts = T.words(data, off, fold=True)
             keys, index, order = T.distinct(h)
             train = B.column_of(t, "train").to_numpy(zero_copy_only=False)
-            spelled = np.concatenate(([0], np.cumsum(cost[data])))
             one = order[np.searchsorted(index[order], np.arange(len(keys)))]  # an occurrence of each word
+            size = end[one] - start[one]
+            first = np.cumsum(size) - size
+            letters = data[np.repeat(start[one] - first, size) + np.arange(int(size.sum()))]
+            spelled = np.add.reduceat(cost[letters], first) if len(one) else size
             yield from B.to_table([((TaskContext.get().partitionId() << 32) + i, keys.tobytes(),
                                     planes(np.bincount(index[np.repeat(train, counts)], minlength=len(keys))),
-                                    planes(spelled[end[one]] - spelled[start[one]] + cost[256]), planes(index), planes(counts),
+                                    planes(spelled + cost[256]), planes(index), planes(counts),
                                     t["doc_id"].to_pylist(), train.tolist())], CODED).to_batches()
 
     return code
@@ -364,6 +367,32 @@ def likelihood(g: np.ndarray) -> float:
     return float(phi(g).sum() - phi(g.sum(0)).sum() - phi(g.sum(1)).sum())
 
 
+def _small_rises(table: np.ndarray) -> np.ndarray:
+    """How phi rises in every cell with 0 to FEW_COUNTS more counts."""
+    return np.stack([phi(table + m) - phi(table) for m in range(FEW_COUNTS + 1)])
+
+
+def _rises(table: np.ndarray, small: np.ndarray, row: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """How phi rises in the cells of the given rows with ``m`` more counts: looked up for the many small counts."""
+    few = m <= FEW_COUNTS
+    out = small[np.where(few, m, 0).astype(np.int64), row]
+    many = np.flatnonzero(~few)
+    out[many] = phi(table[row[many]] + m[many, None]) - phi(table[row[many]])
+    return out
+
+
+def alike(word: np.ndarray, ctx: np.ndarray, total: np.ndarray, now: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words with the same class and the same counts of the same contexts: one of each kind, and each word's kind.
+
+    Most words are rare and share their kind; kinds are told apart by 64-bit hashes.
+    """
+    h = T.mix(T.mix(ctx.astype(np.uint64) + T.GOLDEN) ^ T.mix(total.astype(np.uint64)))
+    kind = T.mix(now.astype(np.uint64) + T.U64(1))
+    np.add.at(kind, word, h)
+    _, one, of = np.unique(kind, return_index=True, return_inverse=True)
+    return one, of
+
+
 def place(word: np.ndarray, ctx: np.ndarray, total: np.ndarray, now: np.ndarray, g: np.ndarray, k: int,
           spread: np.ndarray) -> np.ndarray:
     """The best of the first k classes for every word, with its own counts taken out of the class bigrams ``g``.
@@ -374,9 +403,19 @@ def place(word: np.ndarray, ctx: np.ndarray, total: np.ndarray, now: np.ndarray,
     """
     width, at = k + 2, np.arange(k)
     rows, cols, diagonal = g[:k].sum(1), g[:, :k].sum(0), g[at, at]
-    out = np.full(len(now), k + 1)
-    for lo in range(0, len(now), WORDS_AT_ONCE):
-        a = now[lo:lo + WORDS_AT_ONCE].astype(np.int64)
+    by_right, by_left = np.ascontiguousarray(g[:k].T), g[:, :k]
+    rise_right, rise_left, rise_rows, rise_cols = (_small_rises(t) for t in (by_right, by_left, rows[None, :], cols[None, :]))
+    one, of = alike(word, ctx, total, now)
+    number = np.full(len(now), -1)
+    number[one] = np.arange(len(one))
+    word = number[word]
+    order = np.flatnonzero(word >= 0)
+    order = order[np.argsort(word[order], kind="stable")]
+    word, ctx, total, now_one = word[order], ctx[order], total[order], now[one]
+    tied = np.zeros((len(one), k), bool)
+    stays, empty = np.zeros(len(one), bool), np.zeros(len(one), bool)
+    for lo in range(0, len(one), WORDS_AT_ONCE):
+        a = now_one[lo:lo + WORDS_AT_ONCE].astype(np.int64)
         i = np.arange(len(a))
         x, y = np.searchsorted(word, [lo, lo + len(a)])
         dense = np.zeros((len(a), 2 * width + 1))
@@ -385,27 +424,47 @@ def place(word: np.ndarray, ctx: np.ndarray, total: np.ndarray, now: np.ndarray,
         n = left.sum(1)
         left[i, a] -= same
         right[i, a] -= same
-        own = at == a[:, None]
         gain = np.zeros((len(a), k))
-        for side, other, table in ((right, left, g[:k].T), (left, right, g[:, :k])):
+        for side, other, table, rise in ((right, left, by_right, rise_right), (left, right, by_left, rise_left)):
             w, c = np.nonzero(side)
-            m = side[w, c][:, None]
-            base = table[c] - own[w] * m
-            self_ctx = np.flatnonzero(c == a[w])
-            base[self_ctx] -= other[w[self_ctx], :k] + own[w[self_ctx]] * same[w[self_ctx], None]
-            np.add.at(gain, w, phi(base + m) - phi(base))
-        right, left, same, n = right[:, :k], left[:, :k], same[:, None], n[:, None]
-        cell = diagonal - own * (right + left + same)  # the cell that is in both sums
-        gain += phi(cell + right + left + same) + phi(cell) - phi(cell + right) - phi(cell + left)
-        r, c = rows - own * n, cols - own * n
-        gain -= phi(r + n) - phi(r) + phi(c + n) - phi(c)
-        tied = gain >= gain.max(1, keepdims=True) - 1e-9
-        best = np.where(tied, (at - spread[lo:lo + len(a), None]) % k, k).argmin(1)
-        stay = np.minimum(a, k - 1)
-        best = np.where((a < k) & (gain[i, best] <= gain[i, stay] + 1e-9), stay, best)
-        out[lo:lo + len(a)] = np.where(n[:, 0] > 0, best, k + 1)
+            if not len(w):
+                continue
+            m = side[w, c]
+            up = _rises(table, rise, c, m)
+            mine = np.flatnonzero(a[w] < k)  # its own class has lost the word's counts
+            t = table[c[mine], a[w[mine]]]
+            up[mine, a[w[mine]]] = phi(t) - phi(t - m[mine])
+            selves = np.flatnonzero(c == a[w])  # and so has the context that is the word's own class
+            v = w[selves]
+            own = at == a[v, None]
+            base = table[c[selves]] - own * m[selves, None] - other[v, :k] - own * same[v, None]
+            up[selves] = phi(base + m[selves, None]) - phi(base)
+            begin = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+            gain[w[begin]] += np.add.reduceat(up, begin, axis=0)
+        # the cell that is in both sums, where both have counts or the word follows itself
+        w, b = np.nonzero(((right[:, :k] > 0) & (left[:, :k] > 0)) | (same[:, None] > 0))
+        ri, le, sa = right[w, b], left[w, b], same[w]
+        cell = diagonal[b] - (b == a[w]) * (ri + le + sa)
+        gain[w, b] += phi(cell + ri + le + sa) + phi(cell) - phi(cell + ri) - phi(cell + le)
+        for sums, rise in ((rows, rise_rows), (cols, rise_cols)):
+            up = _rises(sums[None, :], rise, np.zeros(len(a), int), n)
+            mine = np.flatnonzero(a < k)
+            t = sums[a[mine]]
+            up[mine, a[mine]] = phi(t) - phi(t - n[mine])
+            gain -= up
+        best = gain.max(1)
+        tied[lo:lo + len(a)] = gain >= best[:, None] - 1e-9
+        stays[lo:lo + len(a)] = (a < k) & (best <= gain[i, np.minimum(a, k - 1)] + 1e-9)
+        empty[lo:lo + len(a)] = n == 0
+    out = np.full(len(now), k + 1)
+    for lo in range(0, len(now), 1 << 16):
+        kind, mine = of[lo:lo + (1 << 16)], spread[lo:lo + (1 << 16), None]
+        best = np.where(tied[kind], (at - mine) % k, k).argmin(1)
+        best = np.where(stays[kind], now[lo:lo + (1 << 16)], best)
+        out[lo:lo + (1 << 16)] = np.where(empty[kind], k + 1, best)
     return out
 
+
 def _assign(g: np.ndarray, k: int):
     """The class of each word after a round, and its count, for the blocks that have it."""
     width = k + 2
