@@ -1,8 +1,10 @@
 """Text overlap scores as Spark jobs.
 
-Both n-gram scores are joins of n-gram count tables, not per-row library calls:
-hypothesis and reference texts are exploded into (key, order, gram, count) rows,
-combined map-side, joined on (group, order, gram), clipped with ``least`` and summed.
+Both n-gram scores join one row a text: a text's n-grams of an order are packed as a sorted array of
+64-bit hashes in which the second, third, ... occurrence of a gram is an element of its own, so the
+clipped overlap of two texts is the size of the intersection of two sets. Arrays are packed and
+intersected in Arrow batches; only whole texts are shuffled, and a text's pairs stay rows of their
+own (a group of any size is never held together).
 Stated parameters (these are our definitions, documented in the README):
 
 * character F-score: orders 1..6 over the text with all whitespace removed, beta = 2;
@@ -16,6 +18,10 @@ Stated parameters (these are our definitions, documented in the README):
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,52 +39,107 @@ def edit_distance(a, b) -> Column:
     return F.levenshtein(s(a), s(b))
 
 
-def _char_gram_at(s: Column, n: int):
-    # one-argument lambda: Spark reads a second parameter as the element index
-    return lambda i: F.struct(F.lit(n).alias("_ord"), s.substr(i, F.lit(n)).alias("_gram"))
+_STEP, _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+_HALF = np.uint64(33)
+
 
+def _scramble(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _HALF)) * _ONE
+    x = (x ^ (x >> _HALF)) * _TWO
+    return x ^ (x >> _HALF)
 
-def _word_gram_at(t: Column, n: int):
-    return lambda i: F.struct(F.lit(n).alias("_ord"), F.array_join(F.slice(t, i, F.lit(n)), " ").alias("_gram"))
 
+def multiset(grams: np.ndarray) -> np.ndarray:
+    """A multiset of hashes as a sorted set: further occurrences of a hash get hashes of their own."""
+    x = np.sort(grams)
+    if len(x) < 2:
+        return x
+    at = np.arange(len(x))
+    first = np.concatenate(([True], x[1:] != x[:-1]))
+    if first.all():
+        return x
+    again = at - np.maximum.accumulate(np.where(first, at, 0))
+    return np.sort(np.where(again > 0, _scramble(x + again.astype(np.uint64) * _STEP), x))
 
-def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash-spread the texts by key before an n-gram explosion (about orders x length
-    rows per text): a small or unsplittable input file would otherwise explode in one task."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
 
+def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which elements of one sorted set are in another."""
+    if not len(b):
+        return np.zeros(len(a), bool)
+    return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
 
-def _char_grams(df: DataFrame, keys: list[str], text: str, orders: int) -> DataFrame:
-    # project the cleaned text once: inside the lambdas it must be a column reference,
-    # not an expression that would be re-evaluated for every position
-    df = _spread(df.select(*keys, strip_ws_all(text).alias("_s")), keys)
-    s = F.col("_s")
-    per_order = []
+
+def _packed(symbols: np.ndarray, orders: int) -> tuple[list[int], bytes]:
+    """Sizes of a text's n-gram multisets by order, and the multisets one after another."""
+    sizes, parts, h = [], [], _scramble(symbols + np.uint64(1))
     for n in range(1, orders + 1):
-        idx = F.when(F.length(s) >= n, F.sequence(F.lit(1), F.length(s) - n + 1)).otherwise(F.array().cast("array<int>"))
-        per_order.append(F.transform(idx, _char_gram_at(s, n)))
-    ex = df.select(*keys, F.inline(F.flatten(F.array(*per_order))))
-    return ex.groupBy(*keys, "_ord", "_gram").agg(F.count(F.lit(1)).alias("_cnt"))
+        if n > 1:
+            h = _scramble(h[:-1] * _STEP + symbols[n - 1:]) if len(h) > 1 else h[:0]
+        sizes.append(len(h))
+        parts.append(multiset(h))
+    return sizes, np.concatenate(parts).tobytes()
+
+
+def _code_points(column: pa.Array) -> Iterator[np.ndarray]:
+    for text in column.to_pylist():
+        yield np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _hashes(column: pa.Array) -> Iterator[np.ndarray]:
+    for words in column.to_pylist():
+        yield np.array(words or [], np.int64).view(np.uint64)
+
+
+def _pack(df: DataFrame, keys: list[str], symbols: Column, read: Callable, orders: int, prefix: str) -> DataFrame:
+    """One row a text: its keys, ``<prefix>n`` (sizes by order) and ``<prefix>g`` (packed multisets)."""
+    # spread by key: a small or unsplittable input file would otherwise be packed in one task
+    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.select(*keys, symbols.alias("_s")).repartition(spread, *keys)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys]
+
+    def pack(batches):
+        for batch in batches:
+            rows = [_packed(x, orders) for x in read(batch.column(len(keys)))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(i) for i in range(len(keys))] + [pa.array([n for n, _ in rows], pa.list_(pa.int32())), pa.array([g for _, g in rows], pa.binary())],
+                names=[*keys, f"{prefix}n", f"{prefix}g"])
+
+    return df.mapInArrow(pack, ", ".join([*fields, f"{prefix}n array<int>", f"{prefix}g binary"]))
+
+
+def _sets(sizes: list[int], raw: bytes) -> list[np.ndarray]:
+    x, at = np.frombuffer(raw, np.uint64), np.cumsum([0, *sizes])
+    return [x[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
+def _pairs(hyps: DataFrame, refs: DataFrame, group: str) -> DataFrame:
+    return hyps.join(refs, group)
 
 
 def char_f_score(hyps: DataFrame, refs: DataFrame, group: str, hyp_key: str, ref_key: str, text: str = "text",
                  orders: int = CHAR_ORDERS, beta: float = BETA) -> DataFrame:
     """Best character n-gram F-score of each hypothesis against the references of
-    its group. Returns (group, hyp_key, chrf)."""
-    hg = _char_grams(hyps, [group, hyp_key], text, orders)
-    rg = _char_grams(refs, [group, ref_key], text, orders).withColumnRenamed("_cnt", "_rcnt")
-    match = (hg.join(rg, [group, "_ord", "_gram"])
-               .groupBy(group, hyp_key, ref_key, "_ord").agg(F.sum(F.least("_cnt", "_rcnt")).alias("_m")))
-    ht = hg.groupBy(group, hyp_key, "_ord").agg(F.sum("_cnt").alias("_ht"))
-    rt = rg.groupBy(group, ref_key, "_ord").agg(F.sum("_rcnt").alias("_rt"))
-    grid = ht.join(rt, [group, "_ord"]).join(match, [group, hyp_key, ref_key, "_ord"], "left")
-    m = F.coalesce(F.col("_m"), F.lit(0)).cast("double")
-    p, r = m / F.col("_ht"), m / F.col("_rt")
+    its group. Returns (group, hyp_key, chrf). Keys are unique."""
+    h = _pack(hyps, [group, hyp_key], strip_ws_all(text), _code_points, orders, "h")
+    r = _pack(refs, [group, ref_key], strip_ws_all(text), _code_points, orders, "r").drop(ref_key)
+    pairs = _pairs(h, r, group).select(group, hyp_key, "hn", "hg", "rn", "rg")
     b2 = beta * beta
-    f = F.when(p + r > 0, (1 + b2) * p * r / (b2 * p + r)).otherwise(F.lit(0.0))
-    per_ref = grid.groupBy(group, hyp_key, ref_key).agg((F.avg(f) * 100).alias("_score"))
-    best = per_ref.groupBy(group, hyp_key).agg(F.max("_score").alias("chrf"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields[:2])
+
+    def score(batches):
+        for batch in batches:
+            out = []
+            for hn, hg, rn, rg in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                f = []
+                for a, b in zip(_sets(hn, hg), _sets(rn, rg)):
+                    if len(a) and len(b):
+                        m = int(shared(a, b).sum())
+                        p, q = m / len(a), m / len(b)
+                        f.append((1 + b2) * p * q / (b2 * p + q) if m else 0.0)
+                out.append(100 * sum(f) / len(f) if f else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=[group, hyp_key, "_score"])
+
+    best = pairs.mapInArrow(score, f"{fields}, _score double").groupBy(group, hyp_key).agg(F.max("_score").alias("chrf"))
     return (hyps.select(group, hyp_key).distinct().join(best, [group, hyp_key], "left")
                 .withColumn("chrf", F.coalesce("chrf", F.lit(0.0))))
 
@@ -87,45 +148,74 @@ def _tokens(text: str) -> Column:
     return F.filter(F.split(py_strip(text), WS_CLASS + "+"), lambda x: x != "")
 
 
-def _word_grams(df: DataFrame, keys: list[str], text: str, orders: int) -> DataFrame:
-    df = _spread(df.select(*keys, _tokens(text).alias("_t")), keys)
-    t = F.col("_t")
-    per_order = []
-    for n in range(1, orders + 1):
-        idx = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
-        per_order.append(F.transform(idx, _word_gram_at(t, n)))
-    ex = df.select(*keys, F.inline(F.flatten(F.array(*per_order))))
-    return ex.groupBy(*keys, "_ord", "_gram").agg(F.count(F.lit(1)).alias("_cnt"))
+def _matches(hyps: DataFrame, refs: DataFrame, group: str, hyp_key: str, ref_key: str, text: str, orders: int) -> DataFrame:
+    """(group, hyp_key, m): by order, the hypothesis' n-grams that some reference has as often."""
+    words = F.transform(_tokens(text), lambda w: F.xxhash64(w))
+    h = _pack(hyps, [group, hyp_key], words, _hashes, orders, "h")
+    r = _pack(refs, [group, ref_key], words, _hashes, orders, "r").drop(ref_key)
+    pairs = _pairs(h, r, group).select(group, hyp_key, "hn", "hg", "rn", "rg")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields[:2])
+
+    def found(batches):
+        """Each pair's shared elements as bits, in place of the two arrays."""
+        for batch in batches:
+            bits = [np.packbits(np.concatenate([shared(a, b) for a, b in zip(_sets(hn, hg), _sets(rn, rg))])).tobytes()
+                    for hn, hg, rn, rg in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(3)] + [pa.array(bits, pa.binary())], names=[group, hyp_key, "hn", "bits"])
+
+    def any_reference(batches):
+        """Rows sorted by hypothesis: the union of its bits, one hypothesis at a time."""
+        schema = None
+        last, sizes, bits = None, None, None
+
+        def row():
+            seen = np.unpackbits(bits, count=sum(sizes)).astype(np.int64)
+            at = np.cumsum([0, *sizes])
+            return (*last, [int(seen[a:b].sum()) for a, b in zip(at[:-1], at[1:])])
+
+        for batch in batches:
+            schema = pa.schema([batch.schema.field(0), batch.schema.field(1), ("m", pa.list_(pa.int64()))])
+            done = []
+            for g, k, n, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if (g, k) != last:
+                    if last is not None:
+                        done.append(row())
+                    last, sizes, bits = (g, k), n, np.frombuffer(raw, np.uint8)
+                else:
+                    bits = bits | np.frombuffer(raw, np.uint8)
+            yield from _rows_table(done, schema)
+        if last is not None:
+            yield from _rows_table([row()], schema)
+
+    bits = pairs.mapInArrow(found, f"{fields}, hn array<int>, bits binary")
+    return (bits.repartition(group, hyp_key).sortWithinPartitions(group, hyp_key).mapInArrow(any_reference, f"{fields}, m array<long>"))
+
+
+def _rows_table(rows: list[tuple], schema: pa.Schema):
+    cols = list(zip(*rows)) if rows else [[] for _ in schema]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema).to_batches()
 
 
 def word_ngram_score(hyps: DataFrame, refs: DataFrame, group: str, hyp_key: str, ref_key: str, text: str = "text",
                      orders: int = WORD_ORDERS) -> DataFrame:
-    """Multi-reference clipped word n-gram precision score (see module docstring)."""
-    hg = _word_grams(hyps, [group, hyp_key], text, orders)
-    rg = _word_grams(refs, [group, ref_key], text, orders)
-    rmax = rg.groupBy(group, "_ord", "_gram").agg(F.max("_cnt").alias("_rcnt"))
-    m = (hg.join(rmax, [group, "_ord", "_gram"]).groupBy(group, hyp_key, "_ord").agg(F.sum(F.least("_cnt", "_rcnt")).alias("_m")))
+    """Multi-reference clipped word n-gram precision score (see module docstring). Keys are unique."""
+    m = _matches(hyps, refs, group, hyp_key, ref_key, text, orders)
     hl = hyps.select(group, hyp_key, F.size(_tokens(text)).alias("hlen"))
     rl = refs.select(group, F.size(_tokens(text)).alias("rlen"))
     # closest reference length, ties to the shorter one
     closest = (hl.join(rl, group)
                  .groupBy(group, hyp_key)
                  .agg(F.min_by("rlen", F.struct(F.abs(F.col("rlen") - F.col("hlen")), F.col("rlen"))).alias("rlen")))
-    orders_df = hyps.sparkSession.range(1, orders + 1).select(F.col("id").cast("int").alias("_ord"))
-    per_n = (hl.crossJoin(F.broadcast(orders_df))  # the order list is a parameter
-               .join(m, [group, hyp_key, "_ord"], "left")
-               .withColumn("_t", F.greatest(F.col("hlen") - F.col("_ord") + 1, F.lit(0)))
-               .withColumn("_m", F.coalesce("_m", F.lit(0)).cast("double")))
-    p = F.when(F.col("_ord") == 1, F.when(F.col("_t") > 0, F.col("_m") / F.col("_t"))).otherwise(
-        (F.col("_m") + 1) / (F.col("_t") + 1))
-    agg = per_n.groupBy(group, hyp_key, "hlen").agg(
-        F.sum(F.when(F.col("_ord") == 1, F.col("_m"))).alias("m1"),
-        F.sum(F.log(p)).alias("logsum"))  # log(0) only when m1 = 0, which scores 0 below
-    out = agg.join(closest, [group, hyp_key], "left")
+    out = hl.join(m, [group, hyp_key], "left").join(closest, [group, hyp_key], "left")
+    counts = F.coalesce("m", F.array(*[F.lit(0).cast("long")] * orders))
+    total = lambda n: F.greatest(F.col("hlen") - n + 1, F.lit(0))
+    logs = F.log(F.when(total(1) > 0, F.get(counts, 0) / total(1)))
+    for n in range(2, orders + 1):
+        logs = logs + F.log((F.get(counts, n - 1) + 1) / (total(n) + 1))
     c, r = F.col("hlen").cast("double"), F.col("rlen").cast("double")
     bp = F.when(c > r, F.lit(1.0)).otherwise(F.exp(1 - r / c))
-    score = F.when((F.col("hlen") == 0) | (F.col("m1") == 0) | F.col("rlen").isNull(), F.lit(0.0)).otherwise(
-        100 * bp * F.exp(F.col("logsum") / orders))
+    score = F.when((F.col("hlen") <= 0) | F.col("hlen").isNull() | (F.get(counts, 0) == 0) | F.col("rlen").isNull(), F.lit(0.0)).otherwise(
+        100 * bp * F.exp(logs / orders))
     return out.select(group, hyp_key, score.alias("score"))
 
 
