@@ -1,13 +1,16 @@
 """Token-bounded prompt batches.
 
 Items keep their input order through an exact global rank (no single-task window);
-batch ``k`` holds ranks ``(k-1)*n+1 .. k*n``. A batch is one grouped row of at most
-``n`` items, so the greedy split is an ``aggregate`` fold over that short array:
-no shuffle beyond the one ``groupBy`` on the batch number.
+batch ``k`` holds ranks ``(k-1)*n+1 .. k*n``. The greedy split reads token counts alone, sorted by
+batch and rank: from a chunk's first item the next start is found by a binary search in the running
+sum, so a chunk costs one step, a batch may be of any size and is never held as one row. Texts
+meet their places in one join.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +62,37 @@ def dedup_first(df: DataFrame, key_cols: list[str], order_cols: list[str]) -> Da
     return df.groupBy(*key_cols).agg(best, F.count(F.lit(1)).alias("n_copies")).select(*key_cols, "_first.*", "n_copies")
 
 
+def _chunks(avail: int):
+    """Chunk and position of each (batch_no, rank, tokens, need) row, rows sorted by batch and rank."""
+    schema = pa.schema([("batch_no", pa.int64()), ("rank", pa.int64()), ("chunk", pa.int32()), ("position", pa.int32())])
+
+    def split(batches):
+        current, chunk, taken, position = None, 1, 0, 0  # an Arrow batch may end inside a batch
+        for rows in batches:
+            number, tokens, need = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("batch_no", "tokens", "need"))
+            chunks, positions = np.zeros(len(number), np.int32), np.zeros(len(number), np.int32)
+            edge = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1], [True]))) if len(number) else np.zeros(1, np.int64)
+            for x, y in zip(edge[:-1], edge[1:]):
+                if number[x] != current:
+                    current, chunk, taken, position = number[x], 1, 0, 0
+                run, i, before = np.cumsum(tokens[x:y]), 0, 0
+                while i < y - x:
+                    # as many as fit beside what the chunk has; an empty chunk takes one item of any size
+                    j = int(np.searchsorted(run, avail - taken + before, side="right")) if need[x] else y - x
+                    if j <= i:
+                        if position:
+                            chunk, taken, position = chunk + 1, 0, 0
+                            continue
+                        j = i + 1
+                    chunks[x + i:x + j] = chunk
+                    positions[x + i:x + j] = np.arange(position + 1, position + 1 + j - i)
+                    taken, position = taken + int(run[j - 1]) - before, position + j - i
+                    before, i = int(run[j - 1]), j
+            yield pa.RecordBatch.from_arrays([rows.column("batch_no"), rows.column("rank"), pa.array(chunks), pa.array(positions)], schema=schema)
+
+    return split
+
+
 def pack_batches(items: DataFrame, items_per_batch: int, max_tokens: int, instruction: str,
                  order_cols: list[str] | None = None) -> DataFrame:
     """W3 + X2 + X3 + X4: one row per item with its batch and chunk.
@@ -68,31 +102,16 @@ def pack_batches(items: DataFrame, items_per_batch: int, max_tokens: int, instru
     """
     instr_tokens = len(instruction) // 4
     avail = max_tokens - instr_tokens - SPLIT_RESERVE_TOKENS
-    # only the order columns are ranked (and pinned); the texts are joined back once
+    # only the order columns and token counts are ranked (and pinned); the texts are joined back once
     order = order_cols or ["ord", "id"]
-    ranked = items.join(global_rank(items.select(*order), order, "rank"), order)
+    ranked = global_rank(items.select(*order, item_tokens("text").alias("tokens")), order, "rank")
     ranked = ranked.withColumn("batch_no", ((F.col("rank") - 1) / items_per_batch).cast("long") + 1)
-    ranked = ranked.withColumn("tokens", item_tokens("text"))
-    per_batch = ranked.groupBy("batch_no").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "tokens", "id", "text", "ord"))).alias("items"),
-        F.sum("tokens").alias("_sum"))
-    need = (F.lit(instr_tokens) + F.col("_sum")) > F.lit(max_tokens)
-    init = F.struct(F.lit(1).alias("k"), F.lit(0).cast("long").alias("t"), F.lit(0).alias("p"),
-                    F.array().cast("array<struct<k:int,p:int>>").alias("out"))
-
-    def step(acc, x):
-        split = need & (F.size(acc["out"]) > 0) & ((acc["t"] + x["tokens"]) > F.lit(avail))
-        k = F.when(split, acc["k"] + 1).otherwise(acc["k"])
-        t = F.when(split, x["tokens"]).otherwise(acc["t"] + x["tokens"])
-        p = F.when(split, F.lit(1)).otherwise(acc["p"] + 1)
-        return F.struct(k.alias("k"), t.cast("long").alias("t"), p.alias("p"),
-                        F.array_append(acc["out"], F.struct(k.alias("k"), p.alias("p"))).alias("out"))
-
-    folded = per_batch.withColumn("_fold", F.aggregate("items", init, step))
-    zipped = folded.select("batch_no", F.col("_fold.k").alias("n_chunks"),
-                           F.explode(F.arrays_zip("items", F.col("_fold.out").alias("pos"))).alias("z"))
-    out = zipped.select("batch_no", "n_chunks", "z.items.*", F.col("z.pos.k").alias("chunk"),
-                        F.col("z.pos.p").alias("position"))
+    sums = ranked.groupBy("batch_no").agg(((F.lit(instr_tokens) + F.sum("tokens")) > F.lit(max_tokens)).alias("need"))
+    split = (ranked.select("batch_no", "rank", "tokens").join(sums, "batch_no").repartition("batch_no").sortWithinPartitions("batch_no", "rank")
+             .mapInArrow(_chunks(avail), "batch_no long, rank long, chunk int, position int"))
+    totals = split.groupBy("batch_no").agg(F.max("chunk").alias("n_chunks"))
+    places = ranked.join(split.join(totals, "batch_no"), ["batch_no", "rank"])
+    out = items.join(places, order)
     batch_id = F.when(F.col("n_chunks") == 1, F.col("batch_no").cast("string")).otherwise(
         F.concat_ws("-", F.col("batch_no").cast("string"), F.col("chunk").cast("string")))
     return out.withColumn("batch_id", batch_id).withColumn("was_split", F.col("n_chunks") > 1)

@@ -42,6 +42,15 @@ def test_packing_matches_reference_algorithm(spark):
         assert sorted(tuple(r) for r in got) == ref_pack(items, n, max_tokens, len(instr) // 4)
 
 
+def test_packing_a_batch_of_many_items(spark):
+    """One batch of 30,000 items, over several Arrow batches, some items larger than a chunk."""
+    rnd = random.Random(8)
+    items = [(f"{k:06d}", "x" * rnd.choice([1, 30, 400, 9000])) for k in range(30_000)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(items)], "id string, text string, ord long")
+    got = K.pack_batches(df, 30_000, 2000, "y" * 40).select("id", "batch_id", "position", "was_split").collect()
+    assert sorted(tuple(r) for r in got) == ref_pack(items, 30_000, 2000, 10)
+
+
 def test_prompts_and_collisions(spark):
     df = spark.createDataFrame([("1-2", "a", 0), ("1_2", "b", 1), ("3.4", "c", 2)], "id string, text string, ord long")
     packed = K.pack_batches(df, 5, 10000, "Rate.")
