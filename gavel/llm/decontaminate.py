@@ -12,22 +12,25 @@ shorter than an item is one window, held against the items that are longer than
 2. A fingerprint has BITS bits: the signs of the weighted sums of the shingles' hash bits.
 3. Fingerprints are cut into BITS / 16 blocks. Two fingerprints within ``radius`` bits agree
    in one block but for ``radius // blocks`` bits at most (pigeonhole). The index holds every
-   item under all such variants of each of its blocks, so one lookup a block yields all items
-   within the radius; the full distance is tested next.
+   item under its blocks and their one-bit variants, and a window looks up the variants that the
+   remaining bits allow, so all items within the radius are met; the full distance is tested next.
 4. Candidates are verified by exact weighted Jaccard similarity of the shingle multisets.
 
 The default radius holds pairs of similarity 0.8 (expected distance 19 of 128 bits, standard
 deviation 4) with a probability of 0.998, and equal windows always.
 
-``benchmark`` is a parameter-like table. It goes to the tasks in slices of SLICE_BYTES of
-text at most; a larger benchmark takes one pass over the documents a slice.
+``benchmark`` is a parameter-like table. It goes to the tasks in slices of SLICE_ITEMS items and
+SLICE_BYTES of text at most (an index of 17 MB), fetched one at a time; a larger benchmark takes one
+pass over the documents a slice, each written before the next slice is fetched.
 
 Defined results: null or empty items and documents match nothing; null ids are returned as
 null; repeated rows of a document or item come back once a pair (best similarity, then first
-window); empty tables give no rows. Extra columns are ignored.
+window, then fewest words); documents of any length are read whole; empty tables give no rows. Extra columns, whatever
+their names, are ignored, and kept by ``decontaminate``.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
 from itertools import combinations
@@ -42,7 +45,8 @@ from gavel.llm import _tokens as T
 
 BITS, BLOCK_BITS = 128, 16
 BLOCKS = BITS // BLOCK_BITS
-SLICE_BYTES = 8_000_000
+SLICE_BYTES, SLICE_ITEMS = 8_000_000, 32_000
+PAIRS_AT_ONCE = 1_000_000
 HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int64()),
                   ("n_words", pa.int64()), ("distance", pa.int32())])
 DDL = "doc_id long, item_id long, similarity double, start_word long, n_words long, distance int"
@@ -61,6 +65,15 @@ def fingerprints(grid: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > grid.shape[1], axis=1)
 
 
+def _flips(most: int) -> np.ndarray:
+    """All patterns of up to ``most`` bits of a block."""
+    return np.array([sum(1 << b for b in c) for n in range(most + 1) for c in combinations(range(BLOCK_BITS), n)], np.int64)
+
+
+def _block(prints: np.ndarray, b: int) -> np.ndarray:
+    return prints[:, 2 * b].astype(np.int64) << 8 | prints[:, 2 * b + 1]
+
+
 class Index:
     """Items by the variants of their fingerprints' blocks."""
 
@@ -77,36 +90,40 @@ class Index:
         self.known = np.sort(self.known)
         self.bloom = np.zeros(1 << 22, bool)
         self.bloom[(self.known >> np.uint64(42)).astype(np.int64)] = True
-        prints = np.array([fingerprints(s[None, :])[0] for *_, s in self.items], np.uint8).reshape(-1, BITS // 8)
-        self.prints = prints
+        self.prints = np.zeros((len(self.items), BITS // 8), np.uint8)
+        by_size: dict[int, list[int]] = {}
+        for i, (*_, x) in enumerate(self.items):
+            by_size.setdefault(len(x), []).append(i)
+        for rows in by_size.values():
+            self.prints[rows] = fingerprints(np.stack([self.items[i][2] for i in rows]))
         slack = radius // BLOCKS
-        flips = [0]
-        for n in range(1, slack + 1):
-            flips += [sum(1 << b for b in c) for c in combinations(range(BLOCK_BITS), n)]
-        flips = np.array(flips, np.uint32)
+        held = min(1, slack)  # bits that differ at most: in the index, and in a lookup
+        mine, self.probe = _flips(held), _flips(slack - held)
         self.tables = []
         for b in range(BLOCKS):
-            own = prints[:, 2 * b].astype(np.uint32) << 8 | prints[:, 2 * b + 1]
-            keys = (own[:, None] ^ flips[None, :]).ravel()
-            who = np.repeat(np.arange(len(prints)), len(flips))
-            order = np.argsort(keys, kind="stable")
-            self.tables.append((np.searchsorted(keys[order], np.arange((1 << BLOCK_BITS) + 1)), who[order]))
+            keys = (_block(self.prints, b)[:, None] ^ mine[None, :]).ravel()
+            who = np.repeat(np.arange(len(self.prints), dtype=np.int32), len(mine))
+            at = np.zeros((1 << BLOCK_BITS) + 1, np.int32)
+            np.cumsum(np.bincount(keys, minlength=1 << BLOCK_BITS), out=at[1:])
+            self.tables.append((at, who[np.argsort(keys.astype(np.uint16), kind="stable")]))
+        self.nbytes = self.prints.nbytes + sum(at.nbytes + who.nbytes for at, who in self.tables)
 
     def near(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, item, distance) of all items within the radius of each fingerprint."""
-        found = []
-        for b, (at, who) in enumerate(self.tables):
-            key = marks[:, 2 * b].astype(np.int64) << 8 | marks[:, 2 * b + 1]
-            n = at[key + 1] - at[key]
-            row = np.repeat(np.arange(len(marks)), n)
-            place = np.repeat(at[key] - (np.cumsum(n) - n), n) + np.arange(len(row))
-            found.append(row * len(self.items) + who[place])
-        pair = np.sort(np.concatenate(found))
-        pair = pair[np.concatenate(([True], pair[1:] != pair[:-1]))] if len(pair) else pair
-        row, item = np.divmod(pair, max(1, len(self.items)))
-        far = np.bitwise_count(self.prints[item] ^ marks[row]).sum(axis=1)
-        keep = far <= self.radius
-        return row[keep], item[keep], far[keep]
+        step = max(1, PAIRS_AT_ONCE // max(1, len(self.items)))
+        found = [np.zeros(0, np.int64)]
+        for lo in range(0, len(marks), step):
+            part = marks[lo:lo + step]
+            for b, (at, who) in enumerate(self.tables):
+                key = _block(part, b)[:, None] ^ self.probe[None, :]
+                n = (at[key + 1] - at[key]).ravel()
+                row = np.repeat(np.repeat(np.arange(len(part)), len(self.probe)), n)
+                place = np.repeat(at[key].ravel() - (np.cumsum(n) - n), n) + np.arange(len(row))
+                item = who[place]
+                keep = np.bitwise_count(self.prints[item] ^ part[row]).sum(axis=1) <= self.radius
+                found.append((row[keep] + lo) * len(self.items) + item[keep])
+        row, item = np.divmod(np.unique(np.concatenate(found)), max(1, len(self.items)))
+        return row, item, np.bitwise_count(self.prints[item] ^ marks[row]).sum(axis=1)
 
     def in_benchmark(self, g: np.ndarray) -> np.ndarray:
         hit = self.bloom[(g >> np.uint64(42)).astype(np.int64)]
@@ -200,20 +217,21 @@ def _matcher(items: list[tuple], k: int, threshold: float, radius: int):
     return match
 
 
-def _slices(benchmark: DataFrame) -> list[list[tuple]]:
-    """Distinct (item_id, text) in slices of about SLICE_BYTES of text: one for all but huge benchmarks."""
+def _slices(benchmark: DataFrame) -> Iterator[tuple[list[tuple], bool]]:
+    """Distinct (item_id, text) in bounded slices, one for all but huge benchmarks, and whether more follow."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // SLICE_BYTES)
-    parts = (items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect() for i in range(n))
-    return [sorted(((r.item_id, r.text) for r in part), key=lambda x: (x[0] is None, x[0] or 0, x[1])) for part in parts]
+    size, count = items.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    n = max(-(-(size or 0) // SLICE_BYTES), -(-count // SLICE_ITEMS))
+    for i in range(n):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
+        yield sorted(((r.item_id, r.text) for r in part), key=lambda x: (x[0] is None, x[0] or 0, x[1])), i + 1 < n
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 31) -> DataFrame:
     """One row a (doc_id, item_id) that match: best similarity, its first window, the Hamming distance."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = docs.sparkSession.createDataFrame([], DDL)
-    for items in _slices(benchmark):
+    for items, more in _slices(benchmark):
         match = _matcher(items, k, threshold, radius)
 
         def scan(batches, match=match):
@@ -222,7 +240,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: f
                 rows = [(ids[d], i, -s, w, n, far) for (d, i), (s, w, n, far) in match(t).items()]
                 yield from B.to_table(rows, HITS).to_batches()
 
-        found = found.union(docs.mapInArrow(scan, DDL))
+        hits = docs.mapInArrow(scan, DDL)
+        found = found.union(B.stored(hits) if more else hits)
     order = F.struct((-F.col("similarity")).alias("o"), "start_word", "n_words", "distance")
     return (found.groupBy("doc_id", "item_id").agg(F.min(order).alias("b"))
             .select("doc_id", "item_id", (-F.col("b.o")).alias("similarity"), "b.start_word", "b.n_words", "b.distance"))
@@ -230,7 +249,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: f
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 31) -> DataFrame:
     """The documents that match no item, with all their columns; judged and dropped in one pass a slice."""
-    for items in _slices(benchmark):
+    for items, more in _slices(benchmark):
         match = _matcher(items, k, threshold, radius)
 
         def keep(batches, match=match):
@@ -240,4 +259,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold:
                 yield from t.filter(pa.array(clean)).to_batches()
 
         docs = docs.mapInArrow(keep, docs.schema)
+        docs = B.stored(docs) if more else docs
     return docs
