@@ -130,9 +130,8 @@ def average_rank(df: DataFrame, value: str, out: str, by: list[str] | None = Non
 
 
 def _value_ranks(hist: DataFrame, value: str, out: str, by: list[str]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    counts = hist.groupBy(*by, value).agg(F.sum("_n").alias("_n"))
-    return counts.select(*by, value, (F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2.0).alias(out))
+    counts = hist.groupBy(*by, value).agg(F.sum("_n").alias("n"))
+    return running_sums(counts, value, by).select(*by, value, (F.col("before") + (F.col("n") + 1) / 2.0).alias(out))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
@@ -267,21 +266,32 @@ def exact_percentiles(df: DataFrame, value: str, probs: list[float]) -> DataFram
 
 
 def running_counts(df: DataFrame, value: str, cells: int = 1024) -> DataFrame:
-    """Distinct values with their count ``n`` and the count ``before`` of all smaller ones.
-
-    Values fall into ``cells`` equal ranges; a running sum over the ranges (at most that many
-    rows) and one inside each range replace a sort of all values in one task."""
-    hist = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    ends = hist.agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"))
-    width = F.col("_mx") - F.col("_mn")
-    cell = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_mn")) / width * cells), F.lit(cells - 1))).otherwise(F.lit(0))
-    placed = hist.crossJoin(F.broadcast(ends)).withColumn("_cell", cell.cast("int"))  # one row
-    sums = placed.groupBy("_cell").agg(F.sum("n").alias("_cn"))
-    earlier = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_cell", F.coalesce(F.sum("_cn").over(earlier), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy("_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return (placed.join(F.broadcast(offsets), "_cell")  # at most ``cells`` rows
-            .select(value, "n", (F.col("_off") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("before")))
+    """Distinct values with their count ``n`` and the count ``before`` of all smaller ones."""
+    return running_sums(df.groupBy(value).agg(F.count(F.lit(1)).alias("n")), value, cells=cells)
+
+
+def running_sums(hist: DataFrame, value: str, by: list[str] | None = None, cells: int = 1024) -> DataFrame:
+    """Adds ``before``, the sum of ``n`` over a group's smaller values, to rows of one value each.
+
+    Values fall into ``cells`` ranges cut at their own quantiles, so the ranges hold about as
+    many values each whatever the distribution; a running sum over the ranges (at most that many rows
+    a group) and one inside each range replace a sort of all values in one task. The cuts decide
+    who sorts what, never the result."""
+    by, step = by or [], int(cells ** 0.5)
+    v = F.col(value).cast("double")
+    cuts = hist.agg(F.percentile_approx(v, [i / cells for i in range(1, cells)], 10 * cells).alias("_cuts"))
+    cuts = cuts.select("_cuts", F.expr(f"filter(_cuts, (c, i) -> i % {step} = {step - 1})").alias("_coarse"))  # one row
+    # which cut comes last before the value: a coarse step, then inside it
+    first = F.size(F.filter("_coarse", lambda c: c <= v)) * step
+    placed = hist.crossJoin(F.broadcast(cuts)).withColumn("_at", first)
+    inner = F.size(F.filter(F.slice("_cuts", F.col("_at") + 1, step - 1), lambda c: c <= v))
+    placed = placed.withColumn("_cell", F.col("_at") + inner).drop("_cuts", "_coarse", "_at")
+    sums = placed.groupBy(*by, "_cell").agg(F.sum("n").alias("_cn"))
+    earlier = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*by, "_cell", F.coalesce(F.sum("_cn").over(earlier), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*by, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return (placed.join(offsets if by else F.broadcast(offsets), [*by, "_cell"])  # at most ``cells`` rows without groups
+            .select(*by, value, "n", (F.col("_off") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("before")))
 
 
 def row_mean(cols: list) -> Column:

@@ -21,9 +21,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions.text import WS_CLASS, col_, py_strip, strip_ws_all
 
@@ -32,11 +34,67 @@ BETA = 2.0
 WORD_ORDERS = 4
 
 
+LONG_PAIR = 4_000_000  # cells of the distance matrix beyond which near copies are looked for first
+MOST_EDITS = 1024
+
+
+def few_edits(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """Edit distance of two code point sequences if it is ``most`` at most, by furthest-reaching diagonals.
+
+    With e edits, ``reach`` holds how far each diagonal of the matrix gets; equal code points are free. The work
+    follows the length and the square of the distance, not the product of the lengths.
+    """
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
+        return None
+    a, b = np.append(a.astype(np.int64), -1), np.append(b.astype(np.int64), -2)  # ends that equal nothing
+    width = 2 * most + 3
+    diagonal = np.arange(width) - most - 1  # place in a less place in b
+    reach = np.full(width, -1, np.int64)
+    for e in range(most + 1):
+        if e:
+            near = np.full(width + 2, -n - m - 2, np.int64)
+            near[1:-1] = np.where(reach >= 0, reach, -n - m - 2)
+            reach = np.maximum(np.maximum(near[:-2] + 1, near[1:-1] + 1), near[2:])
+            reach = np.minimum(reach, np.minimum(n, m + diagonal))
+        else:
+            reach[most + 1] = 0
+        live = np.flatnonzero((np.abs(diagonal) <= e) & (reach >= 0) & (reach - diagonal >= 0))
+        reach[np.abs(diagonal) > e] = -1
+        step = 1
+        while len(live):  # each diagonal runs on while code points are equal, in stretches that double
+            if step > 1 and len(live) == 1:
+                x = int(reach[live[0]])
+                y, k = x - int(diagonal[live[0]]), min(step, n - x, m - x + int(diagonal[live[0]]))
+                unequal = np.flatnonzero(a[x:x + k] != b[y:y + k])
+                reach[live[0]] += int(unequal[0]) if len(unequal) else k
+                if len(unequal) or not k:
+                    break
+                step *= 2
+                continue
+            x = reach[live]
+            on = a[x] == b[x - diagonal[live]]
+            live = live[on]
+            reach[live] += 1
+            step = 2 if len(live) == 1 else 1
+        if reach[most + 1 + n - m] >= n:
+            return e
+    return None
+
+
+@F.pandas_udf(IntegerType())
+def _few_edits(a: pd.Series, b: pd.Series) -> pd.Series:
+    points = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return pd.Series([None if x is None or y is None else few_edits(points(x), points(y), MOST_EDITS) for x, y in zip(a, b)], dtype="Int32")
+
+
 def edit_distance(a, b) -> Column:
     """Levenshtein distance on code points; null texts count as the text 'None'
-    (the reference stringifies them)."""
+    (the reference stringifies them). Long pairs up to MOST_EDITS apart cost their length and the square of their
+    distance; only long pairs farther apart fill the whole matrix. All give the same distance."""
     s = lambda c: F.coalesce(col_(c).cast("string"), F.lit("None"))
-    return F.levenshtein(s(a), s(b))
+    long = F.length(s(a)).cast("long") * F.length(s(b)) > LONG_PAIR
+    return F.coalesce(_few_edits(F.when(long, s(a)), F.when(long, s(b))), F.levenshtein(s(a), s(b)))
 
 
 _STEP, _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)

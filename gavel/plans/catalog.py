@@ -133,7 +133,7 @@ from ..functions.templates import apply_instruction_sql  # noqa: E402
 from ..functions.text import norm_answer  # noqa: E402
 from ..operators import chat as C  # noqa: E402
 from ..operators import metrics as M  # noqa: E402
-from ..operators.ordering import positional_split  # noqa: E402
+from ..operators.ordering import global_rank, positional_split  # noqa: E402
 
 CHAT_INSTRUCTION = "Rate the quality of the following text with 0 or 1.\n\nText: %s\n\nAnswer:"
 
@@ -1148,7 +1148,7 @@ SELECT item_id, CAST(d[length(z) + 1] AS INTEGER) AS distance FROM walk WHERE i
 def q_edit_distance(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").where("text is not null")
     order = b.select("item_id", "text")
-    ids = b.select("item_id").withColumn("_r", F.row_number().over(Window.orderBy("item_id")))  # ids of a small table
+    ids = global_rank(b.select("item_id"), ["item_id"], "_r")
     n = ids.agg(F.max("_r").alias("_n"))
     nxt = order.join(ids, "item_id").select(F.col("text").alias("next_text"), F.col("_r").alias("_nr"))
     own = order.join(ids, "item_id").crossJoin(F.broadcast(n))  # one row

@@ -96,13 +96,22 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
     """K1/K2/K5/K6: JSON lines, UTF-8, explicit nulls kept; ``partition_by=['split']``
-    writes train/test folders; ``mode='append'`` adds results as they finish."""
+    writes train/test folders; ``mode='append'`` adds rows as they are (see ``append_results`` for reruns)."""
     w = df.write.mode(mode).option("ignoreNullFields", "false")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.json(path)
 
 
+def append_results(df: DataFrame, path: str, keys: list[str]) -> None:
+    """K5: adds finished results so that a rerun of the same work replaces what it wrote before.
+
+    ``keys`` (a run, a batch) are folders; a write replaces the folders that it has rows for and leaves
+    all others, and a job that fails on its way leaves none."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false")
+       .partitionBy(*keys).json(path))
+
+
 def write_table(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite") -> None:
     """K3: predictions as CSV / TSV with a header."""
     df.write.mode(mode).option("header", True).option("sep", sep).csv(path)

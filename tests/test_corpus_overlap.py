@@ -161,3 +161,37 @@ def test_pair_ratings_long_and_inline_agree(spark):
     inline = {r.pair_id: r.model_preference_score
               for r in RK.pair_ratings_inline(pairs.join(arr, "pair_id"), "replies", 1).collect()}
     assert long == inline == {"p1": 1.0, "p2": 0.25}
+
+
+def test_edit_distance_of_long_near_copies(spark):
+    """Copies of 100,000 characters a few edits apart take seconds; the distance is that of the whole matrix."""
+    import random
+    import time
+    from gavel.operators import overlap as OV
+    rng = random.Random(4)
+    base = "".join(rng.choice("abcdef ") for _ in range(100_000))
+    w = list(base)
+    for at in rng.sample(range(100_000), 40):
+        w[at] = "Z"
+    df = spark.createDataFrame([(base, "".join(w)), (base, base[:-7]), (base, base)], "a string, b string")
+    t = time.time()
+    assert [r.d for r in df.select(OV.edit_distance("a", "b").alias("d")).collect()] == [40, 7, 0]
+    assert time.time() - t < 30
+    rows = [("".join(rng.choice("abcé") for _ in range(rng.randint(0, 200))), "".join(rng.choice("abcé") for _ in range(rng.randint(0, 200)))) for _ in range(60)]
+
+    def full(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            p, d[0] = d[0], i
+            for j, y in enumerate(b, 1):
+                p, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, p + (x != y))
+        return d[-1]
+
+    points = lambda x: __import__("numpy").array([ord(c) for c in x], dtype="int64")
+    for a, b in rows:
+        want = full(a, b)
+        assert OV.few_edits(points(a), points(b), 300) == want and OV.few_edits(points(a), points(b), want) == want
+        assert want == 0 or OV.few_edits(points(a), points(b), want - 1) is None
+        assert OV.few_edits(points(a), points(a[:50] + "x" + a[50:]), 5) == 1
+    got = spark.createDataFrame(rows + [(None, "x"), ("", "")], "a string, b string").select("a", "b", OV.edit_distance("a", "b").alias("d")).collect()
+    assert all(r.d == full("None" if r.a is None else r.a, r.b) for r in got)

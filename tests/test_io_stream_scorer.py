@@ -195,3 +195,46 @@ def test_finished_ids_are_forgotten_in_time(spark, tmp_dir):
         _wave(rdir, f"{k}.json", [("0", f"<idi0><o>{k}</o></idi0>")])
         ST.start_incremental_parse(spark, rdir, _batches(spark, 1), res, ck, forget_seconds=0.001).awaitTermination()
     assert sorted(r.output for r in ST.results(spark, res).collect()) == ["0", "1"]
+
+
+def test_calls_under_way_and_their_limit(spark):
+    """Twenty slow calls of one partition take the time of one; calls that hang or raise lose no row."""
+    import time
+
+    def slow(p):
+        import time
+        if p == "hang":
+            time.sleep(30)
+        if p == "bad":
+            raise TimeoutError("its own")
+        time.sleep(1.5)
+        return p.upper()
+
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(20)], "id int, prompt string")
+    df.coalesce(1).count()
+    t = time.time()
+    got = Y.apply_scorer(df, slow, wait_seconds=0, partitions=1, in_flight=20).collect()
+    assert time.time() - t < 15 and [r.id for r in got] == sorted(r.id for r in got) or {r.id for r in got} == set(range(20))
+    assert {(r.id, r.response) for r in got} == {(i, f"P{i}") for i in range(20)}
+    df = spark.createDataFrame([(i, ["ok", "hang", "bad"][i % 3]) for i in range(9)], "id int, prompt string")
+    t = time.time()
+    got = {r.id: r for r in Y.apply_scorer(df, slow, retries=2, wait_seconds=0, partitions=1, in_flight=9, timeout_seconds=3).collect()}
+    assert time.time() - t < 25 and set(got) == set(range(9))
+    assert all(got[i].response == "OK" and got[i].attempts == 1 for i in (0, 3, 6))
+    assert all(got[i].error == "TimeoutError: no answer within 3 s" and got[i].attempts == 2 for i in (1, 4, 7))
+    assert all(got[i].error == "TimeoutError: its own" for i in (2, 5, 8))
+
+
+def test_rerun_of_a_failed_append_has_each_id_once(spark, tmp_dir):
+    from pyspark.sql import functions as F
+    out = os.path.join(tmp_dir, "results")
+    IO.append_results(spark.range(5).selectExpr("'run0' AS run", "0 AS batch", "id", "cast(NULL AS string) AS output"), out, ["run", "batch"])
+    work = spark.range(0, 100, 1, 4).selectExpr("'run1' AS run", "id div 10 AS batch", "id", "cast(id AS string) AS output")
+    broken = work.withColumn("output", F.when(F.col("id") == 99, F.raise_error(F.lit("lost"))).otherwise(F.col("output")))
+    with pytest.raises(Exception, match="lost"):
+        IO.append_results(broken, out, ["run", "batch"])
+    for _ in range(2):  # the rerun, and one more
+        IO.append_results(work, out, ["run", "batch"])
+    back = spark.read.json(out)
+    assert sorted(r.id for r in back.where("run = 'run1'").collect()) == list(range(100))
+    assert back.where("run = 'run0'").count() == 5

@@ -123,3 +123,29 @@ def test_correlations_per_model(spark):
         assert abs(sp[m][0] - _pearson(_avg_ranks([a for a, _ in x]), _avg_ranks([b for _, b in x]))) < 1e-9 and sp[m][1] == 100
         y = [(r[1], r[3]) for r in rows if r[0] == m and r[3] is not None]
         assert abs(pe[m, "b"][0] - _pearson([a for a, _ in y], [b for _, b in y])) < 1e-9 and pe[m, "b"][1] == len(y)
+
+
+def test_running_sums_of_a_skewed_distribution(spark):
+    """Lognormal values and one far outlier: exact sums, and no range holds many more values than another."""
+    import random
+    from collections import Counter
+    from pyspark.sql import functions as F
+    rng = random.Random(2)
+    values = [round(rng.lognormvariate(0, 3), 3) for _ in range(20_000)] + [1e18, -5.0]
+    df = spark.createDataFrame([(v, "ab"[i % 2]) for i, v in enumerate(values)], "v double, g string")
+    got = {r.v: (r.n, r.before) for r in M.running_counts(df, "v").collect()}
+    want, seen = {}, 0
+    for v, n in sorted(Counter(values).items()):
+        want[v], seen = (n, seen), seen + n
+    assert got == want
+    plan = M.running_sums(df.groupBy("v").agg(F.count("*").alias("n")), "v", cells=64)
+    assert plan.count() == len(want)
+    cuts = df.select("v").distinct().agg(F.percentile_approx("v", [i / 64 for i in range(1, 64)], 640).alias("c")).first().c
+    sizes = Counter(sum(c <= v for c in cuts) for v in want)
+    assert max(sizes.values()) <= 2 * len(want) / 64
+    per = {(r.g, r.v): r.before for r in M.running_sums(df.groupBy("g", "v").agg(F.count("*").alias("n")), "v", ["g"]).collect()}
+    for g in "ab":
+        seen = 0
+        for v, n in sorted(Counter(v for i, v in enumerate(values) if "ab"[i % 2] == g).items()):
+            assert per[g, v] == seen
+            seen += n
