@@ -19,7 +19,9 @@ joins of rows with their source's figures are salted.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last;
 equal ranks (repeated doc_ids) go by size; documents of size 0 take 0; an empty table gives
-no rows. Extra columns are ignored.
+no rows; a long text only has a large size. Extra columns, whatever their names, are ignored.
+One row a source goes through one task (the level of the water filling): sources are names of
+corpora, thousands at most.
 """
 from __future__ import annotations
 

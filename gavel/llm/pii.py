@@ -8,7 +8,9 @@ address carries user data before an at-sign) and ``account`` (a cue such as ``ib
 points, end exclusive; of one kind they don't overlap, of different kinds they may.
 
 Defined results: a null or empty text has no spans (redacted text: null stays null). Repeated
-rows give a row each; extra columns are ignored by ``find_pii`` and kept by ``redact``.
+rows give a row each. Texts of any length are read whole. An empty table gives no rows. Of matches of
+a kind that overlap the leftmost stays. Extra columns, whatever their names, are ignored by
+``find_pii`` and kept by ``redact``.
 """
 from __future__ import annotations
 

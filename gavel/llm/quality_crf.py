@@ -11,7 +11,9 @@ don't blur the model. Decoding (Viterbi) reads every line of every document.
 
 Defined results: null text is like empty text: no words, ``base_failed``, not kept. Lines
 without a word are skipped. Without labels of both kinds every line is content. Repeated
-rows give a row each; extra columns are ignored (``labels`` needs doc_id and quality).
+rows give a row each; of equally good line labellings Viterbi takes content last. Texts of any length are
+labelled whole. An empty table gives no rows. Extra columns, whatever their names, are ignored, and kept
+by ``keep_good`` (``labels`` needs doc_id and quality).
 """
 from __future__ import annotations
 

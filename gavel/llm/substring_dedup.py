@@ -20,7 +20,7 @@ not of rows per window. Texts are shuffled once, into blocks, and that exchange
 Defined results: a null text has no words; a null doc_id comes after all others (such rows
 don't remove from each other); a repeated doc_id isn't smaller than itself, so rows that
 share one keep what they share; fewer than ``min_words`` words: nothing is removed. Extra
-columns are ignored. An empty table gives no rows.
+columns, whatever their names, are ignored. An empty table gives no rows. A text of any length is read whole.
 """
 from __future__ import annotations
 

@@ -13,7 +13,9 @@ once a node; a task maps it and touches only the pages it probes. A list beyond
 Host: after the first ``://`` up to ``/ ? #`` or the end, A-Z lower-cased; path: from there
 up to ``? #`` or the end. Defined results: a null URL or one without ``://`` has an empty host
 and path and fits no entry; a URL without a path fits no entry either; empty lists allow all;
-repeated list entries count once; repeated pages give a row each. Extra columns are ignored.
+repeated list entries count once; repeated pages give a row each; of entries that fit the longest is
+reported. URLs of any length are read whole. An empty table gives no rows. Extra columns, whatever
+their names, are ignored.
 """
 from __future__ import annotations
 
@@ -27,7 +29,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_BYTES = 512_000_000
+MAX_BYTES = 64_000_000  # of strings; the driver holds them while it writes the file
 JUDGED = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("hits", pa.list_(pa.string()))])
 KEYS = pa.schema([("row", pa.int64()), ("digest", pa.int64()), ("entry", pa.string())])
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
