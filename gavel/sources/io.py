@@ -18,26 +18,48 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str,
     and an explicit null stay distinguishable: ``<col>__present`` says whether the key
     exists. Strict mode fails the job on the first line that is no JSON object.
     """
-    st = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    raw = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("_file"))
+    raw, is_obj, cols = _json_lines(spark, path, schema)
     raw = raw.filter(F.length(py_strip("value")) > 0)
-    v = F.try_parse_json("value")
-    is_obj = v.isNotNull() & (F.schema_of_variant(v).startswith("OBJECT"))
     if strict:
-        v = F.when(is_obj, v).otherwise(F.raise_error(F.concat(F.lit("malformed line: "), "value")))
+        v = F.when(is_obj, F.try_parse_json("value")).otherwise(F.raise_error(F.concat(F.lit("malformed line: "), "value")))
         good = raw.withColumn("_v", v)
         bad = raw.limit(0).select("value", "_file")
     else:
-        parsed = raw.withColumn("_v", v).withColumn("_ok", is_obj)
+        parsed = raw.withColumn("_v", F.try_parse_json("value")).withColumn("_ok", is_obj)
         bad = parsed.filter(~F.col("_ok")).select("value", "_file")
         good = parsed.filter(F.col("_ok"))
+    return good.select(*cols, "_file"), bad
+
+
+def _json_lines(spark: SparkSession, path: str, schema: T.StructType | str):
+    """Lines with their file, whether a line is a JSON object, and the schema's columns of its variant ``_v``."""
+    st = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    raw = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("_file"))
+    v = F.try_parse_json("value")
     cols = []
     for f in st.fields:
         path_ = "$." + f.name if f.name.isidentifier() else f"$['{f.name}']"
         present = F.variant_get(F.col("_v"), path_, "variant").isNotNull()
         cols.append(F.try_variant_get(F.col("_v"), path_, f.dataType.simpleString()).alias(f.name))
         cols.append(present.alias(f"{f.name}__present"))
-    return good.select(*cols, "_file"), bad
+    return raw, v.isNotNull() & (F.schema_of_variant(v).startswith("OBJECT")), cols
+
+
+def split_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, out: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """S1 with its counts from the one scan: writes good and bad lines to folders of ``out`` (Parquet) in one job and
+    returns (good, bad, {"lines", "good", "bad", "blank"}). Columns as in ``read_jsonl``."""
+    from pyspark.sql import Observation
+    raw, is_obj, cols = _json_lines(spark, path, schema)
+    kind = F.when(F.length(py_strip("value")) == 0, "blank").when(is_obj, "good").otherwise("bad")
+    seen = Observation("lines")
+    lines = raw.withColumn("_kind", kind).withColumn("_v", F.try_parse_json("value")).observe(
+        seen, F.count(F.lit(1)).alias("lines"), *[F.count_if(F.col("_kind") == k).alias(k) for k in ("good", "bad", "blank")])
+    text = F.when(F.col("_kind") == "bad", F.col("value")).alias("value")
+    (lines.where("_kind <> 'blank'").select(F.struct(*cols).alias("row"), text, "_file", "_kind")
+        .write.mode("overwrite").partitionBy("_kind").parquet(out))
+    back = spark.read.schema(lines.select(F.struct(*cols).alias("row"), text, "_file", "_kind").schema).parquet(out)
+    return (back.where("_kind = 'good'").select("row.*", "_file"), back.where("_kind = 'bad'").select("value", "_file"),
+            {k: int(n) for k, n in seen.get.items()})
 
 
 def read_any(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:

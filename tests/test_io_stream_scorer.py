@@ -25,6 +25,22 @@ def test_read_jsonl_lenient_and_strict(spark, tmp_dir):
         IO.read_jsonl(spark, p, "id string, s string, n int", strict=True)[0].collect()
 
 
+def test_split_jsonl_counts_in_one_scan(spark, tmp_dir):
+    p = os.path.join(tmp_dir, "in.jsonl")
+    lines = ['{"id": "1", "n": 3}', "", "{bad", '{"id": null}', "  ", "[1]", '{"n": 4}']
+    with open(p, "w") as f:
+        f.write("\n".join(lines) + "\n")
+    good, bad, counts = IO.split_jsonl(spark, p, "id string, n int", os.path.join(tmp_dir, "out"))
+    assert counts == {"lines": 7, "good": 3, "bad": 2, "blank": 2}
+    want, rest = IO.read_jsonl(spark, p, "id string, n int")
+    assert good.columns == want.columns and sorted(map(str, good.collect())) == sorted(map(str, want.collect()))
+    assert sorted(r.value for r in bad.collect()) == sorted(r.value for r in rest.collect()) == ["[1]", "{bad"]
+    empty = os.path.join(tmp_dir, "empty.jsonl")
+    open(empty, "w").close()
+    good, bad, counts = IO.split_jsonl(spark, empty, "id string", os.path.join(tmp_dir, "none"))
+    assert good.count() == bad.count() == 0 and counts == {"lines": 0, "good": 0, "bad": 0, "blank": 0}
+
+
 def test_read_any_and_sinks(spark, tmp_dir):
     df = spark.createDataFrame([("a", None, "train"), ("b", 1, "test")], "k string, v int, split string")
     out = os.path.join(tmp_dir, "out")
