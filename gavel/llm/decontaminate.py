@@ -12,15 +12,16 @@ shorter than an item is one window, held against the items that are longer than
 2. A fingerprint has BITS bits: the signs of the weighted sums of the shingles' hash bits.
 3. Fingerprints are cut into BITS / 16 blocks. Two fingerprints within ``radius`` bits agree
    in one block but for ``radius // blocks`` bits at most (pigeonhole). The index holds every
-   item under its blocks and their one-bit variants, and a window looks up the variants that the
-   remaining bits allow, so all items within the radius are met; the full distance is tested next.
+   item under the variants of its blocks with as many of these bits flipped as INDEX_BYTES allow, and a
+   window looks up the variants that the other bits allow, so all items within the radius are met; the
+   full distance is tested next.
 4. Candidates are verified by exact weighted Jaccard similarity of the shingle multisets.
 
 The default radius holds pairs of similarity 0.8 (expected distance 19 of 128 bits, standard
 deviation 4) with a probability of 0.998, and equal windows always.
 
 ``benchmark`` is a parameter-like table. It goes to the tasks in slices of SLICE_ITEMS items and
-SLICE_BYTES of text at most (an index of 17 MB), fetched one at a time; a larger benchmark takes one
+SLICE_BYTES of text at most (an index of INDEX_BYTES), fetched one at a time; a larger benchmark takes one
 pass over the documents a slice, each written before the next slice is fetched.
 
 Defined results: null or empty items and documents match nothing; null ids are returned as
@@ -46,7 +47,7 @@ from gavel.llm import _tokens as T
 BITS, BLOCK_BITS = 128, 16
 BLOCKS = BITS // BLOCK_BITS
 SLICE_BYTES, SLICE_ITEMS = 8_000_000, 32_000
-PAIRS_AT_ONCE = 1_000_000
+PAIRS_AT_ONCE, INDEX_BYTES = 1_000_000, 32_000_000
 HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int64()),
                   ("n_words", pa.int64()), ("distance", pa.int32())])
 DDL = "doc_id long, item_id long, similarity double, start_word long, n_words long, distance int"
@@ -97,7 +98,8 @@ class Index:
         for rows in by_size.values():
             self.prints[rows] = fingerprints(np.stack([self.items[i][2] for i in rows]))
         slack = radius // BLOCKS
-        held = min(1, slack)  # bits that differ at most: in the index, and in a lookup
+        # of the bits that may differ, the index holds as many as its bytes allow; a lookup does the rest
+        held = max([h for h in range(slack + 1) if len(self.items) * len(_flips(h)) * BLOCKS * 4 <= INDEX_BYTES], default=0)
         mine, self.probe = _flips(held), _flips(slack - held)
         self.tables = []
         for b in range(BLOCKS):
