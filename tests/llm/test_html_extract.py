@@ -138,3 +138,24 @@ def test_query_on_the_smallest_table(spark):
         inside = re.search(r"<article>(.*)</article>", html[r.page_id], re.S)[1]
         want = [" ".join(unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split("</?(?:p|h1)>", inside)]
         assert r.text == "\n".join(b for b in want if b) and r.n_chars == len(r.text)
+
+
+def test_results_do_not_depend_on_how_a_host_is_dealt(spark):
+    """Passages on about half (loose) or three quarters (marked) of a host's pages: some shards have more of them, some fewer."""
+    rng = random.Random(5)
+    notes = [prose(5000 + j, 12) for j in range(8)]
+    data = []
+    for i in range(300):
+        some = "".join(f"<p>{notes[j]}</p>" for j in range(8) if rng.random() < 0.47 + 0.01 * j)
+        marked = "".join(f"<p>{notes[j]}</p>" for j in range(8) if rng.random() < 0.72 + 0.01 * j)
+        html = f"<p>{prose(i, 30)}</p>{some}" if i % 2 else f"<article><p>{prose(i, 30)}</p>{marked}</article>"
+        data.append((i, f"http://{'odd' if i % 2 else 'even'}.example/{i}", html, "", 0))
+    data += [(1000 + i, data[7][1], data[7][2], "", 0) for i in range(200)]  # copies of one page count once
+    df = spark.createDataFrame(data, PAGES)
+    whole = {}
+    for host in ("odd", "even"):
+        rows = [d for d in data if host in d[1]]
+        whole |= dict(zip((d[0] for d in rows), H.host_texts([d[2] for d in rows])))
+    assert any(n in t for n in notes for t in whole.values()) and not all(any(n in t for t in whole.values()) for n in notes)
+    for shard_bytes in (10**8, 40_000, 4_000):
+        assert {r.page_id: r.text for r in H.main_text(df, shard_bytes).collect()} == whole
