@@ -1,10 +1,10 @@
 """Text overlap scores as Spark jobs.
 
-Both n-gram scores join one row a text: a text's n-grams of an order are packed as a sorted array of
-64-bit hashes in which the second, third, ... occurrence of a gram is an element of its own, so the
-clipped overlap of two texts is the size of the intersection of two sets. Arrays are packed and
-intersected in Arrow batches; only whole texts are shuffled, and a text's pairs stay rows of their
-own (a group of any size is never held together).
+Both n-gram scores join the texts (or their words' hashes) themselves and pack them where the pairs are scored: a
+text's n-grams of an order are a sorted array of 64-bit hashes in which the second, third, ... occurrence of a gram
+is an element of its own, so the clipped overlap of two texts is the size of the intersection of two sets. Packed
+arrays are many times the text, so they are never shuffled; a task keeps the last ones, up to PACKED_BYTES, as a
+text's pairs follow each other. Pairs stay rows of their own (a group of any size is never held together).
 Stated parameters (these are our definitions, documented in the README):
 
 * character F-score: orders 1..6 over the text with all whitespace removed, beta = 2;
@@ -18,7 +18,8 @@ Stated parameters (these are our definitions, documented in the README):
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import OrderedDict
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,7 @@ from ..functions.text import WS_CLASS, col_, py_strip, strip_ws_all
 CHAR_ORDERS = 6
 BETA = 2.0
 WORD_ORDERS = 4
+PACKED_BYTES = 64_000_000
 
 
 LONG_PAIR = 4_000_000  # cells of the distance matrix beyond which near copies are looked for first
@@ -127,69 +129,66 @@ def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
 
 
-def _packed(symbols: np.ndarray, orders: int) -> tuple[list[int], bytes]:
-    """Sizes of a text's n-gram multisets by order, and the multisets one after another."""
-    sizes, parts, h = [], [], _scramble(symbols + np.uint64(1))
+def _multisets(symbols: np.ndarray, orders: int) -> list[np.ndarray]:
+    """A text's n-gram multisets by order."""
+    out, h = [], _scramble(symbols + np.uint64(1))
     for n in range(1, orders + 1):
         if n > 1:
             h = _scramble(h[:-1] * _STEP + symbols[n - 1:]) if len(h) > 1 else h[:0]
-        sizes.append(len(h))
-        parts.append(multiset(h))
-    return sizes, np.concatenate(parts).tobytes()
+        out.append(multiset(h))
+    return out
 
 
-def _code_points(column: pa.Array) -> Iterator[np.ndarray]:
-    for text in column.to_pylist():
-        yield np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
-def _hashes(column: pa.Array) -> Iterator[np.ndarray]:
-    for words in column.to_pylist():
-        yield np.array(words or [], np.int64).view(np.uint64)
+def _hashes(words: list[int]) -> np.ndarray:
+    return np.array(words, np.int64).view(np.uint64)
 
 
-def _pack(df: DataFrame, keys: list[str], symbols: Column, read: Callable, orders: int, prefix: str) -> DataFrame:
-    """One row a text: its keys, ``<prefix>n`` (sizes by order) and ``<prefix>g`` (packed multisets)."""
-    # spread by key: a small or unsplittable input file would otherwise be packed in one task
-    spread = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df = df.select(*keys, symbols.alias("_s")).repartition(spread, *keys)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keys]
+class Packer:
+    """Multisets by order of the texts last seen, up to PACKED_BYTES in all."""
 
-    def pack(batches):
-        for batch in batches:
-            rows = [_packed(x, orders) for x in read(batch.column(len(keys)))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(len(keys))] + [pa.array([n for n, _ in rows], pa.list_(pa.int32())), pa.array([g for _, g in rows], pa.binary())],
-                names=[*keys, f"{prefix}n", f"{prefix}g"])
-
-    return df.mapInArrow(pack, ", ".join([*fields, f"{prefix}n array<int>", f"{prefix}g binary"]))
+    def __init__(self, read: Callable, orders: int):
+        self.read, self.orders, self.kept, self.size = read, orders, OrderedDict(), 0
 
+    def sets(self, text) -> list[np.ndarray]:
+        key = text if isinstance(text, str) else tuple(text)
+        if key in self.kept:
+            self.kept.move_to_end(key)
+            return self.kept[key]
+        out = _multisets(self.read(text), self.orders)
+        self.kept[key] = out
+        self.size += sum(x.nbytes for x in out)
+        while self.size > PACKED_BYTES and len(self.kept) > 1:
+            self.size -= sum(x.nbytes for x in self.kept.popitem(last=False)[1])
+        return out
 
-def _sets(sizes: list[int], raw: bytes) -> list[np.ndarray]:
-    x, at = np.frombuffer(raw, np.uint64), np.cumsum([0, *sizes])
-    return [x[a:b] for a, b in zip(at[:-1], at[1:])]
 
+def _pairs(hyps: DataFrame, refs: DataFrame, group: str, hyp_key: str, symbols: Column) -> DataFrame:
+    """(group, hyp_key, h, r): the symbols of each hypothesis and of each reference of its group.
 
-def _pairs(hyps: DataFrame, refs: DataFrame, group: str) -> DataFrame:
-    return hyps.join(refs, group)
+    Both sides are shuffled by group: a small or unsplittable input would otherwise be scored in one task."""
+    h = hyps.select(group, hyp_key, symbols.alias("h"))
+    return h.join(refs.select(group, symbols.alias("r")).hint("merge"), group).select(group, hyp_key, "h", "r")
 
 
 def char_f_score(hyps: DataFrame, refs: DataFrame, group: str, hyp_key: str, ref_key: str, text: str = "text",
                  orders: int = CHAR_ORDERS, beta: float = BETA) -> DataFrame:
     """Best character n-gram F-score of each hypothesis against the references of
     its group. Returns (group, hyp_key, chrf). Keys are unique."""
-    h = _pack(hyps, [group, hyp_key], strip_ws_all(text), _code_points, orders, "h")
-    r = _pack(refs, [group, ref_key], strip_ws_all(text), _code_points, orders, "r").drop(ref_key)
-    pairs = _pairs(h, r, group).select(group, hyp_key, "hn", "hg", "rn", "rg")
+    pairs = _pairs(hyps, refs, group, hyp_key, F.coalesce(strip_ws_all(text), F.lit("")))
     b2 = beta * beta
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields[:2])
 
     def score(batches):
+        packer = Packer(_code_points, orders)
         for batch in batches:
             out = []
-            for hn, hg, rn, rg in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+            for hyp, ref in zip(batch.column(2), batch.column(3)):
                 f = []
-                for a, b in zip(_sets(hn, hg), _sets(rn, rg)):
+                for a, b in zip(packer.sets(hyp.as_py()), packer.sets(ref.as_py())):
                     if len(a) and len(b):
                         m = int(shared(a, b).sum())
                         p, q = m / len(a), m / len(b)
@@ -208,18 +207,21 @@ def _tokens(text: str) -> Column:
 
 def _matches(hyps: DataFrame, refs: DataFrame, group: str, hyp_key: str, ref_key: str, text: str, orders: int) -> DataFrame:
     """(group, hyp_key, m): by order, the hypothesis' n-grams that some reference has as often."""
-    words = F.transform(_tokens(text), lambda w: F.xxhash64(w))
-    h = _pack(hyps, [group, hyp_key], words, _hashes, orders, "h")
-    r = _pack(refs, [group, ref_key], words, _hashes, orders, "r").drop(ref_key)
-    pairs = _pairs(h, r, group).select(group, hyp_key, "hn", "hg", "rn", "rg")
+    words = F.coalesce(F.transform(_tokens(text), lambda w: F.xxhash64(w)), F.array().cast("array<long>"))
+    pairs = _pairs(hyps, refs, group, hyp_key, words)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields[:2])
 
     def found(batches):
-        """Each pair's shared elements as bits, in place of the two arrays."""
+        """Each pair's shared elements as bits, in place of the two texts."""
+        packer = Packer(_hashes, orders)
         for batch in batches:
-            bits = [np.packbits(np.concatenate([shared(a, b) for a, b in zip(_sets(hn, hg), _sets(rn, rg))])).tobytes()
-                    for hn, hg, rn, rg in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(3)] + [pa.array(bits, pa.binary())], names=[group, hyp_key, "hn", "bits"])
+            sizes, bits = [], []
+            for hyp, ref in zip(batch.column(2), batch.column(3)):
+                h, r = packer.sets(hyp.as_py()), packer.sets(ref.as_py())
+                sizes.append([len(a) for a in h])
+                bits.append(np.packbits(np.concatenate([shared(a, b) for a, b in zip(h, r)])).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.list_(pa.int32())), pa.array(bits, pa.binary())],
+                                             names=[group, hyp_key, "hn", "bits"])
 
     def any_reference(batches):
         """Rows sorted by hypothesis: the union of its bits, one hypothesis at a time."""

@@ -195,3 +195,27 @@ def test_edit_distance_of_long_near_copies(spark):
         assert OV.few_edits(points(a), points(a[:50] + "x" + a[50:]), 5) == 1
     got = spark.createDataFrame(rows + [(None, "x"), ("", "")], "a string, b string").select("a", "b", OV.edit_distance("a", "b").alias("d")).collect()
     assert all(r.d == full("None" if r.a is None else r.a, r.b) for r in got)
+
+
+def test_packed_multisets_are_not_shuffled(spark):
+    """Packed arrays are made where pairs are scored: no exchange carries a binary as large as they are."""
+    from gavel.operators import overlap as OV
+    hyps = spark.createDataFrame([(1, 0, "abc def " * 50)], "g long, k long, text string")
+    refs = spark.createDataFrame([(1, 1, "abc dex " * 50)], "g long, r long, text string")
+    packer = OV.Packer(OV._code_points, OV.CHAR_ORDERS)
+    packed = sum(x.nbytes for x in packer.sets("abcdef" * 50))
+    assert packed > 20 * 300
+    for df in (OV.char_f_score(hyps, refs, "g", "k", "r"), OV.word_ngram_score(hyps, refs, "g", "k", "r")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        below = plan[plan.index("SortMergeJoin [g"):] if "SortMergeJoin [g" in plan else plan
+        assert "hg#" not in plan and "rg#" not in plan and "Join" in below
+
+
+def test_kept_multisets_are_bounded(monkeypatch):
+    from gavel.operators import overlap as OV
+    monkeypatch.setattr(OV, "PACKED_BYTES", 10_000)
+    packer = OV.Packer(OV._code_points, OV.CHAR_ORDERS)
+    for i in range(200):
+        want = OV._multisets(OV._code_points(f"text {i} " * 8), OV.CHAR_ORDERS)
+        assert all((a == b).all() for a, b in zip(packer.sets(f"text {i} " * 8), want))
+    assert packer.size <= 10_000 and len(packer.kept) < 10
