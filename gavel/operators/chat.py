@@ -113,14 +113,30 @@ AB_REWRITE_RULES = [
 # --- end of fixed values ------------------------------------------------------------
 
 
+# What a text must hold, in small letters, for a rule to match (same order as the rules). No rule makes a digit, or any
+# of these words or joins, so the text before the first rule tells; a rule that can't match changes nothing.
+_RULE_NEEDS = [
+    ["1)"], ["2)"], ["1."], ["2."], ["option", "1"], ["option", "2"], ["sentence", "1"], ["sentence", "2"], ["1"], ["2"],
+    ["answer with only", "number", "1"], ["answer with only", "number", "1"], ["answer with only", "number", "1"],
+    ["answer with only", "number", "1"], ["select", "1", "2"], ["choose", "1", "2"], ["answer", "1"], ["answer", "2"],
+    ["answer", "1", "2"], ["pick", "1", "2"], ["number", "1", "2"], ["number", "1", "2"], ["number", "1"],
+    ["your answer", "only"], ["respond with only"], ["(1)"], ["(2)"], ["answer", "only)"], ["(1"], ["2)"], ["(1", "2)"],
+]
+
+
 def ab_user_text(c) -> Column:
-    """The ordered rewrite list over one text column, rule after rule, none skipped.
+    """The ordered rewrite list over one text column, rule after rule.
 
-    Plain nested ``regexp_replace``: each step reads the one before once."""
+    A rule runs where the text holds what its match would hold; elsewhere it would change nothing. Java's
+    case-insensitive letters include the dotted and dotless i, the long s and the Kelvin sign."""
     t = col_(c).cast("string")
-    for pattern, repl in AB_REWRITE_RULES:
-        t = F.regexp_replace(t, pattern, repl)
-    return t
+    small = F.lower(F.translate(t, "\u0130\u0131\u017f\u212a", "iisk"))
+    rules = F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(r).alias("repl"), F.array(*map(F.lit, need)).alias("need"))
+                      for (p, r), need in zip(AB_REWRITE_RULES, _RULE_NEEDS, strict=True)])
+    bound = F.transform(F.array(F.struct(t.alias("t"), small.alias("small"))), lambda x: F.aggregate(
+        F.filter(rules, lambda rule: F.forall(rule["need"], lambda n: F.contains(x["small"], n))),
+        x["t"], lambda now, rule: F.regexp_replace(now, rule["pattern"], rule["repl"])))
+    return bound[0]
 
 
 def ab_answer(c) -> Column:

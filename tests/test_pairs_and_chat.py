@@ -208,3 +208,21 @@ def test_large_groups_join_about_what_qualifies(spark):
     total, good = joined.selectExpr("1").count(), P.candidate_pairs(df, 0.9, block_rows=100).count()
     assert 0.004 < good / (n * n / 2) < 0.02 and total < 2.5 * good
     assert max(r["count"] for side in (low, high) for r in side.groupBy(*on).count().collect()) <= 2 * P.BLOCK
+
+
+def test_rules_that_can_not_match_change_nothing(spark):
+    """Random joins of rule phrases, their pieces and Java's extra letters: as the plain chain of all rules."""
+    import random
+
+    from pyspark.sql import functions as F
+    rng = random.Random(3)
+    pieces = ["1", "2", "1)", "2.", " ", "\n", ":", "(", ")", "A", "b", " or ", " only", "Option ", "optıon", "ſentence 1", "Anſwer 1 or 2",
+              "pİcK 1 or 2", "Answer with only the number ", "(1 or 2)", "Select ", "Choose ", "number ", "the ", "letter", "Your answer (letter only):",
+              "respond with only a OR B:", "Answer: (", "Æ", "x", "Σ", "1 or B", "A or 2"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 12))) for _ in range(1500)] + [None, ""]
+    assert len(C._RULE_NEEDS) == len(C.AB_REWRITE_RULES)
+    plain = F.col("t")
+    for pattern, repl in C.AB_REWRITE_RULES:
+        plain = F.regexp_replace(plain, pattern, repl)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(C.ab_user_text("t").alias("got"), plain.alias("want")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows]
