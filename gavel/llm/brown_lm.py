@@ -49,6 +49,7 @@ from gavel.llm import _tokens as T
 
 CORE, CLASSES = 500, 32
 RISE, WORDS_AT_ONCE, FEW_COUNTS = 0.002, 2048, 32
+TOKENS_AT_ONCE, CODED_AT_ONCE = 200_000, 2_000_000  # tokens, bytes of text: what a block's temporary arrays span
 COST = 1000  # spelling costs are whole thousandths of a power of ten, rounded up
 PACKED = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 TALLY = pa.schema([("words", pa.int64()), ("tokens", pa.int64()), ("top", pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())])))])
@@ -83,9 +84,24 @@ def unplanes(raw: bytes) -> np.ndarray:
     return out.view(np.int64).ravel()
 
 
+def narrow(raw: bytes) -> np.ndarray:
+    """As ``unplanes``, in half the bytes where they do: for the word numbers of a block's whole text."""
+    width = raw[0]
+    if width > 3:
+        return unplanes(raw)
+    x = np.frombuffer(raw, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros(x.shape[1], np.int32)
+    for i in range(width):
+        out |= x[i].astype(np.int32) << (8 * i)
+    return out
+
+
 def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values in order, and how often each is there."""
-    x = np.sort(x)
+    return runs_sorted(np.sort(x))
+
+
+def runs_sorted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     begin = np.flatnonzero(np.concatenate(([len(x) > 0], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
     return x[begin], np.diff(np.append(begin, len(x)))
 
@@ -168,15 +184,25 @@ def _code(cost: np.ndarray, most: int):
     """One row a block: distinct words, and the documents as word numbers."""
     def code(batches):
         for i, t in enumerate(B.pieces(batches, most=most)):
-            data, off = T.buffers(B.column_of(t, "text"))
-            h, start, end, counts = T.words(data, off, fold=True)
-            keys, index, order = T.distinct(h)
             train = B.column_of(t, "train").to_numpy(zero_copy_only=False)
-            one = order[np.searchsorted(index[order], np.arange(len(keys)))]  # an occurrence of each word
-            size = end[one] - start[one]
-            first = np.cumsum(size) - size
-            letters = data[np.repeat(start[one] - first, size) + np.arange(int(size.sum()))]
-            spelled = np.add.reduceat(cost[letters], first) if len(one) else size
+            parts, sizes = [], []
+            for part in B.pieces(t.to_batches(), most=CODED_AT_ONCE):
+                data, off = T.buffers(B.column_of(part, "text"))
+                h, start, end, counts = T.words(data, off, fold=True)
+                sizes.append(counts)
+                keys, index, order = T.distinct(h)
+                one = order[np.searchsorted(index[order], np.arange(len(keys)))]  # an occurrence of each word
+                size = end[one] - start[one]
+                first = np.cumsum(size) - size
+                letters = data[np.repeat(start[one] - first, size) + np.arange(int(size.sum()))]
+                parts.append((keys, index.astype(np.int32), np.add.reduceat(cost[letters], first) if len(one) else size))
+            counts = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+            keys, to, _ = T.distinct(np.concatenate([x for x, _, _ in parts]) if parts else np.zeros(0, np.uint64))
+            spelled = np.zeros(len(keys), np.int64)
+            spelled[to] = np.concatenate([x for _, _, x in parts]) if parts else 0
+            at = np.cumsum([0] + [len(x) for x, _, _ in parts])
+            index = np.concatenate([to[x:x + len(y)].astype(np.int32)[z] for x, (y, z, _) in zip(at, parts)]) if parts else np.zeros(0, np.int32)
+            del parts
             yield from B.to_table([((TaskContext.get().partitionId() << 32) + i, keys.tobytes(),
                                     planes(np.bincount(index[np.repeat(train, counts)], minlength=len(keys))),
                                     planes(spelled + cost[256]), planes(index), planes(counts),
@@ -251,7 +277,7 @@ def _with_ends(values: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
 def _training(row: dict, end: int) -> np.ndarray:
     """The word numbers of a block's training texts, with ``end`` before the first and after each."""
     counts, train = unplanes(row["sizes"]), np.array(row["train"], bool)
-    return _with_ends(unplanes(row["seq"])[np.repeat(train, counts)], counts[train], end)
+    return _with_ends(narrow(row["seq"])[np.repeat(train, counts)], counts[train], end)
 
 
 def _core_pairs(core: Core):
@@ -286,10 +312,23 @@ def _contexts(row: dict, keys: np.ndarray, cls: np.ndarray, k: int, n: int) -> l
     width = k + 2
     stride, end = 2 * width + 1, len(keys)
     s = _training(row, end)
-    first, second, of = s[:-1], s[1:], np.append(cls, k + 1)
-    r, le, same = first < end, second < end, (first == second) & (first < end)
-    cell, amount = runs(np.concatenate([first[r] * stride + width + of[second[r]], second[le] * stride + of[first[le]],
-                                        first[same] * stride + 2 * width]))
+    small = np.int32 if (end + 1) * stride < 1 << 31 else np.int64
+    s, of = s.astype(small, copy=False), np.append(cls, k + 1).astype(small)
+    first, second = s[:-1], s[1:]
+    # the right, left and own sides fill one array, in place of several of the block's length
+    right, left, same = first < end, second < end, (first == second) & (first < end)
+    a, b = int(right.sum()), int(left.sum())
+    cells = np.empty(a + b + int(same.sum()), small)
+    np.multiply(first[right], stride, out=cells[:a])
+    cells[:a] += of[second[right]] + small(width)
+    np.multiply(second[left], stride, out=cells[a:a + b])
+    cells[a:a + b] += of[first[left]]
+    np.multiply(first[same], stride, out=cells[a + b:])
+    cells[a + b:] += 2 * width
+    del s, first, second, right, left, same
+    cells.sort()
+    cell, amount = runs_sorted(cells)
+    del cells
     word, ctx = np.divmod(cell, stride)
     each = np.bincount(word, minlength=len(keys))
     begin = np.concatenate(([0], np.cumsum(each)))
@@ -489,26 +528,34 @@ def _describe(k: int, n: int, ends: int):
     width = k + 3
 
     def describe(coded: pa.Table, back: pa.Table) -> pa.Table:
-        out = []
+        tables = []
         for row in coded.to_pylist():
-            keys, index, counts = np.frombuffer(row["keys"], np.uint64), unplanes(row["seq"]), unplanes(row["sizes"])
+            keys, index, counts = np.frombuffer(row["keys"], np.uint64), narrow(row["seq"]), unplanes(row["sizes"])
             cls, seen = _classes(keys, back, n)
             cls = np.where(seen > 0, cls, k + 1)
-            c, m = cls[index], seen[index]
-            s = _with_ends(c, counts, k)
-            once = _with_ends((m == 1).astype(np.int64), counts, 0)
-            logs = np.where(seen > 0, np.log10(np.maximum(seen, 1)), -unplanes(row["costs"]) / COST)[index]
-            half = np.log10(m + 0.5)
-            w = 0
-            for i, words in enumerate(counts.tolist()):
-                a = w + i
-                before, now = s[a:a + words + 1], s[a + 1:a + words + 2]
-                single = before[once[a + 1:a + words + 2] > 0]
-                some, pair = runs(np.concatenate([before * width + now, single * width + k + 2]))
-                known = int((m[w:w + words] > 0).sum()) + (ends > 0)
-                out.append((row["ids"][i], row["train"][i], words + 1, known, float(half[w:w + words].sum() + np.log10(ends + 0.5)),
-                            float(logs[w:w + words].sum()), planes(some), planes(pair)))
-                w += words
+            of_word = np.where(seen > 0, np.log10(np.maximum(seen, 1)), -unplanes(row["costs"]) / COST)
+            half_of_word = np.log10(seen + 0.5)
+            cut = np.concatenate(([0], np.cumsum(counts)))
+            lo = 0
+            while lo < len(counts):  # some documents at a time: nothing below has the block's length
+                hi = max(lo + 1, int(np.searchsorted(cut, cut[lo] + TOKENS_AT_ONCE, "right")) - 1)
+                tables.append(some_documents(row, lo, counts[lo:hi], index[cut[lo]:cut[hi]], cls, seen, of_word, half_of_word))
+                lo = hi
+        return pa.concat_tables(tables) if tables else STATS.empty_table()
+
+    def some_documents(row, lo, counts, index, cls, seen, of_word, half_of_word) -> pa.Table:
+        c, m, logs, half, out, w = cls[index], seen[index], of_word[index], half_of_word[index], [], 0
+        s = _with_ends(c, counts, k)
+        once = _with_ends((m == 1).astype(np.int64), counts, 0)
+        for i, words in enumerate(counts.tolist()):
+            a = w + i
+            before, now = s[a:a + words + 1], s[a + 1:a + words + 2]
+            single = before[once[a + 1:a + words + 2] > 0]
+            some, pair = runs(np.concatenate([before * width + now, single * width + k + 2]))
+            known = int((m[w:w + words] > 0).sum()) + (ends > 0)
+            out.append((row["ids"][lo + i], row["train"][lo + i], words + 1, known, float(half[w:w + words].sum() + np.log10(ends + 0.5)),
+                        float(logs[w:w + words].sum()), planes(some), planes(pair)))
+            w += words
         return B.to_table(out, STATS)
 
     return describe

@@ -236,3 +236,21 @@ def test_a_round_replaces_the_one_before(spark, tmp_path):
     assert not os.path.exists(first.removeprefix("file:")) and os.path.exists(steps.paths["a"].removeprefix("file:"))
     steps.drop("a")
     assert spark.conf.get(M.B.CLEANUP) == "false"
+
+
+def test_blocks_are_coded_and_described_some_at_a_time(monkeypatch):
+    """Temporary arrays span a part of a block; the parts change no result."""
+    import numpy as np
+
+    from gavel.llm import brown_lm as L
+    for top in (0, 200, 70_000, 2**23, 2**31):
+        raw = L.planes(np.array([top, 0, top // 2]))
+        assert L.narrow(raw).tolist() == L.unplanes(raw).tolist()
+    import pyarrow as pa
+    texts = [f"a b{i % 7} c{i}  B{i % 3}" for i in range(50)] + ["", "x"]
+    t = pa.table({"doc_id": list(range(52)), "text": texts, "train": [i % 5 > 0 for i in range(52)]})
+    monkeypatch.setattr(L.TaskContext, "get", lambda: type("C", (), {"partitionId": lambda self: 0})())
+    code = L._code(L.spelling(np.arange(257)), 10**6)
+    whole = [b.to_pylist() for b in code(t.to_batches())]
+    monkeypatch.setattr(L, "CODED_AT_ONCE", 40)
+    assert [b.to_pylist() for b in code(t.to_batches())] == whole
