@@ -18,7 +18,7 @@ from ..operators import pairs as P
 from ..operators import replies as RP
 from ..operators import resume as RS
 from ..operators.ordering import seeded_shuffle
-from ..session import ensure_checkpoint_dir
+from ..session import SHUFFLE_CLEANUP, drop_folder, ensure_checkpoint_dir, settings
 from ..streaming import incremental as ST
 from .catalog import (JUDGE_SQL, ORACLE, QUERIES, R9, REPLY_SQL, SEED, VOTE_SQL, ab_rewrite_sql, logprob_votes, query,
                       scored_documents, task_batches, task_replies)
@@ -157,15 +157,21 @@ def q_large_group_pairs(spark, sf_dir):
 # --- the reply stream (ST1) -------------------------------------------------------------------
 @query("incremental_results", REPLY_SQL + "SELECT id, input, output, reason FROM results WHERE reason <> 'Error during processing'")
 def q_incremental_results(spark, sf_dir):
-    """Replies arrive in two files; in the first every other batch's reply is empty. The stream keeps the good ones."""
+    """Replies arrive in two files; in the first every other batch's reply is empty. The stream keeps the good ones.
+    Batches are packed once and stored; shuffle files and stored tables go as soon as they are read."""
     at = f"{ensure_checkpoint_dir(spark).rstrip('/')}/gavel-stream/{uuid.uuid4().hex}"
-    batches = task_batches(spark, sf_dir).select("batch_id", "item_ids", "original_ids", "item_texts", "model_name")
-    replies = task_replies(spark, sf_dir)
+    with settings(spark, {SHUFFLE_CLEANUP: "true"}):
+        batches = task_batches(spark, sf_dir).select("batch_id", "item_ids", "original_ids", "item_texts", "model_name")
+        batches.write.parquet(f"{at}/batches", compression="zstd")
+    batches = spark.read.schema(batches.schema).parquet(f"{at}/batches")
+    replies = task_replies(spark, sf_dir, batches)
     blank = F.substring(F.md5("batch_id"), 2, 1) < "8"
-    replies.withColumn("response", F.when(blank, "").otherwise(F.col("response"))).write.json(f"{at}/replies/1")
-    ST.start_incremental_parse(spark, f"{at}/replies/*", batches, f"{at}/results", f"{at}/checkpoint").awaitTermination()
-    replies.where(blank).write.json(f"{at}/replies/2")
-    ST.start_incremental_parse(spark, f"{at}/replies/*", batches, f"{at}/results", f"{at}/checkpoint").awaitTermination()
+    first = replies.withColumn("response", F.when(blank, "").otherwise(F.col("response")))
+    for k, wave in enumerate((first, replies.where(blank)), 1):
+        wave.write.json(f"{at}/replies/{k}", compression="gzip")
+        ST.start_incremental_parse(spark, f"{at}/replies/*", batches, f"{at}/results", f"{at}/checkpoint").awaitTermination()
+        drop_folder(spark, f"{at}/replies/{k}")
+    drop_folder(spark, f"{at}/batches")
     return ST.latest_results(spark, f"{at}/results").select("id", "input", "output", "reason")
 
 

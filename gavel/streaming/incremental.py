@@ -7,6 +7,10 @@ without an output stays open: a timer offers it for another prompt after ``retry
 is done or was tried ``max_tries`` times. Finished ids leave the state after ``forget_seconds``. Timers
 fire in a query that goes on running; one that ends with its files fires them in its next epoch.
 
+Parsing, shuffles by id and state hold an item's text as its md5; the text itself is fetched from the batches
+for the events that leave the state, so the batches list an item for as long as it is open. An epoch's shuffle
+files go with the epoch, and event files are gzipped.
+
 The file source's checkpoint takes each file once across restarts, the state store commits with
 the epoch, and the file sink lists an epoch's files once, so a rerun adds nothing.
 """
@@ -21,11 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..operators.replies import task_results_of
+from ..session import SHUFFLE_CLEANUP, settings
 
 REPLY_SCHEMA = "batch_id string, response string"
 RESULT_SCHEMA = "id string, input string, output string, reason string, model_name string, event string, tries int"
 STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 NO_DATA_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+UNLOAD = "spark.sql.streaming.stateStore.unloadOnCommit"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DONE, OPEN, RETRY = "done", "open", "retry"
 
@@ -47,23 +53,25 @@ class Intake(StatefulProcessor):
         best = min(rows, key=lambda r: (r.output is None, r.output or "", r.reason or ""))  # reads the rows, whatever follows
         if self.finished.exists():
             return
-        known = self.item.get() if self.item.exists() else (0, None, None)
-        tries = known[0] + 1
-        if best.output is not None:
+        known = self.item.get()
+        tries = known[0] + 1 if known else 1
+        if known:  # timers are an open item's
             self._clear_timers()
-            self.item.clear()
+        if best.output is not None:
+            if known:
+                self.item.clear()
             self.finished.update((tries,))
         else:
             self.item.update((tries, best.input, best.model_name))
-            self._clear_timers()
             if tries < self.max_tries:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.retry_ms)
         yield Row(id=key[0], input=best.input, output=best.output, reason=best.reason, model_name=best.model_name,
                   event=OPEN if best.output is None else DONE, tries=tries)
 
     def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        if self.item.exists():
-            tries, text, model = self.item.get()
+        known = self.item.get()
+        if known:
+            tries, text, model = known
             yield Row(id=key[0], input=text, output=None, reason=None, model_name=model, event=RETRY, tries=tries)
 
     def _clear_timers(self) -> None:
@@ -83,8 +91,21 @@ def parsed_stream(replies: DataFrame, batches: DataFrame) -> DataFrame:
 def intake(replies: DataFrame, batches: DataFrame, retry_seconds: float = 1800, max_tries: int = 3,
            forget_seconds: float | None = None) -> DataFrame:
     """The events of a stream of replies (see ``Intake``), with state keyed by id."""
-    return parsed_stream(replies, batches).groupBy("id").transformWithState(
+    held = batches.withColumn("item_texts", F.transform("item_texts", F.md5))
+    events = parsed_stream(replies, held).groupBy("id").transformWithState(
         Intake(retry_seconds, max_tries, forget_seconds), RESULT_SCHEMA, "append", "processingTime")
+    return with_texts(events, batches)
+
+
+def with_texts(events: DataFrame, batches: DataFrame) -> DataFrame:
+    """Events whose ``input`` is a text's md5, with the text that the batches have for the id."""
+    members = F.explode(F.arrays_zip(F.col("original_ids").alias("id"), F.col("item_texts").alias("text"))).alias("m")
+    texts = batches.select(members).select(F.col("m.id").cast("string").alias("id"), F.md5("m.text").alias("_md5"), "m.text")
+    texts = texts.where("id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["id", "_md5"])
+    # checkpoints of earlier versions hold open items' texts
+    held = F.when(~F.col("input").rlike("^[0-9a-f]{32}$"), F.col("input"))
+    out = events.withColumn("_md5", F.col("input")).join(texts, ["id", "_md5"], "left").withColumn("input", F.coalesce("text", held))
+    return out.select(*events.columns)
 
 
 def start_incremental_parse(spark: SparkSession, replies_dir: str, batches: DataFrame, results_path: str,
@@ -95,21 +116,14 @@ def start_incremental_parse(spark: SparkSession, replies_dir: str, batches: Data
     stream = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).json(replies_dir)
     events = intake(stream, batches, retry_seconds, max_tries, forget_seconds)
     w = (events.writeStream.format("json").outputMode("append").option("path", results_path).option("ignoreNullFields", "false")
-         .option("checkpointLocation", checkpoint_path))
+         .option("compression", "gzip").option("checkpointLocation", checkpoint_path))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=every)
     # the store that keyed timers need; a run that ends with its files has no batches without files
-    settings = {STATE_PROVIDER: ROCKSDB} | ({NO_DATA_BATCHES: "false"} if available_now else {})
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
+    wanted = {STATE_PROVIDER: ROCKSDB, SHUFFLE_CLEANUP: "true"} | ({NO_DATA_BATCHES: "false"} if available_now else {})
+    if available_now and not max_files:  # one epoch: its stores' local copies are of no use to a later one
+        wanted[UNLOAD] = "true"
+    with settings(spark, wanted):
         return w.start()  # a query keeps the settings that it is started with
-    finally:
-        for k, v in before.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
 
 
 def results(spark: SparkSession, results_path: str) -> DataFrame:
