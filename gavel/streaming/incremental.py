@@ -51,9 +51,9 @@ class Intake(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
         best = min(rows, key=lambda r: (r.output is None, r.output or "", r.reason or ""))  # reads the rows, whatever follows
-        if self.finished.exists():
-            return
         known = self.item.get()
+        if not known and self.finished.exists():  # a finished id has no item
+            return
         tries = known[0] + 1 if known else 1
         if known:  # timers are an open item's
             self._clear_timers()

@@ -204,6 +204,37 @@ def test_open_items_are_offered_again_until_done(spark, tmp_dir):
     assert len([r for r in ST.results(spark, res).collect() if r.event == "done"]) == 3
 
 
+def test_texts_stay_out_of_the_state_and_shuffles_go_with_the_epoch(spark, tmp_dir):
+    """Open items' texts reach the events, also of a batch listed twice and of one id with two texts, but not the checkpoint."""
+    import random
+    import time
+    draw = random.Random(1)
+    text = lambda: "".join(chr(draw.randrange(0x4e00, 0x9fa5)) for _ in range(20_000))
+    rows = [(str(i), [f"i{i}", f"n{i}"], [f"i{i}", f"n{i}"], [text(), None], "m") for i in range(20)] + [("20", ["i0"], ["i0"], [text()], "m")]
+    batches = spark.createDataFrame(rows + rows[:3], "batch_id string, item_ids array<string>, original_ids array<string>, item_texts array<string>, model_name string")
+    rdir, res, ck = (os.path.join(tmp_dir, x) for x in ("r", "o", "c"))
+    os.makedirs(rdir)
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {x for x in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    before = shuffles()
+    _wave(rdir, "1.json", [(str(i), "nothing") for i in range(20)])
+    ST.start_incremental_parse(spark, rdir, batches, res, ck).awaitTermination()
+    for _ in range(50):  # they are removed in the background
+        if not shuffles() - before:
+            break
+        time.sleep(0.2)
+    assert not shuffles() - before
+    got = {r.id: r.input for r in ST.results(spark, res).collect()}
+    assert got == {f"i{i}": rows[i][3][0] for i in range(20)} | {f"n{i}": None for i in range(20)}
+    assert ST.results(spark, res).count() == 40
+    held = sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(ck) for f in fs)
+    assert held < 20 * 60_000 / 2
+    _wave(rdir, "2.json", [("20", "<idi0><o>3</o></idi0>"), ("1", "<idi1><o>2</o></idi1>")])
+    ST.start_incremental_parse(spark, rdir, batches, res, ck).awaitTermination()
+    latest = {r.id: (r.input, r.output) for r in ST.latest_results(spark, res).collect()}
+    assert latest["i0"] == (rows[20][3][0], "3") and latest["i1"] == (rows[1][3][0], None) and len(latest) == 40
+
+
 def test_finished_ids_are_forgotten_in_time(spark, tmp_dir):
     rdir, res, ck = (os.path.join(tmp_dir, x) for x in ("r", "o", "c"))
     os.makedirs(rdir)

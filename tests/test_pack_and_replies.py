@@ -204,3 +204,20 @@ def test_a_reply_of_a_thousand_ids(spark):
     t = time.time()
     rows = RP.parse_score_results(members, spark.createDataFrame([("1", scores)], "batch_id string, response string")).collect()
     assert time.time() - t < 20 and all((r.fluency_score, r.reason) == (1 + int(r.response_id[2:]) % 5, f"reason {r.response_id[2:]}") for r in rows)
+
+
+def test_extract_items_keeps_one_text_a_place_and_deals_it_once(spark):
+    rows = [("a", "x", 1), ("a", " x ", 1), ("a", "x", 5), ("a", "y", 5), ("b", "x", 2), ("b", "  ", 3), (None, "x", 4), ("c", None, 6), ("d", "z", None)]
+    df = spark.createDataFrame(rows, "id string, text string, ord long")
+    got = K.extract_items(df, "id", "text", "ord")
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "x", 1), ("a", "y", 5), ("b", "x", 2)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(before, ("-1", "false")):
+            spark.conf.set(k, v)
+        plan = K.extract_items(df, "id", "text", "ord")._jdf.queryExecution().executedPlan()
+        dealt = [x for x in plan.toString().split("\n") if "Exchange hashpartitioning" in x]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(dealt) == 3  # hashes by text, hashes by place, texts by place
